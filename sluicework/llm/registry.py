@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
-from sluicework.llm import mixing, simhash
+from sluicework.llm import mixing, order_minhash, secrets, simhash, toxicity
 
 QUERIES = {
     "op1_mixing": mixing.query,
     "op2_simhash": simhash.query,
+    "op4_toxicity": toxicity.query,
+    "op7_secrets": secrets.query,
+    "op8_order_minhash": order_minhash.query,
 }
-ORACLE = {"op1_mixing": mixing.SQL}
+ORACLE = {"op1_mixing": mixing.SQL, "op7_secrets": secrets.SQL}
