@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from sluicework.llm import mixing, order_minhash, secrets, simhash, toxicity
+from sluicework.llm import hnsw, html_blocks, mixing, order_minhash, secrets, simhash, toxicity
 
 QUERIES = {
     "op1_mixing": mixing.query,
@@ -10,5 +10,7 @@ QUERIES = {
     "op4_toxicity": toxicity.query,
     "op7_secrets": secrets.query,
     "op8_order_minhash": order_minhash.query,
+    "op9_html_blocks": html_blocks.query,
+    "op10_hnsw": hnsw.query,
 }
 ORACLE = {"op1_mixing": mixing.SQL, "op7_secrets": secrets.SQL}
