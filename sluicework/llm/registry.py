@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from sluicework.llm import hnsw, html_blocks, mixing, order_minhash, secrets, simhash, toxicity
+from sluicework.llm import hnsw, html_blocks, mixing, order_minhash, pieces, secrets, simhash, surrogates, toxicity
 
 QUERIES = {
     "op1_mixing": mixing.query,
     "op2_simhash": simhash.query,
     "op4_toxicity": toxicity.query,
+    "op5_pieces": pieces.query,
+    "op6_surrogates": surrogates.query,
     "op7_secrets": secrets.query,
     "op8_order_minhash": order_minhash.query,
     "op9_html_blocks": html_blocks.query,
