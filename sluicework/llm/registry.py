@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from sluicework.llm import hnsw, html_blocks, mixing, order_minhash, pieces, secrets, simhash, surrogates, toxicity
+import corpus_pipeline
+from sluicework.llm import hnsw, html_blocks, mixing, order_minhash, pieces, repeats, secrets, simhash, surrogates, toxicity
 
 QUERIES = {
+    "pipeline": corpus_pipeline.run,
     "op1_mixing": mixing.query,
     "op2_simhash": simhash.query,
+    "op3_repeats": repeats.query,
     "op4_toxicity": toxicity.query,
     "op5_pieces": pieces.query,
     "op6_surrogates": surrogates.query,
@@ -16,3 +19,5 @@ QUERIES = {
     "op10_hnsw": hnsw.query,
 }
 ORACLE = {"op1_mixing": mixing.SQL, "op7_secrets": secrets.SQL}
+if corpus_pipeline.ORACLE_SQL:
+    ORACLE["pipeline"] = corpus_pipeline.ORACLE_SQL

@@ -74,6 +74,23 @@ def scan(docs: DataFrame, path_col: str = "doc_id", text_col: str = "text", rule
     table gives empty results. Of equal blobs one is read, by its smallest path (nulls last); where all paths of
     a blob are null, the null rows are read and deduplicated by content. Other columns are ignored.
     """
+    paths, by_blob, entries = _looked_up(docs, path_col, text_col, rules, ledger)
+    none = F.array().cast(by_blob.schema["spans"].dataType)
+    return paths.join(by_blob, "blob", "left").select("path", "blob", F.coalesce("spans", none).alias("spans")), entries
+
+
+def redacted(docs: DataFrame, path_col: str = "doc_id", text_col: str = "text", rules: tuple[Rule, ...] = RULES, ledger: DataFrame | None = None) -> DataFrame:
+    """docs with the secrets of its text column replaced by their kinds; the other columns and clean texts stay as they are."""
+    _, by_blob, _ = _looked_up(docs, path_col, text_col, rules, ledger)
+    text = F.col(f"row.`{text_col}`")
+    rows = docs.select(F.struct(*[docs[f"`{c}`"] for c in docs.columns]).alias("row"), F.sha2(F.coalesce(docs[f"`{text_col}`"], F.lit("")), 256).alias("blob"))
+    both = rows.join(by_blob, "blob", "left")
+    new = F.when(F.col("spans").isNotNull(), redact(text, F.col("spans"))).otherwise(text)
+    return both.select(*[(new if c == text_col else F.col(f"row.`{c}`")).alias(c) for c in docs.columns])
+
+
+def _looked_up(docs: DataFrame, path_col: str, text_col: str, rules: tuple[Rule, ...], ledger: DataFrame | None) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(path, blob) of every row, (blob, spans) of the blobs with any, and the ledger's new rows."""
     text = F.coalesce(F.col(f"`{text_col}`"), F.lit(""))
     rows = docs.select(F.col(f"`{path_col}`").alias("path"), text.alias("text"))
     paths = written(rows.select("path", F.sha2("text", 256).alias("blob")), "blob-paths")
@@ -96,8 +113,7 @@ def scan(docs: DataFrame, path_col: str = "doc_id", text_col: str = "text", rule
     order = F.create_map(*[F.lit(x) for k, r in enumerate(rules) for x in (r.key, k)])
     flat = every.select("blob", F.transform("spans", lambda s: F.struct(s["start"].alias("start"), order[F.col("rule")].alias("order"), s["end"].alias("end"), F.split_part(F.col("rule"), F.lit("@"), F.lit(1)).alias("kind"))).alias("spans"))
     by_blob = written(flat.groupBy("blob").agg(F.array_sort(F.flatten(F.collect_list("spans"))).alias("spans")), "blob-spans")
-    none = F.array().cast(by_blob.schema["spans"].dataType)
-    return paths.join(by_blob, "blob", "left").select("path", "blob", F.coalesce("spans", none).alias("spans")), entries
+    return paths, by_blob, entries
 
 
 def told(spans: Column) -> Column:

@@ -21,6 +21,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from sluicework.operators.components import connected_components
 from sluicework.session import written
@@ -54,9 +55,10 @@ def fingerprint(text: str | None, width: int = SHINGLE) -> int:
 
 
 def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The last column, the text, becomes its fingerprint."""
     for batch in batches:
-        prints = pa.array([fingerprint(x.as_py()) for x in batch.column(1)], pa.int64())
-        yield pa.RecordBatch.from_arrays([batch.column(0), prints], ["id", "fp"])
+        prints = pa.array([fingerprint(x.as_py()) for x in batch.columns[-1]], pa.int64())
+        yield pa.RecordBatch.from_arrays([*batch.columns[:-1], prints], [*batch.schema.names[:-1], "fp"])
 
 
 def _anchor_masks() -> tuple[list[int], list[list[int]]]:
@@ -174,22 +176,33 @@ def near_links(prints: DataFrame, most: int = BLOCK) -> DataFrame:
     return links
 
 
-def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, fp, component): for every row its fingerprint and the smallest id of its group.
+def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: bool = False) -> DataFrame:
+    """(uid, id, fp, group, component) for every row, and row, a struct of df's columns, if ``keep``.
 
-    Groups are the closure of links within 3 bits; a null or blank text has fingerprint 0 and is linked like any
-    other. Rows with a null id keep their row and can join groups; they never name one (a group of them alone has
-    a null component). Repeated rows stay. An empty table gives an empty result. Other columns are ignored.
+    group is the same number for all of a group and component its smallest id; uid numbers the rows. Groups are
+    the closure of links within 3 bits; a null or blank text has fingerprint 0 and is linked like any other. Rows
+    with a null id keep their row and can join groups; they never name one (a group of them alone has a null
+    component). Repeated rows stay. An empty table gives an empty result. Other columns are ignored.
     """
-    rows = df.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").alias("text"))
-    marked = written(rows.mapInArrow(_fingerprints, "id long, fp long"), "simhash-prints")
+    own = [F.struct(*[df[f"`{c}`"] for c in df.columns]).alias("row")] if keep else []
+    rows = df.select(*own, F.monotonically_increasing_id().alias("uid"), F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").alias("text"))
+    marks = T.StructType([*rows.schema.fields[:-1], T.StructField("fp", T.LongType())])
+    marked = written(rows.mapInArrow(_fingerprints, marks), "simhash-prints")
     distinct = written(marked.groupBy("fp").agg(F.min("id").alias("least")), "simhash-distinct")
     group = connected_components(near_links(distinct.select("fp")), "a", "b")
     group = distinct.join(group.withColumnRenamed("node", "fp"), "fp")
     named = group.groupBy("component").agg(F.min("least").alias("name"))
-    group = group.join(named, "component").select("fp", "name", F.lit(True).alias("grouped"))
-    known = written(distinct.join(group, "fp", "left").select("fp", F.when(F.col("grouped"), F.col("name")).otherwise(F.col("least")).alias("component")), "simhash-groups")
-    return marked.join(known, "fp").select("id", "fp", "component")
+    group = group.join(named, "component").select("fp", "name", F.col("component").alias("group"))
+    known = distinct.join(group, "fp", "left").select("fp", F.coalesce("group", "fp").alias("group"), F.when(F.col("group").isNotNull(), F.col("name")).otherwise(F.col("least")).alias("component"))
+    return marked.join(written(known, "simhash-groups"), "fp")
+
+
+def one_of_each(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """df with one row of each group of near-duplicates: that of the smallest id (null last; of rows that repeat it, any one)."""
+    found = near_duplicates(df, id_col, text_col, keep=True)
+    kept = found.groupBy("group").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "uid")).alias("first")).select("first.uid")
+    kept = found.select("uid", "row").join(written(kept, "simhash-kept"), "uid", "left_semi")
+    return kept.select(*[F.col(f"row.`{c}`").alias(c) for c in df.columns])
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
