@@ -14,6 +14,10 @@ def squeezed(text: Column) -> Column:
     return F.trim(F.regexp_replace(text, r"\s+", " "))
 
 
+def stripped(text: Column) -> Column:
+    return F.regexp_replace(text, r"\A\s+|\s+\z", "")
+
+
 def norm_name(name: Column) -> Column:
     """Lower case without years, ordinals, roman numbers and punctuation; null if nothing is left."""
     out = F.lower(name)
@@ -77,14 +81,14 @@ def overlap(a: Column, b: Column) -> Column:
 def sections(body: Column) -> Column:
     """Map from '## ' heading to its text; of repeated headings the last."""
     parts = F.slice(F.split(body, r"(?m)^## "), 2, 10**6)
-    entry = lambda p: F.struct(F.trim(F.regexp_extract(p, r"\A([^\n]*)", 1)).alias("key"), F.trim(F.regexp_replace(p, r"\A[^\n]*\n?", "")).alias("value"))
+    entry = lambda p: F.struct(stripped(F.regexp_extract(p, r"\A([^\n]*)", 1)).alias("key"), stripped(F.regexp_replace(p, r"\A[^\n]*\n?", "")).alias("value"))
     rows = F.transform(parts, entry)
     return F.map_from_entries(F.filter(rows, lambda x, i: ~F.exists(F.slice(rows, i + 2, F.size(rows)), lambda y: y["key"] == x["key"])))
 
 
 def hint_ladder(text: Column) -> Column:
     """Numbered items ('1. ' or '1、') in order."""
-    return F.filter(F.transform(F.slice(F.split(text, r"(?m)^\s*\d+[.、]\s+"), 2, 10**6), lambda x: F.trim(x)), lambda x: x != "")
+    return F.filter(F.transform(F.slice(F.split(text, r"(?m)^\s*\d+[.、]\s+"), 2, 10**6), stripped), lambda x: x != "")
 
 
 def numbers(text: Column) -> Column:
