@@ -129,6 +129,8 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> tuple[np.
     rows = docs.select(F.col("doc_id").alias("id"), "text").join(F.broadcast(some), F.col("id") == F.col("doc_id")).select("text", "toxic", "doc_id")
     rows = rows.repartition(1).sortWithinPartitions("doc_id", "text", "toxic").select("text", "toxic")
     row = rows.mapInArrow(_train, "features binary, weights binary, bias double").first()
+    if row is None:  # no row to train from: even odds
+        return np.empty(0, np.int32), np.empty(0, np.float32), 0.0
     return np.frombuffer(row[0], np.int32), np.frombuffer(row[1], np.float32), row[2]
 
 
