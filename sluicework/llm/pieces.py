@@ -34,15 +34,17 @@ _UNIT = re.compile(f"{SPACE}+[^{SPACE}]*|[^{SPACE}]+")
 
 
 def suffix_array(text: np.ndarray, depth: int) -> np.ndarray:
-    """Positions of a byte array in the order of their suffixes, compared over at least ``depth`` bytes (beyond the end sorts first)."""
+    """Positions of a byte array in the order of their suffixes, compared over at least ``depth`` bytes (the end counts as zeros)."""
     n = len(text)
-    rank, seen = text.astype(np.int64) + 1, 1
-    order = np.argsort(rank, kind="stable")
+    head = np.ndarray((n,), ">u8", text.tobytes() + b"\0" * 8, strides=(1,)).astype(np.uint64)
+    order = np.argsort(head)
+    run, rank, seen = head[order], np.empty(n, np.int64), 8
+    rank[order] = np.cumsum(np.concatenate(([1], run[1:] != run[:-1])))
     while seen < depth:
         later = np.zeros(n, np.int64)
         later[: n - seen] = rank[seen:] if seen < n else 0
         key = rank * (int(later.max()) + 1) + later
-        order = np.argsort(key, kind="stable")
+        order = np.argsort(key)
         run = key[order]
         rank = np.empty(n, np.int64)
         rank[order] = np.cumsum(np.concatenate(([1], run[1:] != run[:-1])))
