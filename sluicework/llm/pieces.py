@@ -15,6 +15,7 @@ from __future__ import annotations
 import hashlib
 import re
 from collections.abc import Iterator
+from itertools import chain
 from pathlib import Path
 
 import numpy as np
@@ -63,7 +64,7 @@ class Pieces:
         self.rank = {self.names[i]: (-sp.get_score(i), i) for i in range(n) if not special[i]}
         self.byte = [sp.piece_to_id(f"<0x{b:02X}>") for b in range(256)]
         self.byte_of = {i: b for b, i in enumerate(self.byte) if sp.is_byte(i)}
-        self.silent = {i for i in range(n) if sp.is_control(i)}
+        self.raw = [b"" if sp.is_control(i) else bytes([self.byte_of[i]]) if i in self.byte_of else p.encode() for i, p in enumerate(self.names)]
         self.unknown, self.fallback = sp.unk_id(), bool(self.byte_of)
         self.dummy = sp.normalize("a").startswith(SPACE)
         #: Whether no piece goes on after a space that follows other text, so that words can be encoded by themselves.
@@ -137,7 +138,7 @@ class Pieces:
             at, stop, token = np.concatenate([at, heads[alone]]), np.concatenate([stop, heads[alone] + width[alone]]), np.concatenate([token, extra])
         start_of = np.repeat(starts, sizes + 1)[: n] if len(starts) else np.empty(0, int)
         place = stop - start_of[at]
-        by = np.lexsort((at, place))
+        by = np.argsort(place.astype(np.uint16) if n < 1 << 16 or place.max(initial=0) < 1 << 16 else place, kind="stable")
         at, stop, token, place = at[by], stop[by], token[by], place[by]
         last, back = np.full(n + 1, -1), np.full(n + 1, -1)
         begins = np.zeros(n + 1, bool)
@@ -152,17 +153,28 @@ class Pieces:
                 good = first.copy()
                 good[ready] = self._agree(last[s[ready]] << 32 | t[ready])
             last[e[good]], back[e[good]] = t[good], s[good]
-        for w, s, size in zip(words, starts.tolist(), sizes.tolist(), strict=True):
-            ids, e = [], s + size
-            while e > s:
-                t = int(last[e])
-                if t >= len(self.names):
-                    c = self.loose_names[t - len(self.names)]
-                    ids += [self.byte[b] for b in reversed(c.encode("utf-8", "surrogatepass"))] if self.fallback else [self.unknown]
-                else:
-                    ids.append(t)
-                e = int(back[e])
-            self.words[w] = tuple(reversed(ids))
+        # All paths back at once; read by place, the tokens that end on a path are the words' ids in order.
+        ends = starts + sizes
+        on, step = np.zeros(n + 1, bool), ends[sizes > 0]
+        while len(step):
+            on[step] = True
+            step = back[step]
+            step = step[~begins[step]]
+        places = np.flatnonzero(on)
+        cut = np.concatenate(([0], np.searchsorted(places, ends, "right"))).tolist()
+        found = last[places]
+        ids = found.tolist()
+        for w, a, b in zip(words, cut[:-1], cut[1:], strict=True):
+            self.words[w] = tuple(ids[a:b])
+        for k in np.unique(np.searchsorted(cut, np.flatnonzero(found >= len(self.names)), "right") - 1).tolist():
+            self.words[words[k]] = tuple(i for t in ids[cut[k] : cut[k + 1]] for i in self._spelt(t))
+
+    def _spelt(self, token: int) -> list[int]:
+        """The id of a piece, or those of a character that has none."""
+        if token < len(self.names):
+            return [token]
+        c = self.loose_names[token - len(self.names)]
+        return [self.byte[b] for b in c.encode("utf-8", "surrogatepass")] if self.fallback else [self.unknown]
 
     def encode(self, texts: list[str]) -> list[list[int]]:
         if len(self.words) > REMEMBERED or len(self.pairs) > REMEMBERED:
@@ -183,23 +195,11 @@ class Pieces:
         if part:
             self._learn(part)
         known = self.words
-        return [[i for w in words for i in known[w]] for words in split]
+        return [list(chain.from_iterable(map(known.__getitem__, words))) for words in split]
 
     def decode(self, ids: list[int]) -> str:
         """The text of a list of ids: pieces with spaces for marks, runs of bytes as UTF-8, without the added first space."""
-        out, run = [], bytearray()
-        for i in ids:
-            if i in self.byte_of:
-                run.append(self.byte_of[i])
-                continue
-            if run:
-                out.append(run.decode("utf-8", "replace"))
-                run.clear()
-            if i not in self.silent:
-                out.append(self.names[i])
-        if run:
-            out.append(run.decode("utf-8", "replace"))
-        text = "".join(out)
+        text = b"".join(map(self.raw.__getitem__, ids)).decode("utf-8", "replace")
         if self.dummy and text.startswith(SPACE):
             text = text[1:]
         return text.replace(SPACE, " ")
