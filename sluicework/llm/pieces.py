@@ -15,7 +15,6 @@ from __future__ import annotations
 import hashlib
 import re
 from collections.abc import Iterator
-from itertools import chain
 from pathlib import Path
 
 import numpy as np
@@ -27,10 +26,10 @@ from pyspark.sql import types as T
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
-#: Words whose ids a worker remembers; then it starts anew.
-REMEMBERED = 1 << 20
-#: Bytes of new words that are indexed together.
-TOGETHER = 1 << 20
+#: Bytes, about, of words and their ids that a worker remembers, and pairs of pieces; then it starts anew.
+REMEMBERED, PAIRS = 1 << 27, 1 << 20
+#: Bytes of new words that are indexed together; a longer word is indexed by itself.
+TOGETHER = 1 << 18
 _UNIT = re.compile(f"{SPACE}+[^{SPACE}]*|[^{SPACE}]+")
 
 
@@ -72,7 +71,8 @@ class Pieces:
         self.loose: dict[str, int] = {}  # characters without a piece of their own, numbered after the vocabulary
         self.loose_names: list[str] = []
         self.pairs: dict[int, bool] = {}
-        self.words: dict[str, tuple[int, ...]] = {}
+        self.words: dict[str, bytes] = {}  # ids as 32-bit integers
+        self.held = 0
         usable = sorted((p.encode(), i) for p, (_, i) in self.rank.items() if self.merged(p) == [p])
         self.width = max(len(p) for p, _ in usable)
         self.piece_ids = np.array([i for _, i in usable])
@@ -162,12 +162,13 @@ class Pieces:
             step = step[~begins[step]]
         places = np.flatnonzero(on)
         cut = np.concatenate(([0], np.searchsorted(places, ends, "right"))).tolist()
-        found = last[places]
-        ids = found.tolist()
+        found = last[places].astype(np.int32)
+        ids = found.tobytes()
         for w, a, b in zip(words, cut[:-1], cut[1:], strict=True):
-            self.words[w] = tuple(ids[a:b])
+            self.words[w] = ids[4 * a : 4 * b]
         for k in np.unique(np.searchsorted(cut, np.flatnonzero(found >= len(self.names)), "right") - 1).tolist():
-            self.words[words[k]] = tuple(i for t in ids[cut[k] : cut[k + 1]] for i in self._spelt(t))
+            self.words[words[k]] = np.array([i for t in found[cut[k] : cut[k + 1]].tolist() for i in self._spelt(t)], np.int32).tobytes()
+        self.held += sum(len(r) for r in raw) + len(ids) + 250 * len(words)
 
     def _spelt(self, token: int) -> list[int]:
         """The id of a piece, or those of a character that has none."""
@@ -177,8 +178,14 @@ class Pieces:
         return [self.byte[b] for b in c.encode("utf-8", "surrogatepass")] if self.fallback else [self.unknown]
 
     def encode(self, texts: list[str]) -> list[list[int]]:
-        if len(self.words) > REMEMBERED or len(self.pairs) > REMEMBERED:
+        return [x.tolist() for x in self.ids(texts)]
+
+    def ids(self, texts: list[str]) -> list[np.ndarray]:
+        """An array of 32-bit ids for each text."""
+        if self.held > REMEMBERED:
             self.words.clear()
+            self.held = 0
+        if len(self.pairs) > PAIRS:
             self.pairs.clear()
             self.loose.clear()
             self.loose_names = []
@@ -195,7 +202,7 @@ class Pieces:
         if part:
             self._learn(part)
         known = self.words
-        return [list(chain.from_iterable(map(known.__getitem__, words))) for words in split]
+        return [np.frombuffer(b"".join(map(known.__getitem__, words)), np.int32) for words in split]
 
     def decode(self, ids: list[int]) -> str:
         """The text of a list of ids: pieces with spaces for marks, runs of bytes as UTF-8, without the added first space."""
@@ -227,10 +234,11 @@ def encode(df: DataFrame, text_col: str = "text", model_path: str = MODEL, keep:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pieces = loaded(model)
         for batch in batches:
-            for k in range(0, batch.num_rows, 1024):
-                part = batch.slice(k, 1024)
-                ids = pieces.encode([x.as_py() or "" for x in part.column(1)])
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(ids, pa.list_(pa.int32())), pa.array([pieces.decode(x) for x in ids], pa.string())], ["row", "ids", "decoded"])
+            for k in range(0, batch.num_rows, 512):
+                part = batch.slice(k, 512)
+                ids = pieces.ids([x or "" for x in part.column(1).to_pylist()])
+                lists = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, ids)]), pa.int32()), pa.array(np.concatenate(ids)))
+                yield pa.RecordBatch.from_arrays([part.column(0), lists, pa.array([pieces.decode(x.tolist()) for x in ids], pa.string())], ["row", "ids", "decoded"])
 
     rows = df.select(F.struct(*[df[f"`{c}`"] for c in keep or df.columns]).alias("row"), F.col(f"`{text_col}`").alias("text"))
     return rows.mapInArrow(run, T.StructType([T.StructField("row", rows.schema["row"].dataType), T.StructField("ids", T.ArrayType(T.IntegerType())), T.StructField("decoded", T.StringType())]))
