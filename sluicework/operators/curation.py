@@ -88,3 +88,49 @@ def graded(base: Column, text: Column, rules: list[tuple[str, str, int]]) -> Col
 
 def keyed(names: DataFrame, name: str) -> DataFrame:
     return names.withColumn("key", key_form(F.col(name)))
+
+
+def topic_match(rows: DataFrame, topic: str, q: str, alias: DataFrame) -> DataFrame:
+    """Rows whose topic contains q, or some name of a node that has a name containing q, whatever its case.
+
+    ``alias`` is (node, alias, ...); the comparison runs over distinct topics, which then meet the rows by equality.
+    """
+    names = alias.select("node", F.col("alias").alias("name")).union(alias.select("node", "node")).distinct()
+    hit = names.where(F.lower("name").contains(q.lower())).select("node").distinct()
+    near = names.join(hit, "node").select("name").distinct()
+    topics = rows.select(topic).distinct()
+    met = topics.join(near, F.col(topic).contains(F.col("name")), "left_semi").union(topics.where(F.col(topic).contains(q))).distinct()
+    return rows.join(met, topic, "left_semi")
+
+
+def resolve_nodes(rows: DataFrame, category: str, topic: str, alias: DataFrame) -> DataFrame:
+    """rows with the node of a topic: of its own category, else of the first other in the registry's order; null if unknown."""
+    known = alias.select(F.col("alias").alias(topic), F.struct("node", "category").alias("_to"), "ord", F.col("category").alias("_c"))
+    met = rows.join(known, topic, "left")
+    best = F.min_by("_to", F.struct((F.col("_c") != F.col(category)).alias("far"), "ord"))
+    return met.groupBy(*rows.columns).agg(best.alias("r")).select(*rows.columns, F.col("r.node").alias("node"), F.col("r.category").alias("category"))
+
+
+def marked(marks: list[tuple[str, DataFrame]], key: str) -> DataFrame:
+    """(key, mark): the first of several marks, each a table of keys, that a key has."""
+    rows = reduce(DataFrame.unionByName, [keys.select(key, F.lit(name).alias("mark"), F.lit(k).alias("p")) for k, (name, keys) in enumerate(marks)])
+    return rows.groupBy(key).agg(F.min_by("mark", "p").alias("mark"))
+
+
+def keyword_tags(rows: DataFrame, text: str, category: str, rules: list[tuple[str, str, str]]) -> DataFrame:
+    """rows with a tag, once for each rule (category, pattern, tag) of its category that its text matches."""
+    tags = F.array(*[F.when((F.col(category) == c) & F.col(text).rlike(p), tag) for c, p, tag in rules])
+    return rows.withColumn("tag", F.explode(F.array_compact(tags)))
+
+
+def contract_diff(want: DataFrame, got: DataFrame, key: str, expected: str, actual: str) -> DataFrame:
+    """Keys of either side whose values differ, a missing one being null."""
+    return want.join(got, key, "full").where(~F.col(expected).eqNullSafe(F.col(actual)))
+
+
+def checked(checks: list[tuple[str, DataFrame, Column]]) -> DataFrame:
+    """(id, ok) of checks, each a condition on a table's aggregates; one that is null has failed. Ids must differ."""
+    names = [n for n, _, _ in checks]
+    if len(set(names)) < len(names):
+        raise ValueError("a check's id is used twice")
+    return reduce(DataFrame.unionByName, [df.agg(F.coalesce(rule, F.lit(False)).alias("ok")).select(F.lit(n).alias("id"), "ok") for n, df, rule in checks])

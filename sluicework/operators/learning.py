@@ -100,3 +100,33 @@ def gap_queue(table: DataFrame, depth: DataFrame, problems: DataFrame, seen: Dat
     queue = table.where("status in ('weak', 'untested')").join(depth, "node", "left").join(chosen, ["category", "node"], "left")
     order = W.orderBy("category", F.when(F.col("status") == "weak", 0).otherwise(1), F.coalesce("depth", F.lit(0)), "node")
     return queue.select("category", "node", "status", F.coalesce("depth", F.lit(0)).alias("depth"), F.coalesce("picks", F.lit("")).alias("picks"), F.row_number().over(order).cast("long").alias("rank"))
+
+
+def blocked_by(table: DataFrame, edges: DataFrame) -> DataFrame:
+    """Weak or untested nodes with their direct prerequisites (src of an edge) that are weak or untested too, sorted."""
+    gaps = table.where("status in ('weak', 'untested')").select("category", "node")
+    need = gaps.select("category", F.col("node").alias("src"))
+    met = gaps.join(edges.select("src", F.col("dst").alias("node")), "node").join(need, ["category", "src"])
+    return met.groupBy("category", "node").agg(F.array_join(F.array_sort(F.collect_list("src")), ",").alias("blocked_by"))
+
+
+def gap_ledger(table: DataFrame, bank: DataFrame, candidates: DataFrame) -> DataFrame:
+    """Every node with its status and its numbers of problems in the bank and among candidates."""
+    out = table.select("category", "node", "status")
+    for name, rows in (("bank", bank), ("cand", candidates)):
+        out = out.join(rows.groupBy("category", "node").agg(F.count("*").alias(name)), ["category", "node"], "left").withColumn(name, F.coalesce(name, F.lit(0).cast("long")))
+    return out
+
+
+def plan_remaining(plan: DataFrame, attempts: DataFrame, today: str) -> DataFrame:
+    """Items of a plan (id, place) not attempted since Monday of ``today``'s week and not graduated, with their mode."""
+    monday = F.date_trunc("week", F.lit(today).cast("date")).cast("date")
+    past = attempts.groupBy("id").agg(F.bool_or(F.col("day") >= monday).alias("done"))
+    open_items = plan.join(past, "id", "left").where(~F.coalesce("done", F.lit(False)))
+    return open_items.join(graduated(attempts, "id"), "id", "left_anti").withColumn("mode", F.when(F.col("done").isNull(), "fresh").otherwise("review"))
+
+
+def plan_yield(problems: DataFrame, profiles: DataFrame) -> DataFrame:
+    """What each target profile (target, difficulty, want) would get: want, got, and whether that is all."""
+    stock = profiles.join(problems.groupBy("difficulty").agg(F.count("*").alias("n")), "difficulty", "left").withColumn("n", F.coalesce("n", F.lit(0).cast("long")))
+    return stock.groupBy("target").agg(F.sum("want").alias("want"), F.sum(F.least("want", "n")).alias("got"), F.bool_and(F.col("want") <= F.col("n")).alias("full_yield"))

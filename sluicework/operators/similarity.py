@@ -76,3 +76,24 @@ def depth(edges: DataFrame, most: int = 50) -> DataFrame:
     roots.createOrReplaceTempView("sluicework_roots")
     walked = spark.sql(f"WITH RECURSIVE w(node, depth) AS (SELECT node, 0 FROM sluicework_roots UNION ALL SELECT e.dst, w.depth + 1 FROM w JOIN sluicework_edges e ON e.src = w.node WHERE w.depth < {most}) SELECT node, max(depth) AS depth FROM w GROUP BY node")
     return walked
+
+
+def symmetric(edges: DataFrame) -> DataFrame:
+    """Each edge from both ends: node, other, side (out or in)."""
+    out = edges.select(F.col("src").alias("node"), F.col("dst").alias("other"), F.lit("out").alias("side"))
+    return out.union(edges.select(F.col("dst").alias("node"), F.col("src").alias("other"), F.lit("in").alias("side")))
+
+
+def cycle_nodes(edges: DataFrame) -> DataFrame:
+    """(node, kind): nodes left after peeling those without predecessors and those without successors, and self-loops.
+
+    Each round of peeling is written, so that the plan does not grow.
+    """
+    loops = edges.where("src = dst").select(F.col("src").alias("node"), F.lit("loop").alias("kind")).distinct()
+    left = written(edges.where("src <> dst").select("src", "dst").distinct(), "peel")
+    n, before = left.count(), -1
+    while n != before:
+        inner = left.select(F.col("dst").alias("src")).intersect(left.select("src"))
+        left = written(left.join(inner, "src", "left_semi").join(inner.withColumnRenamed("src", "dst"), "dst", "left_semi").select("src", "dst"), "peel")
+        n, before = left.count(), n
+    return left.select(F.col("src").alias("node"), F.lit("cycle").alias("kind")).distinct().union(loops)

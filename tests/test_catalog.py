@@ -7,7 +7,7 @@ import duckdb
 import pandas as pd
 import pytest
 
-from sluicework.plans import catalog
+from sluicework.plans import catalog, quality  # noqa: F401
 
 DATA = "/root/testdata/sf0.001"
 
