@@ -31,6 +31,11 @@ PHRASES = {
 }
 CHARS = {"es": "ñ¿¡", "fr": "œæëïÿ", "de": "äöüß"}
 TINY = ["find", "let", "prove"]
+# Marks of Chinese, Russian, Mongolian and Macedonian.
+CHINESE = "所有 满足 方程 正整数 证明 条件 每个 答案 设 其中 存在 性质 下列 所得 必定"
+RUSSIAN = "все данное для докажите каждое которых натуральные найдите положительных решения свойством существует указанным уравнение целое целых чисел число что"
+MONGOLIAN = "ав бүх бүхэл гэж натурал нотол олго ол тоо тоонууд шийд шийдийг эерэг"
+MACEDONIAN = "број броеви бројот го докажи докажете за кои најди најдете позитивни сите цели дека земе земи"
 ACCENTED, PLAIN = "áàâäãåçéèêëíìîïñóòôöõúùûüýÿ", "aaaaaaceeeeiiiinooooouuuuyy"
 
 # Patterns that are not prose, in the order in which they are removed.
@@ -41,7 +46,8 @@ NOISE = [
 MATH = r"(?s)\$\$.*?\$\$|\\\[.*?\\\]|\$[^$\n]+\$|\\\(.*?\\\)"
 IMAGE = r"!\[[^\]]*\]\([^\n)]*\)"
 CODE = r"(?s)```.*?```"
-META = [r"(?i)\bas an ai\b", r"(?i)\bhere is the translation\b", r"(?i)\bi (?:cannot|can't) translate\b"]
+# What a model says about itself or its work.
+META = [r"以下(?:内容)?是(?:翻译|译文)", r"(?i)作为(?:一个)?\s*AI", r"(?i)\bhere (?:is|are) the translation\b", r"(?i)\bas an AI\b", r"(?i)\bI (?:have )?translated\b"]
 WHOLE, ANSWER = "文档", "最终答案"
 
 
@@ -57,6 +63,12 @@ def folded(text: Column) -> Column:
     return F.replace(F.translate(F.lower(text), ACCENTED, PLAIN), F.lit("ß"), F.lit("ss"))
 
 
+def capped_hits(known: str) -> tuple[Column, Column]:
+    """_words that are among the known ones, and their number, each counted up to three times."""
+    hits = F.filter("_words", lambda w: w.isin(*known.split()))
+    return hits, F.aggregate(F.array_distinct(hits), F.lit(0), lambda s, w: s + F.least(F.lit(3), F.size(F.filter(hits, lambda x: x == w))))
+
+
 def language_scores(df: DataFrame, text: str, words: dict[str, str] = WORDS, phrases: dict[str, list[str]] = PHRASES, chars: dict[str, str] = CHARS) -> DataFrame:
     """df with _clean, _words and _scores: for each language struct(score, distinct, lang).
 
@@ -64,8 +76,7 @@ def language_scores(df: DataFrame, text: str, words: dict[str, str] = WORDS, phr
     """
 
     def score(lang: str) -> Column:
-        hits = F.filter("_words", lambda w: w.isin(*words[lang].split()))
-        capped = F.aggregate(F.array_distinct(hits), F.lit(0), lambda s, w: s + F.least(F.lit(3), F.size(F.filter(hits, lambda x: x == w))))
+        hits, capped = capped_hits(words[lang])
         extra = [2 * F.regexp_count("_folded", F.lit(re.escape(folded_plain(p)))) for p in phrases.get(lang, [])]
         if lang in chars:
             extra.append(2 * F.regexp_count(F.lower("_clean"), F.lit(f"[{chars[lang]}]")))
@@ -83,7 +94,7 @@ def folded_plain(text: str) -> str:
 def detect_language(df: DataFrame, text: str, declared: str | None = None) -> DataFrame:
     """df with lang and conf (high, medium, low); und where the text does not say.
 
-    Scripts come first (kana or Hangul: und; enough Han, Greek or Cyrillic: zh, el, ru), then Latin function words with a
+    Scripts come first (kana or Hangul: und; Han, Greek or Cyrillic: zh, el, mn, mk or ru by their marks, else und), then Latin function words with a
     lead of two over the next language, then what the source declares: agreement raises confidence, conflict lowers it
     and never decides for English. A null or empty text is und with low confidence.
     """
@@ -104,12 +115,20 @@ def detect_language(df: DataFrame, text: str, declared: str | None = None) -> Da
         .when((F.col("_best.score") >= 7) & (F.col("_margin") >= 4), pair(best, "high"))
         .otherwise(pair(best, "medium"))
     )
-    greek = F.regexp_extract_all("_clean", F.lit(r"([\x{370}-\x{3ff}]{2,})"), F.lit(1))
+    greek = F.regexp_extract_all("_clean", F.lit(r"([\x{370}-\x{3ff}\x{1f00}-\x{1fff}]{2,})"), F.lit(1))
+    han, cyrillic = count(r"\p{IsHan}"), count(r"[\x{400}-\x{52f}]")
+    marks = sum((F.col("_clean").contains(m).cast("int") for m in CHINESE.split()), F.lit(0))
+    slavic = (
+        F.when((capped_hits(MONGOLIAN)[1] >= 2) & F.col("_clean").rlike("[ӨөҮү]"), pair("mn", "high"))
+        .when((capped_hits(MACEDONIAN)[1] >= 2) & F.col("_clean").rlike("[ЃѓЅѕЌќ]"), pair("mk", "high"))
+        .when(capped_hits(RUSSIAN)[1] >= 3, pair("ru", "high"))
+        .otherwise(pair("und", "low"))
+    )
     found = (
         F.when((count(r"[\x{3040}-\x{30ff}]") >= 2) | (count(r"[\x{ac00}-\x{d7af}]") >= 2), pair("und", "low"))
-        .when((count(r"\p{IsHan}") >= 4) & (count(r"\p{IsHan}") >= 2 * count(r"\p{IsCyrillic}")), pair("zh", "high"))
+        .when((han >= 4) & (han >= 2 * cyrillic), F.when(marks >= 2, pair("zh", "high")).otherwise(pair("und", "low")))
         .when((F.size(greek) >= 2) & (F.length(F.array_join(greek, "")) >= 6), pair("el", "high"))
-        .when(count(r"\p{IsCyrillic}") >= 6, pair("ru", "high"))
+        .when((cyrillic >= 6) & (cyrillic >= 2 * han), slavic)
         .otherwise(latin)
     )
     df = df.withColumn("_found", F.when(F.col("_letters") < 4, pair("und", "low")).otherwise(found))
@@ -180,7 +199,7 @@ def translation_findings(pairs: DataFrame, source: str, target: str, mode: str =
         F.transform(bare, lambda s: found("empty_translation", s["heading"], F.lit(""), F.lit(""))),
         F.transform(same, lambda z: found("untranslated", z["x"]["heading"], z["x"]["body"], z["y"]["body"])) if mode == "translated" else when(F.lit(False), found("", F.lit(""), F.lit(""), F.lit(""))),
         when(F.coalesce(symbols & (answer(F.col("_a")) != answer(F.col("_b"))), F.lit(False)), found("final_answer_mismatch", F.lit(ANSWER), answer(F.col("_a")), answer(F.col("_b")))),
-        when(stripped(F.col("_t")).rlike(r"(?s)\A```.*```\z"), found("extra_code_fence", F.lit(WHOLE), F.col("_s"), F.col("_t"))),
+        when(stripped(F.col("_t")).rlike(r"(?s)\A(```|~~~)[^\n]*\n.*\n\1[ \t]*\z"), found("extra_code_fence", F.lit(WHOLE), F.col("_s"), F.col("_t"))),
         *[F.transform(_spans(F.col("_b"), p), lambda m: found("model_meta_leak", m["section"], F.lit(""), m["text"])) for p in META],
     )
     df = df.withColumn("_f", F.when(empty, F.array(found("empty_translation", F.lit(WHOLE), F.col("_s"), F.lit("")))).otherwise(content))

@@ -82,10 +82,12 @@ def translation_findings(t):
     return quality.translation_findings(_turns(t), "before", "text")
 
 
-@query("WITH x AS (SELECT conv_id, turn, lag(text) OVER (PARTITION BY conv_id ORDER BY turn) AS before, text FROM conversations), y AS (SELECT conv_id, turn, list_filter(list_distinct(regexp_extract_all(before, '\\d{2,}')), lambda n: NOT list_contains(regexp_extract_all(text, '\\d{2,}'), n)) AS m FROM x WHERE before IS NOT NULL) SELECT conv_id, turn, array_to_string(list_sort(m), ',') AS missing FROM y WHERE len(m) > 0")
+@query("WITH y AS (SELECT a.doc_id, list_filter(list_distinct(regexp_extract_all(a.text, '\\d{2,}')), lambda n: NOT list_contains(regexp_extract_all(b.text, '\\d{2,}'), n)) AS m FROM documents a JOIN documents b ON b.doc_id = a.doc_id + 1) SELECT doc_id, array_to_string(list_sort(m), ',') AS missing FROM y WHERE len(m) > 0")
 def anchor_missing(t):
-    rows = _turns(t).select("conv_id", "turn", quality.missing_anchors(F.col("before"), F.col("text")).alias("m"))
-    return rows.where(F.size("m") > 0).select("conv_id", "turn", F.array_join("m", ",").alias("missing"))
+    docs = t("documents").select("doc_id", "text")
+    rows = docs.join(docs.select((F.col("doc_id") - 1).alias("doc_id"), F.col("text").alias("after")), "doc_id")
+    found = rows.select("doc_id", quality.missing_anchors(F.col("text"), F.col("after")).alias("m"))
+    return found.where(F.size("m") > 0).select("doc_id", F.array_join("m", ",").alias("missing"))
 
 
 NORM = "regexp_replace(lower({c}), '\\s+', '', 'g')"
@@ -198,12 +200,12 @@ def gap_ledger(t):
     return learning.gap_ledger(learning.node_table(_evidence(t), _problems(t)), bank, _problems(t))
 
 
-PLAN = 40
+PLAN = (80, 120)
 
 
-@query(f"WITH {ATTEMPT}, h AS (SELECT id, bool_or(day >= date_trunc('week', DATE '{TODAY}')) AS done FROM attempt GROUP BY id), x AS (SELECT id, result, lag(result) OVER (PARTITION BY id ORDER BY day, seq) AS prior FROM attempt), g AS (SELECT DISTINCT id FROM x WHERE result = 'independent_ok' AND prior = 'independent_ok') SELECT p.range AS place, p.range AS id, CASE WHEN h.id IS NULL THEN 'fresh' ELSE 'review' END AS mode FROM range({PLAN}) p LEFT JOIN h ON h.id = p.range WHERE NOT coalesce(h.done, false) AND p.range NOT IN (SELECT id FROM g)")
+@query(f"WITH {ATTEMPT}, h AS (SELECT id, bool_or(day >= date_trunc('week', DATE '{TODAY}')) AS done FROM attempt GROUP BY id), x AS (SELECT id, result, lag(result) OVER (PARTITION BY id ORDER BY day, seq) AS prior FROM attempt), g AS (SELECT DISTINCT id FROM x WHERE result = 'independent_ok' AND prior = 'independent_ok') SELECT p.range AS place, p.range AS id, CASE WHEN h.id IS NULL THEN 'fresh' ELSE 'review' END AS mode FROM range({PLAN[0]}, {PLAN[1]}) p LEFT JOIN h ON h.id = p.range WHERE NOT coalesce(h.done, false) AND p.range NOT IN (SELECT id FROM g)")
 def plan_remaining(t):
-    plan = t("region").sparkSession.range(PLAN).select("id", F.col("id").alias("place"))
+    plan = t("region").sparkSession.range(*PLAN).select("id", F.col("id").alias("place"))
     return learning.plan_remaining(plan, _attempts(t), TODAY).select("place", "id", "mode")
 
 

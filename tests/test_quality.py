@@ -12,7 +12,7 @@ from sluicework.streaming import sessions
     ("text", "said", "want"),
     [
         ("Find all positive integers n such that the sum is even.", None, ("en", "high")), ("Find $x$.", None, ("en", "high")), ("", None, ("und", "low")), (None, "fr", ("und", "low")),
-        ("Montrer que les nombres entiers sont dans un ensemble pour tous", None, ("fr", "high")), ("Найдите все целые числа", None, ("ru", "high")), ("证明所有正整数满足方程", None, ("zh", "high")),
+        ("Montrer que les nombres entiers sont dans un ensemble pour tous", None, ("fr", "high")), ("Найдите все целые числа", None, ("und", "low")), ("Найдите все пары целых чисел", None, ("ru", "high")), ("Најди ги сите цели броеви, ќе", None, ("mk", "high")), ("бүх бүхэл тоо ол", None, ("mn", "high")), ("日本語のひらがな", None, ("und", "low")), ("漢字漢字漢字", None, ("und", "low")), ("证明所有正整数满足方程", None, ("zh", "high")),
         ("Find all positive integers n such that the sum is even.", "de", ("de", "low")), ("Find all positive integers n such that the sum is even.", "en", ("en", "high")),
         ("xyzzy qwerty plugh frobnicate", "fr", ("fr", "low")), ("xyzzy qwerty plugh frobnicate", "en", ("und", "low")), ("αβγ δεζη και", None, ("el", "high")),
     ],
