@@ -112,3 +112,17 @@ def test_cycles_and_checks(spark):
     assert {tuple(r) for r in curation.checked([("n", one, F.expr("count(*) = 3")), ("null", one.limit(0), F.expr("max(id) > 1"))]).collect()} == {("n", True), ("null", False)}
     with pytest.raises(ValueError):
         curation.checked([("n", one, F.lit(True)), ("n", one, F.lit(True))])
+
+
+def test_formula_overlap(spark):
+    """Against plain Python over the smallest documents."""
+    import re
+
+    from sluicework.plans import catalog
+
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text").collect()
+    sets = {r.doc_id: {re.sub(r"\s+", "", f) for f in re.findall(r"\$([^$\n]+)\$", r.text)} for r in docs if r.text}
+    sets = {k: {f for f in v if len(f) >= 3} for k, v in sets.items()}
+    want = {(a, b): len(x & y) / min(len(x), len(y)) for a, x in sets.items() for b, y in sets.items() if a < b and x & y}
+    got = {(r.left, r.right): r.overlap for r in catalog.QUERIES["formula_overlap"](spark, "/root/testdata/sf0.001").collect()}
+    assert got == want
