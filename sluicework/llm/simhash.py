@@ -197,9 +197,12 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     return marked.join(written(known, "simhash-groups"), "fp")
 
 
-def one_of_each(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """df with one row of each group of near-duplicates: that of the smallest id (null last; of rows that repeat it, any one)."""
-    found = near_duplicates(df, id_col, text_col, keep=True)
+def one_of_each(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", found: DataFrame | None = None) -> DataFrame:
+    """df with one row of each group of near-duplicates: that of the smallest id (null last; of rows that repeat it, any one).
+
+    found has the groups (row, uid, id, group) of df's rows; near_duplicates gives them unless they are passed.
+    """
+    found = near_duplicates(df, id_col, text_col, keep=True) if found is None else found
     kept = found.groupBy("group").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "uid")).alias("first")).select("first.uid")
     kept = found.select("uid", "row").join(written(kept, "simhash-kept"), "uid", "left_semi")
     return kept.select(*[F.col(f"row.`{c}`").alias(c) for c in df.columns])

@@ -12,7 +12,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from sluicework.llm import hnsw, html_blocks, mixing, order_minhash, pieces, repeats, secrets, simhash, surrogates, toxicity
+from sluicework.llm import hnsw, html_blocks, mixing, order_minhash, pieces, repeats, secrets, shingles, simhash, surrogates, toxicity
 
 SCHEMA = "doc_id long, text string, source string, lang string, n_chars long, row string, id string, size string"
 
@@ -92,6 +92,31 @@ def test_simhash(docs, none):
     assert one.columns == docs.columns and one.count() == len({r.group for r in got})
 
 
+def test_near_copies_leave_one(spark):
+    rng = random.Random(9)
+    texts = []
+    for _ in range(25):
+        base = [f"w{rng.randrange(5000)}" for _ in range(rng.choice([60, 120, 400]))]
+        for changes in (0, 0, 1, 1, 2, 3, 5, 8):
+            own = list(base)
+            for k in rng.sample(range(len(own)), changes):
+                own[k] = "changed"
+            texts.append(" ".join(own))
+    texts += ["a b", "A  b", "b a", None, " "]
+    rows = list(enumerate(texts))
+    sets = [{tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if (w := (t or "").lower().split()) else set() for t in texts]
+    group = list(range(len(texts)))
+    for i in range(len(texts)):
+        for j in range(i):
+            if sets[i] == sets[j] or len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]) > 0:
+                a, b = group[i], group[j]
+                group = [min(a, b) if g in (a, b) else g for g in group]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.id: r.component for r in shingles.near_duplicates(df).collect()}
+    assert got == dict(enumerate(group))
+    assert sorted(r.doc_id for r in corpus_pipeline.simhash_stage(spark, df, "").collect()) == sorted(set(group))
+
+
 def test_repeats(spark, docs, none):
     rows = [(i if i is not None else 1 << 62, (t or "").encode()) for i, t, *_ in _rows()]
     first = {}
