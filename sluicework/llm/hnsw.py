@@ -208,14 +208,14 @@ def nearest(df: DataFrame, is_query, k: int = NEAREST, id_col: str = "vec_id", v
     """
     v = F.col(f"`{vector_col}`").cast("array<float>")
     good = v.isNotNull() & ~F.exists(v, lambda c: c.isNull() | F.isnan(c) | (F.abs(c) == float("inf"))) & F.exists(v, lambda c: c != 0)
-    rows = df.select(F.col(f"`{id_col}`").cast("long").alias("id"), v.alias("vector")).where(good & F.col("id").isNotNull())
+    rows = df.select(F.col(f"`{id_col}`").cast("long").alias("id"), v.alias("vector")).where(good & F.col("id").isNotNull()).distinct()
     few = rows.withColumn("n", F.row_number().over(W.partitionBy("vector").orderBy("id"))).where(F.col("n") <= k + 1)
     distinct = few.groupBy("vector").agg(F.sort_array(F.collect_set("id")).alias("ids"))
     distinct = written(distinct.select(F.size("vector").alias("dim"), F.monotonically_increasing_id().alias("uid"), "vector", "ids"), "hnsw-vectors")
     shards = max(1, math.ceil(distinct.count() / shard))
     dealt = distinct.select("dim", F.pmod(F.xxhash64("vector"), F.lit(shards)).cast("int").alias("shard"), "ids", "vector")
     index = written(dealt.groupBy("dim", "shard").applyInArrow(_index, "dim int, shard int, vectors binary, ids binary, sizes binary, members binary, edges binary, levels binary"), "hnsw-index")
-    asked = rows.where(is_query(F.col("id"))).distinct().join(distinct.select("uid", "vector"), "vector").select("uid", F.col("id").alias("query_id"))
+    asked = rows.where(is_query(F.col("id"))).join(distinct.select("uid", "vector"), "vector").select("uid", F.col("id").alias("query_id"))
     asked = written(asked, "hnsw-queries")
     wanted = distinct.join(asked.select("uid").distinct(), "uid", "left_semi").select("dim", "uid", "vector")
     blocks = written(wanted.mapInArrow(_blocks, "dim int, uids binary, queries binary"), "hnsw-blocks")

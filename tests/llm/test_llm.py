@@ -235,6 +235,12 @@ def test_hnsw(spark):
     assert hnsw.nearest(df.limit(0), lambda i: i % 20 == 0).count() == 0
 
 
+def test_hnsw_repeated_rows(spark):
+    rows = [(k, [1.0, 2.0, 0.5]) for k in range(40) for _ in range(3)] + [(100, [0.1, 0.1, 0.1])]
+    got = hnsw.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<float>"), lambda i: i == 0).collect()
+    assert sorted((r.rank, r.vec_id) for r in got) == [(k, k) for k in range(1, 21)]
+
+
 def test_pipeline_stages(spark, docs, tmp_path):
     spark.createDataFrame([(1, 1, 0), (2, 1, 1)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
     now = docs
