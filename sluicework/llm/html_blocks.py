@@ -28,10 +28,10 @@ TOGETHER = 16384
 
 # HTML's void, block, raw-text and implied-end elements.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-BLOCK = frozenset("html head body title p div h1 h2 h3 h4 h5 h6 li ul ol dl dt dd table caption thead tbody tfoot tr td th article section header footer nav aside main form fieldset legend blockquote pre figure figcaption address details summary hr button select option label dialog menu template noscript".split())
-RAW = frozenset("script style iframe noembed noframes xmp svg math template object canvas".split())
+BLOCK = frozenset("html head body title p div h1 h2 h3 h4 h5 h6 li ul ol dl dt dd table caption thead tbody tfoot tr td th article section header footer nav aside main form fieldset legend blockquote pre figure figcaption address details summary hr button select option label dialog menu template noscript xmp".split())
+RAW = frozenset("script style iframe noembed noframes".split())
 CLOSES = {"p": {"p"}, "li": {"li", "p"}, "dt": {"dt", "dd", "p"}, "dd": {"dt", "dd", "p"}, "tr": {"tr", "td", "th", "p"}, "td": {"td", "th", "p"}, "th": {"td", "th", "p"}, "option": {"option"}}
-ENDS_P = frozenset("address article aside blockquote details div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul".split())
+ENDS_P = frozenset("address article aside blockquote details div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul xmp".split())
 SCOPES = frozenset("ul ol dl table div article section body td th main aside nav header footer form blockquote button".split())
 
 _TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([A-Za-z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*)>""", re.S)

@@ -217,6 +217,13 @@ def test_html(spark):
     assert right / n > 0.98
 
 
+def test_html_keeps_text_of_all_but_scripts():
+    for tag in ("svg", "math", "xmp", "object", "canvas", "template"):
+        for end in (f"</{tag}>", ""):
+            page = f"<article><p>before</p><div><{tag}>inside{end}</div><script>not()</script><style>nor</style><p>after</p></article>"
+            assert [t for _, t, _ in html_blocks.blocks(page)] == ["before", "inside", "after"], page
+
+
 def test_hnsw(spark):
     rng = np.random.default_rng(1)
     x = rng.normal(size=(1500, 16)).astype(np.float32)
