@@ -23,13 +23,23 @@ ROUNDS = 64
 MALE = "Mr|Herr|Monsieur|Señor|Sr|господин"
 FEMALE = "Mrs|Ms|Miss|Frau|Madame|Mme|Señora|Sra|госпожа"
 OCTET = r"(?:25[0-5]|2[0-4]\d|1\d\d|\d?\d)"
+# Layouts of phone numbers: two last groups of 3 or 4; groups by twos after a country's code, or 0 and a digit, or
+# three digits; a country's code with an area and one last group, or all without separators; ten or eleven bare digits.
+PHONES = [
+    r"(?:\+\d{1,3}[ .-]?)?(?:\(\d{2,4}\)|\d{2,4})[ .-]?\d{3,4}[ .-]\d{3,4}",
+    r"\+\d{1,3}[ .-]?(?:\(0\) ?)?\d{1,3}(?:[ .-]\d{2}){3,5}",
+    r"0\d(?:[ .-]?\d{2}){4}",
+    r"[6-9]\d{2}(?: \d{2}){3}",
+    r"\+(?=(?:[ .()-]{0,2}\d){7,15}(?!\d))\d{1,3}[ .-]?(?:\(0\) ?)?(?:\(\d{1,5}\)|\d{1,5})[ .-]?\d{4,8}",
+    r"(?:[2-9]\d{9}|0\d{9,10})(?!\.\d)",
+]
 KINDS = {
     "email": r"[\p{L}\p{N}._%+-]{1,64}+@[A-Za-z0-9-]{1,63}(?:\.[A-Za-z0-9-]{1,63}){0,8}\.[A-Za-z]{2,24}(?![A-Za-z0-9])",
     "iban": r"[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?(?![\p{L}\p{N}])",
-    "card": r"\d{4}[ -]?\d{4}[ -]?\d{4}[ -]?\d{1,7}(?![\p{L}\p{N}])",
+    "card": r"(?:\d{4}[ -]?\d{6}[ -]?\d{5}|\d{4}[ -]?\d{4}[ -]?\d{4}[ -]?\d{1,7})(?![\p{L}\p{N}])",
     "ssn": r"\d{3}-\d{2}-\d{4}(?![\p{L}\p{N}-])",
     "ip": rf"(?:{OCTET}\.){{3}}{OCTET}(?![\p{{L}}\p{{N}}])(?!\.\d)",
-    "phone": r"(?:\+\d{1,3}[ .-]?)?(?:\(\d{2,4}\)|\d{2,4})[ .-]?\d{3,4}[ .-]\d{3,4}(?![\p{L}\p{N}])",
+    "phone": rf"(?:{'|'.join(PHONES)})(?![\p{{L}}\p{{N}}])",
     "name": rf"(?:{MALE}|{FEMALE}|Dr|Prof)\.? \p{{Lu}}[\p{{L}}'’-]+(?: \p{{Lu}}[\p{{L}}'’-]+)?",
 }
 ANY = r"(?<![\p{L}\p{N}_+.%@-])(?:" + "|".join(KINDS.values()) + ")|(?<=[^\\p{L}\\p{N}_+][.])(?:" + KINDS["name"] + ")"

@@ -173,6 +173,16 @@ def test_surrogates(spark, docs, none):
     assert len(made) == 600 == len({r.surrogate for r in made}) and not {r.surrogate for r in made} & {r.canonical for r in made}
 
 
+def test_surrogates_of_phone_and_card_layouts(spark):
+    layouts = ["+491701234567", "+49 170 1234567", "+34 612 34 56 78", "06 12 34 56 78", "612 34 56 78", "+33 6 12 34 56 78", "5551234567", "01701234567", "+44 (0)20 79460123", "+1 (017) 555-7713", "3782 822463 10005", "378282246310005", "4111 1111 1111 1111"]
+    rows = [(k, f"call {x}, now") for k, x in enumerate(layouts)] + [(50, "+49 170 1234567 4111 1111 1111 1111"), (51, "in 2024, 1700000000 or 3.1415926535 or 12 34 56")]
+    got = {r.doc_id: r for r in surrogates.replace(spark.createDataFrame(rows, "doc_id int, text string")).collect()}
+    for k, x in enumerate(layouts):
+        assert got[k].n_entities == 1 and x not in got[k].text and re.sub(r"\d", "0", got[k].text) == re.sub(r"\d", "0", rows[k][1]), x
+    squeezed = [re.sub(r"\D", "", got[k].text) for k in (0, 1)]
+    assert squeezed[0] == squeezed[1] and got[50].n_entities == 2 and got[50].text.startswith(got[1].text[5:-5]) and got[51].n_entities == 0
+
+
 def test_secrets(spark, docs, none):
     found, entries = secrets.scan(docs)
     got = {r.path: [(s.kind, s.start, s.end) for s in r.spans] for r in found.collect()}
