@@ -67,15 +67,22 @@ def exact_groups(rows: DataFrame, key: str, text: str) -> DataFrame:
     return groups.select(F.format_string("DG-%05d", F.row_number().over(W.orderBy("canonical"))).alias("group_id"), "canonical", "size")
 
 
-def depth(edges: DataFrame, most: int = 50) -> DataFrame:
-    """(node, depth): longest path from a root over (src, dst) edges of a small graph without cycles."""
-    nodes = edges.select(F.col("src").alias("node")).union(edges.select(F.col("dst").alias("node"))).distinct()
-    roots = nodes.join(edges.select(F.col("dst").alias("node")), "node", "left_anti")
-    spark = edges.sparkSession
-    edges.createOrReplaceTempView("sluicework_edges")
-    roots.createOrReplaceTempView("sluicework_roots")
-    walked = spark.sql(f"WITH RECURSIVE w(node, depth) AS (SELECT node, 0 FROM sluicework_roots UNION ALL SELECT e.dst, w.depth + 1 FROM w JOIN sluicework_edges e ON e.src = w.node WHERE w.depth < {most}) SELECT node, max(depth) AS depth FROM w GROUP BY node")
-    return walked
+def depth(edges: DataFrame) -> DataFrame:
+    """(node, depth): longest path from a root over (src, dst) edges of a graph without cycles.
+
+    Level by level, nodes without open predecessors are peeled; each round is written, so that the plan does not grow.
+    Nodes on or behind a cycle have no longest path and are left out.
+    """
+    left = written(edges.select("src", "dst").distinct(), "depth")
+    open_ = written(left.select(F.col("src").alias("node")).union(left.select(F.col("dst").alias("node"))).distinct(), "depth")
+    level, found = 0, None
+    while True:
+        now = written(open_.join(left.select(F.col("dst").alias("node")), "node", "left_anti").select("node", F.lit(level).alias("depth")), "depth")
+        found = now if found is None else found.union(now)
+        if now.isEmpty():
+            return found
+        left = written(left.join(now.select(F.col("node").alias("src")), "src", "left_anti"), "depth")
+        open_, level = written(open_.join(now, "node", "left_anti"), "depth"), level + 1
 
 
 def symmetric(edges: DataFrame) -> DataFrame:

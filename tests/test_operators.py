@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from sluicework.functions import text as T
-from sluicework.operators import curation, learning
+from sluicework.operators import curation, learning, similarity
 from sluicework.operators.components import connected_components
 from sluicework.sources import files
 
@@ -65,3 +65,8 @@ def test_files(spark, tmp_path):
     (tmp_path / "x.md").write_text("---\nid: 1\n---\nbody\n")
     r = files.front_matter(spark, str(tmp_path)).first()
     assert r["head"] == "id: 1" and r.body == "body\n"
+
+
+def test_depth_has_no_bound(spark):
+    chain = spark.createDataFrame([(k, k + 1) for k in range(53)] + [(0, 53), (60, 2)], "src int, dst int")
+    assert {r.node: r.depth for r in similarity.depth(chain).collect()} == {60: 0} | {k: k for k in range(54)}
