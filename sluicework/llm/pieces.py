@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+from array import array
 from collections.abc import Iterator
 from pathlib import Path
 
@@ -24,12 +25,18 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from sluicework.llm.batches import by_bytes
+
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
 #: Bytes, about, of words and their ids that a worker remembers, and pairs of pieces; then it starts anew.
-REMEMBERED, PAIRS = 1 << 27, 1 << 20
-#: Bytes of new words that are indexed together; a longer word is indexed by itself.
-TOGETHER = 1 << 18
+REMEMBERED, PAIRS = 3 << 25, 1 << 19
+#: Bytes of new words that are indexed together, and characters from which a word is indexed by itself and not remembered.
+TOGETHER, LONG = 1 << 17, 1 << 10
+#: Bytes of text that are encoded together.
+SLICE = 1 << 21
+#: Bytes of the UTF-8 character that begins with each byte.
+_CHARACTER = np.repeat(np.array([1, 2, 3, 4], np.int32), [0xC0, 0x20, 0x10, 0x10])
 _UNIT = re.compile(f"{SPACE}+[^{SPACE}]*|[^{SPACE}]+")
 
 
@@ -75,8 +82,8 @@ class Pieces:
         self.held = 0
         usable = sorted((p.encode(), i) for p, (_, i) in self.rank.items() if self.merged(p) == [p])
         self.width = max(len(p) for p, _ in usable)
-        self.piece_ids = np.array([i for _, i in usable])
-        self.piece_sizes = np.array([len(p) for p, _ in usable])
+        self.piece_ids = np.array([i for _, i in usable], np.int32)
+        self.piece_sizes = np.array([len(p) for p, _ in usable], np.int32)
         self.lower = np.array([p for p, _ in usable], f"S{self.width + 1}")
         self.upper = np.array([p + b"\xff" * (self.width + 1 - len(p)) for p, _ in usable], f"S{self.width + 1}")
 
@@ -101,46 +108,51 @@ class Pieces:
         for k, key in enumerate(each.tolist()):
             said = self.pairs.get(key)
             if said is None:
-                a, b = self._name(key >> 32), self._name(key & 0xFFFFFFFF)
-                said = self.pairs[key] = self.merged(a + b) == [a, b]
+                said = self.pairs[key] = self._apart(key >> 32, key & 0xFFFFFFFF)
             out[k] = said
         return out[back]
 
-    def _learn(self, words: list[str]) -> None:
-        """Ids of new words, by matching, sorting and relaxing."""
-        raw = [w.encode("utf-8", "surrogatepass") for w in words]
-        text = np.frombuffer(b"\xfe".join(raw) + b"\xfe" * (self.width + 2), np.uint8)
-        sizes = np.array([len(r) for r in raw])
-        starts = np.concatenate(([0], np.cumsum(sizes + 1)[:-1]))
-        n = int(starts[-1] + sizes[-1]) + 1
-        order = suffix_array(text[:n], self.width)
+    def _apart(self, left: int, right: int) -> bool:
+        a, b = self._name(left), self._name(right)
+        return self.merged(a + b) == [a, b]
+
+    def _edges(self, text: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(start, stop, token) of every occurrence of a piece in the first n bytes of text (the last of them a separator, with ``width`` + 1 more after it), and of every character without a piece."""
+        order = suffix_array(text[:n], self.width).astype(np.int32)
         windows = np.lib.stride_tricks.sliding_window_view(text, self.width + 1)[order]
-        keys = np.ascontiguousarray(windows).view(f"S{self.width + 1}").ravel()
-        low, high = np.searchsorted(keys, self.lower, "left"), np.searchsorted(keys, self.upper, "right")
+        keys = windows.view(f"S{self.width + 1}").ravel()
+        low, high = np.searchsorted(keys, self.lower, "left").astype(np.int32), np.searchsorted(keys, self.upper, "right").astype(np.int32)
+        del windows, keys
         many = high - low
-        at = order[np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many) + np.repeat(low, many)]
+        at = order[np.arange(many.sum(), dtype=np.int32) - np.repeat(np.cumsum(many, dtype=np.int32) - many, many) + np.repeat(low, many)]
         token, stop = np.repeat(self.piece_ids, many), at + np.repeat(self.piece_sizes, many)
-        # Characters without a piece are edges too.
-        heads = np.flatnonzero((text[:n] & 0xC0 != 0x80) & (text[:n] < 0xFE))
-        width = np.diff(np.append(heads, n)) - np.isin(np.append(heads[1:] - 1, n - 1), np.append(starts[1:] - 1, n - 1)).astype(int)
-        covered = np.zeros(n + 1, bool)
-        single = stop - at == np.where(text[at] < 0x80, 1, np.where(text[at] < 0xE0, 2, np.where(text[at] < 0xF0, 3, 4)))
-        covered[at[single]] = True
-        alone = ~covered[heads]
-        if alone.any():
-            extra = []
-            for h, w in zip(heads[alone].tolist(), width[alone].tolist(), strict=True):
+        heads = np.flatnonzero((text[:n] & 0xC0 != 0x80) & (text[:n] < 0xFE)).astype(np.int32)
+        covered = np.zeros(n, bool)
+        covered[at[stop - at == _CHARACTER[text[at]]]] = True
+        alone = heads[~covered[heads]]
+        if len(alone):
+            extra, width = [], _CHARACTER[text[alone]]
+            for h, w in zip(alone.tolist(), width.tolist(), strict=True):
                 c = text[h : h + w].tobytes().decode("utf-8", "surrogatepass")
                 if c not in self.loose:
                     self.loose[c] = len(self.names) + len(self.loose)
                     self.loose_names.append(c)
                 extra.append(self.loose[c])
-            at, stop, token = np.concatenate([at, heads[alone]]), np.concatenate([stop, heads[alone] + width[alone]]), np.concatenate([token, extra])
-        start_of = np.repeat(starts, sizes + 1)[: n] if len(starts) else np.empty(0, int)
-        place = stop - start_of[at]
-        by = np.argsort(place.astype(np.uint16) if n < 1 << 16 or place.max(initial=0) < 1 << 16 else place, kind="stable")
+            at, stop, token = np.concatenate([at, alone]), np.concatenate([stop, alone + width]), np.concatenate([token, np.array(extra, np.int32)])
+        return at, stop, token
+
+    def _learn(self, words: list[str]) -> None:
+        """Ids of new words, by matching, sorting and relaxing."""
+        raw = [w.encode("utf-8", "surrogatepass") for w in words]
+        text = np.frombuffer(b"\xfe".join(raw) + b"\xfe" * (self.width + 2), np.uint8)
+        sizes = np.array([len(r) for r in raw], np.int32)
+        starts = np.concatenate(([0], np.cumsum(sizes + 1)[:-1])).astype(np.int32)
+        n = int(starts[-1] + sizes[-1]) + 1
+        at, stop, token = self._edges(text, n)
+        place = (stop - np.repeat(starts, sizes + 1)[at]).astype(np.uint16)  # words are shorter than LONG
+        by = np.argsort(place, kind="stable")
         at, stop, token, place = at[by], stop[by], token[by], place[by]
-        last, back = np.full(n + 1, -1), np.full(n + 1, -1)
+        last, back = np.full(n + 1, -1, np.int32), np.full(n + 1, -1, np.int32)
         begins = np.zeros(n + 1, bool)
         begins[starts] = True
         cuts = np.append(np.flatnonzero(np.concatenate(([True], place[1:] != place[:-1]))), len(place))
@@ -151,7 +163,7 @@ class Pieces:
             good = first
             if ready.any():
                 good = first.copy()
-                good[ready] = self._agree(last[s[ready]] << 32 | t[ready])
+                good[ready] = self._agree(last[s[ready]].astype(np.int64) << 32 | t[ready])
             last[e[good]], back[e[good]] = t[good], s[good]
         # All paths back at once; read by place, the tokens that end on a path are the words' ids in order.
         ends = starts + sizes
@@ -162,14 +174,57 @@ class Pieces:
             step = step[~begins[step]]
         places = np.flatnonzero(on)
         cut = np.concatenate(([0], np.searchsorted(places, ends, "right"))).tolist()
-        found = last[places].astype(np.int32)
+        found = last[places]
         ids = found.tobytes()
         for w, a, b in zip(words, cut[:-1], cut[1:], strict=True):
             self.words[w] = ids[4 * a : 4 * b]
         for k in np.unique(np.searchsorted(cut, np.flatnonzero(found >= len(self.names)), "right") - 1).tolist():
-            self.words[words[k]] = np.array([i for t in found[cut[k] : cut[k + 1]].tolist() for i in self._spelt(t)], np.int32).tobytes()
+            self.words[words[k]] = self._spelt_out(found[cut[k] : cut[k + 1]])
         self.held += sum(len(r) for r in raw) + len(ids) + 250 * len(words)
 
+    def _long(self, word: str) -> bytes:
+        """Ids of one long word. It is indexed in segments that overlap by the longest piece; the pieces kept so far carry over, so memory is a few bytes a byte of the word."""
+        raw = word.encode("utf-8", "surrogatepass")
+        n = len(raw)
+        last = array("i", bytes(4 * (n + 1)))  # the piece kept that ends at each place, plus one
+        for a in range(0, n, TOGETHER):
+            b = a + TOGETHER + self.width
+            while b < n and raw[b] & 0xC0 == 0x80:
+                b += 1
+            part = raw[a:b]
+            at, stop, token = self._edges(np.frombuffer(part + b"\xfe" * (self.width + 3), np.uint8), len(part) + 1)
+            by = np.argsort(at, kind="stable")
+            by = by[: np.searchsorted(at[by], TOGETHER)]
+            pairs = self.pairs
+            for s, e, t in zip((at[by] + a).tolist(), (stop[by] + a).tolist(), token[by].tolist(), strict=True):
+                before = last[s] - 1
+                if before < 0:
+                    if s:
+                        continue
+                    last[e] = t + 1
+                    continue
+                key = before << 32 | t
+                apart = pairs.get(key)
+                if apart is None:
+                    apart = pairs[key] = self._apart(before, t)
+                if apart:
+                    last[e] = t + 1
+            if len(pairs) > PAIRS:
+                pairs.clear()
+        out, e = array("i"), n
+        while e:
+            t = last[e] - 1
+            out.append(t)
+            e -= len(self._name(t).encode("utf-8", "surrogatepass"))
+        found = np.frombuffer(out, np.int32)[::-1]
+        return self._spelt_out(found) if (found >= len(self.names)).any() else found.tobytes()
+
+    def _spelt_out(self, found: np.ndarray) -> bytes:
+        out = array("i")
+        for t in found.tolist():
+            out.extend(self._spelt(t))
+        return out.tobytes()
+
     def _spelt(self, token: int) -> list[int]:
         """The id of a piece, or those of a character that has none."""
         if token < len(self.names):
@@ -192,8 +247,12 @@ class Pieces:
         lines = [self.library.normalize(t) for t in texts]
         split = [_UNIT.findall(x) if self.by_word else [x] * bool(x) for x in lines]
         new = dict.fromkeys(w for words in split for w in words if w not in self.words)
-        part, size = [], 0
+        part, size, long = [], 0, []
         for w in new:
+            if len(w) >= LONG:
+                long.append(w)
+                self.words[w] = self._long(w)
+                continue
             part.append(w)
             size += len(w)
             if size >= TOGETHER:
@@ -202,7 +261,10 @@ class Pieces:
         if part:
             self._learn(part)
         known = self.words
-        return [np.frombuffer(b"".join(map(known.__getitem__, words)), np.int32) for words in split]
+        out = [np.frombuffer(b"".join(map(known.__getitem__, words)), np.int32) for words in split]
+        for w in long:
+            del known[w]
+        return out
 
     def decode(self, ids: list[int]) -> str:
         """The text of a list of ids: pieces with spaces for marks, runs of bytes as UTF-8, without the added first space."""
@@ -226,21 +288,23 @@ def loaded(model: bytes) -> Pieces:
 def encode(df: DataFrame, text_col: str = "text", model_path: str = MODEL, keep: list[str] | None = None) -> DataFrame:
     """``row`` (a struct of df's columns, or of ``keep``), ids and decoded (the text that the ids stand for) for every row.
 
-    A null text is encoded as an empty one, which has no ids. The driver reads the model and sends it along (half a
-    megabyte), so executors need no file. An empty table gives an empty result; repeated rows stay.
+    A null text is encoded as an empty one, which has no ids. Very long texts are encoded whole, a long run without
+    spaces segment by segment. Rows are taken by ``SLICE`` bytes of text, so memory doesn't grow with a batch. Columns of
+    any name can be kept, since they stay inside ``row``; leave the text out of ``keep`` where decoded replaces it, so
+    that it travels once. The driver reads the model and sends it along (half a megabyte), so executors need no file.
+    An empty table gives an empty result; ties and repeated rows stay, each with its ids.
     """
     model = Path(model_path).read_bytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pieces = loaded(model)
         for batch in batches:
-            for k in range(0, batch.num_rows, 512):
-                part = batch.slice(k, 512)
+            for part in by_bytes(batch, 1, SLICE):
                 ids = pieces.ids([x or "" for x in part.column(1).to_pylist()])
                 lists = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, ids)]), pa.int32()), pa.array(np.concatenate(ids)))
                 yield pa.RecordBatch.from_arrays([part.column(0), lists, pa.array([pieces.decode(x.tolist()) for x in ids], pa.string())], ["row", "ids", "decoded"])
 
-    rows = df.select(F.struct(*[df[f"`{c}`"] for c in keep or df.columns]).alias("row"), F.col(f"`{text_col}`").alias("text"))
+    rows = df.select(F.struct(*[df[f"`{c}`"] for c in (df.columns if keep is None else keep)]).alias("row"), F.col(f"`{text_col}`").alias("text"))
     return rows.mapInArrow(run, T.StructType([T.StructField("row", rows.schema["row"].dataType), T.StructField("ids", T.ArrayType(T.IntegerType())), T.StructField("decoded", T.StringType())]))
 
 

@@ -159,6 +159,21 @@ def test_pieces(docs, none):
     assert pieces.suffix_array(text, 16).tolist() == sorted(range(13), key=lambda k: text[k:].tobytes())
 
 
+def test_pieces_of_long_words(monkeypatch):
+    """Runs without spaces, longer than a segment and cut at every place, against the library."""
+    own = pieces.loaded(open(pieces.MODEL, "rb").read())
+    rng = random.Random(6)
+    monkeypatch.setattr(pieces, "TOGETHER", 2000)
+    letters = "".join(rng.choices("thequickbrownfox", k=50_000))
+    texts = [letters, "a" * 9000, "漢字かな交じり文を続ける" * 900, "".join(rng.choices("abcéñ漢字のを😀%#0a1\0", k=20_000)), f"so {'w' * 1023} {'v' * 1024} x", letters + " " + letters]
+    ids = own.encode(texts)
+    assert ids == own.library.encode(texts) and [own.decode(i) for i in ids] == texts
+    assert max(map(len, own.words)) < pieces.LONG
+    whole = "".join(rng.choices("漢字thequickbrownfox", k=5_000_000))
+    monkeypatch.undo()
+    assert own.encode([whole]) == own.library.encode([whole])
+
+
 def test_surrogates(spark, docs, none):
     rows = [(1, "Mail Für.60@x.example.com FÜR.60@x.example.com +1 (017) 555-7713 4111 1111 1111 1111 10.2.3.4", "e"), (2, "Frau Anna Schmidt, Herr Karl Weber", "n"), (3, None, "n"), (4, "no 3.14 v1.2.3.4.5", "n"), (5, "für.60@x.example.com", "e")]
     got = {r.doc_id: r for r in surrogates.replace(spark.createDataFrame(rows, "doc_id int, text string, n_entities string")).collect()}
