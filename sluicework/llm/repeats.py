@@ -1,26 +1,30 @@
-"""Removal of repeated passages by suffix order and longest previous factors.
-
-A byte goes if a string of ``LENGTH`` bytes that covers it also starts in a document with a smaller id. In the suffix
-order of the strings concerned, refined by document id, a suffix has an earlier match of at least ``LENGTH`` bytes
-exactly when its previous smaller value (the nearest suffix before it of a smaller document) shares that prefix; the
-next smaller value then adds nothing, since equal prefixes stand in the order of their documents.
-
-One suffix order over a whole corpus would not be distributable, so equal strings are first brought together:
-
-1. Texts that are equal as a whole are represented by the smallest id. The representatives are packed into blocks.
-2. Every string has a key, the least hash of its 20-byte substrings, which all its occurrences share; runs of
-   neighbouring strings have the same key. Each block sends its distinct keys to buckets, and learns which of them
-   other blocks have too.
-3. Runs whose keys recur are sent to their bucket, once per text and block: a run that an earlier document of its
-   block has too is settled there. A bucket sorts its strings' suffixes and answers with what has to go.
-4. Blocks cut the documents.
-
-What is sent in steps 2 and 3 is at most one row per block, however often a passage occurs.
+"""Removal of repeated passages by longest-previous-factor arrays.
+
+A byte goes if a string of ``LENGTH`` bytes that covers it also starts in a document with a smaller id. Such strings are
+found in suffix order: each suffix's nearest neighbours of a smaller document, the previous and the next one, and the
+longest prefix it shares with either is its longest previous factor. Where that reaches ``LENGTH`` the string goes, so
+later copies are removed and the first is kept.
+
+One suffix array of a whole corpus would not be distributable, so it is kept in parts that hold all suffixes which
+could share ``LENGTH`` bytes:
+
+1. Documents are packed into blocks as they are read. Every string has a key, the least hash of its 20-byte
+   substrings, which all its occurrences share; runs of neighbouring strings have the same key. Each block sends its
+   distinct keys to buckets, and learns by one bit for each which of them other blocks have too.
+2. The suffixes at which runs start are put in order in their block. A run whose factor spans all of it is settled; the
+   others of keys that no other block has are ordered string by string there and then.
+3. The runs left, of keys that recur, go to their bucket, where the same is done over all blocks. A key of more than
+   ``HOT`` blocks is dealt by its single strings instead of by itself, so that no bucket has it all.
+4. Blocks cut their documents.
+
+A run is sent at most once per block and different text, however often a passage occurs. There are as many buckets as
+the corpus has times ``BUCKET_BYTES``, so a bucket's size does not grow with it.
 """
 
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -35,8 +39,12 @@ from sluicework.session import written
 LENGTH = 50
 KMER = 20
 BLOCK_BYTES = 1 << 21
-#: Strings whose suffixes are sorted together.
-TOGETHER = 1 << 19
+BUCKET_BYTES = 1 << 24
+#: Blocks from which on a key is dealt by single strings.
+HOT = 256
+#: Places whose keys are computed together; strings of the longest run; runs, and strings, that are put in order together.
+STEP, LONGEST, RUNS, STRINGS = 1 << 18, 64, 1 << 16, 1 << 18
+PAD = LONGEST + LENGTH + 8
 LAST = (1 << 63) - 1
 
 _BYTES = np.random.default_rng(3).integers(1, 1 << 64, 256, np.uint64)
@@ -69,74 +77,181 @@ def keys(raw: np.ndarray) -> np.ndarray:
 
 
 def runs(raw: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(key, document's number, start, count) of each run of neighbouring strings with one key, starts counted in raw."""
-    if len(raw) < LENGTH:
-        none = np.empty(0, np.int64)
-        return none.astype(np.uint64), none, none, none
-    key = keys(raw)
-    doc = np.repeat(np.arange(len(sizes)), sizes)
-    whole = doc[: len(key)] == doc[LENGTH - 1 : LENGTH - 1 + len(key)]
-    first = whole & np.concatenate(([True], (key[1:] != key[:-1]) | ~whole[:-1] | (doc[1 : len(key)] != doc[: len(key) - 1])))
-    at = np.flatnonzero(first)
-    run = np.cumsum(first)[whole] - 1
-    return key[at], doc[at], at, np.bincount(run, minlength=len(at))
-
-
-def earlier(words: np.ndarray, docs: np.ndarray) -> np.ndarray:
-    """Which of the strings (rows of big-endian words) also start in a smaller document.
-
-    The suffix order is by the strings' bytes and then by document; the previous smaller value of a suffix shares
-    its first LENGTH bytes if and only if the first suffix with these bytes is of a smaller document.
+    """(key, document's number, start, count) of runs of at most LONGEST neighbouring strings with one key, starts counted in raw."""
+    doc = np.repeat(np.arange(len(sizes), dtype=np.int32), sizes)
+    found = [(np.empty(0, np.uint64), *[np.empty(0, np.int64)] * 3)]
+    for c in range(0, max(0, len(raw) - LENGTH + 1), STEP):
+        key = keys(raw[c : c + STEP + LENGTH - 1])
+        n = len(key)
+        own = doc[c : c + n]
+        whole = own == doc[c + LENGTH - 1 : c + LENGTH - 1 + n]
+        first = whole & np.concatenate(([True], (key[1:] != key[:-1]) | ~whole[:-1] | (own[1:] != own[:-1])))
+        at = np.flatnonzero(first)
+        count = np.bincount(np.cumsum(first)[whole] - 1, minlength=len(at))
+        parts = (count + LONGEST - 1) // LONGEST
+        if (parts > 1).any():
+            k = np.arange(parts.sum()) - np.repeat(np.cumsum(parts) - parts, parts)
+            at, count = np.repeat(at, parts) + k * LONGEST, np.minimum(np.repeat(count, parts) - k * LONGEST, LONGEST)
+        found.append((key[at], own[at].astype(np.int64), at + c, count))
+    return tuple(np.concatenate(x) for x in zip(*found, strict=True))
+
+
+# ---- suffix order and longest previous factors ---------------------------------------------------------------------
+
+
+def _lanes(raw: np.ndarray, at: np.ndarray, sizes: np.ndarray) -> list[np.ndarray]:
+    """The strings raw[at : at + sizes] as columns of big-endian words, zero after their end. raw has PAD bytes more."""
+    view = np.ndarray((len(raw) - 7,), ">u8", raw.data, strides=(1,))
+    out = []
+    for j in range(0, int(sizes.max()), 8):
+        word, left = view[at + j].astype(np.uint64), sizes - j
+        short = np.flatnonzero(left < 8)
+        if len(short):
+            gone = (8 * (8 - np.maximum(left[short], 0))).astype(np.uint64)
+            word[short] = np.where(gone < 64, word[short] >> gone % np.uint64(64) << gone % np.uint64(64), np.uint64(0))
+        out.append(word)
+    return out
+
+
+def suffix_order(raw: np.ndarray, at: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The order of the suffixes at ``at``, compared over ``sizes`` bytes, and the length that each shares with the one before it.
+
+    Suffixes that are equal over their sizes are found by hash, checked word for word, and take one place in the order
+    beside each other, in the order given; so only different ones are compared.
+    """
+    lanes = _lanes(raw, at, sizes)
+    h = sizes.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    for w in lanes:
+        h = (h ^ w) * np.uint64(0xD6E8FEB86659FD93)
+        h ^= h >> np.uint64(32)
+    _, one, of = np.unique(h, return_index=True, return_inverse=True)
+    alike = one[of]
+    if not ((sizes == sizes[alike]).all() and all((w == w[alike]).all() for w in lanes)):  # two texts of one hash
+        one = of = np.arange(len(at))
+    some, lengths = [w[one] for w in lanes], sizes[one]
+    by = np.lexsort((lengths, *some[::-1]))
+    rank = np.empty(len(by), np.int32)
+    rank[by] = np.arange(len(by), dtype=np.int32)
+    rank = rank[of]
+    order = np.argsort(rank, kind="stable")
+    # Lengths shared by neighbours among the different ones, byte by byte of the first word that differs.
+    shared = np.minimum(lengths[by][1:], lengths[by][:-1])
+    open_ = np.arange(len(by) - 1)
+    for j, w in enumerate(some):
+        x = w[by[open_ + 1]] ^ w[by[open_]]
+        differ = x != 0
+        same = sum(((x[differ] >> np.uint64(64 - 8 * k)) == 0).astype(np.int64) for k in range(1, 8)) if differ.any() else 0
+        shared[open_[differ]] = np.minimum(shared[open_[differ]], 8 * j + same)
+        open_ = open_[~differ]
+    lcp = sizes[order].copy()
+    head = np.concatenate(([True], rank[order][1:] != rank[order][:-1]))
+    lcp[head] = np.concatenate(([0], shared))
+    return order, lcp
+
+
+def previous_factors(lcp: np.ndarray, docs: np.ndarray, need: np.ndarray) -> np.ndarray:
+    """In suffix order, each suffix's longest previous factor where that is at least ``need``, otherwise 0.
+
+    On either side the nearest suffix of a smaller document is found by following pointers: what a pointer passes over is
+    of no smaller document than where it starts, so it may go on by the pointer of where it ends, and carries the least
+    shared length on its way. A pointer ends once that is below what its suffix needs.
     """
-    order = np.lexsort((docs, *words.T[::-1]))
-    ordered, by = words[order], docs[order]
-    head = np.concatenate(([True], (ordered[1:] != ordered[:-1]).any(axis=1)))
-    psv = np.maximum.accumulate(np.where(head, np.arange(len(order)), 0))
-    out = np.empty(len(order), bool)
-    out[order] = by[psv] < by
+    n = len(docs)
+    factor = np.zeros(n, np.int64)
+    for back in (False, True):
+        d, want = (docs[::-1], need[::-1]) if back else (docs, need)
+        least = np.concatenate((lcp[1:], [0]))[::-1].copy() if back else lcp.copy()
+        near, out = np.arange(-1, n - 1), np.zeros(n, np.int64)
+        open_ = np.flatnonzero(least >= want)
+        while len(open_):
+            j = near[open_]
+            smaller = d[j] < d[open_]
+            out[open_[smaller]] = least[open_[smaller]]
+            open_, j = open_[~smaller], j[~smaller]
+            on, low = near[j], np.minimum(least[open_], least[j])
+            near[open_], least[open_] = on, low
+            open_ = open_[low >= want[open_]]
+        factor = np.maximum(factor, out[::-1] if back else out)
+    return factor
+
+
+def _cuts(sizes: np.ndarray, group: np.ndarray, most: int) -> list[int]:
+    """Where to cut sorted groups, whole, into parts of about ``most``."""
+    at = np.flatnonzero(np.concatenate(([True], group[1:] != group[:-1])))
+    total = np.concatenate(([0], np.cumsum(sizes)))[at]
+    part = total // most
+    return [*at[np.concatenate(([True], part[1:] != part[:-1]))].tolist(), len(group)]
+
+
+def earlier_runs(raw: np.ndarray, key: np.ndarray, at: np.ndarray, count: np.ndarray, docs: np.ndarray) -> np.ndarray:
+    """Which runs' longest previous factor spans the whole run."""
+    out = np.zeros(len(at), bool)
+    by = np.argsort(key, kind="stable")
+    cuts = _cuts(np.ones(len(by), np.int64), key[by], RUNS) if len(by) else []
+    for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+        own = by[a:b]
+        sizes = count[own] + LENGTH - 1
+        order, lcp = suffix_order(raw, at[own], sizes)
+        out[own[order]] = previous_factors(lcp, docs[own][order], sizes[order]) > 0
     return out
 
 
-def _words(raw: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """The strings that start at ``at``, as rows of big-endian words (the last holds their last bytes again)."""
-    lanes = [*range(0, LENGTH - 7, 8), LENGTH - 8]
-    view = np.ndarray((len(raw) - 7,), ">u8", np.ascontiguousarray(raw).data, strides=(1,))
-    return np.stack([view[at + k] for k in lanes], axis=1).astype(np.uint64)
+def earlier_strings(raw: np.ndarray, key: np.ndarray, at: np.ndarray, count: np.ndarray, docs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(run, place in it) of the strings whose longest previous factor has LENGTH bytes or more."""
+    hit_run, hit_at = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+    by = np.lexsort((docs, key))
+    if len(by):  # a key of one document has no earlier one
+        k, d = key[by], docs[by]
+        start = np.flatnonzero(np.concatenate(([True], k[1:] != k[:-1])))
+        several = d[start] != d[np.append(start[1:], len(by)) - 1]
+        by = by[np.repeat(several, np.diff(np.append(start, len(by))))]
+    cuts = _cuts(count[by], key[by], STRINGS) if len(by) else []
+    for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+        own = by[a:b]
+        run = np.repeat(own, count[own])
+        place = np.arange(len(run)) - np.repeat(np.cumsum(count[own]) - count[own], count[own])
+        need = np.full(len(run), LENGTH)
+        order, lcp = suffix_order(raw, at[run] + place, need)
+        hit = order[previous_factors(lcp, docs[run][order], need) >= LENGTH]
+        hit_run.append(run[hit])
+        hit_at.append(place[hit])
+    return np.concatenate(hit_run), np.concatenate(hit_at)
 
 
 def _merged(doc: np.ndarray, start: np.ndarray, stop: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Intervals of each document without overlaps or gaps of nothing between them."""
+    if not len(doc):
+        return doc, start, stop
     order = np.lexsort((start, doc))
     doc, start, stop = doc[order], start[order], stop[order]
-    shift = (doc - doc.min()) * (int(stop.max()) + 1) if len(doc) else doc
-    reach = np.maximum.accumulate(stop + shift) if len(doc) else stop
-    new = np.concatenate(([True], (start + shift)[1:] > reach[:-1])) if len(doc) else np.empty(0, bool)
-    at = np.flatnonzero(new)
+    shift = (doc - doc.min()) * (int(stop.max()) + 1)
+    reach = np.maximum.accumulate(stop + shift)
+    at = np.flatnonzero(np.concatenate(([True], (start + shift)[1:] > reach[:-1])))
     last = np.append(at[1:], len(doc)) - 1
     return doc[at], start[at], (reach - shift)[last]
 
 
-# ---- blocks ------------------------------------------------------------------------------------------------------
+# ---- blocks and buckets --------------------------------------------------------------------------------------------
 
-BLOCKS = "block long, ids binary, shas binary, sizes binary, text binary"
+BLOCKS = "block long, n_bytes long, ids array<long>, sizes binary, text binary"
 
 
 def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     part, number = TaskContext.get().partitionId(), 0
-    ids, shas, texts, size = [], [], [], 0
+    ids, texts, size = [], [], 0
 
     def out() -> pa.RecordBatch:
-        row = [part << 32 | number], [np.array(ids, np.int64).tobytes()], [b"".join(shas)], [np.array(list(map(len, texts)), np.int64).tobytes()], [zstandard.compress(b"".join(texts), 3)]
-        return pa.RecordBatch.from_arrays([pa.array(row[0], pa.int64()), *(pa.array(x, pa.binary()) for x in row[1:])], ["block", "ids", "shas", "sizes", "text"])
+        row = [part << 32 | number], [size], [ids], [np.array(list(map(len, texts)), np.int64).tobytes()], [zstandard.compress(b"".join(texts), 3)]
+        kinds = pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.binary(), pa.binary()
+        return pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(row, kinds, strict=True)], ["block", "n_bytes", "ids", "sizes", "text"])
 
     for batch in batches:
-        for i, sha, t in zip(batch.column(0), batch.column(1), batch.column(2), strict=True):
-            raw = t.as_py().encode("utf-8", "surrogatepass")
-            if size and size + len(raw) > BLOCK_BYTES:
+        for i, t in zip(batch.column(0), batch.column(1), strict=True):
+            raw = (t.as_py() or "").encode("utf-8", "surrogatepass")
+            if ids and size + len(raw) > BLOCK_BYTES:
                 yield out()
-                ids, shas, texts, size, number = [], [], [], 0, number + 1
+                ids, texts, size, number = [], [], 0, number + 1
             ids.append(i.as_py())
-            shas.append(bytes.fromhex(sha.as_py()))
             texts.append(raw)
             size += len(raw)
     if ids:
@@ -144,7 +259,9 @@ def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _block(r: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    return np.frombuffer(zstandard.decompress(r["text"]), np.uint8), np.frombuffer(r["sizes"], np.int64), np.frombuffer(r["ids"], np.int64)
+    """(bytes with PAD more, sizes, ranks by id: null last)."""
+    raw = np.frombuffer(zstandard.decompress(r["text"]) + b"\0" * PAD, np.uint8)
+    return raw, np.frombuffer(r["sizes"], np.int64), np.array([LAST if i is None else i for i in r["ids"]], np.int64)
 
 
 def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
@@ -153,17 +270,20 @@ def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
             yield batch.slice(k, 1).to_pylist()[0]
 
 
+def _codes(key: np.ndarray, buckets: int) -> np.ndarray:
+    """bucket << 32 | 32 more bits of each key. Keys that meet by chance cost work, not exactness."""
+    return key % np.uint64(buckets) << np.uint64(32) | key // np.uint64(buckets) & np.uint64(0xFFFFFFFF)
+
+
 def _keys_of(buckets: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for r in _rows(batches):
             raw, sizes, _ = _block(r)
-            key = np.unique(runs(raw, sizes)[0])
-            bucket = key % np.uint64(buckets)
-            order = np.argsort(bucket, kind="stable")
-            key, bucket = key[order], bucket[order]
-            cut = np.flatnonzero(np.concatenate(([True], bucket[1:] != bucket[:-1]))) if len(key) else []
-            blobs = [x.tobytes() for x in np.split(key, cut[1:])] if len(key) else []
-            yield pa.RecordBatch.from_arrays([pa.array(bucket[cut].astype(np.int64) if len(key) else [], pa.int64()), pa.array([r["block"]] * len(blobs), pa.int64()), pa.array(blobs, pa.binary())], ["bucket", "block", "keys"])
+            code = np.unique(_codes(runs(raw[:-PAD], sizes)[0], buckets))
+            bucket, low = (code >> np.uint64(32)).astype(np.int64), code.astype(np.uint32)
+            cut = np.flatnonzero(np.concatenate(([True], bucket[1:] != bucket[:-1]))) if len(code) else np.empty(0, np.int64)
+            blobs = [x.tobytes() for x in np.split(low, cut[1:])] if len(code) else []
+            yield pa.RecordBatch.from_arrays([pa.array(bucket[cut]), pa.array([r["block"]] * len(blobs), pa.int64()), pa.array(blobs, pa.binary())], ["bucket", "block", "keys"])
 
     return run
 
@@ -181,64 +301,93 @@ def _by_bucket(batches: Iterator[pa.RecordBatch]) -> Iterator[list[dict]]:
         yield held
 
 
-def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of each bucket the keys that several blocks have, block by block."""
-    for rows in _by_bucket(batches):
-        each = [np.frombuffer(r["keys"], np.uint64) for r in rows]
-        key, owner = np.concatenate(each), np.repeat(np.arange(len(rows)), list(map(len, each)))
-        order = np.argsort(key, kind="stable")
-        key, owner = key[order], owner[order]
-        same = key[1:] == key[:-1]
-        many = np.concatenate((same, [False])) | np.concatenate(([False], same))
-        key, owner = key[many], owner[many]
-        order = np.argsort(owner, kind="stable")
-        own, at = np.unique(owner[order], return_index=True)
-        blobs = [x.tobytes() for x in np.split(key[order], at[1:])] if len(own) else []
-        yield pa.RecordBatch.from_arrays([pa.array([rows[k]["block"] for k in own], pa.int64()), pa.array(blobs, pa.binary())], ["block", "keys"])
+def _shared(hot: int):
+    """A function for mapInArrow: for each bucket and block, a bit for each of its keys that other blocks have too, and one for each that more than ``hot`` blocks have (empty where there is none)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in _by_bucket(batches):
+            each = [np.frombuffer(r["keys"], np.uint32) for r in rows]
+            key = np.concatenate(each)
+            _, of, n = np.unique(key, return_inverse=True, return_counts=True)
+            n, at, out = n[of], 0, []
+            for r, own in zip(rows, each, strict=True):
+                mine = n[at : at + len(own)]
+                at += len(own)
+                if (mine > 1).any():
+                    out.append((r["block"], r["bucket"], np.packbits(mine > 1).tobytes(), np.packbits(mine > hot).tobytes() if (mine > hot).any() else b""))
+            kinds = pa.int64(), pa.int64(), pa.binary(), pa.binary()
+            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], kind) for k, kind in enumerate(kinds)], ["block", "bucket", "shared", "hot"])
+
+    return run
 
 
 FOUND = "bucket long, block long, docs binary, starts binary, sizes binary, text binary, ids binary"
 
 
-def _found(bucket, block, docs=b"", starts=b"", sizes=b"", text=b"", ids=b"") -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array([bucket], pa.int64()), pa.array([block], pa.int64()), *(pa.array([x], pa.binary()) for x in (docs, starts, sizes, text, ids))], ["bucket", "block", "docs", "starts", "sizes", "text", "ids"])
+def _found(rows: list[tuple]) -> pa.RecordBatch:
+    kinds = pa.int64(), pa.int64(), *[pa.binary()] * 5
+    return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds)], ["bucket", "block", "docs", "starts", "sizes", "text", "ids"])
 
 
 def _sent(buckets: int):
-    """Blocks with their shared keys: runs for the buckets, and (bucket < 0) what is settled within the block: intervals as document, start, stop."""
+    """A function for mapInArrow: blocks with their keys' bits to runs for the buckets, and (bucket < 0) what is settled within the block: intervals as document, start, stop."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for r in _rows(batches):
             raw, sizes, ids = _block(r)
-            key, doc, at, count = runs(raw, sizes)
-            shared = np.sort(np.frombuffer(b"".join(r["keys"] or []), np.uint64))
-            order = np.lexsort((doc, key))  # keys that several documents of the block have
-            same = (key[order][1:] == key[order][:-1]) & (doc[order][1:] != doc[order][:-1])
-            inside = np.isin(key, key[order][1:][same])
-            outside = np.isin(key, shared)
-            pick = np.flatnonzero(inside | outside)
-            pick = pick[np.argsort(ids[doc[pick]], kind="stable")]
-            base = np.concatenate(([0], np.cumsum(sizes)[:-1]))
-            least: dict[bytes, int] = {}
-            settled, sent = [], []
-            text = raw.tobytes()
-            for k, a, n, i in zip(pick.tolist(), at[pick].tolist(), count[pick].tolist(), ids[doc[pick]].tolist(), strict=True):
-                s = text[a : a + n + LENGTH - 1]
-                if least.setdefault(s, i) < i:
-                    settled.append(k)
-                else:
-                    sent.append(k)
-            if settled:
-                k = np.array(settled)
-                d, s, e = _merged(doc[k], at[k] - base[doc[k]], at[k] - base[doc[k]] + count[k] + LENGTH - 1)
-                yield _found(-1 - r["block"] % buckets, r["block"], d.tobytes(), s.tobytes(), e.tobytes())
-            k = np.array(sent, np.int64)
-            bucket = (key[k] % np.uint64(buckets)).astype(np.int64)
+            key, doc, at, count = runs(raw[:-PAD], sizes)
+            code = _codes(key, buckets)
+            codes = np.unique(code)
+            shared, hot = np.zeros(len(codes), bool), np.zeros(len(codes), bool)
+            for b in r["bits"] or []:
+                low, high = np.searchsorted(codes, np.array([b["bucket"], b["bucket"] + 1], np.uint64) << np.uint64(32))
+                shared[low:high] = np.unpackbits(np.frombuffer(b["shared"], np.uint8))[: high - low]
+                if b["hot"]:
+                    hot[low:high] = np.unpackbits(np.frombuffer(b["hot"], np.uint8))[: high - low]
+            place = np.searchsorted(codes, code)
+            base = np.concatenate(([0], np.cumsum(sizes)[:-1])).astype(np.int64)
+            by = np.lexsort((doc, key))  # keys of one document here, that no other block has, have no earlier one
+            k, d = key[by], doc[by]
+            start = np.flatnonzero(np.concatenate(([True], k[1:] != k[:-1]))) if len(by) else np.empty(0, np.int64)
+            several = d[start] != d[np.append(start[1:], len(by)) - 1] if len(by) else np.empty(0, bool)
+            inside = np.zeros(len(key), bool)
+            inside[by] = np.repeat(several, np.diff(np.append(start, len(by))))
+            pick = np.flatnonzero(inside | shared[place])
+            whole = np.zeros(len(pick), bool)
+            own = np.flatnonzero(inside[pick])
+            p = pick[own]
+            whole[own] = earlier_runs(raw, key[p], at[p], count[p], ids[doc[p]])
+            settled, left = pick[whole], pick[~whole]
+            alone = ~shared[place[left]]
+            p = left[alone]
+            hit, off = earlier_strings(raw, key[p], at[p], count[p], ids[doc[p]])
+            x = np.concatenate([settled, p[hit]])
+            if len(x):
+                s = np.concatenate([at[settled], at[p[hit]] + off]) - base[doc[x]]
+                e = s + np.concatenate([count[settled] + LENGTH - 1, np.full(len(hit), LENGTH)])
+                yield _found([(-1 - r["block"] % buckets, r["block"], *(v.tobytes() for v in _merged(doc[x], s, e)), b"", b"")])
+            p = left[~alone]
+            n = np.where(hot[place[p]], count[p], 1)  # a hot key's strings go one by one
+            p, k = np.repeat(p, n), np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+            single = hot[place[p]]
+            a, c = at[p] + np.where(single, k, 0), np.where(single, 1, count[p])
+            bucket = (key[p] % np.uint64(buckets)).astype(np.int64)
+            if single.any():
+                h = np.zeros(int(single.sum()), np.uint64)
+                for w in _lanes(raw, a[single], np.full(len(h), LENGTH)):
+                    h = _mix(h + w)
+                bucket[single] = (h % np.uint64(buckets)).astype(np.int64)
             order = np.argsort(bucket, kind="stable")
-            k, bucket = k[order], bucket[order]
-            for part in np.split(k, np.flatnonzero(bucket[1:] != bucket[:-1]) + 1) if len(k) else []:
-                pieces = b"".join(text[a : a + n] for a, n in zip(at[part].tolist(), (count[part] + LENGTH - 1).tolist(), strict=True))
-                yield _found(int(key[part[0]] % np.uint64(buckets)), r["block"], doc[part].tobytes(), (at[part] - base[doc[part]]).tobytes(), (count[part] + LENGTH - 1).tobytes(), zstandard.compress(pieces, 1), ids[doc[part]].tobytes())
+            rows = []
+            text = raw.tobytes()
+            for part in np.split(order, np.flatnonzero(bucket[order][1:] != bucket[order][:-1]) + 1) if len(order) else []:
+                size = c[part] + LENGTH - 1
+                pieces = b"".join(text[x : x + y] for x, y in zip(a[part].tolist(), size.tolist(), strict=True))
+                own = doc[p[part]]
+                packed = [x.tobytes() for x in (own.astype(np.int32), a[part] - base[own], size.astype(np.uint8))] + [pieces, ids[own].tobytes()]
+                rows.append((int(bucket[part[0]]), r["block"], *(zstandard.compress(x, 1) for x in packed)))
+            if rows:
+                yield _found(rows)
 
     return run
 
@@ -247,124 +396,85 @@ def _answered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Buckets of runs to intervals of their blocks' documents; settled ones pass."""
     for rows in _by_bucket(batches):
         if rows[0]["bucket"] < 0:
-            for r in rows:
-                yield _found(-1, r["block"], r["docs"], r["starts"], r["sizes"])
+            yield _found([(-1, r["block"], r["docs"], r["starts"], r["sizes"], b"", b"") for r in rows])
             continue
-        text = b"".join(zstandard.decompress(r["text"]) for r in rows)
-        of = lambda c: np.concatenate([np.frombuffer(r[c], np.int64) for r in rows])  # noqa: E731, B023
-        sizes, ids, docs, starts = of("sizes"), of("ids"), of("docs"), of("starts")
-        owner = np.repeat(np.arange(len(rows)), [len(r["sizes"]) // 8 for r in rows])
-        raw = np.frombuffer(text + b"\0" * 8, np.uint8)
-        base = np.cumsum(sizes) - sizes
-        n = sizes - LENGTH + 1
-        # Equal strings have one key; a bucket of many strings is sorted key by key group.
-        group = keys_at(raw, base)
-        groups = 1 + int(n.sum()) // TOGETHER
-        hit_run, hit_at = [], []
-        for g in range(groups):
-            own = np.flatnonzero(group % np.uint64(groups) == g)
-            if not len(own):
-                continue
-            run = np.repeat(own, n[own])
-            at = np.arange(len(run)) - np.repeat(np.cumsum(n[own]) - n[own], n[own])
-            hit = earlier(_words(raw, base[run] + at), ids[run])
-            hit_run.append(run[hit])
-            hit_at.append(at[hit])
-        run, at = np.concatenate(hit_run), np.concatenate(hit_at)
-        for k, r in enumerate(rows):
-            own = owner[run] == k
-            if own.any():
-                x, s = run[own], starts[run[own]] + at[own]
-                yield _found(-1, r["block"], *(v.tobytes() for v in _merged(docs[x], s, s + LENGTH)))
-
-
-def keys_at(raw: np.ndarray, base: np.ndarray) -> np.ndarray:
+        raw = np.frombuffer(b"".join(zstandard.decompress(r["text"]) for r in rows) + b"\0" * PAD, np.uint8)
+        of = lambda c, kind: [np.frombuffer(zstandard.decompress(r[c]), kind).astype(np.int64) for r in rows]  # noqa: E731, B023
+        docs = of("docs", np.int32)
+        owner = np.repeat(np.arange(len(rows)), list(map(len, docs)))
+        docs, starts, size, ids = np.concatenate(docs), *(np.concatenate(of(c, kind)) for c, kind in (("starts", np.int64), ("sizes", np.uint8), ("ids", np.int64)))
+        at, count = np.cumsum(size) - size, size - LENGTH + 1
+        key = keys_at(raw, at)
+        whole = earlier_runs(raw, key, at, count, ids)
+        left = np.flatnonzero(~whole)
+        hit, off = earlier_strings(raw, key[left], at[left], count[left], ids[left])
+        x = np.concatenate([np.flatnonzero(whole), left[hit]])
+        s = starts[x] + np.concatenate([np.zeros(int(whole.sum()), np.int64), off])
+        e = s + np.concatenate([size[whole], np.full(len(hit), LENGTH)])
+        by = np.argsort(owner[x], kind="stable")
+        own, cut = np.unique(owner[x[by]], return_index=True)
+        out = [(-1, rows[k]["block"], *(v.tobytes() for v in _merged(docs[x[i]], s[i], e[i])), b"", b"") for k, i in zip(own.tolist(), np.split(by, cut[1:]), strict=True)] if len(own) else []
+        if out:
+            yield _found(out)
+
+
+def keys_at(raw: np.ndarray, at: np.ndarray) -> np.ndarray:
     """The key of the string at each of some places (a run has one key, so that of its first string tells)."""
-    if not len(base):
-        return np.empty(0, np.uint64)
-    heads = raw[base[:, None] + np.arange(LENGTH)]
-    h = None
-    part = _BYTES[heads]
+    out = [np.empty(0, np.uint64)]
     fold = lambda a, s, b, f: a[:, : b.shape[1] - s] * np.uint64(f) + b[:, s:]
-    h2 = fold(part, 1, part, 0x9FB21C651E98DF25)
-    h4 = fold(h2, 2, h2, 0xD6E8FEB86659FD93)
-    h8 = fold(h4, 4, h4, 0xC2B2AE3D27D4EB4F)
-    h16 = fold(h8, 8, h8, 0x165667B19E3779F9)
-    h = _mix(h16[:, : h4.shape[1] - 16] * np.uint64(0xFF51AFD7ED558CCD) + h4[:, 16:])
-    return _mix(h.min(axis=1))
+    for k in range(0, len(at), 1 << 14):
+        h1 = _BYTES[raw[at[k : k + (1 << 14), None] + np.arange(LENGTH)]]
+        h2 = fold(h1, 1, h1, 0x9FB21C651E98DF25)
+        h4 = fold(h2, 2, h2, 0xD6E8FEB86659FD93)
+        h8 = fold(h4, 4, h4, 0xC2B2AE3D27D4EB4F)
+        h16 = fold(h8, 8, h8, 0x165667B19E3779F9)
+        out.append(_mix(_mix(h16[:, : h4.shape[1] - 16] * np.uint64(0xFF51AFD7ED558CCD) + h4[:, 16:]).min(axis=1)))
+    return np.concatenate(out)
 
 
-CUT = "sha string, spans array<struct<start:bigint,stop:bigint>>, n_removed long, kept_sha256 string"
+CUT = "id long, n_bytes long, n_removed long, spans array<struct<start:bigint,stop:bigint>>, kept_sha256 string"
 
 
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    kind = pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64())]))
+    kinds = pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64())])), pa.string()
     for r in _rows(batches):
-        raw, sizes, _ = _block(r)
-        text = raw.tobytes()
-        of = lambda c: np.concatenate([np.frombuffer(x[c], np.int64) for x in r["found"]])  # noqa: E731, B023
+        text, sizes = zstandard.decompress(r["text"]), np.frombuffer(r["sizes"], np.int64)
+        of = lambda c: np.concatenate([np.empty(0, np.int64), *(np.frombuffer(x[c], np.int64) for x in r["found"] or [])])  # noqa: E731, B023
         doc, start, stop = _merged(of("docs"), of("starts"), of("sizes"))
-        base = np.concatenate(([0], np.cumsum(sizes)[:-1]))
-        shas, spans, removed, kept = [], [], [], []
-        each, at = np.unique(doc, return_index=True)
-        for d, a, b in zip(each.tolist(), at.tolist(), [*at[1:].tolist(), len(doc)], strict=True):
-            s, e = start[a:b].tolist(), stop[a:b].tolist()
-            body, digest, last = text[base[d] : base[d] + sizes[d]], hashlib.sha256(), 0
-            for x, y in zip(s, e, strict=True):
+        first = np.searchsorted(doc, np.arange(len(sizes) + 1)).tolist()
+        start, stop, at, out = start.tolist(), stop.tolist(), 0, []
+        for d, (i, size) in enumerate(zip(r["ids"], sizes.tolist(), strict=True)):
+            body, digest, last, spans = text[at : at + size], hashlib.sha256(), 0, []
+            at += size
+            for x, y in zip(start[first[d] : first[d + 1]], stop[first[d] : first[d + 1]], strict=True):
                 digest.update(body[last:x])
                 last = y
+                spans.append({"start": x, "stop": y})
             digest.update(body[last:])
-            shas.append(r["shas"][32 * d : 32 * d + 32].hex())
-            spans.append([{"start": x, "stop": y} for x, y in zip(s, e, strict=True)])
-            removed.append(sum(e) - sum(s))
-            kept.append(digest.hexdigest())
-        yield pa.RecordBatch.from_arrays([pa.array(shas, pa.string()), pa.array(spans, kind), pa.array(removed, pa.int64()), pa.array(kept, pa.string())], ["sha", "spans", "n_removed", "kept_sha256"])
-
-
-def _release(spark: SparkSession) -> None:
-    """Lets Spark's cleaner drop the shuffle files of finished jobs."""
-    import gc
-
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+            out.append((i, size, sum(s["stop"] - s["start"] for s in spans), spans, digest.hexdigest()))
+        yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], kind) for k, kind in enumerate(kinds)], ["id", "n_bytes", "n_removed", "spans", "kept_sha256"])
 
 
-def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", hot: int = HOT) -> DataFrame:
     """id, n_bytes, n_removed, spans (removed runs of bytes, merged, end exclusive) and kept_sha256 for every row.
 
     A null text is empty. A null id counts as larger than all others, so such a row never takes from others. Rows
     with one id are one document to each other: they never take from each other. Repeated rows stay. Texts under 50
-    bytes stay whole. An empty table gives an empty result. Other columns are ignored.
+    bytes stay whole; a very long text is a block of its own. An empty table gives an empty result. Other columns are
+    ignored.
     """
-    spark = df.sparkSession
-    buckets = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
-    rows = df.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("text"))
-    rows = rows.select("id", F.coalesce("id", F.lit(LAST)).alias("rank"), F.sha2("text", 256).alias("sha"), F.octet_length("text").cast("long").alias("n_bytes"), "text")
-    known = written(rows.drop("text"), "repeats-rows")
-    first = written(known.where(F.col("n_bytes") >= LENGTH).groupBy("sha").agg(F.min("rank").alias("first")), "repeats-first")
-    texts = rows.join(first.withColumnRenamed("sha", "s"), (F.col("rank") == F.col("first")) & (F.col("sha") == F.col("s"))).select("rank", "sha", "text")
-    blocks = written(texts.mapInArrow(_pack, BLOCKS), "repeats-blocks")
-    _release(spark)
-    sent = blocks.select("block", "ids", "sizes", "text").mapInArrow(_keys_of(buckets), "bucket long, block long, keys binary")
-    shared = sent.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_shared, "block long, keys binary")
-    shared = written(shared.groupBy("block").agg(F.collect_list("keys").alias("keys")), "repeats-keys")
-    _release(spark)
-    asked = blocks.select("block", "ids", "sizes", "text").join(shared, "block", "left").mapInArrow(_sent(buckets), FOUND)
-    found = asked.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_answered, FOUND)
+    rows = df.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").alias("text"))
+    blocks = written(rows.mapInArrow(_pack, BLOCKS), "repeats-blocks")
+    total = blocks.agg(F.sum("n_bytes")).first()[0] or 0
+    buckets = max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), math.ceil(total / BUCKET_BYTES))
+    texts = blocks.select("block", "ids", "sizes", "text")
+    sent = texts.mapInArrow(_keys_of(buckets), "bucket long, block long, keys binary")
+    bits = sent.repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(_shared(hot), "block long, bucket long, shared binary, hot binary")
+    bits = written(bits.groupBy("block").agg(F.collect_list(F.struct("bucket", "shared", "hot")).alias("bits")), "repeats-keys")
+    asked = texts.join(bits, "block", "left").select(*texts.columns, "bits").mapInArrow(_sent(buckets), FOUND)
+    found = asked.repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(_answered, FOUND)
     found = written(found.groupBy("block").agg(F.collect_list(F.struct("docs", "starts", "sizes")).alias("found")), "repeats-found")
-    _release(spark)
-    cut = written(blocks.drop("ids").withColumn("ids", F.lit(b"")).join(found, "block").mapInArrow(_cut, CUT), "repeats-cut")
-    cut = cut.dropDuplicates(["sha"])
-    state = written(first.join(cut, "sha", "left"), "repeats-state")
-    none = F.array().cast("array<struct<start:bigint,stop:bigint>>")
-    copy = F.col("rank") > F.col("first")
-    whole = F.array(F.struct(F.lit(0).cast("long").alias("start"), F.col("n_bytes").alias("stop")))
-    return known.join(state, "sha", "left").select(
-        "id", "n_bytes",
-        F.when(copy, F.col("n_bytes")).otherwise(F.coalesce("n_removed", F.lit(0).cast("long"))).alias("n_removed"),
-        F.when(copy, whole).otherwise(F.coalesce("spans", none)).alias("spans"),
-        F.when(copy, F.sha2(F.lit(""), 256)).otherwise(F.coalesce("kept_sha256", "sha")).alias("kept_sha256"),
-    )
+    return written(texts.join(found, "block", "left").select(*texts.columns, "found").mapInArrow(_cut, CUT), "repeats-cut")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -117,24 +117,65 @@ def test_near_copies_leave_one(spark):
     assert sorted(r.doc_id for r in corpus_pipeline.simhash_stage(spark, df, "").collect()) == sorted(set(group))
 
 
-def test_repeats(spark, docs, none):
-    rows = [(i if i is not None else 1 << 62, (t or "").encode()) for i, t, *_ in _rows()]
-    first = {}
+def _cut_plainly(rows):
+    """(id, bytes, removed, spans, digest of what is left) of (id, text) by a table of all 50-byte strings."""
+    rows = [(i if i is not None else 1 << 62, (t or "").encode()) for i, t in rows]
+    first, want = {}, Counter()
     for i, b in rows:
         for p in range(len(b) - 49):
             first[b[p : p + 50]] = min(i, first.get(b[p : p + 50], i))
-    want = Counter()
     for i, b in rows:
-        gone = np.zeros(len(b), bool)
+        gone = np.zeros(len(b) + 1, bool)
         for p in range(len(b) - 49):
             if first[b[p : p + 50]] < i:
                 gone[p : p + 50] = True
-        want[(i, len(b), int(gone.sum()), hashlib.sha256(bytes(x for x, g in zip(b, gone, strict=True) if not g)).hexdigest())] += 1
+        spans = int((gone[1:] & ~gone[:-1]).sum() + gone[0])
+        want[(i, len(b), int(gone.sum()), spans, hashlib.sha256(bytes(x for x, g in zip(b, gone, strict=False) if not g)).hexdigest())] += 1
+    return want
+
+
+def _as_cut(rows):
+    return Counter((r.id if r.id is not None else 1 << 62, r.n_bytes, r.n_removed, len(r.spans), r.kept_sha256) for r in rows)
+
+
+def test_repeats(spark, docs, none):
     got = repeats.remove_repeats(docs).collect()
-    assert Counter((r.id if r.id is not None else 1 << 62, r.n_bytes, r.n_removed, r.kept_sha256) for r in got) == want
+    assert _as_cut(got) == _cut_plainly(r[:2] for r in _rows())
     assert all(sum(s.stop - s.start for s in r.spans) == r.n_removed for r in got) and repeats.remove_repeats(none).count() == 0
 
 
+@pytest.mark.parametrize("hot", [2, repeats.HOT])
+def test_repeats_across_blocks(spark, hot):
+    """A common line in other contexts, texts of one letter, near copies, bytes of zero and repeats within a document, over many blocks."""
+    rng = random.Random(8)
+    line, passage = "".join(rng.choices("abcdef ", k=75)), "".join(rng.choices("xyz ", k=400))
+    noise = lambda n: "".join(rng.choices("abcdefghijklmnopqrstuvwxyzäß漢 ", k=n))
+    texts = [noise(rng.randint(0, 150)) + line + noise(rng.randint(0, 150)) for _ in range(60)]
+    texts += [noise(40) + passage[rng.randint(0, 200) : rng.randint(250, 400)] + noise(30) for _ in range(30)]
+    texts += ["a" * 700, "a" * 300, "ab" * 400, "\0" * 200, "\0" * 60 + "x", noise(100) * 3, None, "", texts[3], texts[3] + "!", texts[5][:80], line, line[:49], line[:50]]
+    rows = list(enumerate(texts))
+    rng.shuffle(rows)
+    got = repeats.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string").repartition(16), hot=hot).collect()
+    assert _as_cut(got) == _cut_plainly(rows)
+
+
+def test_previous_factors():
+    """Suffix order, shared lengths and longest previous factors of random strings, against plain comparison."""
+    rng = np.random.default_rng(3)
+    for _ in range(30):
+        raw = np.concatenate([rng.integers(0, 2, 400).astype(np.uint8), np.zeros(repeats.PAD, np.uint8)])
+        at, sizes, docs = rng.integers(0, 300, 120), rng.integers(1, 40, 120), rng.integers(0, 9, 120)
+        text = [raw[a : a + n].tobytes() for a, n in zip(at, sizes, strict=True)]
+        order, lcp = repeats.suffix_order(raw, at, sizes)
+        shared = lambda a, b: next((k for k, (x, y) in enumerate(zip(a, b, strict=False)) if x != y), min(len(a), len(b)))
+        assert [text[k] for k in order] == sorted(text)
+        assert lcp.tolist() == [0, *(shared(text[a], text[b]) for a, b in zip(order[1:], order[:-1], strict=True))]
+        need = rng.integers(1, 30, 120)
+        want = [max((shared(text[k], text[j]) for j in range(120) if docs[j] < docs[k]), default=0) for k in order]
+        got = repeats.previous_factors(lcp, docs[order], need[order])
+        assert got.tolist() == [w if w >= n else 0 for w, n in zip(want, need[order].tolist(), strict=True)]
+
+
 def test_toxicity(spark, docs, none):
     rng = random.Random(4)
     bad = ["idiot", "scum"]
@@ -271,6 +312,30 @@ def test_hnsw_repeated_rows(spark):
     rows = [(k, [1.0, 2.0, 0.5]) for k in range(40) for _ in range(3)] + [(100, [0.1, 0.1, 0.1])]
     got = hnsw.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<float>"), lambda i: i == 0).collect()
     assert sorted((r.rank, r.vec_id) for r in got) == [(k, k) for k in range(1, 21)]
+    rows = [(0, [1.0, 2.0])] * 30 + [(k, [1.0, 2.0]) for k in range(1, 6)] + [(k, [0.5, 0.1 * k]) for k in range(6, 30)]
+    got = hnsw.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), lambda i: i == 0).collect()
+    want = sorted(((-(x + 2 * y), i) for i, (x, y) in set((i, tuple(v)) for i, v in rows) if i))[:20]
+    assert [(i, -s) for s, i in want] == [(r.vec_id, r.score) for r in sorted(got, key=lambda r: r["rank"])]
+
+
+@pytest.mark.parametrize("scale", [1.0, 1e-60, 1e60])
+def test_hnsw_doubles_in_clusters(spark, scale):
+    """Whole double precision, several shards, another column named like an own one, an id that has two vectors."""
+    rng = np.random.default_rng(5)
+    x = (rng.normal(size=(30, 12))[rng.integers(0, 30, 1200)] + rng.normal(size=(1200, 12)) * 0.05) * scale
+    rows = [(k, v.tolist(), "s") for k, v in enumerate(x)] + [(20, (x[21] * 1.01).tolist(), "s")]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, shard string").repartition(5)
+    got = hnsw.nearest(df, lambda i: i % 20 == 0, k=10, shard=300).collect()
+    assert df.count() == 1201 and len(got) == 61 * 10
+    hit = 0
+    for q in range(40, 1200, 20):
+        s = np.append(x @ x[q], x[20] * 0 @ x[q] + (x[21] * 1.01) @ x[q])
+        ids = np.append(np.arange(1200), 20)
+        s[q] = -np.inf
+        mine = sorted((r.rank, r.vec_id, r.score) for r in got if r.query_id == q)
+        hit += sum(abs(a / b - 1) < 1e-12 for (_, _, a), b in zip(mine, np.sort(s)[::-1], strict=False))
+        assert all(any(abs(v / t - 1) < 1e-12 for t in s[ids == i]) for _, i, v in mine)
+    assert hit / (58 * 10) >= 0.95
 
 
 def test_pipeline_stages(spark, docs, tmp_path):
