@@ -6,16 +6,24 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+#: Rows of a few numbers each that may be broadcast.
+FEW = 1 << 20
+#: Bytes of an Arrow batch that goes to Python, where the session doesn't say.
+BATCH = 8 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share.
 
-    It is the session's ``spark.checkpoint.dir``. Only where that is unset, as in tests on one
-    machine, a temporary folder is made and set for the session.
+    It is the session's ``spark.checkpoint.dir``. Where that is unset and the session's master is this one machine, as
+    in tests, a temporary folder is made and set for the session; on a cluster that is an error.
     """
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = tempfile.mkdtemp(prefix="sluicework-")
         spark.sparkContext.setCheckpointDir(found)
     return found.rstrip("/")
@@ -29,3 +37,18 @@ def written(df: DataFrame, tag: str) -> DataFrame:
     path = f"{shared_dir(df.sparkSession)}/sluicework/{tag}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Bounds the Arrow batches of this session by ``BATCH`` bytes, unless the session has a bound of its own.
+
+    Spark bounds them by 10,000 rows and 64 MB, which is several hundred MB for a worker and its JVM where rows are texts.
+    """
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if key not in spark.conf.getAll:
+        spark.conf.set(key, str(BATCH))
+
+
+def if_few(df: DataFrame, most: int = FEW) -> DataFrame:
+    """``df``, a written table of narrow rows, to be broadcast if it has at most ``most`` of them; otherwise as it is, to be shuffled."""
+    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
