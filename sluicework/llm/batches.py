@@ -9,14 +9,14 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 
-def by_bytes(batch: pa.RecordBatch, column: int, most: int, rows: int = 4096) -> Iterator[pa.RecordBatch]:
-    """Slices of a batch whose text column has at most ``most`` bytes, or one row where that alone has more."""
-    ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False))
+def cuts(texts: pa.Array, most: int, rows: int = 4096) -> Iterator[tuple[int, int]]:
+    """(start, stop) of runs of texts that have at most ``most`` bytes together, or one text where that alone has more."""
+    ends = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False))
     at = 0
-    while at < batch.num_rows:
+    while at < len(texts):
         base = ends[at - 1] if at else 0
-        stop = min(max(at + 1, int(np.searchsorted(ends, base + most, "right"))), at + rows, batch.num_rows)
-        yield batch.slice(at, stop - at)
+        stop = min(max(at + 1, int(np.searchsorted(ends, base + most, "right"))), at + rows, len(texts))
+        yield at, stop
         at = stop
 
 

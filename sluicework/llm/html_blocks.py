@@ -9,22 +9,30 @@ generator writes with known labels; the model has a fixed size and is the same i
 from __future__ import annotations
 
 import functools
+import hashlib
 import html
 import random
 import re
 import zlib
 from collections.abc import Iterator
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from sluicework.llm.batches import cuts
+from sluicework.session import shared_dir, small_batches
+
 PATH_DIMS, WORD_DIMS, COUNTS, HIDDEN = 192, 48, 5, 16
 DIMS = PATH_DIMS + WORD_DIMS + COUNTS
 PAGES, EPOCHS, RATE = 1800, 9, 0.01
 #: Blocks that are labelled together, unless a single page has more.
 TOGETHER = 16384
+#: Bytes of pages that are read together.
+SLICE = 1 << 20
 
 # HTML's void, block, raw-text and implied-end elements.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -34,7 +42,8 @@ CLOSES = {"p": {"p"}, "li": {"li", "p"}, "dt": {"dt", "dd", "p"}, "dd": {"dt", "
 ENDS_P = frozenset("address article aside blockquote details div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul xmp".split())
 SCOPES = frozenset("ul ol dl table div article section body td th main aside nav header footer form blockquote button".split())
 
-_TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([A-Za-z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*)>""", re.S)
+#: A quote counts only after an equals sign and if it is closed; a tag that never ends goes to the end of the page.
+_TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*+>|<(/?)([A-Za-z][^\s/>]*+)((?:=\s*+"[^"]*+"|=\s*+'[^']*+'|[^>=]++|=)*+)(?:>|\Z)""", re.S)
 _NAME = re.compile(r"""\b(?:class|id|role|aria-label)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 _HIDDEN = re.compile(r"""\bhidden\b(?!\s*=\s*["']?false)|display\s*:\s*none""", re.I)
 _PART = re.compile(r"[a-z]+")
@@ -159,11 +168,10 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x, -30, 30)))
 
 
-def _forward(x: np.ndarray, mask: np.ndarray, wx: np.ndarray, wh: np.ndarray, b: np.ndarray, keep: bool) -> tuple[np.ndarray, list]:
-    """Hidden states (T x B x H) of one direction; what training needs of each step if ``keep``."""
-    steps, rows = x.shape[:2]
+def _forward(given: np.ndarray, mask: np.ndarray, wh: np.ndarray, keep: bool) -> tuple[np.ndarray, list]:
+    """Hidden states (T x B x H) of one direction, from what the input gives to each step's gates; what training needs of each step if ``keep``."""
+    steps, rows = given.shape[:2]
     h, c, out, kept = np.zeros((rows, HIDDEN), np.float32), np.zeros((rows, HIDDEN), np.float32), np.empty((steps, rows, HIDDEN), np.float32), []
-    given = x @ wx + b
     for t in range(steps):
         z = given[t] + h @ wh
         g = _sigmoid(z[:, : 3 * HIDDEN])
@@ -197,20 +205,25 @@ def _backward(x: np.ndarray, dout: np.ndarray, kept: list, wh: np.ndarray) -> tu
 
 def _padded(pages: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     steps = max(map(len, pages))
-    x, mask = np.zeros((steps, len(pages), DIMS), np.float32), np.zeros((steps, len(pages)), np.float32)
+    x, mask = np.zeros((steps, len(pages), pages[0].shape[1]), np.float32), np.zeros((steps, len(pages)), np.float32)
     for k, p in enumerate(pages):
         x[: len(p), k], mask[: len(p), k] = p, 1
     return x, mask
 
 
-def _states(x: np.ndarray, mask: np.ndarray, model: list[np.ndarray], keep: bool = False) -> tuple:
-    left, kept_left = _forward(x, mask, *model[:3], keep)
-    right, kept_right = _forward(x[::-1], mask[::-1], *model[3:6], keep)
+def _states(given: np.ndarray, mask: np.ndarray, model: list[np.ndarray], keep: bool = False) -> tuple:
+    """Hidden states of both directions, from what is given to the gates of both."""
+    left, kept_left = _forward(given[:, :, : 4 * HIDDEN], mask, model[1], keep)
+    right, kept_right = _forward(given[::-1, :, 4 * HIDDEN :], mask[::-1], model[4], keep)
     return np.concatenate([left, right[::-1]], axis=2), kept_left, kept_right
 
 
+def _given(x: np.ndarray, model: list[np.ndarray]) -> np.ndarray:
+    return np.concatenate([x @ model[0] + model[2], x @ model[3] + model[5]], axis=-1)
+
+
 def label(pages: list[np.ndarray], model: list[np.ndarray]) -> list[np.ndarray]:
-    """For each page's blocks, the chance that each belongs to the article."""
+    """For each page's blocks, from what is given to the gates, the chance that each belongs to the article."""
     out: list[np.ndarray] = [np.empty(0)] * len(pages)
     order = sorted((k for k in range(len(pages)) if len(pages[k])), key=lambda k: len(pages[k]))
     while order:
@@ -227,20 +240,19 @@ def label(pages: list[np.ndarray], model: list[np.ndarray]) -> list[np.ndarray]:
 
 def fit(pages: list[np.ndarray], truth: list[np.ndarray], epochs: int = EPOCHS) -> list[np.ndarray]:
     rng = np.random.default_rng(9)
-    shapes = [(DIMS, 4 * HIDDEN), (HIDDEN, 4 * HIDDEN), (4 * HIDDEN,)] * 2 + [(2 * HIDDEN, 1), (1,)]
-    model = [(rng.normal(0, 0.5 / np.sqrt(s[0]), s) if len(s) == 2 else np.zeros(s)).astype(np.float32) for s in shapes]
+    model = [(rng.normal(0, 0.5 / np.sqrt(s[0]), s) if len(s) == 2 else np.zeros(s)).astype(np.float32) for s in _shapes()]
     for b in (model[2], model[5]):
         b[HIDDEN : 2 * HIDDEN] = 1
     first, second, step = [np.zeros_like(w) for w in model], [np.zeros_like(w) for w in model], 0
+    alike = np.argsort([len(p) for p in pages], kind="stable")  # pages of about one length train together
     for epoch in range(epochs):
-        order = rng.permutation(len(pages))
-        for k in range(0, len(order), 32):
-            own = order[k : k + 32]
+        for k in rng.permutation(range(0, len(pages), 32)).tolist():
+            own = alike[k : k + 32]
             x, mask = _padded([pages[i] for i in own])
             y = np.zeros(mask.shape, np.float32)
             for j, i in enumerate(own):
                 y[: len(truth[i]), j] = truth[i]
-            h, kept_left, kept_right = _states(x, mask, model, True)
+            h, kept_left, kept_right = _states(_given(x, model), mask, model, True)
             d = ((_sigmoid(h @ model[6] + model[7])[:, :, 0] - y) * mask / mask.sum())[:, :, None]
             dh = d @ model[6].T
             grads = [*_backward(x, dh[:, :, :HIDDEN], kept_left, model[1]), *_backward(x[::-1], dh[::-1, :, HIDDEN:], kept_right, model[4]), np.tensordot(h, d, ([0, 1], [0, 1])), d.sum(axis=(0, 1))]
@@ -295,7 +307,7 @@ def layout(rng: random.Random) -> tuple[str, list[bool]]:
         elif form < 0.45:
             inner = say()
         else:
-            inner = "".join(rng.choice(["<p>{}</p>", "<p>{}", "<div>{}</div>", "<h3>{}</h3>", "<span>{}</span> ", '<a href="#">{}</a>']).format(say()) for _ in range(rng.randint(1, 5)))
+            inner = "".join(rng.choice(["<p>{}</p>", "<p>{}", "<div>{}</div>", "<h3>{}</h3>", "<span>{}</span> ", '<a href="#">{}</a>', "<div>{}<div>{}</div>{}</div>"]).format(say(), say(), say()) for _ in range(rng.randint(1, 5)))
         if kind == "form":
             inner = "<label>" + say() + "</label><input name=q>" + inner + "<button>" + rng.choice(phrases) + "</button>"
         if kind == "comments":
@@ -313,7 +325,11 @@ def layout(rng: random.Random) -> tuple[str, list[bool]]:
             if bare and rng.random() < 0.4:
                 parts.append(f"<p><b>{t}<br>")
                 continue
-            parts.append(rng.choice(["<p>{}</p>"] * 6 + ["<p>{}", "<div>{}</div>", "<h2>{}</h2>", "<h3>{}</h3>", "<ul><li>{}</li></ul>", "<blockquote>{}</blockquote>", "<pre>{}</pre>", "<table><tr><td>{}</td></tr></table>", "<figure><figcaption>{}</figcaption></figure>", '<p><a href="/y">{}</a></p>']).format(t))
+            if rng.random() < 0.15:  # text beside blocks
+                more = ["Α" + _prose(rng, rng.choice([1, 3, 15, 60])) for _ in range(2)]
+                parts.append(rng.choice(["<div>{}<div>{}</div>{}</div>", "{}<p>{}</p>{}", "<section>{}<p>{}</p>{}</section>", "<div><div>{}</div>{}<p>{}</p></div>", "<blockquote>{}<p>{}</p>{}</blockquote>", "<div>{}<ul><li>{}</li></ul>{}</div>"]).format(t, *more))
+                continue
+            parts.append(rng.choice(["<p>{}</p>"] * 6 + ["<xmp>{}</xmp>", "<template><p>{}</p></template>", "<object>{}</object><br>", "<p><math>{}</math></p>","<p>{}", "<div>{}</div>", "<h2>{}</h2>", "<h3>{}</h3>", "<ul><li>{}</li></ul>", "<blockquote>{}</blockquote>", "<pre>{}</pre>", "<table><tr><td>{}</td></tr></table>", "<figure><figcaption>{}</figcaption></figure>", '<p><a href="/y">{}</a></p>']).format(t))
         if parts == [""]:
             parts.append("<p>Α" + _prose(rng, 30) + "</p>")
         if rng.random() < 0.4:  # inside the article's element, but not of it
@@ -344,14 +360,39 @@ def trained() -> tuple[np.ndarray, ...]:
     return tuple(fit(pages, truth))
 
 
+def _shapes() -> list[tuple[int, ...]]:
+    return [(DIMS, 4 * HIDDEN), (HIDDEN, 4 * HIDDEN), (4 * HIDDEN,)] * 2 + [(2 * HIDDEN, 1), (1,)]
+
+
+def stored(spark: SparkSession) -> tuple[np.ndarray, ...]:
+    """The model from the shared folder; where it isn't there yet it is trained and put there, so that later sessions read it.
+
+    The folder's name has a digest of this file, which is all that the model comes from.
+    """
+    path = f"{shared_dir(spark)}/sluicework/html-labeller-{hashlib.sha256(Path(__file__).read_bytes()).hexdigest()[:16]}"
+    try:
+        rows = spark.read.parquet(path).orderBy("at").collect()  # one row for each of the model's eight arrays
+        return tuple(np.frombuffer(r["weights"], np.float32).reshape(s) for r, s in zip(rows, _shapes(), strict=True))
+    except (AnalysisException, ValueError):  # not there, or not yet whole
+        model = trained()
+    made = spark.createDataFrame([(k, bytearray(w.tobytes())) for k, w in enumerate(model)], "at int, weights binary")
+    made.coalesce(1).write.mode("overwrite").parquet(path)
+    return model
+
+
 def texts(pages: list[str], model: tuple[np.ndarray, ...]) -> list[str]:
     """Main text of each page."""
     found = [blocks(p) for p in pages]
-    every = features([b for f in found for b in f])
-    stops = np.cumsum([len(f) for f in found])
-    own = [every[s - len(f) : s] for s, f in zip(stops, found, strict=True)]
-    for x in own:  # places are those in the page
-        x[:, -2], x[:, -1] = np.arange(len(x)) / max(1, len(x) - 1), 1 / max(1, len(x))
+    every = [b for f in found for b in f]
+    sizes = np.array([len(f) for f in found])
+    place = np.arange(len(every)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+    size = np.repeat(sizes, sizes)
+    given = [np.empty((0, 8 * HIDDEN), np.float32)]
+    for k in range(0, len(every), 4096):  # features are wide, so only a few blocks' at once
+        x = features(every[k : k + 4096])
+        x[:, -2], x[:, -1] = (place / np.maximum(size - 1, 1))[k : k + 4096], (1 / size)[k : k + 4096]
+        given.append(_given(x, list(model)))
+    own = np.split(np.concatenate(given), np.cumsum(sizes)[:-1]) if len(sizes) else []
     return ["\n".join(t for (_, t, _), p in zip(f, chance, strict=True) if p >= 0.5) for f, chance in zip(found, label(own, list(model)), strict=True)]
 
 
@@ -359,14 +400,16 @@ def extract(df: DataFrame, id_col: str = "page_id", url_col: str = "url", html_c
     """page_id, url, text, n_chars for every row.
 
     A null or blank page, or one without an article, has an empty text. Null ids and urls and repeated rows stay.
-    An empty table gives an empty result. Other columns are ignored.
+    Very long pages are read whole: pages are taken by ``SLICE`` bytes, and of one page about 700 bytes a block are held
+    at once. An empty table gives an empty result. Other columns, whatever their names, are ignored.
     """
-    model = trained()
+    model = stored(df.sparkSession)
+    small_batches(df.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for k in range(0, batch.num_rows, 256):
-                part = batch.slice(k, 256)
+            for a, b in cuts(batch.column(2), SLICE):
+                part = batch.slice(a, b - a)
                 out = texts([x.as_py() or "" for x in part.column(2)], model)
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(out, pa.string()), pa.array([len(x) for x in out], pa.int64())], ["page_id", "url", "text", "n_chars"])
 

@@ -25,19 +25,19 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from sluicework.llm.batches import by_bytes
+from sluicework.llm.batches import cuts
+from sluicework.session import small_batches
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
 #: Bytes, about, of words and their ids that a worker remembers, and pairs of pieces; then it starts anew.
-REMEMBERED, PAIRS = 3 << 25, 1 << 19
+REMEMBERED, PAIRS = 3 << 24, 1 << 18
 #: Bytes of new words that are indexed together, and characters from which a word is indexed by itself and not remembered.
 TOGETHER, LONG = 1 << 17, 1 << 10
 #: Bytes of text that are encoded together.
 SLICE = 1 << 21
 #: Bytes of the UTF-8 character that begins with each byte.
 _CHARACTER = np.repeat(np.array([1, 2, 3, 4], np.int32), [0xC0, 0x20, 0x10, 0x10])
-_UNIT = re.compile(f"{SPACE}+[^{SPACE}]*|[^{SPACE}]+")
 
 
 def suffix_array(text: np.ndarray, depth: int) -> np.ndarray:
@@ -73,8 +73,7 @@ class Pieces:
         self.raw = [b"" if sp.is_control(i) else bytes([self.byte_of[i]]) if i in self.byte_of else p.encode() for i, p in enumerate(self.names)]
         self.unknown, self.fallback = sp.unk_id(), bool(self.byte_of)
         self.dummy = sp.normalize("a").startswith(SPACE)
-        #: Whether no piece goes on after a space that follows other text, so that words can be encoded by themselves.
-        self.by_word = all(SPACE not in p.lstrip(SPACE) for p in self.rank)
+        self.unit = self._unit()
         self.loose: dict[str, int] = {}  # characters without a piece of their own, numbered after the vocabulary
         self.loose_names: list[str] = []
         self.pairs: dict[int, bool] = {}
@@ -87,6 +86,20 @@ class Pieces:
         self.lower = np.array([p for p, _ in usable], f"S{self.width + 1}")
         self.upper = np.array([p + b"\xff" * (self.width + 1 - len(p)) for p, _ in usable], f"S{self.width + 1}")
 
+    def _unit(self) -> re.Pattern | None:
+        """What can be encoded by itself: a word with the spaces before it, or a run of letters or of other characters, if no piece joins such to the next.
+
+        None if a piece goes on after a space that follows other text.
+        """
+        if any(SPACE in p.lstrip(SPACE) for p in self.rank):
+            return None
+        texts = [p.lstrip(SPACE) for p in self.rank]
+        odd = "".join(sorted({c for p in texts for m in re.findall(r"\w\W|\W\w", p) for c in m if re.match(r"\w", c)}))
+        letters, others = (rf"[^\W{odd}]", rf"(?:[\W{odd}](?<!{SPACE}))") if odd else (r"\w", rf"(?:\W(?<!{SPACE}))")
+        if any(re.search(f"{letters}{others}|{others}{letters}", p) for p in texts):
+            return re.compile(f"{SPACE}+[^{SPACE}]*|[^{SPACE}]+")
+        return re.compile(f"{SPACE}*(?:{letters}+|{others}+)|{SPACE}+")
+
     def merged(self, text: str) -> list[str]:
         """What merging the best-scored neighbours, leftmost first, makes of a short text."""
         parts = list(text)
@@ -245,7 +258,7 @@ class Pieces:
             self.loose.clear()
             self.loose_names = []
         lines = [self.library.normalize(t) for t in texts]
-        split = [_UNIT.findall(x) if self.by_word else [x] * bool(x) for x in lines]
+        split = [self.unit.findall(x) if self.unit else [x] * bool(x) for x in lines]
         new = dict.fromkeys(w for words in split for w in words if w not in self.words)
         part, size, long = [], 0, []
         for w in new:
@@ -295,11 +308,13 @@ def encode(df: DataFrame, text_col: str = "text", model_path: str = MODEL, keep:
     An empty table gives an empty result; ties and repeated rows stay, each with its ids.
     """
     model = Path(model_path).read_bytes()
+    small_batches(df.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pieces = loaded(model)
         for batch in batches:
-            for part in by_bytes(batch, 1, SLICE):
+            for a, b in cuts(batch.column(1), SLICE):
+                part = batch.slice(a, b - a)
                 ids = pieces.ids([x or "" for x in part.column(1).to_pylist()])
                 lists = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, ids)]), pa.int32()), pa.array(np.concatenate(ids)))
                 yield pa.RecordBatch.from_arrays([part.column(0), lists, pa.array([pieces.decode(x.tolist()) for x in ids], pa.string())], ["row", "ids", "decoded"])

@@ -13,7 +13,10 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sluicework.session import written
+from sluicework.session import if_few, written
+
+#: Blobs with findings, about 200 bytes each, that may be broadcast.
+FINDINGS = 1 << 18
 
 
 @dataclass(frozen=True)
@@ -80,11 +83,14 @@ def scan(docs: DataFrame, path_col: str = "doc_id", text_col: str = "text", rule
 
 
 def redacted(docs: DataFrame, path_col: str = "doc_id", text_col: str = "text", rules: tuple[Rule, ...] = RULES, ledger: DataFrame | None = None) -> DataFrame:
-    """docs with the secrets of its text column replaced by their kinds; the other columns and clean texts stay as they are."""
+    """docs with the secrets of its text column replaced by their kinds; the other columns and clean texts stay as they are.
+
+    Blobs with findings go to the rows if they are few; otherwise rows and findings meet by blob.
+    """
     _, by_blob, _ = _looked_up(docs, path_col, text_col, rules, ledger)
     text = F.col(f"row.`{text_col}`")
     rows = docs.select(F.struct(*[docs[f"`{c}`"] for c in docs.columns]).alias("row"), F.sha2(F.coalesce(docs[f"`{text_col}`"], F.lit("")), 256).alias("blob"))
-    both = rows.join(by_blob, "blob", "left")
+    both = rows.join(if_few(by_blob, FINDINGS), "blob", "left")
     new = F.when(F.col("spans").isNotNull(), redact(text, F.col("spans"))).otherwise(text)
     return both.select(*[(new if c == text_col else F.col(f"row.`{c}`")).alias(c) for c in docs.columns])
 

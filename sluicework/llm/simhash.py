@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from sluicework.operators.components import connected_components
-from sluicework.session import written
+from sluicework.session import if_few, small_batches, written
 
 THRESHOLD = 3
 SHINGLE = 3
@@ -176,18 +176,26 @@ def near_links(prints: DataFrame, most: int = BLOCK) -> DataFrame:
     return links
 
 
-def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: bool = False) -> DataFrame:
-    """(uid, id, fp, group, component) for every row, and row, a struct of df's columns, if ``keep``.
+def numbered(df: DataFrame, id_col: str, text_col: str, uid_col: str | None) -> DataFrame:
+    """(uid, id, text) of every row, written so that uid stays the same; df's own uid_col if it is named."""
+    uid = F.monotonically_increasing_id() if uid_col is None else F.col(f"`{uid_col}`")
+    rows = df.select(uid.alias("uid"), F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").alias("text"))
+    return written(rows, "numbered") if uid_col is None else rows
 
-    group is the same number for all of a group and component its smallest id; uid numbers the rows. Groups are
-    the closure of links within 3 bits; a null or blank text has fingerprint 0 and is linked like any other. Rows
-    with a null id keep their row and can join groups; they never name one (a group of them alone has a null
-    component). Repeated rows stay. An empty table gives an empty result. Other columns are ignored.
+
+def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", uid_col: str | None = None) -> DataFrame:
+    """(uid, id, fp, group, component) for every row.
+
+    group is the same number for all of a group and component its smallest id; uid numbers the rows, by ``uid_col`` if df
+    is a written table that has such a column. Groups are the closure of links within 3 bits; a null or blank text has
+    fingerprint 0 and is linked like any other. Very long texts are read whole. Rows with a null id keep their row and
+    can join groups; they never name one (a group of them alone has a null component). Repeated rows stay. An empty
+    table gives an empty result. Other columns are ignored.
     """
-    own = [F.struct(*[df[f"`{c}`"] for c in df.columns]).alias("row")] if keep else []
-    rows = df.select(*own, F.monotonically_increasing_id().alias("uid"), F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").alias("text"))
-    marks = T.StructType([*rows.schema.fields[:-1], T.StructField("fp", T.LongType())])
-    marked = written(rows.mapInArrow(_fingerprints, marks), "simhash-prints")
+    small_batches(df.sparkSession)
+    uid = F.monotonically_increasing_id() if uid_col is None else F.col(f"`{uid_col}`")
+    rows = df.select(uid.alias("uid"), F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").alias("text"))
+    marked = written(rows.mapInArrow(_fingerprints, "uid long, id long, fp long"), "simhash-prints")
     distinct = written(marked.groupBy("fp").agg(F.min("id").alias("least")), "simhash-distinct")
     group = connected_components(near_links(distinct.select("fp")), "a", "b")
     group = distinct.join(group.withColumnRenamed("node", "fp"), "fp")
@@ -197,15 +205,18 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     return marked.join(written(known, "simhash-groups"), "fp")
 
 
-def one_of_each(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", found: DataFrame | None = None) -> DataFrame:
+def one_of_each(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", groups=near_duplicates) -> DataFrame:
     """df with one row of each group of near-duplicates: that of the smallest id (null last; of rows that repeat it, any one).
 
-    found has the groups (row, uid, id, group) of df's rows; near_duplicates gives them unless they are passed.
+    ``groups`` is a function like near_duplicates, which is taken unless another is passed. Rows are numbered once; what
+    meets by group are numbers alone, never texts.
     """
-    found = near_duplicates(df, id_col, text_col, keep=True) if found is None else found
-    kept = found.groupBy("group").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "uid")).alias("first")).select("first.uid")
-    kept = found.select("uid", "row").join(written(kept, "simhash-kept"), "uid", "left_semi")
-    return kept.select(*[F.col(f"row.`{c}`").alias(c) for c in df.columns])
+    rows = written(df.select(F.struct(*[df[f"`{c}`"] for c in df.columns]).alias("row"), F.monotonically_increasing_id().alias("uid")), "simhash-rows")
+    of = rows.select("uid", F.col(f"row.`{id_col}`").alias("id"), F.col(f"row.`{text_col}`").alias("text"))
+    found = written(groups(of, "id", "text", uid_col="uid").select("uid", "id", "group"), "simhash-found")
+    kept = written(found.groupBy("group").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "uid")).alias("first")).select("first.uid"), "simhash-kept")
+    gone = if_few(written(found.select("uid").join(kept, "uid", "left_anti"), "simhash-gone"))
+    return rows.join(gone, "uid", "left_anti").select(*[F.col(f"row.`{c}`").alias(c) for c in df.columns])
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,10 +1,11 @@
 """Toxicity by a character n-gram linear classifier with naive Bayes features.
 
-Features are the 4- to 6-byte n-grams present in a text (A-Z lowered). Each is scaled by its naive Bayes
-log-count ratio between the toxic and the other training rows, and a logistic regression is fitted on top.
-Training reads at most ``SAMPLE`` labelled rows, chosen by a hash of their id, in one task; the model that comes
-back has at most ``FEATURES`` weights, whatever the size of the corpus. Scoring is one pass over the documents
-without a shuffle.
+Features are the n-grams of 4 to 7 characters (code points, in lower case) present in a text. Each is scaled by its
+naive Bayes log-count ratio between the toxic and the other training rows, and a logistic regression is fitted on top.
+Its margins become chances by a second, one-dimensional regression on margins that were cross-fitted: half of the
+training rows are scored by a model of the other half. Training reads at most ``SAMPLE`` labelled rows, chosen by a
+hash of their id, and of these at most ``SAMPLE_BYTES``; the model that comes back has at most ``FEATURES`` weights,
+whatever the size of the corpus. Scoring is one pass over the documents without a shuffle.
 """
 
 from __future__ import annotations
@@ -17,44 +18,52 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-SAMPLE = 8000
+from sluicework.llm.batches import cuts
+from sluicework.session import small_batches
+
+SAMPLE, SAMPLE_BYTES = 8000, 1 << 26
 FEATURES = 1 << 14
-LENGTHS = (4, 5, 6)
+LENGTHS = (4, 5, 6, 7)
 HASH_BITS = 22
 LEAST_ROWS = 4
 PENALTY = 2.0
 ROUNDS = 200
+#: How much a toxic row counts against another in turning margins into chances; missing one costs more than a false alarm.
+TOXIC_WEIGHT = 3.0
 THRESHOLD = 0.7
-#: Texts are hashed in pieces of about this many bytes together.
-CHUNK = 1 << 21
-PAD = b"\0" * max(LENGTHS)
+#: Characters that are hashed together, and bytes of text that are scored together.
+CHUNK, SLICE = 1 << 19, 1 << 21
+_PAD = np.zeros(max(LENGTHS), np.uint32)
 
 
-def _grams(texts: list[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+def _grams(texts: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """(text's number, feature) of every n-gram, in chunks; a text longer than a chunk comes in overlapping pieces."""
-    pieces = []
-    for k, t in enumerate(texts):
-        t = PAD[:1] + t.lower()
-        pieces += [(k, t[i : i + CHUNK + max(LENGTHS) - 1]) for i in range(0, len(t), CHUNK)]
-    at = 0
-    while at < len(pieces):
-        stop, size = at, 0
-        while stop < len(pieces) and (stop == at or size + len(pieces[stop][1]) <= CHUNK):
-            size, stop = size + len(pieces[stop][1]), stop + 1
-        part = pieces[at:stop]
-        at = stop
-        raw = np.frombuffer(b"".join(t + PAD for _, t in part), np.uint8)
-        owner = np.repeat(np.array([k for k, _ in part], np.int32), [len(t) + len(PAD) for _, t in part])
-        n = len(raw) - len(PAD)
-        value = np.zeros(n, np.uint64)
+    held, size = [], 0
+
+    def out() -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        code = np.concatenate([x for _, c in held for x in (c, _PAD)])
+        owner = np.repeat(np.array([k for k, _ in held], np.int32), [len(c) + len(_PAD) for _, c in held])
+        n = len(code) - len(_PAD)
+        h = np.zeros(n, np.uint64)
         for k in range(max(LENGTHS)):
-            value |= raw[k : k + n].astype(np.uint64) << np.uint64(8 * k)
+            h = h * np.uint64(0x9E3779B97F4A7C15) + code[k : k + n] + np.uint64(1)
             if k + 1 in LENGTHS:
-                mixed = (value + np.uint64(k)) * np.uint64(0x9E3779B97F4A7C15)
-                yield owner[:n], ((mixed ^ mixed >> np.uint64(29)) * np.uint64(0xBF58476D1CE4E5B9) >> np.uint64(64 - HASH_BITS)).astype(np.int32)
+                yield owner[:n], ((h ^ h >> np.uint64(29)) * np.uint64(0xBF58476D1CE4E5B9) >> np.uint64(64 - HASH_BITS)).astype(np.int32)
 
-
-def _present(texts: list[bytes], table: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    for k, t in enumerate(texts):
+        code = np.frombuffer(("\0" + t.lower()).encode("utf-32-le", "surrogatepass"), np.uint32)
+        for i in range(0, len(code), CHUNK):
+            part = code[i : i + CHUNK + max(LENGTHS) - 1]
+            if held and size + len(part) > CHUNK:
+                yield from out()
+                held, size = [], 0
+            held.append((k, part))
+            size += len(part)
+    if held:
+        yield from out()
+
+
+def _present(texts: list[str], table: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Distinct (text, feature) pairs, sorted; only features marked in ``table`` if it is given."""
     keys = []
     for owner, feature in _grams(texts):
@@ -66,35 +75,36 @@ def _present(texts: list[bytes], table: np.ndarray | None = None) -> tuple[np.nd
     return keys >> HASH_BITS, keys & ((1 << HASH_BITS) - 1)
 
 
-def fit(texts: list[bytes], toxic: np.ndarray) -> tuple[np.ndarray, np.ndarray, float]:
+def fit(texts: list[str], toxic: np.ndarray) -> tuple[np.ndarray, np.ndarray, float]:
     """Features, weights and bias. Without rows of both classes: no feature, and the log-odds of the counts plus one."""
     toxic = toxic.astype(bool)
     bias = float(np.log((toxic.sum() + 1) / ((~toxic).sum() + 1)))
     none = np.empty(0, np.int32), np.empty(0, np.float32), bias
     if toxic.all() or not toxic.any():
         return none
-    counts = np.zeros((2, 1 << HASH_BITS))
-    for k in range(0, len(texts), 256):
-        row, feature = _present(texts[k : k + 256])
+    counts = np.zeros((2, 1 << HASH_BITS), np.int32)
+    for k in range(0, len(texts), 64):
+        row, feature = _present(texts[k : k + 64])
         hit = toxic[k + row]
-        counts[1] += np.bincount(feature[hit], minlength=1 << HASH_BITS)
-        counts[0] += np.bincount(feature[~hit], minlength=1 << HASH_BITS)
-    p, q = (counts[1] + 1) / (toxic.sum() + 2), (counts[0] + 1) / ((~toxic).sum() + 2)
-    ratio = np.log(p / q)
-    firm = np.abs(ratio) / np.sqrt(1 / (counts[1] + 1) + 1 / (counts[0] + 1))  # in standard errors
-    firm[counts.sum(axis=0) < LEAST_ROWS] = 0
-    chosen = np.argsort(-firm, kind="stable")[:FEATURES]
-    chosen = np.sort(chosen[firm[chosen] > 0]).astype(np.int32)
-    if not len(chosen):
+        np.add.at(counts[1], feature[hit], 1)
+        np.add.at(counts[0], feature[~hit], 1)
+    some = np.flatnonzero(counts[0] + counts[1] >= LEAST_ROWS)
+    one, other = counts[1][some].astype(float), counts[0][some].astype(float)
+    del counts
+    ratio = np.log((one + 1) / (toxic.sum() + 2)) - np.log((other + 1) / ((~toxic).sum() + 2))
+    firm = np.abs(ratio) / np.sqrt(1 / (one + 1) + 1 / (other + 1))  # in standard errors
+    best = np.argsort(-firm, kind="stable")[:FEATURES]
+    best = np.sort(best[firm[best] > 0])
+    if not len(best):
         return none
-    r = ratio[chosen]
+    chosen, r = some[best].astype(np.int32), ratio[best]
     table = np.zeros(1 << HASH_BITS, bool)
     table[chosen] = True
     rows, cols = [], []
-    for k in range(0, len(texts), 256):
-        row, feature = _present(texts[k : k + 256], table)
-        rows.append(row + k)
-        cols.append(np.searchsorted(chosen, feature))
+    for k in range(0, len(texts), 64):
+        row, feature = _present(texts[k : k + 64], table)
+        rows.append((row + k).astype(np.int32))
+        cols.append(np.searchsorted(chosen, feature).astype(np.int32))
     row, col = np.concatenate(rows), np.concatenate(cols)
     value = r[col]
     n, y = len(texts), toxic.astype(float)
@@ -109,29 +119,92 @@ def fit(texts: list[bytes], toxic: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     return chosen, (w * r).astype(np.float32), float(b)
 
 
+def margins(texts: list[str], model: tuple[np.ndarray, np.ndarray, float], tables: tuple[np.ndarray, np.ndarray] | None = None) -> np.ndarray:
+    weight, marked = tables or _tables(model)
+    row, feature = _present(texts, marked)
+    return np.bincount(row, weight[feature], len(texts)) + model[2]
+
+
+def _tables(model: tuple[np.ndarray, np.ndarray, float]) -> tuple[np.ndarray, np.ndarray]:
+    weight, marked = np.zeros(1 << HASH_BITS, np.float32), np.zeros(1 << HASH_BITS, bool)
+    weight[model[0]], marked[model[0]] = model[1], True
+    return weight, marked
+
+
+def chances(z: np.ndarray, toxic: np.ndarray, weight: float = TOXIC_WEIGHT) -> tuple[float, float]:
+    """Slope and shift that turn margins into log-odds: a logistic regression by damped Newton steps; (1, 0) without rows of both classes."""
+    if not len(z) or toxic.all() or not toxic.any() or z.std() == 0:
+        return 1.0, 0.0
+    y, each = np.where(toxic, 1.0, -1.0), np.where(toxic, weight, 1.0)
+    mean, size = z.mean(), z.std()
+    x, c = (z - mean) / size, np.zeros(2)
+    loss = lambda c: (each * np.logaddexp(0, -y * (c[0] * x + c[1]))).sum() + 0.001 * c[0] ** 2
+    for _ in range(50):
+        p = 1 / (1 + np.exp(-np.clip(c[0] * x + c[1], -40, 40)))
+        off, bend = each * (p - (y > 0)), each * p * (1 - p) + 1e-6
+        step = np.linalg.solve([[(bend * x * x).sum() + 0.002, (bend * x).sum()], [(bend * x).sum(), bend.sum()]], [(off * x).sum() + 0.002 * c[0], off.sum()])
+        share = 1.0
+        while loss(c - share * step) > loss(c) and share > 1e-6:
+            share /= 2
+        c = c - share * step
+    slope = max(c[0] / size, 1e-3)  # a higher margin is never less toxic
+    return float(slope), float(c[1] - slope * mean)
+
+
+MODEL = "part int, features binary, weights binary, bias double, margins binary, toxic binary"
+
+
 def _train(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    texts, toxic = [], []
+    """Rows (part, text, toxic, fold), sorted by part, to a model for each part: part 2 trains on all its rows, 0 and 1 on one fold and score the other."""
+    texts, toxic, fold, held, size = [], [], [], None, 0
+
+    def done() -> pa.RecordBatch:
+        y, apart = np.array(toxic, bool), np.array(fold) == held
+        model = fit([t for t, a in zip(texts, apart, strict=True) if not a], y[~apart])
+        z = margins([t for t, a in zip(texts, apart, strict=True) if a], model) if apart.any() else np.empty(0)
+        row = [held], [model[0].tobytes()], [model[1].tobytes()], [model[2]], [z.astype(float).tobytes()], [y[apart].tobytes()]
+        kinds = pa.int32(), pa.binary(), pa.binary(), pa.float64(), pa.binary(), pa.binary()
+        return pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(row, kinds, strict=True)], ["part", "features", "weights", "bias", "margins", "toxic"])
+
     for batch in batches:
-        texts += [(x.as_py() or "").encode("utf-8", "surrogatepass") for x in batch.column(0)]
-        toxic += batch.column(1).to_pylist()
-    features, weights, bias = fit(texts, np.array(toxic, int))
-    yield pa.RecordBatch.from_arrays([pa.array([features.tobytes()]), pa.array([weights.tobytes()]), pa.array([bias])], ["features", "weights", "bias"])
+        for part, text, label, own in zip(*(batch.column(k) for k in range(4)), strict=True):
+            if held is not None and part.as_py() != held:
+                yield done()
+                texts, toxic, fold, size = [], [], [], 0
+            held, t = part.as_py(), text.as_py() or ""
+            if size + len(t) <= SAMPLE_BYTES:
+                texts.append(t)
+                toxic.append(label.as_py())
+                fold.append(own.as_py())
+                size += len(t)
+    if held is not None:
+        yield done()
 
 
 def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> tuple[np.ndarray, np.ndarray, float]:
     """The model, from rows of docs (doc_id, text) labelled in labels (doc_id, toxic) that aren't held out.
 
-    Rows with a null id or label don't train; repeated rows may each count. At most ``sample`` rows are read, the
-    first by a hash of their id, so that reruns agree; that table is small by this bound.
+    Rows with a null id or label don't train. An id labelled more than once is toxic if any of its labels says so; of
+    rows of docs that repeat an id the least text trains. At most ``sample`` ids are read, the first by a hash of them, so
+    that reruns agree; that table is small by this bound. Texts are read whole, and those left out that would bring
+    their characters over ``SAMPLE_BYTES``. Without a row to train from all odds are even. Three tasks train: one on all
+    rows, two on half of them each, whose scores of the other half (at most ``sample``) come to the driver to turn
+    margins into chances.
     """
     usable = labels.select("doc_id", "toxic").where("doc_id is not null and toxic is not null").where(~held_out("doc_id"))
-    some = usable.orderBy(F.md5(F.col("doc_id").cast("string")), "toxic").limit(sample)
-    rows = docs.select(F.col("doc_id").alias("id"), "text").join(F.broadcast(some), F.col("id") == F.col("doc_id")).select("text", "toxic", "doc_id")
-    rows = rows.repartition(1).sortWithinPartitions("doc_id", "text", "toxic").select("text", "toxic")
-    row = rows.mapInArrow(_train, "features binary, weights binary, bias double").first()
-    if row is None:  # no row to train from: even odds
+    usable = usable.groupBy("doc_id").agg((F.max("toxic") == 1).alias("toxic")).withColumn("turn", F.md5(F.col("doc_id").cast("string")))
+    some = usable.orderBy("turn", "doc_id").limit(sample)
+    own = docs.select(F.col("doc_id").alias("id"), "text").join(F.broadcast(some), F.col("id") == F.col("doc_id"))
+    own = own.groupBy("turn", "doc_id", "toxic").agg(F.min("text").alias("text"))
+    rows = own.withColumn("part", F.explode(F.array(F.lit(0), F.lit(1), F.lit(2)))).withColumn("fold", F.pmod(F.crc32(F.col("turn").cast("binary")), F.lit(2)).cast("int"))
+    rows = rows.repartitionByRange(3, "part").sortWithinPartitions("part", "turn", "doc_id").select("part", "text", "toxic", "fold")
+    found = {r["part"]: r for r in rows.mapInArrow(_train, MODEL).collect()}  # three rows at most
+    if not found:
         return np.empty(0, np.int32), np.empty(0, np.float32), 0.0
-    return np.frombuffer(row[0], np.int32), np.frombuffer(row[1], np.float32), row[2]
+    of = lambda name, kind: np.concatenate([np.frombuffer(found[k][name], kind) for k in (0, 1)])
+    slope, shift = chances(of("margins", np.float64), of("toxic", bool))
+    whole = found[2]
+    return np.frombuffer(whole["features"], np.int32), (np.frombuffer(whole["weights"], np.float32) * np.float32(slope)), whole["bias"] * slope + shift
 
 
 def held_out(doc_id: str):
@@ -139,26 +212,26 @@ def held_out(doc_id: str):
     return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % 3 == 1, F.lit(False))
 
 
-def scores(texts: list[bytes], model: tuple[np.ndarray, np.ndarray, float], table: np.ndarray, marked: np.ndarray) -> np.ndarray:
-    row, feature = _present(texts, marked)
-    z = np.bincount(row, table[feature], len(texts)) + model[2]
-    return 1 / (1 + np.exp(-np.clip(z, -40, 40)))
-
-
 def score(df: DataFrame, model: tuple[np.ndarray, np.ndarray, float], text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
-    """``row`` (a struct of df's columns, or of ``keep``) and score for every row; a null text is scored as an empty one."""
+    """``row`` (a struct of df's columns, or of ``keep``) and score for every row.
+
+    A null text is scored as an empty one, whose score is that of the bias alone. Equal texts have equal scores, whatever
+    their other columns; repeated rows stay. Very long texts are read whole, in pieces. An empty table gives an empty
+    result. Columns of any name can be kept, since they stay inside ``row``.
+    """
+    small_batches(df.sparkSession)
+    own = df.columns if keep is None else keep
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table, marked = np.zeros(1 << HASH_BITS, np.float32), np.zeros(1 << HASH_BITS, bool)
-        table[model[0]], marked[model[0]] = model[1], True
+        tables = _tables(model)
         for batch in batches:
-            out = np.empty(batch.num_rows)
-            for k in range(0, batch.num_rows, 512):
-                texts = [(x.as_py() or "").encode("utf-8", "surrogatepass") for x in batch.column(1)[k : k + 512]]
-                out[k : k + 512] = scores(texts, model, table, marked)
+            text, out = batch.column(1) if batch.num_columns > 1 else batch.column(0).field(own.index(text_col)), np.empty(batch.num_rows)
+            for a, b in cuts(text, SLICE):
+                z = margins([x or "" for x in text.slice(a, b - a).to_pylist()], model, tables)
+                out[a:b] = 1 / (1 + np.exp(-np.clip(z, -40, 40)))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out)], ["row", "score"])
 
-    rows = df.select(F.struct(*[df[f"`{c}`"] for c in keep or df.columns]).alias("row"), F.col(f"`{text_col}`").alias("text"))
+    rows = df.select(F.struct(*[df[f"`{c}`"] for c in own]).alias("row"), *([] if text_col in own else [F.col(f"`{text_col}`").alias("text")]))  # a text travels once
     return rows.mapInArrow(run, T.StructType([T.StructField("row", rows.schema["row"].dataType), T.StructField("score", T.DoubleType())]))
 
 

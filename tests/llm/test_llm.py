@@ -278,7 +278,8 @@ def test_html(spark):
     rng, model, right, n = random.Random(12345), html_blocks.trained(), 0, 0
     for _ in range(100):
         text, y = html_blocks.layout(rng)
-        p = html_blocks.label([html_blocks.features([(a, t.removeprefix("Α"), s) for a, t, s in html_blocks.blocks(text)])], list(model))[0]
+        x = html_blocks.features([(a, t.removeprefix("Α"), s) for a, t, s in html_blocks.blocks(text)])
+        p = html_blocks.label([html_blocks._given(x, list(model))], list(model))[0]
         right, n = right + int(((p >= 0.5) == np.array(y)).sum()), n + len(y)
     assert right / n > 0.98
 
