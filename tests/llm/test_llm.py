@@ -217,28 +217,76 @@ def test_pieces_of_long_words(monkeypatch):
 
 def test_surrogates(spark, docs, none):
     rows = [(1, "Mail Für.60@x.example.com FÜR.60@x.example.com +1 (017) 555-7713 4111 1111 1111 1111 10.2.3.4", "e"), (2, "Frau Anna Schmidt, Herr Karl Weber", "n"), (3, None, "n"), (4, "no 3.14 v1.2.3.4.5", "n"), (5, "für.60@x.example.com", "e")]
-    got = {r.doc_id: r for r in surrogates.replace(spark.createDataFrame(rows, "doc_id int, text string, n_entities string")).collect()}
+    got = {r.doc_id: r for r in surrogates.replace(spark.createDataFrame(rows, "doc_id int, text string, n_entities string"), "k").collect()}
     mails = re.findall(r"\S+@\S+", got[1].text) + [got[5].text]
-    assert len({m.lower() for m in mails}) == 1 and "60@x" not in got[1].text and got[1].n_entities == 5
+    assert len({m.lower() for m in mails}) == 1 and "60@x" not in got[1].text and got[1].n_entities_1 == 5 and got[1].n_entities == "e"
     card = re.search(r"((?:\d{4} ){3}\d{4}) [\d.]+$", got[1].text)[1].replace(" ", "")
     assert sum(int(c) if k % 2 else sum(divmod(2 * int(c), 10)) for k, c in enumerate(card)) % 10 == 0 and card != "4" + "1" * 15
     assert re.fullmatch(r"Frau \w+na \w+, Herr \w+n \w+", got[2].text) and got[3].text is None and got[4].text == rows[3][1]
-    assert surrogates.replace(docs).count() == len(_rows()) and surrogates.replace(none).count() == 0
-    many = spark.range(3000).select(F.lit("ssn").alias("kind"), F.format_string("%04d", F.col("id") % 600).alias("canonical"))
-    made = surrogates.mapping(many).collect()
+    assert surrogates.replace(docs, "k").count() == len(_rows()) and surrogates.replace(none, "k").count() == 0
+    many = spark.range(3000).select(F.lit("ssn").alias("kind"), F.format_string("%04d", F.col("id") % 600).alias("canonical"), F.lit("n").alias("gender"))
+    made = surrogates.mapping(many, "k").collect()
     assert len(made) == 600 == len({r.surrogate for r in made}) and not {r.surrogate for r in made} & {r.canonical for r in made}
 
 
 def test_surrogates_of_phone_and_card_layouts(spark):
     layouts = ["+491701234567", "+49 170 1234567", "+34 612 34 56 78", "06 12 34 56 78", "612 34 56 78", "+33 6 12 34 56 78", "5551234567", "01701234567", "+44 (0)20 79460123", "+1 (017) 555-7713", "3782 822463 10005", "378282246310005", "4111 1111 1111 1111"]
     rows = [(k, f"call {x}, now") for k, x in enumerate(layouts)] + [(50, "+49 170 1234567 4111 1111 1111 1111"), (51, "in 2024, 1700000000 or 3.1415926535 or 12 34 56")]
-    got = {r.doc_id: r for r in surrogates.replace(spark.createDataFrame(rows, "doc_id int, text string")).collect()}
+    got = {r.doc_id: r for r in surrogates.replace(spark.createDataFrame(rows, "doc_id int, text string"), "k").collect()}
     for k, x in enumerate(layouts):
         assert got[k].n_entities == 1 and x not in got[k].text and re.sub(r"\d", "0", got[k].text) == re.sub(r"\d", "0", rows[k][1]), x
     squeezed = [re.sub(r"\D", "", got[k].text) for k in (0, 1)]
     assert squeezed[0] == squeezed[1] and got[50].n_entities == 2 and got[50].text.startswith(got[1].text[5:-5]) and got[51].n_entities == 0
 
 
+def test_surrogates_keep_persons_together(spark):
+    rows = [
+        (1, "Herr Karl Weber kam. Karl Weber ging. Dr. Karl Weber blieb, und Weber schlief; KARL WEBER auch. Ein weber webt."),
+        (2, "I met John Smith and Mr Smith. Mrs Anne-Marie O'Brien left; O'Brien's cat stayed. Prof. John A. Doe too."),
+        (3, "Frau Dr. Anna von Berg, госпожа Анна Иванова. Smith is not known here."),
+        (4, "Señora Andrea Weber. Mr Andrea Rossi."),
+    ]
+    got = {r.doc_id: r for r in surrogates.replace(spark.createDataFrame(rows, "doc_id int, text string"), "k").collect()}
+    m = re.fullmatch(r"Herr (\w+n) (\w+) kam. (\w+) (\w+) ging. Dr. (\w+) (\w+) blieb, und (\w+) schlief; (\w+) (\w+) auch. Ein weber webt.", got[1].text)
+    karl, weber = m[1], m[2]
+    assert [m[k] for k in range(3, 10)] == [karl, weber, karl, weber, weber, karl.upper(), weber.upper()] and got[1].n_entities == 6
+    n = re.fullmatch(r"I met (\w+n) (\w+) and Mr (\w+). Mrs (\w+na) (\w+) left; (\w+)'s cat stayed. Prof. (\w+n) A. (\w+) too.", got[2].text)
+    assert n[2] == n[3] and n[5] == n[6] and n[1] == n[7] and len({karl, weber, n[1], n[2], n[4], n[5], n[8]}) == 7
+    o = re.fullmatch(r"Frau Dr. (\w+na) von (\w+), госпожа ([а-я]+на) ([а-я]+). Smith is not known here.", got[3].text.replace("А", "а").lower().replace("frau dr", "Frau Dr").replace("smith", "Smith"))
+    assert o and got[3].n_entities == 2
+    p = re.fullmatch(r"Señora (\w+) (\w+). Mr (\w+) (\w+).", got[4].text)
+    assert p[2] == weber and p[1] == p[3] and p[4] not in (weber, p[1])
+    with pytest.raises(ValueError):
+        surrogates.replace(spark.createDataFrame(rows, "doc_id int, text string"), "")
+
+
+def test_surrogates_against_slots(spark):
+    """Texts made of slots: equal entities in any spelling have equal surrogates, different ones different, the rest stays."""
+    rng = random.Random(11)
+    digits = lambda n: "".join(rng.choices("0123456789", k=n))
+    people = [f"{a}.{b}{k}@{c}.org" for k, (a, b, c) in enumerate((rng.choice(["ann", "bob"]), rng.choice(["lee", "kim"]), rng.choice(["mail", "post"])) for _ in range(60))]
+    spell = {"email": lambda e: rng.choice([e, e.upper(), e.title()]), "phone": lambda e: f"+1 ({e[:3]}) {e[3:6]}{rng.choice('- .')}{e[6:]}", "ssn": lambda e: f"{e[:3]}-{e[3:5]}-{e[5:]}"}
+    known = {"email": people, "phone": sorted({"2" + digits(9) for _ in range(60)}), "ssn": sorted({"1" + digits(8) for _ in range(60)})}
+    rows, slots = [], []
+    for k in range(150):
+        own = [(kind := rng.choice(list(spell)), rng.choice(known[kind])) for _ in range(rng.randint(0, 6))]
+        written = [spell[kind](e) for kind, e in own]
+        rows.append((k, "start " + "".join(f"<{w}> then " for w in written) + "end"))
+        slots.append(own)
+    got = {r.doc_id: r for r in surrogates.replace(spark.createDataFrame(rows, "doc_id int, text string").repartition(4), "k").collect()}
+    norm = {"email": str.lower, "phone": lambda x: re.sub(r"\D", "", x), "ssn": lambda x: re.sub(r"\D", "", x)}
+    to = {}
+    for k, own in enumerate(slots):
+        parts = re.findall(r"<([^>]*)>", got[k].text)
+        assert re.sub(r"<[^>]*>", "<>", got[k].text) == re.sub(r"<[^>]*>", "<>", rows[k][1]) and got[k].n_entities == len(own) == len(parts)
+        for (kind, e), new, old in zip(own, parts, re.findall(r"<([^>]*)>", rows[k][1]), strict=True):
+            assert to.setdefault((kind, e), norm[kind](new)) == norm[kind](new)
+            assert re.sub(r"[a-z]", "a", re.sub(r"[A-Z]", "A", re.sub(r"\d", "0", new))).rpartition(".")[0] == re.sub(r"[a-z]", "a", re.sub(r"[A-Z]", "A", re.sub(r"\d", "0", old))).rpartition(".")[0]
+    for kind in spell:
+        made = [v for (k, _), v in to.items() if k == kind]
+        assert len(set(made)) == len(made) and not set(made) & set(known[kind])
+
+
 def test_secrets(spark, docs, none):
     found, entries = secrets.scan(docs)
     got = {r.path: [(s.kind, s.start, s.end) for s in r.spans] for r in found.collect()}
