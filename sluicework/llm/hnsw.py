@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from sluicework.session import written
+from sluicework.session import small_batches, written
 
 SHARD = 1 << 15
 BLOCK = 512
@@ -278,6 +278,7 @@ def nearest(df: DataFrame, is_query, k: int = NEAREST, id_col: str = "vec_id", v
     table gives an empty result. Other columns are ignored. Components of any numeric type are compared in double
     precision.
     """
+    small_batches(df.sparkSession)
     single = df.select(F.col(f"`{vector_col}`").alias("v")).schema["v"].dataType.elementType.typeName() == "float"
     v = F.col(f"`{vector_col}`").cast("array<float>" if single else "array<double>")
     good = v.isNotNull() & ~F.exists(v, lambda c: c.isNull() | F.isnan(c) | (F.abs(c) == float("inf"))) & F.exists(v, lambda c: c != 0)

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from sluicework.session import written
+from sluicework.session import small_batches, written
 
 K = 8
 FUNCTIONS = 32
@@ -136,12 +136,16 @@ def _ends(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def with_next(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next for every row.
 
-    Rows are in the order of their ids (null first; rows of one id by text, so repeated rows stay and follow each
-    other); the last is followed by the first, a single row by itself. A null text is an empty one. An empty table
-    gives an empty result. Other columns are ignored. Two empty texts are alike (1).
+    Rows are in the order of their ids (null first; rows of one id by their text's hash, so repeated rows stay and
+    follow each other); the last is followed by the first, a single row by itself. A null text is an empty one. Very
+    long texts are read whole. An empty table gives an empty result. Other columns are ignored. Two empty texts are
+    alike (1). An id, or a row, that many rows repeat is dealt to several tasks.
     """
     rows = df.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("text"))
-    along = written(rows.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text").mapInArrow(_along, KINDS), "order-minhash")
+    small_batches(df.sparkSession)
+    order = ["doc_id", F.xxhash64("text"), "text", "tie"]
+    laid = rows.withColumn("tie", F.monotonically_increasing_id()).repartitionByRange("doc_id", order[1], "tie").sortWithinPartitions(*order).drop("tie")
+    along = written(laid.mapInArrow(_along, KINDS), "order-minhash")
     # One row a partition from here on.
     ends = along.where("kind > 0").select("kind", "part", "doc_id", "text")
     parts = ends.where("kind = 1").select("part", F.coalesce(F.lead("part").over(W.orderBy("part")), F.min("part").over(W.partitionBy())).alias("following"))

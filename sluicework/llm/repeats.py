@@ -34,7 +34,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sluicework.session import written
+from sluicework.session import small_batches, written
 
 LENGTH = 50
 KMER = 20
@@ -463,6 +463,7 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     bytes stay whole; a very long text is a block of its own. An empty table gives an empty result. Other columns are
     ignored.
     """
+    small_batches(df.sparkSession)
     rows = df.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").alias("text"))
     blocks = written(rows.mapInArrow(_pack, BLOCKS), "repeats-blocks")
     total = blocks.agg(F.sum("n_bytes")).first()[0] or 0
