@@ -7,7 +7,12 @@ from pyspark.sql import functions as F
 
 # Words that mark English; spelled ordinals.
 ENGLISH = "the of and to in is that for with as are be by this from it on at an was".split()
-ORDINALS = "first second third fourth fifth sixth seventh eighth ninth tenth eleventh twelfth".split()
+ORDINALS = (
+    "first second third fourth fifth sixth seventh eighth ninth tenth eleventh twelfth thirteenth fourteenth fifteenth sixteenth "
+    "seventeenth eighteenth nineteenth twentieth thirtieth fortieth fiftieth sixtieth"
+).split()
+#: A spelled ordinal at the start that no round or day follows.
+LEADING = rf"^({'|'.join(ORDINALS)}) +(?!round|stage|selection|day|problem)"
 
 
 def squeezed(text: Column) -> Column:
@@ -28,13 +33,12 @@ def norm_name(name: Column) -> Column:
 
 def name_variants(name: Column) -> Column:
     """The name, without a leading 'the', and without a leading spelled ordinal that no round or day follows."""
-    bare = F.regexp_replace(name, "^the ", "")
-    plain = F.regexp_replace(bare, rf"^({'|'.join(ORDINALS)}) (?!round|stage|selection|day|problem)", "")
-    return F.array_distinct(F.array(name, bare, plain))
+    return F.array_distinct(F.array(name, F.regexp_replace(name, "^the +", ""), key_form(name)))
 
 
 def key_form(name: Column) -> Column:
-    return F.regexp_replace(F.regexp_replace(name, r"[^a-z0-9 ]", ""), " +", " ")
+    """What a name and a table's key share: no leading 'the', no leading spelled ordinal."""
+    return F.regexp_replace(F.regexp_replace(name, "^the +", ""), LEADING, "")
 
 
 def year_of(text: Column) -> Column:
@@ -78,9 +82,14 @@ def overlap(a: Column, b: Column) -> Column:
     return F.when(least > 0, F.size(F.array_intersect(a, b)) / least).otherwise(0.0)
 
 
+def rest(array: Column) -> Column:
+    """An array without its first element."""
+    return F.slice(array, F.lit(2), F.greatest(F.size(array), F.lit(1)))
+
+
 def sections(body: Column) -> Column:
     """Map from '## ' heading to its text; of repeated headings the last."""
-    parts = F.slice(F.split(body, r"(?m)^## "), 2, 10**6)
+    parts = rest(F.split(body, r"(?m)^## "))
     entry = lambda p: F.struct(stripped(F.regexp_extract(p, r"\A([^\n]*)", 1)).alias("key"), stripped(F.regexp_replace(p, r"\A[^\n]*\n?", "")).alias("value"))
     rows = F.transform(parts, entry)
     return F.map_from_entries(F.filter(rows, lambda x, i: ~F.exists(F.slice(rows, i + 2, F.size(rows)), lambda y: y["key"] == x["key"])))
@@ -88,7 +97,7 @@ def sections(body: Column) -> Column:
 
 def hint_ladder(text: Column) -> Column:
     """Numbered items ('1. ' or '1、') in order."""
-    return F.filter(F.transform(F.slice(F.split(text, r"(?m)^\s*\d+[.、]\s+"), 2, 10**6), stripped), lambda x: x != "")
+    return F.filter(F.transform(rest(F.split(text, r"(?m)^\s*\d+[.、]\s+")), stripped), lambda x: x != "")
 
 
 def numbers(text: Column) -> Column:
@@ -106,3 +115,11 @@ def iso_week(day: Column) -> Column:
 
 def excerpt(text: Column, most: int = 160) -> Column:
     return F.when(F.length(text) > most, F.concat(F.substring(text, 1, most - 1), F.lit("…"))).otherwise(text)
+
+
+def contained(path: Column) -> Column:
+    """Whether a relative path never leaves the folder that it starts from."""
+    step = lambda p: F.when(p == "..", -1).when(p.isin(".", ""), 0).otherwise(1)
+    start = F.struct(F.lit(0).alias("deep"), F.lit(True).alias("inside"))
+    walked = F.aggregate(F.split(path, "/"), start, lambda s, p: F.struct((s["deep"] + step(p)).alias("deep"), (s["inside"] & (s["deep"] + step(p) >= 0)).alias("inside")))
+    return walked["inside"] & ~path.startswith("/")

@@ -14,34 +14,54 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as S
 
-from sluicework.functions.text import excerpt, numbers, stripped
+from sluicework.functions.text import excerpt, numbers, rest, stripped
 
-# Function words (folded), phrases and characters that mark a language. Others can be passed as parameters.
+# Function words (folded), phrases and characters that mark a language, one language a row. Others can be passed as parameters.
 WORDS = {
     "en": "a all an and are be by determine each every equality equals find for from given has holds if in integers is let numbers of on only positive prove such that the then there to which with",
     "es": "cada con cual de del demostrar determine donde enteros es existe hallar las los numeros para por positivos que sea sean si tal todos una y",
+    "pt": "ao aos as cada com da das de determinar demonstrar do dos e em existe inteiros nas no numeros o onde os para por positivos quanto que se seja sejam sao tal todos um uma",
     "fr": "avec dans de des determiner entiers est existe les montrer nombres ou par pour positifs que quel si soit soient tel tous trouver un une",
     "de": "alle auch das dass denen der die ein eine einem einen einer es folgende fur in ist man mit oder sei seien sind so und was wenn zeige",
+    "it": "a ad al alla altre che come con da dal dei del della delle di e gli i il in la le loro nei nel o per possiamo sia siano sono tra tutti una uno",
+    "nl": "als alle bepaal bewijs dat de deze dit door een elk er gegeven gehele getal getallen heeft het met niet op positieve voor waar waarvoor wordt zijn zodat",
+    "ro": "aratati avem ca cand care cu daca demonstrati determinati este exista fie fiecare gasiti numar numarul numere pentru pozitive sunt toate toti un unei",
+    "sl": "bo cela ce da doloci dokazi in je ki lahko naj obstaja poisci pozitivna stevila tako ter vsak za",
 }
 PHRASES = {
     "en": ["such that", "positive integers", "prove that", "let us"],
     "es": ["tal que", "numeros enteros", "para todo"],
+    "pt": ["tais que", "tal que", "numeros inteiros", "quanto mede"],
     "fr": ["tels que", "tel que", "nombres entiers", "pour tout"],
     "de": ["so dass", "in denen", "zeige dass", "fur alle"],
+    "it": ["in cui", "tale che", "in modo che", "uno dei", "una delle"],
+    "nl": ["zodat", "voor alle", "gehele getallen", "bepaal alle", "bewijs dat"],
+    "ro": ["astfel incat", "pentru toate", "numere intregi", "sa se arate"],
+    "sl": ["tako da", "cela stevila", "naj bo"],
 }
-CHARS = {"es": "ñ¿¡", "fr": "œæëïÿ", "de": "äöüß"}
+CHARS = {"es": "ñ¿¡", "pt": "ãõç", "fr": "œæëïÿ", "de": "äöüß", "it": "ìòù", "nl": "ĳ", "ro": "ăîșț", "sl": "čšž"}
+# Names and codes under which a language is declared.
+DECLARED = {
+    "en": "en eng english anglais ingles", "es": "es spa spanish espanol castellano", "pt": "pt por portuguese portugues", "fr": "fr fra fre french francais",
+    "sl": "sl slv slovenian slovene slovenscina", "ru": "ru rus russian russkii", "zh": "zh zho chi chinese mandarin", "de": "de deu ger german deutsch",
+    "it": "it ita italian italiano", "nl": "nl nld dut dutch nederlands", "ro": "ro ron rum romanian romana", "el": "el ell gre greek ellinika",
+    "mn": "mn mon mongolian mongol", "mk": "mk mkd macedonian makedonski", "ar": "ar ara arabic",
+}
+SEPARATOR = r"(?i)\s*(?:;|,|/|\||\+|\band\b|\by\b)\s*"
 TINY = ["find", "let", "prove"]
 # Marks of Chinese, Russian, Mongolian and Macedonian.
 CHINESE = "所有 满足 方程 正整数 证明 条件 每个 答案 设 其中 存在 性质 下列 所得 必定"
 RUSSIAN = "все данное для докажите каждое которых натуральные найдите положительных решения свойством существует указанным уравнение целое целых чисел число что"
 MONGOLIAN = "ав бүх бүхэл гэж натурал нотол олго ол тоо тоонууд шийд шийдийг эерэг"
 MACEDONIAN = "број броеви бројот го докажи докажете за кои најди најдете позитивни сите цели дека земе земи"
-ACCENTED, PLAIN = "áàâäãåçéèêëíìîïñóòôöõúùûüýÿ", "aaaaaaceeeeiiiinooooouuuuyy"
+ACCENTED, PLAIN = "áàâäãåăāąçćčďéèêëěęēíìîïīñńňóòôöõőřśšșşťțţúùûüůűūýÿźžż", "aaaaaaaaacccdeeeeeeeiiiiinnnoooooorsssstttuuuuuuuyyzzz"
 
 # Patterns that are not prose, in the order in which they are removed.
+_ENVIRONMENTS = r"(?:equation\*?|align\*?|aligned|gather\*?|multline\*?|displaymath|math|array|cases|matrix|[pbvBV]matrix)"
 NOISE = [
-    r"(?ms)^[ \t]*```.*?^[ \t]*```[ \t]*$", r"(?m)^(?: {4}|\t).*$", r"!\[[^\]]*\]\([^\n)]*\)", r"(?s)\$\$.*?\$\$", r"(?s)\\\[.*?\\\]",
-    r"\$[^$]*\$", r"(?s)\\\(.*?\\\)", r"`+[^`\n]*`+", r"\\[A-Za-z]+\*?", r"<[^>]+>",
+    r"(?ms)^[ \t]*```.*?^[ \t]*```[ \t]*$", r"(?ms)^[ \t]*~~~.*?^[ \t]*~~~[ \t]*$", r"(?m)^(?: {4}|\t).*$", r"(?is)<img\b[^>]*>", r"!\[[^\]]*\]\([^\n)]*\)",
+    r"(?m)^[ \t]*!\[[^\]]*\][ \t]*\[[^\]]*\][ \t]*$", r"(?m)^[ \t]*\[[^\]]+\]:[ \t]*\S+(?:[ \t]+.*)?$", rf"(?is)\\begin\{{{_ENVIRONMENTS}\}}.*?\\end\{{{_ENVIRONMENTS}\}}",
+    r"(?s)\$\$.*?\$\$", r"(?s)\\\[.*?\\\]", r"\$[^$]*\$", r"(?s)\\\(.*?\\\)", r"`+[^`\n]*`+", r"\\includegraphics(?:\[[^\]]*\])?\{[^}]*\}", r"\\[A-Za-z]+\*?(?:\[[^\]]*\])?", r"<[^>]+>",
 ]
 MATH = r"(?s)\$\$.*?\$\$|\\\[.*?\\\]|\$[^$\n]+\$|\\\(.*?\\\)"
 IMAGE = r"!\[[^\]]*\]\([^\n)]*\)"
@@ -91,15 +111,25 @@ def folded_plain(text: str) -> str:
     return text.lower().translate(str.maketrans(ACCENTED, PLAIN)).replace("ß", "ss")
 
 
+def declared_codes(text: Column) -> tuple[Column, Column]:
+    """The known codes (distinct) that a declaration names, and whether it names several languages."""
+    parts = F.filter(F.split(F.trim(F.coalesce(text, F.lit(""))), SEPARATOR), lambda p: F.trim(p) != "")
+    table = F.create_map(*[F.lit(x) for code, names in DECLARED.items() for n in names.split() for x in (n, code)])
+    codes = F.array_distinct(F.array_compact(F.transform(parts, lambda p: table[F.regexp_replace(folded(p), "[^a-z]+", "")])))
+    return codes, (F.size(parts) > 1) | (F.size(codes) > 1)
+
+
 def detect_language(df: DataFrame, text: str, declared: str | None = None) -> DataFrame:
-    """df with lang and conf (high, medium, low); und where the text does not say.
+    """df with lang and conf (high, medium, low); und where the text does not say. They are called detected and detected_conf where df has such columns.
 
     Scripts come first (kana or Hangul: und; Han, Greek or Cyrillic: zh, el, mn, mk or ru by their marks, else und), then Latin function words with a
     lead of two over the next language, then what the source declares: agreement raises confidence, conflict lowers it
     and never decides for English. A null or empty text is und with low confidence.
     """
     own = df.columns
-    df = language_scores(df, text)
+    kept = F.struct(*[df[f"`{c}`"] for c in own]).alias("_own")  # so that no column of df meets one of those below
+    df = language_scores(df.select(kept, df[f"`{text}`"].alias("_text"), *([df[f"`{declared}`"].alias("_declared")] if declared else [])), "_text")
+    declared = "_declared" if declared else None
     count = lambda p: F.regexp_count("_clean", F.lit(p))
     pair = lambda lang, conf: F.struct((lang if isinstance(lang, Column) else F.lit(lang)).alias("lang"), F.lit(conf).alias("conf"))
     df = df.withColumn("_letters", F.length(F.regexp_replace("_clean", r"[^\p{L}]", "")))
@@ -134,16 +164,23 @@ def detect_language(df: DataFrame, text: str, declared: str | None = None) -> Da
     df = df.withColumn("_found", F.when(F.col("_letters") < 4, pair("und", "low")).otherwise(found))
     lang, conf = F.col("_found.lang"), F.col("_found.conf")
     if declared:
-        said = F.nullif(F.lower(declared), F.lit(""))
+        said, several = declared_codes(F.col(declared))
+        df = df.withColumn("_said", said).withColumn("_several", several)
+        said, several, one = F.col("_said"), F.col("_several"), F.get("_said", F.lit(0))
+        other = F.get(F.array_sort(F.filter("_said", lambda c: c != "en")), F.lit(0))
         df = df.withColumn(
             "_found",
-            F.when(said.isNull() | ((lang == "und") & (F.col("_letters") < 12)), F.col("_found"))
-            .when(lang == "und", F.when(said == "en", pair("und", "low")).otherwise(pair(said, "low")))
-            .when(lang == said, F.struct(lang.alias("lang"), F.when(conf.isin("high", "medium"), "high").otherwise("medium").alias("conf")))
-            .when(lang == "en", pair(said, "low"))
+            F.when((F.col("_letters") < 4) | ((lang == "und") & (F.col("_letters") < 12)), F.col("_found"))
+            .when(several & F.array_contains("_said", "en"), F.when(lang == "und", pair("und", "low")).when(lang != "en", pair(lang, "low")).otherwise(pair("en", "medium")))
+            .when(F.size("_said") == 0, F.col("_found"))
+            .when(F.size("_said") > 1, F.when((lang != "und") & F.array_contains("_said", lang), pair(lang, "low")).otherwise(pair(F.coalesce(other, F.lit("und")), "low")))
+            .when(lang == "und", F.when(one == "en", pair("und", "low")).otherwise(pair(one, "low")))
+            .when(lang == one, F.struct(lang.alias("lang"), F.when(conf.isin("high", "medium"), "high").otherwise("medium").alias("conf")))
+            .when(lang == "en", pair(one, "low"))
             .otherwise(pair(lang, "low")),
         )
-    return df.select(*own, lang.alias("lang") if "lang" not in own else lang.alias("detected"), conf.alias("conf"))
+    named = "lang" if "lang" not in own else "detected"
+    return df.select(F.col("_own.*"), lang.alias(named), conf.alias("conf" if "conf" not in own else f"{named}_conf"))
 
 
 def parts(text: Column) -> Column:
@@ -185,10 +222,10 @@ def translation_findings(pairs: DataFrame, source: str, target: str, mode: str =
         return F.when(rule, F.array(item)).otherwise(F.array().cast("array<struct<finding:string,section:string,before:string,after:string>>"))
 
     lines = lambda c: F.regexp_extract_all(c, F.lit(r"(?m)^# [^\n]*"), F.lit(0))
-    heads = lambda c: F.transform(F.slice(c, 2, 10**6), lambda s: s["heading"])
+    heads = lambda c: F.transform(rest(c), lambda s: s["heading"])
     empty = F.col("_t").rlike(r"\A\s*\z")
-    bare = F.filter(F.slice(F.col("_b"), 2, 10**6), lambda s: s["body"].rlike(r"\A\s*\z"))
-    zipped = F.slice(F.arrays_zip(F.col("_a").alias("x"), F.col("_b").alias("y")), 2, 10**6)
+    bare = F.filter(rest(F.col("_b")), lambda s: s["body"].rlike(r"\A\s*\z"))
+    zipped = rest(F.arrays_zip(F.col("_a").alias("x"), F.col("_b").alias("y")))
     same = F.filter(zipped, lambda z: (z["x"]["heading"] == z["y"]["heading"]) & (z["x"]["body"] == z["y"]["body"]) & stripped_noise(z["x"]["body"]).rlike(r"\p{L}{2}"))
     answer = lambda c: F.get(F.filter(c, lambda s: s["heading"] == ANSWER), F.lit(0))["body"]
     symbols = (stripped(answer(F.col("_a"))) != "") & ~F.regexp_replace(answer(F.col("_a")), r"\\[A-Za-z]+", "").rlike(r"\p{L}{2}")
