@@ -32,7 +32,9 @@ ROUNDS = 200
 TOXIC_WEIGHT = 3.0
 THRESHOLD = 0.7
 #: Characters that are hashed together, and bytes of text that are scored together.
-CHUNK, SLICE = 1 << 19, 1 << 21
+CHUNK, SLICE = 1 << 18, 1 << 20
+#: Texts that train together; features are numbered by 16 bits.
+GROUP = 128
 _PAD = np.zeros(max(LENGTHS), np.uint32)
 
 
@@ -83,8 +85,8 @@ def fit(texts: list[str], toxic: np.ndarray) -> tuple[np.ndarray, np.ndarray, fl
     if toxic.all() or not toxic.any():
         return none
     counts = np.zeros((2, 1 << HASH_BITS), np.int32)
-    for k in range(0, len(texts), 64):
-        row, feature = _present(texts[k : k + 64])
+    for k in range(0, len(texts), GROUP):
+        row, feature = _present(texts[k : k + GROUP])
         hit = toxic[k + row]
         np.add.at(counts[1], feature[hit], 1)
         np.add.at(counts[0], feature[~hit], 1)
@@ -100,19 +102,23 @@ def fit(texts: list[str], toxic: np.ndarray) -> tuple[np.ndarray, np.ndarray, fl
     chosen, r = some[best].astype(np.int32), ratio[best]
     table = np.zeros(1 << HASH_BITS, bool)
     table[chosen] = True
-    rows, cols = [], []
-    for k in range(0, len(texts), 64):
-        row, feature = _present(texts[k : k + 64], table)
-        rows.append((row + k).astype(np.int32))
-        cols.append(np.searchsorted(chosen, feature).astype(np.int32))
-    row, col = np.concatenate(rows), np.concatenate(cols)
-    value = r[col]
-    n, y = len(texts), toxic.astype(float)
+    # What the texts have of the chosen features, group by group: two bytes each, and where each text's begin.
+    held = []
+    for k in range(0, len(texts), GROUP):
+        row, feature = _present(texts[k : k + GROUP], table)
+        held.append((np.searchsorted(chosen, feature).astype(np.uint16), np.bincount(row, minlength=len(texts[k : k + GROUP]))))
+    y = toxic.astype(float)
     w, b, m, v = np.zeros(len(chosen)), bias, np.zeros(len(chosen) + 1), np.zeros(len(chosen) + 1)
     for step in range(1, ROUNDS + 1):
-        z = np.bincount(row, w[col] * value, n) + b
-        off = 1 / (1 + np.exp(-np.clip(z, -40, 40))) - y
-        g = np.append(np.bincount(col, off[row] * value, len(chosen)) + PENALTY * w, off.sum())
+        own, g, shift = w * r, np.zeros(len(chosen)), 0.0
+        for k, (col, each) in enumerate(held):
+            at = slice(k * GROUP, k * GROUP + len(each))
+            sums = np.concatenate(([0.0], np.cumsum(own[col])))
+            ends = np.cumsum(each)
+            off = 1 / (1 + np.exp(-np.clip(sums[ends] - sums[ends - each] + b, -40, 40))) - y[at]
+            g += np.bincount(col, np.repeat(off, each), len(chosen))
+            shift += off.sum()
+        g = np.append(g * r + PENALTY * w, shift)
         m, v = 0.9 * m + 0.1 * g, 0.99 * v + 0.01 * g * g
         move = 0.05 * (1 - step / (ROUNDS + 1)) * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-9)
         w, b = w - move[:-1], b - move[-1]
