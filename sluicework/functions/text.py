@@ -71,10 +71,28 @@ def script_counts(text: Column) -> dict[str, Column]:
     return {s.lower(): F.regexp_count(text, F.lit(rf"\p{{Is{s}}}")).cast("long") for s in ("Latin", "Cyrillic", "Greek", "Han")}
 
 
+# Environments that hold formulas, macros of layout, and spellings of one macro.
+ENVIRONMENTS = r"(?s)\\begin\{(?:equation|align|aligned|gather|multline|eqnarray|cases|array|split)\*?\}(.*?)\\end\{(?:equation|align|aligned|gather|multline|eqnarray|cases|array|split)\*?\}"
+DISPLAY = r"(?s)(?:\$\$(.*?)\$\$|\\\[(.*?)\\\]|\\\((.*?)\\\))"
+INLINE = r"\$([^$\n]+)\$"
+LAYOUT = [(r"\\(?:left|right|bigg?|Bigg?|displaystyle|textstyle|limits|quad|qquad|,|;|:|!)(?![A-Za-z])", ""), (r"\\[dt]frac(?![A-Za-z])", r"\\frac"), (r"\\le(?![A-Za-z])", r"\\leq"), (r"\\ge(?![A-Za-z])", r"\\geq"), (r"\s+", ""), (r"^[.,;:]+|[.,;:]+$", "")]
+
+
+def norm_formula(formula: Column) -> Column:
+    """A formula without layout and white space, with one spelling of its macros and no punctuation at its ends."""
+    for pattern, new in LAYOUT:
+        formula = F.regexp_replace(formula, pattern, new)
+    return formula
+
+
 def formulas(text: Column) -> Column:
-    """Distinct $...$ spans of three characters or more, without white space."""
-    found = F.transform(F.regexp_extract_all(text, F.lit(r"\$([^$\n]+)\$"), F.lit(1)), lambda f: F.regexp_replace(f, r"\s+", ""))
-    return F.array_distinct(F.filter(found, lambda f: F.length(f) >= 3))
+    """Distinct formulas of three characters or more: of environments, then displayed, then inline; what one took is blank to the next. Rows of an environment count for themselves."""
+    display = lambda t: F.transform(F.regexp_extract_all(t, F.lit(DISPLAY), F.lit(0)), lambda m: F.concat_ws("", F.regexp_extract(m, DISPLAY, 1), F.regexp_extract(m, DISPLAY, 2), F.regexp_extract(m, DISPLAY, 3)))
+    rest_ = F.regexp_replace(text, ENVIRONMENTS, " ")
+    last = F.regexp_replace(rest_, DISPLAY, " ")
+    found = F.concat(F.regexp_extract_all(text, F.lit(ENVIRONMENTS), F.lit(1)), display(rest_), F.regexp_extract_all(last, F.lit(INLINE), F.lit(1)))
+    rows = F.flatten(F.transform(found, lambda f: F.split(F.regexp_replace(f, "&", ""), r"\\\\")))
+    return F.array_distinct(F.filter(F.transform(rows, norm_formula), lambda f: F.length(f) >= 3))
 
 
 def overlap(a: Column, b: Column) -> Column:

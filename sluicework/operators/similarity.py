@@ -29,8 +29,9 @@ def top_similar(vectors: DataFrame, query_id: int, k: int = 20) -> DataFrame:
 def cosine_pairs(vectors: DataFrame, threshold: float, block: int = 1024) -> DataFrame:
     """(a, b, score), a < b, of unit vectors above a threshold.
 
-    Vectors are packed in blocks; each pair of blocks is one matrix product in one task, so memory is bounded by two
-    blocks and only pairs above the threshold are written.
+    Vectors are packed in blocks; each pair of blocks is one matrix product, so memory is bounded by two blocks and only
+    pairs above the threshold are written. All pairs of blocks are computed, exactly: work and what is sent grow with the
+    square of the number of vectors.
     """
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -49,9 +50,14 @@ def cosine_pairs(vectors: DataFrame, threshold: float, block: int = 1024) -> Dat
                 lo, hi = np.minimum(a[i], b[j])[keep], np.maximum(a[i], b[j])[keep]
                 yield pa.RecordBatch.from_arrays([pa.array(lo), pa.array(hi), pa.array(s[i, j][keep])], ["a", "b", "score"])
 
-    blocks = written(vectors.select("id", "vector").mapInArrow(pack, "ids binary, x binary, dim int").withColumn("n", F.monotonically_increasing_id()), "cosine-blocks")
-    other = blocks.select(F.col("ids").alias("other"), F.col("x").alias("y"), F.col("n").alias("m"))
-    pairs = blocks.join(other, F.col("n") <= F.col("m")).withColumn("same", F.col("n") == F.col("m")).repartition(F.col("n"), F.col("m"))
+    packed = written(vectors.select("id", "vector").mapInArrow(pack, "ids binary, x binary, dim int").withColumn("at", F.monotonically_increasing_id()), "cosine-blocks")
+    places = packed.select("at").withColumn("n", F.row_number().over(W.orderBy("at")) - 1)  # one row a block
+    blocks = written(packed.join(places, "at").drop("at"), "cosine-blocks")
+    count = blocks.count()
+    # Each block goes to the cells of a triangle that it has a part in, as row and as column; they meet there by equality.
+    rows = blocks.withColumn("m", F.explode(F.sequence("n", F.lit(max(count - 1, 0)))))
+    columns = blocks.select(F.col("ids").alias("other"), F.col("x").alias("y"), F.col("n").alias("m"), F.explode(F.sequence(F.lit(0), "n")).alias("n"))
+    pairs = rows.join(columns, ["n", "m"]).withColumn("same", F.col("n") == F.col("m"))
     return pairs.select("ids", "x", "other", "y", "dim", "same").mapInArrow(multiply, "a long, b long, score double")
 
 
@@ -60,11 +66,21 @@ def duplicate_components(vectors: DataFrame, threshold: float) -> DataFrame:
     return connected_components(cosine_pairs(vectors, threshold), "a", "b")
 
 
+def numbered(df: DataFrame, order: list[str], name: str) -> DataFrame:
+    """df with the place of each row, from 1, in an order; by one range sort and the counts of its parts, without a global window."""
+    kept = written(df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_at", F.monotonically_increasing_id()), "numbered")
+    part = F.shiftright("_at", 33).alias("_part")
+    parts = kept.groupBy(part).agg(F.count("*").alias("_n"))  # one row a partition of the sort
+    ahead = parts.select("_part", F.coalesce(F.sum("_n").over(W.orderBy("_part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("_ahead"))
+    met = kept.withColumn("_part", F.shiftright("_at", 33)).join(F.broadcast(ahead), "_part")
+    return met.withColumn(name, F.col("_ahead") + F.col("_at").bitwiseAND((1 << 33) - 1) + 1).drop("_at", "_part", "_ahead")
+
+
 def exact_groups(rows: DataFrame, key: str, text: str) -> DataFrame:
     """Groups of two or more equal normalised texts: group id by canonical (smallest) key, canonical, size."""
     norm = F.regexp_replace(F.lower(text), r"\s+", "")
-    groups = rows.groupBy(F.sha2(norm, 256).alias("h")).agg(F.min(key).alias("canonical"), F.count("*").alias("size")).where("size > 1")
-    return groups.select(F.format_string("DG-%05d", F.row_number().over(W.orderBy("canonical"))).alias("group_id"), "canonical", "size")
+    groups = rows.groupBy(F.sha2(norm, 256).alias("h")).agg(F.min(key).alias("canonical"), F.count("*").alias("size")).where("size > 1").select("canonical", "size")
+    return numbered(groups, ["canonical"], "_n").select(F.format_string("DG-%05d", "_n").alias("group_id"), "canonical", "size")
 
 
 def depth(edges: DataFrame) -> DataFrame:

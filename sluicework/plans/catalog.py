@@ -316,9 +316,26 @@ def dead_links(t):
     return links.join(pages.select(F.regexp_replace("url", "^https?://[^/]+", "").alias("href")).distinct(), "href", "left_anti")
 
 
-@query(r"SELECT doc_id, len(list_distinct(regexp_extract_all(text, '\d{2,}'))) AS n FROM documents WHERE regexp_matches(text, '\d{2,}')")
+_NUMBERS = r"SELECT DISTINCT {k}, unnest(regexp_extract_all(text, '\d{{2,}}')) AS token FROM {t}"
+
+
+@query(f"WITH d AS ({_NUMBERS.format(k='doc_id', t='documents')}), b AS ({_NUMBERS.format(k='item_id', t='benchmark')}) SELECT doc_id, count(*) AS n FROM d WHERE token IN (SELECT token FROM b) GROUP BY doc_id")
 def leak_tokens(t):
-    return t("documents").select("doc_id", F.size(T.numbers(F.col("text"))).cast("long").alias("n")).where("n > 0")
+    """How many of the benchmark's numbers, of two digits or more, stand in a document."""
+    held = t("benchmark").select(F.explode(T.numbers(F.col("text"))).alias("token")).distinct()
+    return t("documents").select("doc_id", F.explode(T.numbers(F.col("text"))).alias("token")).join(held, "token", "left_semi").groupBy("doc_id").agg(F.count("*").alias("n"))
+
+
+@query(f"WITH x AS (SELECT conv_id, turn, regexp_extract_all(text || ' ' || (conv_id * 7 + turn % 3), '\\d{{2,}}') AS ns, turn = min(turn) OVER w AS first, turn = max(turn) OVER w AS last FROM conversations WINDOW w AS (PARTITION BY conv_id)), k AS (SELECT DISTINCT conv_id, first, last, unnest(ns) AS token FROM x), a AS (SELECT conv_id, token FROM k WHERE last EXCEPT SELECT conv_id, token FROM k WHERE first) SELECT conv_id, string_agg(token, ',' ORDER BY token) AS leaked FROM a SEMI JOIN (SELECT * FROM k WHERE NOT first AND NOT last) h USING (conv_id, token) GROUP BY conv_id")
+def hint_leaks(t):
+    """Numbers of a conversation's last turn, but not of its first, that a turn between gives away."""
+    w = W.partitionBy("conv_id")
+    text = F.concat("text", F.lit(" "), (F.col("conv_id") * 7 + F.col("turn") % 3).cast("string"))
+    x = t("conversations").select("conv_id", "turn", T.numbers(text).alias("ns"), (F.col("turn") == F.min("turn").over(w)).alias("first"), (F.col("turn") == F.max("turn").over(w)).alias("last"))
+    k = x.select("conv_id", "first", "last", F.explode("ns").alias("token"))
+    of = lambda c: k.where(c).select("conv_id", "token").distinct()
+    found = of("last").join(of("first"), ["conv_id", "token"], "left_anti").join(of("not first and not last"), ["conv_id", "token"], "left_semi")
+    return found.groupBy("conv_id").agg(F.array_join(F.array_sort(F.collect_set("token")), ",").alias("leaked"))
 
 
 @query(f"WITH {PROBLEM} SELECT id, unnest(list_filter([CASE WHEN n_chars < 20 THEN 'short' END, CASE WHEN contains(text, '|') THEN 'table' END, CASE WHEN contains(text, '!!') THEN 'shouting' END, CASE WHEN n_chars <> length(text) THEN 'length' END], lambda x: x IS NOT NULL)) AS message FROM problem")
@@ -407,12 +424,14 @@ def plan_week(t):
 
 @query("WITH r AS (SELECT conv_id, turn, (row_number() OVER (PARTITION BY role ORDER BY conv_id, turn) - 1) // 25 AS batch, role FROM conversations) SELECT role, batch, count(*) AS n, sha256(string_agg(conv_id || '/' || turn, ',' ORDER BY conv_id, turn)) AS batch_id FROM r GROUP BY ALL")
 def batches_of_25(t):
-    r = t("conversations").select("conv_id", "turn", "role", F.floor((F.row_number().over(W.partitionBy("role").orderBy("conv_id", "turn")) - 1) / 25).cast("long").alias("batch"))
+    r = similarity.numbered(t("conversations").select("conv_id", "turn", "role"), ["role", "conv_id", "turn"], "k")
+    first = r.groupBy("role").agg(F.min("k").alias("first"))  # one row a role
+    r = r.join(F.broadcast(first), "role").withColumn("batch", F.floor((F.col("k") - F.col("first")) / 25).cast("long"))
     items = F.transform(F.array_sort(F.collect_list(F.struct("conv_id", "turn"))), lambda x: F.concat_ws("/", x["conv_id"], x["turn"]))
     return r.groupBy("role", "batch").agg(F.count("*").alias("n"), F.sha2(F.array_join(items, ","), 256).alias("batch_id"))
 
 
-@query("SELECT doc_id, CASE WHEN doc_id % 11 = 0 THEN 'new' WHEN doc_id % 13 = 0 THEN 'changed' ELSE 'same' END AS state FROM documents")
+@query("WITH n AS (SELECT doc_id, sha256(text) AS sha FROM documents), b AS (SELECT doc_id, CASE WHEN doc_id % 13 = 0 THEN sha256(sha || '-') ELSE sha END AS old FROM n WHERE doc_id % 11 <> 0) SELECT doc_id, CASE WHEN old IS NULL THEN 'new' WHEN old <> sha THEN 'changed' ELSE 'same' END AS state FROM n LEFT JOIN b USING (doc_id)")
 def incremental_diff(t):
     docs = t("documents").select("doc_id", F.sha2("text", 256).alias("sha"))
     before = docs.where("doc_id % 11 <> 0").select("doc_id", F.when(F.col("doc_id") % 13 == 0, F.sha2(F.concat("sha", F.lit("-")), 256)).otherwise(F.col("sha")).alias("old"))
@@ -432,9 +451,22 @@ def length_ratio_outliers(t):
     return t("conversations").select("conv_id", "turn", r.alias("r")).where("r < 0.18 OR r > 4.0").select("conv_id", "turn", _r("r", "ratio"))
 
 
-@query()
+_SPELT = ["$\\dfrac{1}{2} \\le x$", "$$\\frac{1}{2}\\leq x,$$", "\\(a^2 + b^2\\)", "\\begin{align}a^2+b^2&\\\\x_1 = 2\\end{align}"]
+#: What the spellings above come to.
+_MEANT = [["\\frac{1}{2}\\leqx"], ["\\frac{1}{2}\\leqx"], ["a^2+b^2"], ["a^2+b^2", "x_1=2"]]
+
+
+def _sql_formulas() -> str:
+    """The formulas of the text that formula_overlap gives a document, by its id, as lists."""
+    parts = [f"CASE doc_id % {m} WHEN {r} THEN {k!r} END" for m, r, k in ((2, 0, 0), (3, 0, 1), (5, 0, 2), (7, 0, 3))]
+    lists = [f"CASE WHEN ({p}) IS NOT NULL THEN [{', '.join(repr(x).replace(chr(92) * 2, chr(92)) for x in _MEANT[k])}] ELSE [] END" for k, p in enumerate(parts)]
+    return "list_distinct(" + lists[0] + " || " + " || ".join(lists[1:]) + ")"
+
+
+@query(f"WITH f AS (SELECT doc_id, {_sql_formulas()} AS f FROM documents) SELECT a.doc_id AS \"left\", b.doc_id AS \"right\", len(list_intersect(a.f, b.f)) / least(len(a.f), len(b.f))::DOUBLE AS overlap FROM f a JOIN f b ON b.doc_id = a.doc_id + 1 WHERE len(a.f) > 0 AND len(b.f) > 0")
 def formula_overlap(t):
-    docs = t("documents").where(F.col("text").contains("$")).select("doc_id", T.formulas(F.col("text")).alias("f")).where(F.size("f") > 0)
-    each = docs.select("doc_id", F.size("f").alias("n"), F.explode("f").alias("x"))
-    pairs = each.alias("a").join(each.alias("b"), F.expr("a.x = b.x AND a.doc_id < b.doc_id"))
-    return pairs.groupBy(F.col("a.doc_id").alias("left"), F.col("b.doc_id").alias("right")).agg((F.count("*") / F.first(F.least("a.n", "b.n"))).alias("overlap"))
+    """Shared formulas of pairs of candidates, each a document and the next; the documents' own text is kept, and formulas in several spellings put after it."""
+    some = [F.when(F.col("doc_id") % m == 0, _SPELT[k]) for m, k in ((2, 0), (3, 1), (5, 2), (7, 3))]
+    docs = t("documents").select("doc_id", T.formulas(F.concat_ws(" ", F.regexp_replace("text", r"[$\\\\]", ""), *some)).alias("f")).where(F.size("f") > 0)
+    after = docs.select((F.col("doc_id") - 1).alias("doc_id"), F.col("f").alias("g"))
+    return docs.join(after, "doc_id").select(F.col("doc_id").alias("left"), (F.col("doc_id") + 1).alias("right"), T.overlap(F.col("f"), F.col("g")).alias("overlap"))

@@ -77,9 +77,26 @@ def _turns(t):
     return t("conversations").select("conv_id", "turn", F.lag("text").over(w).alias("before"), "text").where("before is not null")
 
 
-@query()
+#: What is done to a document's translation, by its id, and what that has to be found as.
+_SOURCE = "'# T' || chr(10) || chr(10) || '## Statement' || chr(10) || text || ' $x_1$ ![](a.png)' || chr(10) || chr(10) || '## 最终答案' || chr(10) || '$42$' || chr(10)"
+_DONE = [
+    ("translated", None), ("replace(r, '$x_1$', '$x_2$')", [("math_mismatch", "Statement")]), ("replace(r, '![](a.png)', '![](b.png)')", [("image_mismatch", "Statement")]),
+    ("replace(r, '# T', '# U')", [("structure_mismatch", "H1")]), ("''", [("empty_translation", "文档")]), ("replace(r, '$42$', '$43$')", [("math_mismatch", "最终答案"), ("final_answer_mismatch", "最终答案")]),
+    ("'```' || chr(10) || r || chr(10) || '```'", None), ("r || 'As an AI I write.'", [("model_meta_leak", "最终答案"), ("final_answer_mismatch", "最终答案")]),
+]
+_USED = [0, 1, 2, 3, 4, 5, 7]
+
+
+@query("WITH d AS (SELECT doc_id FROM documents WHERE NOT regexp_matches(text, '[$`~\\[\\\\]|(?m)^#') AND regexp_matches(text, '\\p{L}{2}')) " + " UNION ALL ".join(f"SELECT doc_id, '{kind}' AS finding, '{section}' AS section FROM d WHERE doc_id % {len(_USED)} = {k}" for k, use in enumerate(_USED) for kind, section in _DONE[use][1] or []))
 def translation_findings(t):
-    return quality.translation_findings(_turns(t), "before", "text")
+    docs = t("documents").where(~F.col("text").rlike(r"[$`~\[\\]|(?m)^#") & F.col("text").rlike(r"\p{L}{2}")).select("doc_id", F.expr(_SOURCE.replace("chr(10)", "'\\n'")).alias("s"))
+    # The prose changes everywhere, so that only what was done to it can be found.
+    r = F.regexp_replace("s", r"## Statement\n", "## Statement\nIndeed. ")
+    done = F.lit(None).cast("string")
+    for k, use in reversed(list(enumerate(_USED))):
+        done = F.when(F.col("doc_id") % len(_USED) == k, F.col("r") if use == 0 else F.expr(_DONE[use][0].replace("chr(10)", "'\\n'"))).otherwise(done)
+    pairs = docs.withColumn("r", r).select("doc_id", "s", done.alias("t"))
+    return quality.translation_findings(pairs, "s", "t").select("doc_id", "finding", "section")
 
 
 @query("WITH y AS (SELECT a.doc_id, list_filter(list_distinct(regexp_extract_all(a.text, '\\d{2,}')), lambda n: NOT list_contains(regexp_extract_all(b.text, '\\d{2,}'), n)) AS m FROM documents a JOIN documents b ON b.doc_id = a.doc_id + 1) SELECT doc_id, array_to_string(list_sort(m), ',') AS missing FROM y WHERE len(m) > 0")
@@ -115,7 +132,10 @@ def hashed_features(t):
     return quality.encode_features(t("documents"), "doc_id", "text")
 
 
-@query()
+_PROTECTED = r"⟦\d+⟧|(?s:```.*?```)|(?s:\$\$.*?\$\$)|(?s:\\\[.*?\\\])|\$[^$\n]+\$|(?s:\\\(.*?\\\))|!\[[^\]]*\]\([^\n)]*\)|`[^`\n]+`"
+
+
+@query(f"SELECT doc_id, len(regexp_extract_all(text, '{_PROTECTED}'))::INT AS n, sha256(text) AS restored_sha256 FROM documents")
 def protected_spans(t):
     kept = t("documents").select("doc_id", quality.protected("text").alias("p"))
     return kept.select("doc_id", F.size("p.spans").alias("n"), F.sha2(quality.restored("p.text", "p.spans"), 256).alias("restored_sha256"))
@@ -153,10 +173,12 @@ def keyword_recall(t):
     return curation.keyword_tags(t("documents"), "text", "lang", KEYWORDS).select("doc_id", "tag")
 
 
-@query("SELECT doc_id, 'A' AS heading, 'last ' || doc_id AS body FROM documents UNION ALL SELECT doc_id, 'B', source FROM documents")
+@query("WITH d AS (SELECT doc_id, source, regexp_replace(text, '^\\s+|\\s+$', '', 'g') AS body FROM documents WHERE NOT regexp_matches(text, '(?m)^## ')) SELECT doc_id, 'A' AS heading, sha256(body) AS digest FROM d UNION ALL SELECT doc_id, 'B', sha256(source) FROM d")
 def section_split(t):
-    body = F.concat(F.lit("# T\n\n## A\n"), "lang", F.lit("\n## B\n"), "source", F.lit("\n\n## A\nlast "), F.col("doc_id").cast("string"))
-    return t("documents").select("doc_id", F.explode(T.sections(body)).alias("heading", "body"))
+    """Sections of whole documents; of a heading that repeats the last counts."""
+    docs = t("documents").where(~F.col("text").rlike("(?m)^## "))
+    body = F.concat(F.lit("# T\n\n## A\nfirst\n## B\n"), "source", F.lit("\n\n## A\n"), "text")
+    return docs.select("doc_id", F.explode(T.sections(body)).alias("heading", "body")).select("doc_id", "heading", F.sha2("body", 256).alias("digest"))
 
 
 @query("WITH s AS (SELECT DISTINCT d.source FROM documents d JOIN labels l ON d.doc_id = l.doc_id) SELECT d.doc_id, CASE WHEN s.source IS NULL THEN 'unreadable' WHEN l.doc_id IS NULL THEN 'absent' ELSE 'covered' END AS state FROM documents d LEFT JOIN s ON d.source = s.source LEFT JOIN labels l ON d.doc_id = l.doc_id")
