@@ -37,3 +37,44 @@ def file_hashes(spark: SparkSession, path: str, glob: str = "*") -> DataFrame:
     """(path, bytes, sha256) of every file below a folder."""
     files = spark.read.format("binaryFile").option("pathGlobFilter", glob).option("recursiveFileLookup", "true").load(path)
     return files.select("path", F.col("length").alias("bytes"), F.sha2("content", 256).alias("sha256"))
+
+
+def listed(spark: SparkSession, root: str, glob: str, skip: tuple[str, ...] = ()) -> DataFrame:
+    """(path, relative, bytes) of a folder's files of a name, without those below folders of the names to skip; links to folders are not followed."""
+    files = spark.read.format("binaryFile").option("pathGlobFilter", glob).option("recursiveFileLookup", "true").load(root).select("path", F.col("length").alias("bytes"))
+    base = root.rstrip("/").split("://")[-1].lstrip("/")
+    relative = F.regexp_extract("path", rf"^(?:file:)?/*\Q{base}\E/(.*)$", 1)
+    pruned = F.exists(F.split("relative", "/"), lambda p: p.isin(*skip)) if skip else F.lit(False)
+    return files.withColumn("relative", relative).where(~pruned).select("path", "relative", "bytes")
+
+
+def ids_of(files: DataFrame, pattern: str) -> DataFrame:
+    """(id): what a pattern's first group takes from names of files that match it as a whole."""
+    name = F.regexp_extract("path", "([^/]*)$", 1)
+    return files.where(name.rlike(f"^(?:{pattern})$")).select(F.regexp_extract(name, f"^(?:{pattern})$", 1).alias("id")).distinct()
+
+
+def ledgers(spark: SparkSession, root: str, glob: str, schema: T.StructType) -> tuple[DataFrame, DataFrame]:
+    """(rows with ref, refs that can't be read) of files that each hold one JSON array of objects. A file without rows is read and has none."""
+    raw = spark.read.text(root, wholetext=True, pathGlobFilter=glob, recursiveFileLookup=True).select(F.col("_metadata.file_path").alias("ref"), "value")
+    shaped = F.try_parse_json("value").isNotNull() & F.ltrim("value").startswith("[")
+    rows = raw.where(shaped).select("ref", F.explode(F.from_json("value", T.ArrayType(schema))).alias("r")).select("ref", "r.*")
+    return rows, raw.where(~shaped).select("ref")
+
+
+def stacked(bank: DataFrame, candidates: DataFrame | None) -> DataFrame:
+    """Vectors of the bank and, if there are any, of candidates, with the corpus that each is of; columns that one lacks are null."""
+    own = bank.withColumn("corpus", F.lit("bank"))
+    return own if candidates is None else own.unionByName(candidates.withColumn("corpus", F.lit("cand")), allowMissingColumns=True)
+
+
+def registry(spark: SparkSession, path: str) -> DataFrame:
+    """(category, node, alias) of a YAML file of categories, their nodes and these nodes' aliases; a node is its own first alias.
+
+    The file is a dimension of some hundred nodes; Spark reads it, so it may lie in any store, and the driver parses it.
+    """
+    import yaml
+
+    text = spark.read.text(path, wholetext=True).first()[0]
+    rows = [(c, n, a) for c, nodes in (yaml.safe_load(text) or {}).items() for n, aliases in (nodes or {}).items() for a in [n, *(aliases or [])]]
+    return spark.createDataFrame(rows, "category string, node string, alias string")

@@ -20,34 +20,52 @@ def digest(rows: DataFrame) -> str:
     return f"{n}:{total}:{rows.schema.simpleString()}"
 
 
-def current(spark: SparkSession, path: str) -> DataFrame | None:
-    """The version published last below a folder; None before the first."""
+def _last(spark: SparkSession, path: str):
+    """The row that points to the version published last; None before the first."""
     try:
-        row = spark.read.parquet(f"{path}/published").orderBy(F.desc("turn")).first()
-    except AnalysisException:
+        return spark.read.parquet(f"{path}/published").orderBy(F.desc("turn")).first()
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
         return None
+
+
+def current(spark: SparkSession, path: str) -> DataFrame | None:
+    """The version published last below a folder; None before the first."""
+    row = _last(spark, path)
     return spark.read.parquet(row["place"]) if row else None
 
 
-def publish(rows: DataFrame, path: str) -> bool:
-    """Writes a new version beside the old ones, then points to it; False, and nothing changes, if the rows are the same.
+def publish(rows: DataFrame, path: str, partial: bool = False) -> bool:
+    """Writes a new version beside the old ones, then points to it; False, and nothing is written, if the rows are the same.
 
-    A job that dies leaves the published version as it was.
+    A job that dies leaves the published version as it was. Partial results, of a limited run, are refused.
     """
-    spark = rows.sparkSession
-    place = f"{path}/version-{uuid.uuid4().hex}"
-    rows.write.parquet(place)
-    mark = digest(spark.read.parquet(place))
-    try:
-        last = spark.read.parquet(f"{path}/published").orderBy(F.desc("turn")).first()
-    except AnalysisException:
-        last = None
+    if partial:
+        raise ValueError("a limited run's rows are not the whole table")
+    spark, mark, last = rows.sparkSession, digest(rows), _last(rows.sparkSession, path)
     if last and last["digest"] == mark:
         return False
+    place = f"{path}/version-{uuid.uuid4().hex}"
+    rows.write.parquet(place)
     spark.createDataFrame([((last["turn"] if last else 0) + 1, place, mark)], "turn long, place string, digest string").coalesce(1).write.mode("append").parquet(f"{path}/published")
     return True
 
 
+def save_index(vectors: DataFrame, path: str, name: str, model: str) -> DataFrame:
+    """Publishes vectors (id, vector) as an index and its row of configuration (name, n, dim, model), which is returned."""
+    made = vectors.agg(F.count("*").alias("n"), F.max(F.size("vector")).alias("dim")).select(F.lit(name).alias("name"), "n", "dim", F.lit(model).alias("model"))
+    publish(vectors, f"{path}/{name}")
+    made.coalesce(1).write.mode("overwrite").json(f"{path}/{name}-config")
+    return made
+
+
+def save_plan(items: DataFrame, path: str, week: str, target: str, seed: int) -> None:
+    """One JSON object for a week's plan: its items (place, id) in order, its target and seed. A plan is small by its quotas."""
+    row = items.agg(F.transform(F.array_sort(F.collect_list(F.struct("place", "id"))), lambda x: x["id"]).alias("items"))
+    row.select(F.lit(week).alias("week"), F.lit(target).alias("target"), F.lit(seed).alias("seed"), "items").coalesce(1).write.mode("overwrite").json(path)
+
+
 def export(rows: DataFrame, path: str, *by: str) -> None:
     """Parquet in a folder per value, each value written by as many tasks as its rows need."""
     rows.write.mode("overwrite").partitionBy(*by).parquet(path)

@@ -7,7 +7,7 @@ import duckdb
 import pandas as pd
 import pytest
 
-from sluicework.plans import catalog, contracts, ingest, planning, quality  # noqa: F401
+from sluicework.plans import catalog, contracts, ingest, planning, quality, translation, workflow  # noqa: F401
 
 DATA = "/root/testdata/sf0.001"
 
