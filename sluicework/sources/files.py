@@ -40,7 +40,7 @@ def file_hashes(spark: SparkSession, path: str, glob: str = "*") -> DataFrame:
 
 
 def listed(spark: SparkSession, root: str, glob: str, skip: tuple[str, ...] = ()) -> DataFrame:
-    """(path, relative, bytes) of a folder's files of a name, without those below folders of the names to skip; links to folders are not followed."""
+    """(path, relative, bytes) of a folder's files of a name, without those below folders of the names to skip; links to folders are not followed, and Spark passes over empty files."""
     files = spark.read.format("binaryFile").option("pathGlobFilter", glob).option("recursiveFileLookup", "true").load(root).select("path", F.col("length").alias("bytes"))
     base = root.rstrip("/").split("://")[-1].lstrip("/")
     relative = F.regexp_extract("path", rf"^(?:file:)?/*\Q{base}\E/(.*)$", 1)

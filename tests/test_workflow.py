@@ -11,7 +11,7 @@ from sluicework.sources import files, sinks
 
 
 def test_listing_and_ledgers(spark, tmp_path):
-    for name, text in {"a/A-001.md": "x", "a/A-2.md": "y", "stash/A-003.md": "z", "b/N-004.md": "", "l/one.json": '[{"id": "1", "status": "pass"}]', "l/none.json": "[]", "l/bad.json": "[{", "l/odd.json": "{}"}.items():
+    for name, text in {"a/A-001.md": "x", "a/A-2.md": "y", "stash/A-003.md": "z", "b/N-004.md": "w", "l/one.json": '[{"id": "1", "status": "pass"}]', "l/none.json": "[]", "l/bad.json": "[{", "l/odd.json": "{}"}.items():
         (tmp_path / name).parent.mkdir(exist_ok=True)
         (tmp_path / name).write_text(text)
     found = files.listed(spark, str(tmp_path), "*.md", ("stash",))
