@@ -18,6 +18,6 @@ QUERIES = {
     "op9_html_blocks": html_blocks.query,
     "op10_hnsw": hnsw.query,
 }
-ORACLE = {"op1_mixing": mixing.SQL, "op7_secrets": secrets.SQL}
+ORACLE = {"op1_mixing": mixing.SQL, "op3_repeats": repeats.SQL, "op7_secrets": secrets.SQL}
 if corpus_pipeline.ORACLE_SQL:
     ORACLE["pipeline"] = corpus_pipeline.ORACLE_SQL

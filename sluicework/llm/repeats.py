@@ -482,3 +482,21 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """op3: doc_id, n_bytes, n_removed, n_spans, kept_sha256 for every document."""
     found = remove_repeats(spark.read.parquet(f"{sf_dir}/documents.parquet"))
     return found.select(F.col("id").alias("doc_id"), "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"), "kept_sha256")
+
+
+#: Every 50-byte string with the least document that has it; what later ones cover goes, in runs.
+SQL = """
+WITH h AS (SELECT doc_id, row_number() OVER () AS rid, encode(coalesce(text, '')) AS x FROM documents),
+p AS (SELECT rid, doc_id, x, unnest(generate_series(1, octet_length(x)::BIGINT - 49)) AS i FROM h WHERE octet_length(x) >= 50),
+s AS (SELECT rid, doc_id, i, x[i:i + 49] AS w FROM p),
+f AS (SELECT w, min(doc_id) AS first FROM s GROUP BY w),
+g AS (SELECT rid, i FROM s JOIN f USING (w) WHERE doc_id > first),
+o AS (SELECT rid, i, lag(i) OVER (PARTITION BY rid ORDER BY i) AS prev FROM g),
+k AS (SELECT rid, i, sum(CASE WHEN prev IS NULL OR i > prev + 50 THEN 1 ELSE 0 END) OVER (PARTITION BY rid ORDER BY i) AS k FROM o),
+r AS (SELECT rid, k, min(i) AS a, max(i) + 49 AS b FROM k GROUP BY ALL),
+q AS (SELECT rid, a, b, coalesce(lag(b) OVER (PARTITION BY rid ORDER BY a), 0) AS last FROM r),
+z AS (SELECT q.rid, string_agg(hex(x[last + 1:a - 1]), '' ORDER BY a) AS head, max(b) AS e, count(*) AS n_spans, sum(b - a + 1)::BIGINT AS n_removed FROM q JOIN h USING (rid) GROUP BY q.rid)
+SELECT doc_id, octet_length(x)::BIGINT AS n_bytes, coalesce(n_removed, 0)::BIGINT AS n_removed, coalesce(n_spans, 0)::BIGINT AS n_spans,
+       sha256(unhex(coalesce(head, '') || hex(CASE WHEN e IS NULL THEN x ELSE x[e + 1:] END))) AS kept_sha256
+FROM h LEFT JOIN z USING (rid)
+"""

@@ -79,7 +79,7 @@ def scan(docs: DataFrame, path_col: str = "doc_id", text_col: str = "text", rule
     """
     paths, by_blob, entries = _looked_up(docs, path_col, text_col, rules, ledger)
     none = F.array().cast(by_blob.schema["spans"].dataType)
-    return paths.join(by_blob, "blob", "left").select("path", "blob", F.coalesce("spans", none).alias("spans")), entries
+    return paths.join(if_few(by_blob, FINDINGS), "blob", "left").select("path", "blob", F.coalesce("spans", none).alias("spans")), entries
 
 
 def redacted(docs: DataFrame, path_col: str = "doc_id", text_col: str = "text", rules: tuple[Rule, ...] = RULES, ledger: DataFrame | None = None) -> DataFrame:
