@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -135,3 +137,100 @@ def probed(urls: DataFrame, url: str, fetch: Callable[[str], int]) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.int32()), pa.array([s is not None and s < 400 for s in found])], ["url", "status", "ok"])
 
     return urls.select(F.col(url).alias("url")).where("url is not null").distinct().mapInArrow(work, "url string, status int, ok boolean")
+
+
+# ---- sessions, ledgers, folders and runs ---------------------------------------------------------------------------
+
+
+def session_token(hints: Column, revealed: Column) -> Column:
+    """What a form must send back: the number of hints and whether the answer was seen when it was made."""
+    return F.concat_ws(":", hints.cast("string"), F.coalesce(revealed, F.lit(False)).cast("string"))
+
+
+def accepted(forms: DataFrame, sessions: DataFrame) -> DataFrame:
+    """forms (sid, token, stopped_at, now) with error and ended_at: of an unknown, closed or changed session a form is refused; a time to stop counts only from the session's start to now."""
+    met = forms.join(sessions.select("sid", "status", "hints", "revealed", "started_at"), "sid", "left")
+    error = F.when(F.col("status").isNull(), "unknown session").when(F.col("status") != "open", "session is closed").when(~F.coalesce(F.col("token") == session_token(F.col("hints"), F.col("revealed")), F.lit(False)), "form is stale")
+    inside = F.coalesce(F.col("stopped_at").between(F.col("started_at"), F.col("now")), F.lit(False))
+    return met.select(*forms.columns, error.alias("error"), F.when(error.isNull(), F.when(inside, F.col("stopped_at")).otherwise(F.col("now"))).alias("ended_at"))
+
+
+def abandoned(sessions: DataFrame, chosen: DataFrame) -> DataFrame:
+    """sessions with those chosen (sid) abandoned if they are open; no attempt comes of them."""
+    met = sessions.join(chosen.select("sid", F.lit(True).alias("_gone")).distinct(), "sid", "left")
+    return met.withColumn("status", F.when(F.col("_gone") & (F.col("status") == "open"), "abandoned").otherwise(F.col("status"))).drop("_gone")
+
+
+def logged(entries: DataFrame, bank: DataFrame, results: dict[str, str]) -> tuple[DataFrame, DataFrame]:
+    """(entries of known ids with their result in today's words, entries of unknown ids or results)."""
+    table = F.create_map(*[F.lit(x) for kv in results.items() for x in kv])
+    met = entries.join(bank.select("id", F.lit(True).alias("_known")), "id", "left").withColumn("normal", table[F.col("result")])
+    good = F.coalesce(F.col("_known"), F.lit(False)) & F.col("normal").isNotNull()
+    return met.where(good).drop("_known"), met.where(~good).drop("_known", "normal")
+
+
+def write_ledger(results: DataFrame, path: str) -> int:
+    """Writes results (id, status, ...) as JSON lines and tells how many; an error, and nothing written, unless all pass and there are some."""
+    n, bad = results.agg(F.count("*"), F.count_if(~F.coalesce(F.col("status") == "pass", F.lit(False)))).first()
+    if not n or bad:
+        raise ValueError(f"{bad} of {n} checks do not pass; no ledger is written")
+    results.orderBy("id").coalesce(1).write.mode("overwrite").json(path)
+    return n
+
+
+def batch_inputs(states: DataFrame, sources: DataFrame, files: DataFrame) -> DataFrame:
+    """(id, lang, source, target) of the translated variants in states (id, variants: struct(lang, mode, sha)), with the texts of sources (id, text) and files (id, lang, text)."""
+    each = states.select("id", F.explode("variants").alias("v")).where("v.mode = 'translated'").select("id", "v.lang")
+    return each.join(sources.select("id", F.col("text").alias("source")), "id").join(files.select("id", "lang", F.col("text").alias("target")), ["id", "lang"])
+
+
+def verified_by_language(inputs: DataFrame, langs: list[str], verify: Callable[[DataFrame, str], DataFrame]) -> DataFrame:
+    """What a verifier, a function of (rows of one language, the language), finds, language by language."""
+    out = None
+    for lang in langs:
+        found = verify(inputs.where(F.col("lang") == lang), lang).withColumn("lang", F.lit(lang))
+        out = found if out is None else out.unionByName(found)
+    return out
+
+
+def guard_folder(spark, path: str) -> None:
+    """An error if a folder has files but is none that this library publishes to: its contents would be lost."""
+    try:
+        names = [r.path for r in spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path").limit(1000).collect()]
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return
+    if names and not any("/published/" in n for n in names):
+        raise ValueError(f"{path} has files of another origin")
+
+
+def dispatched(jobs: list, call: Callable, tries: int = 3, wait: float = 1.0, most: float = 60.0, known: dict | None = None, strict: bool = False, sleep: Callable[[float], None] = time.sleep) -> list[tuple]:
+    """(job, status, result or error) of jobs that call a service, in order, on the driver.
+
+    A known result is reused. A call that raises is tried again after a wait that doubles up to a bound; after the last try
+    the job has failed. With ``strict`` the first failure ends the run; what did not run is skipped, and an interruption
+    marks the job that it met and ends the run.
+    """
+    out, over = [], False
+    for job in jobs:
+        if over:
+            out.append((job, "skipped", None))
+        elif known is not None and job in known:
+            out.append((job, "reused", known[job]))
+        else:
+            for k in range(tries):
+                try:
+                    out.append((job, "done", call(job)))
+                    break
+                except KeyboardInterrupt:
+                    out.append((job, "interrupted", None))
+                    over = True
+                    break
+                except Exception as e:  # whatever the service raises is its failure
+                    if k + 1 == tries:
+                        out.append((job, "failed", str(e)))
+                        over = strict
+                    else:
+                        sleep(min(most, wait * 2**k))
+    return out

@@ -67,3 +67,63 @@ def test_spans_and_html(spark):
     want = "<p>One &lt;b&gt;\nline</p>\n<ul><li>x</li><li>y &amp; z</li></ul>\n<ol><li>a</li><li>b</li></ol>\n<p>1. alone</p>"
     got = spark.createDataFrame([(text,), ("  ",), (None,)], "t string").select(workflow.html(F.col("t")).alias("h")).collect()
     assert [r.h for r in got] == [want, "", ""]
+
+
+def test_forms_and_sessions(spark):
+    sessions = spark.createDataFrame([("a", "open", 2, False, 100), ("b", "finished", 0, True, 0), ("c", "open", 0, True, 50)], "sid string, status string, hints int, revealed boolean, started_at long")
+    forms = [("a", "2:false", 150, 200), ("a", "1:false", 150, 200), ("a", "2:false", 50, 200), ("a", "2:false", 250, 200), ("b", "0:true", None, 200), ("x", "0:true", None, 200), ("c", "0:true", None, 60)]
+    got = workflow.accepted(spark.createDataFrame(forms, "sid string, token string, stopped_at long, now long"), sessions).collect()
+    want = {("a", "2:false", 150): (None, 150), ("a", "1:false", 150): ("form is stale", None), ("a", "2:false", 50): (None, 200), ("a", "2:false", 250): (None, 200), ("b", "0:true", None): ("session is closed", None), ("x", "0:true", None): ("unknown session", None), ("c", "0:true", None): (None, 60)}
+    assert {(r.sid, r.token, r.stopped_at): (r.error, r.ended_at) for r in got} == want
+    gone = workflow.abandoned(sessions, spark.createDataFrame([("a",), ("b",), ("a",)], "sid string"))
+    assert {r.sid: r.status for r in gone.collect()} == {"a": "abandoned", "b": "finished", "c": "open"}
+
+
+def test_logs_and_ledgers(spark, tmp_path):
+    good, bad = workflow.logged(spark.createDataFrame([(1, "ok"), (2, "ok"), (1, "what")], "id long, result string"), spark.createDataFrame([(1,)], "id long"), {"ok": "independent_ok", "hard": "hinted_ok"})
+    assert [tuple(r) for r in good.collect()] == [(1, "ok", "independent_ok")] and sorted(map(tuple, bad.collect())) == [(1, "what"), (2, "ok")]
+    rows = [("b", "pass"), ("a", "pass")]
+    assert workflow.write_ledger(spark.createDataFrame(rows, "id string, status string"), str(tmp_path / "l")) == 2 and [r.id for r in spark.read.json(str(tmp_path / "l")).collect()] == ["a", "b"]
+    for other in ([("a", "fail")], [("a", None)], []):
+        with pytest.raises(ValueError):
+            workflow.write_ledger(spark.createDataFrame(other, "id string, status string"), str(tmp_path / "m"))
+    (tmp_path / "own").mkdir()
+    (tmp_path / "own" / "x.txt").write_text("x")
+    with pytest.raises(ValueError):
+        workflow.guard_folder(spark, str(tmp_path / "own"))
+    workflow.guard_folder(spark, str(tmp_path / "nowhere"))
+    sinks.publish(spark.range(2), str(tmp_path / "mine"))
+    workflow.guard_folder(spark, str(tmp_path / "mine"))
+
+
+def test_runs():
+    waits, calls = [], []
+
+    def call(job):
+        calls.append(job)
+        if job == "stop":
+            raise KeyboardInterrupt
+        if job == "bad" or (job == "late" and calls.count("late") < 3):
+            raise RuntimeError("down")
+        return job.upper()
+
+    got = workflow.dispatched(["a", "late", "bad", "known"], call, known={"known": 1}, sleep=waits.append)
+    assert got == [("a", "done", "A"), ("late", "done", "LATE"), ("bad", "failed", "down"), ("known", "reused", 1)] and waits == [1.0, 2.0, 1.0, 2.0]
+    assert workflow.dispatched(["bad", "a"], call, tries=1, strict=True) == [("bad", "failed", "down"), ("a", "skipped", None)]
+    assert workflow.dispatched(["stop", "a"], call) == [("stop", "interrupted", None), ("a", "skipped", None)]
+
+
+def test_directory_of_translations(spark):
+    from sluicework.operators import translation
+
+    source = "# T\n## Statement\nTrouver les nombres $x$.\n"
+    sources = spark.createDataFrame([("a", source), ("b", source), ("c", source)], "path string, text string")
+    targets = spark.createDataFrame([("a", "# T\n## Statement\nFind all the numbers $x$.\n"), ("b", "# T\n## Statement\nTrouver tous les nombres $y$.\n"), ("z", "")], "path string, text string")
+    pairs = workflow.paired(sources, targets)
+    found = translation.verified(pairs, "path", "en")
+    assert sorted(map(tuple, found.collect())) == [("b", "math_mismatch", "Statement"), ("b", "target_language", "Statement"), ("c", "missing_file", "文档"), ("z", "extra_file", "文档")]
+    assert {r["item"]: r.n for r in translation.report(found, pairs, "path").collect()} == {"total": 4, "passed": 1, "failed": 3, "math_mismatch": 1, "target_language": 1, "missing_file": 1, "extra_file": 1}
+    states = spark.createDataFrame([("a", [("en", "translated", "s"), ("zh", "failed", None)])], "id string, variants array<struct<lang:string,mode:string,sha:string>>")
+    inputs = workflow.batch_inputs(states, sources.withColumnRenamed("path", "id"), targets.select(F.col("path").alias("id"), F.lit("en").alias("lang"), "text"))
+    got = workflow.verified_by_language(inputs, ["en", "zh"], lambda df, lang: df.select("id", F.lit(lang == "en").alias("ok"))).collect()
+    assert [tuple(r) for r in got] == [("a", True, "en")]
