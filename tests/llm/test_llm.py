@@ -92,7 +92,9 @@ def test_simhash(docs, none):
     assert one.columns == docs.columns and one.count() == len({r.group for r in got})
 
 
-def test_near_copies_leave_one(spark):
+@pytest.mark.parametrize("block", [3, shingles.BLOCK])
+def test_near_copies_leave_one(spark, block, monkeypatch):
+    monkeypatch.setattr(shingles, "BLOCK", block)
     rng = random.Random(9)
     texts = []
     for _ in range(25):
@@ -102,6 +104,10 @@ def test_near_copies_leave_one(spark):
             for k in rng.sample(range(len(own)), changes):
                 own[k] = "changed"
             texts.append(" ".join(own))
+    slow = [f"w{rng.randrange(5000)}" for _ in range(100)]
+    for k in range(0, 96, 3):  # a chain: each is near the next, but not the first the last
+        slow[k : k + 3] = [f"z{k}"] * 3
+        texts.append(" ".join(slow))
     texts += ["a b", "A  b", "b a", None, " "]
     rows = list(enumerate(texts))
     sets = [{tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if (w := (t or "").lower().split()) else set() for t in texts]
