@@ -10,9 +10,9 @@ from pyspark.sql import functions as F
 
 # Fields of front matter, sections of a body, ways of verification, and the least difficulty.
 REQUIRED = ["id", "title", "category", "source_ref", "difficulty", "topics", "verification", "source_url"]
-ALLOWED = [*REQUIRED, "contest", "year", "difficulty_note", "mathnet_id", "review_ref", "machine_check_ref"]
+ALLOWED = [*REQUIRED, "contest", "year", "difficulty_note", "dataset_id", "review_ref", "machine_check_ref"]
 SECTIONS = ["## 题面", "## 答案", "## 解法要点"]
-VERIFICATION = ["sourced", "independent-derivation", "mathnet-reviewed"]
+VERIFICATION = ["sourced", "independent-derivation", "dataset-reviewed"]
 FLOOR, MOST_TOPICS = 2, 4
 # What a translation state may hold.
 CONFIDENCE, LANGUAGES, MODES = ["high", "medium", "low"], ["en", "zh"], ["passthrough", "translated", "failed"]
@@ -36,13 +36,13 @@ def lint(rows: DataFrame, reviews: DataFrame, machines: DataFrame) -> DataFrame:
     review, machine = fm("review_ref"), fm("machine_check_ref")
     df = rows.join(readable(reviews).withColumnsRenamed({"_ref": "_r", "_read": "r_read"}), review == F.col("_r"), "left")
     covered = reviews.select(F.col("ref").alias("_c"), F.col("id").alias("_ci"), F.lit(True).alias("r_covers")).distinct()
-    df = df.join(covered, (review == F.col("_c")) & (fm("mathnet_id") == F.col("_ci")), "left")
+    df = df.join(covered, (review == F.col("_c")) & (fm("dataset_id") == F.col("_ci")), "left")
     df = df.join(readable(machines).withColumnsRenamed({"_ref": "_m", "_read": "m_read"}), machine == F.col("_m"), "left")
     passed = machines.where("status = 'pass'").select(F.col("ref").alias("_p"), F.col("id").alias("_pi"), F.lit(True).alias("m_pass")).distinct()
     df = df.join(passed, (machine == F.col("_p")) & (fm("id") == F.col("_pi")), "left")
     whole = F.coalesce(fm("difficulty").rlike("^[1-5]$"), F.lit(False))
     listed = F.coalesce(fm("topics").startswith("["), F.lit(False))
-    reviewed = F.coalesce(fm("verification") == "mathnet-reviewed", F.lit(False))
+    reviewed = F.coalesce(fm("verification") == "dataset-reviewed", F.lit(False))
     odd = F.array_sort(F.array_except(F.map_keys("fm"), F.array(*map(F.lit, ALLOWED))))
     rules = [
         ("unknown fields", F.size(odd) > 0), *[(f"missing {k}", ~has(k)) for k in REQUIRED],
@@ -51,9 +51,9 @@ def lint(rows: DataFrame, reviews: DataFrame, machines: DataFrame) -> DataFrame:
         ("difficulty is no whole number of 1 to 5", ~whole), ("difficulty below the floor", whole & (fm("difficulty").try_cast("int") < FLOOR)),
         ("too many topics", listed & (F.size(F.from_json(fm("topics"), "array<string>")) > MOST_TOPICS)), ("topics are no list", fm("topics").isNotNull() & ~listed),
         ("source_url is no link", ~F.coalesce(fm("source_url").startswith("http"), F.lit(False))), ("unknown verification", ~F.coalesce(fm("verification").isin(VERIFICATION), F.lit(False))),
-        ("reviewed without mathnet_id", reviewed & ~has("mathnet_id")), ("reviewed without review_ref", reviewed & ~has("review_ref")),
+        ("reviewed without dataset_id", reviewed & ~has("dataset_id")), ("reviewed without review_ref", reviewed & ~has("review_ref")),
         ("review can't be read", reviewed & has("review_ref") & F.col("r_read").isNull()),
-        ("review does not cover it", reviewed & has("review_ref") & has("mathnet_id") & F.col("r_read") & F.col("r_covers").isNull()),
+        ("review does not cover it", reviewed & has("review_ref") & has("dataset_id") & F.col("r_read") & F.col("r_covers").isNull()),
         ("machine ledger can't be read", has("machine_check_ref") & F.col("m_read").isNull()), ("machine ledger does not pass it", has("machine_check_ref") & F.col("m_read") & F.col("m_pass").isNull()),
         *[(f"section {s} is missing", ~F.coalesce(F.col("body").contains(s), F.lit(False))) for s in SECTIONS],
     ]

@@ -13,8 +13,8 @@ FIELDS = {
     "title": "CASE WHEN doc_id % 23 = 0 THEN '' ELSE 'Item ' || doc_id END", "category": "lang", "source_ref": "CASE WHEN doc_id % 29 <> 0 THEN source END",
     "difficulty": "CASE doc_id % 8 WHEN 0 THEN 'true' WHEN 1 THEN '1' WHEN 2 THEN '7' ELSE '3' END",
     "topics": "CASE doc_id % 9 WHEN 0 THEN '[]' WHEN 1 THEN 'loose' WHEN 2 THEN '[\"a\",\"b\",\"c\",\"d\",\"e\"]' ELSE '[\"a\"]' END",
-    "verification": "CASE doc_id % 5 WHEN 0 THEN 'sourced' WHEN 1 THEN 'guess' ELSE 'mathnet-reviewed' END", "source_url": "CASE WHEN doc_id % 11 = 0 THEN 'ftp://x' ELSE 'http://x' END",
-    "mathnet_id": "CASE WHEN doc_id % 7 <> 0 THEN 'm' || (doc_id % 40) END", "review_ref": "CASE WHEN doc_id % 13 <> 0 THEN source END",
+    "verification": "CASE doc_id % 5 WHEN 0 THEN 'sourced' WHEN 1 THEN 'guess' ELSE 'dataset-reviewed' END", "source_url": "CASE WHEN doc_id % 11 = 0 THEN 'ftp://x' ELSE 'http://x' END",
+    "dataset_id": "CASE WHEN doc_id % 7 <> 0 THEN 'm' || (doc_id % 40) END", "review_ref": "CASE WHEN doc_id % 13 <> 0 THEN source END",
     "machine_check_ref": "CASE WHEN doc_id % 3 = 0 THEN source END", "colour": "CASE WHEN doc_id % 31 = 0 THEN 'red' END",
 }
 BODY = "'## 题面' || CASE WHEN doc_id % 6 = 0 THEN '' ELSE ' ## 答案' END || CASE WHEN doc_id % 10 = 0 THEN '' ELSE ' ## 解法要点' END"
@@ -23,15 +23,15 @@ _FM = "f AS (SELECT doc_id, lang, source, doc_id % 37 <> 0 AS readable, " + ", "
 
 def _lint_sql() -> str:
     has = lambda k: f"coalesce(trim({k}_) NOT IN ('', '[]', 'null'), false)"
-    reviewed = "coalesce(verification_ = 'mathnet-reviewed', false)"
+    reviewed = "coalesce(verification_ = 'dataset-reviewed', false)"
     rules = [
         ("unknown fields", "colour_ IS NOT NULL"), *[(f"missing {k}", f"NOT {has(k)}") for k in contracts.REQUIRED],
         ("id differs from the file's name", "coalesce(id_, '') || '.md' <> file"), ("id of another category", "NOT starts_with(id_, upper(substring(lang, 1, 1)) || '-')"),
         ("difficulty is no whole number of 1 to 5", "NOT regexp_matches(difficulty_, '^[1-5]$')"), ("difficulty below the floor", "difficulty_ = '1'"),
         ("too many topics", "topics_ LIKE '%e\"]'"), ("topics are no list", "NOT starts_with(topics_, '[')"), ("source_url is no link", "NOT starts_with(source_url_, 'http')"),
-        ("unknown verification", "verification_ = 'guess'"), ("reviewed without mathnet_id", f"{reviewed} AND NOT {has('mathnet_id')}"), ("reviewed without review_ref", f"{reviewed} AND NOT {has('review_ref')}"),
+        ("unknown verification", "verification_ = 'guess'"), ("reviewed without dataset_id", f"{reviewed} AND NOT {has('dataset_id')}"), ("reviewed without review_ref", f"{reviewed} AND NOT {has('review_ref')}"),
         ("review can't be read", f"{reviewed} AND {has('review_ref')} AND review_ref_ NOT IN (SELECT ref FROM r)"),
-        ("review does not cover it", f"{reviewed} AND {has('review_ref')} AND {has('mathnet_id')} AND review_ref_ IN (SELECT ref FROM r) AND review_ref_ || '/' || mathnet_id_ NOT IN (SELECT ref || '/' || id FROM r)"),
+        ("review does not cover it", f"{reviewed} AND {has('review_ref')} AND {has('dataset_id')} AND review_ref_ IN (SELECT ref FROM r) AND review_ref_ || '/' || dataset_id_ NOT IN (SELECT ref || '/' || id FROM r)"),
         ("machine ledger can't be read", f"{has('machine_check_ref')} AND machine_check_ref_ NOT IN (SELECT ref FROM m)"),
         ("machine ledger does not pass it", f"{has('machine_check_ref')} AND machine_check_ref_ IN (SELECT ref FROM m) AND machine_check_ref_ || '/' || id_ NOT IN (SELECT ref || '/' || id FROM m WHERE status = 'pass')"),
         *[(f"section {s} is missing", f"NOT contains(body, '{s}')") for s in contracts.SECTIONS],

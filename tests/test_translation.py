@@ -11,7 +11,7 @@ def test_english_gate(spark):
     rows = [
         ("", "fr", False), ("Not provided in the dataset.", "fr", False), ("We find the value of x.", "fr", False), ("证明 it", "en", True), ("α is an angle of the triangle", "fr", False),
         ("αβ", "en", True), ("x + y = \\sin z", "fr", False), ("Trouver les nombres", "en", True), ("une éclipse totale", "en", True), ("No solutions", "fr", False), ("Proof is omitted", "sl", False),
-        ("Mojca Zupan", "sl", True), ("Mojca Zupan", "en-GB", False), ("$x$ {{MNT_0001}} ![a](b.png)", "fr", False), (None, None, False),
+        ("Mojca Zupan", "sl", True), ("Mojca Zupan", "en-GB", False), ("$x$ {{ABC_0001}} ![a](b.png)", "fr", False), (None, None, False),
     ]
     df = spark.createDataFrame([(k, t, s, "old") for k, (t, s, _) in enumerate(rows)], "k int, body string, src string, lang string")
     got = translation.english_gate(df, "body", "src")
