@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 #: Rows of a few numbers each that may be broadcast.
 FEW = 1 << 20
 #: Bytes of an Arrow batch that goes to Python, where the session doesn't say.
-BATCH = 8 << 20
+BATCH = 4 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -42,7 +42,7 @@ def written(df: DataFrame, tag: str) -> DataFrame:
 def small_batches(spark: SparkSession) -> None:
     """Bounds the Arrow batches of this session by ``BATCH`` bytes, unless the session has a bound of its own.
 
-    Spark bounds them by 10,000 rows and 64 MB, which is several hundred MB for a worker and its JVM where rows are texts.
+    Spark bounds them by 10,000 rows and 64 MB, which is hundreds of MB for a worker and its JVM where rows are texts.
     """
     key = "spark.sql.execution.arrow.maxBytesPerBatch"
     if key not in spark.conf.getAll:
