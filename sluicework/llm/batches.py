@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
+import ctypes
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -26,3 +27,19 @@ def free_name(name: str, taken: Iterable[str]) -> str:
     while tried.lower() in used:
         tried, k = f"{name}_{k}", k + 1
     return tried
+
+
+def handing_back(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """``run``, a function for mapInArrow, that gives back to the system what it has freed once its partition is done.
+
+    Workers wait for the next task; what their allocators keep would be missed by stages that run in the JVM alone.
+    """
+
+    def own(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(batches)
+        pa.default_memory_pool().release_unused()
+        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # of the GNU library; others have no such call
+        if trim:
+            trim(0)
+
+    return own

@@ -23,7 +23,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sluicework.llm.batches import cuts
+from sluicework.llm.batches import cuts, handing_back
 from sluicework.session import shared_dir, small_batches
 
 PATH_DIMS, WORD_DIMS, COUNTS, HIDDEN = 192, 48, 5, 16
@@ -414,7 +414,7 @@ def extract(df: DataFrame, id_col: str = "page_id", url_col: str = "url", html_c
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(out, pa.string()), pa.array([len(x) for x in out], pa.int64())], ["page_id", "url", "text", "n_chars"])
 
     rows = df.select(F.col(f"`{id_col}`").cast("long").alias("page_id"), F.col(f"`{url_col}`").cast("string").alias("url"), F.col(f"`{html_col}`").alias("html"))
-    return rows.mapInArrow(run, "page_id long, url string, text string, n_chars long")
+    return rows.mapInArrow(handing_back(run), "page_id long, url string, text string, n_chars long")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

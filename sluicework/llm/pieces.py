@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from sluicework.llm.batches import cuts
+from sluicework.llm.batches import cuts, handing_back
 from sluicework.session import small_batches
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
@@ -33,9 +33,9 @@ SPACE = "▁"
 #: Bytes, about, of words and their ids that a worker remembers, and pairs of pieces; then it starts anew.
 REMEMBERED, PAIRS = 3 << 24, 1 << 18
 #: Bytes of new words that are indexed together, and characters from which a word is indexed by itself and not remembered.
-TOGETHER, LONG = 1 << 17, 1 << 10
+TOGETHER, LONG = 1 << 16, 1 << 10
 #: Bytes of text that are encoded together.
-SLICE = 1 << 21
+SLICE = 1 << 20
 #: Bytes of the UTF-8 character that begins with each byte.
 _CHARACTER = np.repeat(np.array([1, 2, 3, 4], np.int32), [0xC0, 0x20, 0x10, 0x10])
 
@@ -320,7 +320,7 @@ def encode(df: DataFrame, text_col: str = "text", model_path: str = MODEL, keep:
                 yield pa.RecordBatch.from_arrays([part.column(0), lists, pa.array([pieces.decode(x.tolist()) for x in ids], pa.string())], ["row", "ids", "decoded"])
 
     rows = df.select(F.struct(*[df[f"`{c}`"] for c in (df.columns if keep is None else keep)]).alias("row"), F.col(f"`{text_col}`").alias("text"))
-    return rows.mapInArrow(run, T.StructType([T.StructField("row", rows.schema["row"].dataType), T.StructField("ids", T.ArrayType(T.IntegerType())), T.StructField("decoded", T.StringType())]))
+    return rows.mapInArrow(handing_back(run), T.StructType([T.StructField("row", rows.schema["row"].dataType), T.StructField("ids", T.ArrayType(T.IntegerType())), T.StructField("decoded", T.StringType())]))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -23,6 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from sluicework.llm.batches import handing_back
 from sluicework.operators.components import connected_components
 from sluicework.session import if_few, small_batches, written
 
@@ -164,7 +165,7 @@ def near_links(prints: DataFrame, most: int = BLOCK) -> DataFrame:
     """(a, b): links between distinct fingerprints (column fp) whose closure is that of all links within the threshold."""
     kinds = "kind int, a long, b long, c long"
     met = anchored(prints).repartition("anchor").sortWithinPartitions("anchor", "fp")
-    found = written(met.mapInArrow(_compare(most), kinds), "simhash-links")
+    found = written(met.mapInArrow(handing_back(_compare(most)), kinds), "simhash-links")
     links = found.where("kind = 0").select("a", "b")
     hot = found.where("kind = 1").select(F.col("a").alias("anchor"), F.col("b").alias("fp"), F.floor(F.col("c") / most).cast("long").alias("block"))
     if not hot.isEmpty():
@@ -195,7 +196,7 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     small_batches(df.sparkSession)
     uid = F.monotonically_increasing_id() if uid_col is None else F.col(f"`{uid_col}`")
     rows = df.select(uid.alias("uid"), F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").alias("text"))
-    marked = written(rows.mapInArrow(_fingerprints, "uid long, id long, fp long"), "simhash-prints")
+    marked = written(rows.mapInArrow(handing_back(_fingerprints), "uid long, id long, fp long"), "simhash-prints")
     distinct = written(marked.groupBy("fp").agg(F.min("id").alias("least")), "simhash-distinct")
     group = connected_components(near_links(distinct.select("fp")), "a", "b")
     group = distinct.join(group.withColumnRenamed("node", "fp"), "fp")

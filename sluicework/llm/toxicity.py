@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from sluicework.llm.batches import cuts
+from sluicework.llm.batches import cuts, handing_back
 from sluicework.session import small_batches
 
 SAMPLE, SAMPLE_BYTES = 8000, 1 << 26
@@ -204,7 +204,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> tuple[np.
     own = own.groupBy("turn", "doc_id", "toxic").agg(F.min("text").alias("text"))
     rows = own.withColumn("part", F.explode(F.array(F.lit(0), F.lit(1), F.lit(2)))).withColumn("fold", F.pmod(F.crc32(F.col("turn").cast("binary")), F.lit(2)).cast("int"))
     rows = rows.repartitionByRange(3, "part").sortWithinPartitions("part", "turn", "doc_id").select("part", "text", "toxic", "fold")
-    found = {r["part"]: r for r in rows.mapInArrow(_train, MODEL).collect()}  # three rows at most
+    found = {r["part"]: r for r in rows.mapInArrow(handing_back(_train), MODEL).collect()}  # three rows at most
     if not found:
         return np.empty(0, np.int32), np.empty(0, np.float32), 0.0
     of = lambda name, kind: np.concatenate([np.frombuffer(found[k][name], kind) for k in (0, 1)])
@@ -238,7 +238,7 @@ def score(df: DataFrame, model: tuple[np.ndarray, np.ndarray, float], text_col:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out)], ["row", "score"])
 
     rows = df.select(F.struct(*[df[f"`{c}`"] for c in own]).alias("row"), *([] if text_col in own else [F.col(f"`{text_col}`").alias("text")]))  # a text travels once
-    return rows.mapInArrow(run, T.StructType([T.StructField("row", rows.schema["row"].dataType), T.StructField("score", T.DoubleType())]))
+    return rows.mapInArrow(handing_back(run), T.StructType([T.StructField("row", rows.schema["row"].dataType), T.StructField("score", T.DoubleType())]))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
