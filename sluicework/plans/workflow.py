@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 from sluicework.operators import workflow
 from sluicework.plans.catalog import PROBLEM, _problems, query
 
-_D = F.col("doc_id")
 
 
 @query("SELECT doc_id, l AS lang, CASE l WHEN 'orig' THEN 'by/' || lang || '/' || doc_id || '/index.md' ELSE 'by/' || lang || '/' || doc_id || '/index.' || l || '.md' END AS path FROM documents, (VALUES ('orig'), ('en'), ('zh')) v(l)")
@@ -63,7 +62,7 @@ def reindexed_rows(t):
 @query("WITH s AS (SELECT 'stash-' || doc_id % 2 AS root, doc_id % 100 AS id, md5(text) AS sha FROM documents UNION ALL SELECT 'live', doc_id, md5(text) FROM documents WHERE doc_id < 50) SELECT id, string_agg(DISTINCT root, ',' ORDER BY root) AS place, count(DISTINCT sha) AS n FROM s GROUP BY id HAVING count(DISTINCT sha) > 1")
 def stash_conflicts(t):
     docs = t("documents").select("doc_id", F.md5("text").alias("sha"))
-    stashes = docs.select(F.concat(F.lit("stash-"), _D % 2).alias("root"), (_D % 100).alias("id"), "sha")
+    stashes = docs.select(F.concat(F.lit("stash-"), F.col("doc_id") % 2).alias("root"), (F.col("doc_id") % 100).alias("id"), "sha")
     return workflow.stash_conflicts(stashes, docs.where("doc_id < 50").select(F.col("doc_id").alias("id"), "sha"))
 
 
@@ -84,11 +83,11 @@ _ESCAPED = "replace(replace(replace(replace(replace({c}, '&', '&amp;'), '<', '&l
 
 @query(f"SELECT doc_id, '<p>' || {_ESCAPED.format(c='source')} || ' &lt;b&gt;</p>' || chr(10) || '<ul><li>' || lang || '</li><li>two &amp; three</li></ul>' || chr(10) || CASE WHEN doc_id % 2 = 0 THEN '<ol><li>a</li><li>b</li></ol>' ELSE '<p>1. a</p>' END AS html FROM documents")
 def web_texts(t):
-    text = F.concat("source", F.lit(" <b>\n\n- "), "lang", F.lit("\n* two & three\n \n1. a"), F.when(_D % 2 == 0, "\n2. b").otherwise(""))
+    text = F.concat("source", F.lit(" <b>\n\n- "), "lang", F.lit("\n* two & three\n \n1. a"), F.when(F.col("doc_id") % 2 == 0, "\n2. b").otherwise(""))
     return t("documents").select("doc_id", workflow.html(text).alias("html"))
 
 
 @query("SELECT doc_id, CASE WHEN doc_id % 4 = 0 THEN lang END AS declared FROM documents")
 def declared_lines(t):
-    text = F.concat(F.lit("# T\n- 来源: x\n"), F.when(_D % 4 == 0, F.concat(F.lit("- 语言： "), "lang", F.lit("  \n"))).otherwise("语言 "), "text")
+    text = F.concat(F.lit("# T\n- 来源: x\n"), F.when(F.col("doc_id") % 4 == 0, F.concat(F.lit("- 语言： "), "lang", F.lit("  \n"))).otherwise("语言 "), "text")
     return t("documents").where(~F.col("text").contains("语言")).select("doc_id", workflow.declared_line(text).alias("declared"))
