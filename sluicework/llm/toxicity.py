@@ -39,18 +39,27 @@ _PAD = np.zeros(max(LENGTHS), np.uint32)
 
 
 def _grams(texts: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """(text's number, feature) of every n-gram, in chunks; a text longer than a chunk comes in overlapping pieces."""
-    held, size = [], 0
+    """(text's number, feature) of every n-gram that starts in a text, in chunks; a text longer than a chunk comes in overlapping pieces.
+
+    What follows a text is zeros, never another text: so a text has the same n-grams whatever stands beside it. A piece
+    that is not the last gives only the n-grams that the next does not.
+    """
+    held: list[tuple[int, np.ndarray, int]] = []
+    size = 0
 
     def out() -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        code = np.concatenate([x for _, c in held for x in (c, _PAD)])
-        owner = np.repeat(np.array([k for k, _ in held], np.int32), [len(c) + len(_PAD) for _, c in held])
+        code = np.concatenate([x for _, c, _ in held for x in (c, _PAD)])
+        sizes = np.array([len(c) + len(_PAD) for _, c, _ in held])
+        begins = np.cumsum(sizes) - sizes
+        starts = np.concatenate([np.arange(a, a + m) for a, (_, _, m) in zip(begins.tolist(), held, strict=True)])
+        owner = np.repeat(np.array([k for k, _, _ in held], np.int32), [m for _, _, m in held])
         n = len(code) - len(_PAD)
         h = np.zeros(n, np.uint64)
         for k in range(max(LENGTHS)):
             h = h * np.uint64(0x9E3779B97F4A7C15) + code[k : k + n] + np.uint64(1)
             if k + 1 in LENGTHS:
-                yield owner[:n], ((h ^ h >> np.uint64(29)) * np.uint64(0xBF58476D1CE4E5B9) >> np.uint64(64 - HASH_BITS)).astype(np.int32)
+                own = h[starts]
+                yield owner, ((own ^ own >> np.uint64(29)) * np.uint64(0xBF58476D1CE4E5B9) >> np.uint64(64 - HASH_BITS)).astype(np.int32)
 
     for k, t in enumerate(texts):
         code = np.frombuffer(("\0" + t.lower()).encode("utf-32-le", "surrogatepass"), np.uint32)
@@ -59,7 +68,7 @@ def _grams(texts: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
             if held and size + len(part) > CHUNK:
                 yield from out()
                 held, size = [], 0
-            held.append((k, part))
+            held.append((k, part, min(CHUNK, len(part))))
             size += len(part)
     if held:
         yield from out()

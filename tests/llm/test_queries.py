@@ -165,12 +165,22 @@ def test_op4(spark, folder):
     got = {r.doc_id: r for r in _rows(spark, folder, "op4_toxicity")}
     assert len(got) == len(DOCS)
     for i, (held, score) in want.items():
-        assert got[i].held_out == held and abs(got[i].score - score) < 5e-3 and got[i].predicted == (got[i].score >= 0.7), i
+        assert got[i].held_out == held and abs(got[i].score - score) < 1e-4 and got[i].predicted == (got[i].score >= 0.7), i
     z = np.linspace(-3, 3, 200)
     slope, shift = toxicity.chances(z, z > 0.5, 1.0)
     assert slope > 1 and abs(-shift / slope - 0.5) < 0.1 and toxicity.chances(z, z > 9) == (1.0, 0.0)
 
 
+def test_ngrams_are_a_texts_own(monkeypatch):
+    """The same features alone, beside other texts, and cut into pieces; against one character after the other."""
+    texts = [t or "" for _, t, *_ in DOCS][:60] + ["", "a", "x" * 50]
+    for chunk in (toxicity.CHUNK, 40, 9):
+        monkeypatch.setattr(toxicity, "CHUNK", chunk)
+        row, feature = toxicity._present(texts)
+        for k, t in enumerate(texts):
+            assert set(feature[row == k].tolist()) == _features(t) == set(toxicity._present([t])[1].tolist()), (chunk, k)
+
+
 def test_op5(spark, folder):
     sp = pieces.loaded(open(pieces.MODEL, "rb").read()).library
     want = {i: (len(n := sp.encode(t or "")), n, hashlib.sha256(sp.decode(n).encode()).hexdigest()) for i, t, *_ in DOCS}
