@@ -451,22 +451,29 @@ def length_ratio_outliers(t):
     return t("conversations").select("conv_id", "turn", r.alias("r")).where("r < 0.18 OR r > 4.0").select("conv_id", "turn", _r("r", "ratio"))
 
 
-_SPELT = ["$\\dfrac{1}{2} \\le x$", "$$\\frac{1}{2}\\leq x,$$", "\\(a^2 + b^2\\)", "\\begin{align}a^2+b^2&\\\\x_1 = 2\\end{align}"]
-#: What the spellings above come to.
-_MEANT = [["\\frac{1}{2}\\leqx"], ["\\frac{1}{2}\\leqx"], ["a^2+b^2"], ["a^2+b^2", "x_1=2"]]
+#: Formulas in several spellings, put after the text of some documents, so that there are some to share.
+_SPELT = [(2, r"$\dfrac{1}{2} \le x$"), (3, r"$$\frac{1}{2}\leq x,$$"), (5, r"\(a^2 + b^2\)"), (7, r"\begin{align}a^2+b^2&\\x_1 = 2\end{align}")]
 
 
 def _sql_formulas() -> str:
-    """The formulas of the text that formula_overlap gives a document, by its id, as lists."""
-    parts = [f"CASE doc_id % {m} WHEN {r} THEN {k!r} END" for m, r, k in ((2, 0, 0), (3, 0, 1), (5, 0, 2), (7, 0, 3))]
-    lists = [f"CASE WHEN ({p}) IS NOT NULL THEN [{', '.join(repr(x).replace(chr(92) * 2, chr(92)) for x in _MEANT[k])}] ELSE [] END" for k, p in enumerate(parts)]
-    return "list_distinct(" + lists[0] + " || " + " || ".join(lists[1:]) + ")"
-
-
-@query(f"WITH f AS (SELECT doc_id, {_sql_formulas()} AS f FROM documents) SELECT a.doc_id AS \"left\", b.doc_id AS \"right\", len(list_intersect(a.f, b.f)) / least(len(a.f), len(b.f))::DOUBLE AS overlap FROM f a JOIN f b ON b.doc_id = a.doc_id + 1 WHERE len(a.f) > 0 AND len(b.f) > 0")
+    """Lists of formulas by the same steps; RE2 can't look ahead, so what follows a macro is taken and put back."""
+    text = "concat_ws(' ', text, " + ", ".join(f"CASE WHEN doc_id % {m} = 0 THEN '{f}' END" for m, f in _SPELT) + ")"
+    macro = [(r"\\(?:left|right|bigg?|Bigg?|displaystyle|textstyle|limits|quad|qquad|,|;|:|!)([^A-Za-z]|$)", r"\1"), (r"\\[dt]frac([^A-Za-z]|$)", r"\\frac\1"), (r"\\le([^A-Za-z]|$)", r"\\leq\1"), (r"\\ge([^A-Za-z]|$)", r"\\geq\1"), (r"\s+", ""), (r"^[.,;:]+|[.,;:]+$", "")]
+    norm = "y"
+    for pattern, new in macro:
+        norm = f"regexp_replace({norm}, '{pattern}', '{new}', 'g')"
+    inner = " || ".join(f"regexp_extract(m, '{T.DISPLAY}', {k})" for k in (1, 2, 3))
+    return (
+        f"a AS (SELECT doc_id, {text} AS s FROM documents), b AS (SELECT doc_id, regexp_extract_all(s, '{T.ENVIRONMENTS}', 1) AS e, regexp_replace(s, '{T.ENVIRONMENTS}', ' ', 'g') AS s FROM a), "
+        f"c AS (SELECT doc_id, e || list_transform(regexp_extract_all(s, '{T.DISPLAY}'), lambda m: {inner}) || regexp_extract_all(regexp_replace(s, '{T.DISPLAY}', ' ', 'g'), '{T.INLINE}', 1) AS l FROM b), "
+        f"f AS (SELECT doc_id, list_distinct(list_filter(list_transform(flatten(list_transform(l, lambda x: string_split(replace(x, '&', ''), '\\\\'))), lambda y: {norm}), lambda z: length(z) >= 3)) AS f FROM c)"
+    )
+
+
+@query(f"WITH {_sql_formulas()} SELECT a.doc_id AS \"left\", b.doc_id AS \"right\", len(list_intersect(a.f, b.f)) / least(len(a.f), len(b.f))::DOUBLE AS overlap FROM f a JOIN f b ON b.doc_id = a.doc_id + 1 WHERE len(a.f) > 0 AND len(b.f) > 0")
 def formula_overlap(t):
-    """Shared formulas of pairs of candidates, each a document and the next; the documents' own text is kept, and formulas in several spellings put after it."""
-    some = [F.when(F.col("doc_id") % m == 0, _SPELT[k]) for m, k in ((2, 0), (3, 1), (5, 2), (7, 3))]
-    docs = t("documents").select("doc_id", T.formulas(F.concat_ws(" ", F.regexp_replace("text", r"[$\\\\]", ""), *some)).alias("f")).where(F.size("f") > 0)
+    """Shared formulas of pairs of candidates, each a document and the next, over their whole texts and what is put after some."""
+    some = [F.when(F.col("doc_id") % m == 0, f) for m, f in _SPELT]
+    docs = t("documents").select("doc_id", T.formulas(F.concat_ws(" ", "text", *some)).alias("f")).where(F.size("f") > 0)
     after = docs.select((F.col("doc_id") - 1).alias("doc_id"), F.col("f").alias("g"))
     return docs.join(after, "doc_id").select(F.col("doc_id").alias("left"), (F.col("doc_id") + 1).alias("right"), T.overlap(F.col("f"), F.col("g")).alias("overlap"))

@@ -87,9 +87,11 @@ _DONE = [
 _USED = [0, 1, 2, 3, 4, 5, 7]
 
 
-@query("WITH d AS (SELECT doc_id FROM documents WHERE NOT regexp_matches(text, '[$`~\\[\\\\]|(?m)^#') AND regexp_matches(text, '\\p{L}{2}')) " + " UNION ALL ".join(f"SELECT doc_id, '{kind}' AS finding, '{section}' AS section FROM d WHERE doc_id % {len(_USED)} = {k}" for k, use in enumerate(_USED) for kind, section in _DONE[use][1] or []))
+@query("WITH d AS (SELECT doc_id FROM documents) " + " UNION ALL ".join(f"SELECT doc_id, '{kind}' AS finding, '{section}' AS section FROM d WHERE doc_id % {len(_USED)} = {k}" for k, use in enumerate(_USED) for kind, section in _DONE[use][1] or []))
 def translation_findings(t):
-    docs = t("documents").where(~F.col("text").rlike(r"[$`~\[\\]|(?m)^#") & F.col("text").rlike(r"\p{L}{2}")).select("doc_id", F.expr(_SOURCE.replace("chr(10)", "'\\n'")).alias("s"))
+    # All documents; their own marks of formulas, code and headings become blanks, so that what is done to each is what there is to find.
+    own = F.regexp_replace("text", r"[$`~\[\]\\#!]", " ")
+    docs = t("documents").withColumn("text", F.coalesce(own, F.lit(""))).select("doc_id", F.expr(_SOURCE.replace("chr(10)", "'\\n'")).alias("s"))
     # The prose changes everywhere, so that only what was done to it can be found.
     r = F.regexp_replace("s", r"## Statement\n", "## Statement\nIndeed. ")
     done = F.lit(None).cast("string")
@@ -173,10 +175,10 @@ def keyword_recall(t):
     return curation.keyword_tags(t("documents"), "text", "lang", KEYWORDS).select("doc_id", "tag")
 
 
-@query("WITH d AS (SELECT doc_id, source, regexp_replace(text, '^\\s+|\\s+$', '', 'g') AS body FROM documents WHERE NOT regexp_matches(text, '(?m)^## ')) SELECT doc_id, 'A' AS heading, sha256(body) AS digest FROM d UNION ALL SELECT doc_id, 'B', sha256(source) FROM d")
+@query("WITH d AS (SELECT doc_id, source, regexp_replace(text, '^\\s+|\\s+$', '', 'g') AS body FROM documents) SELECT doc_id, 'A' AS heading, sha256(body) AS digest FROM d UNION ALL SELECT doc_id, 'B', sha256(source) FROM d")
 def section_split(t):
     """Sections of whole documents; of a heading that repeats the last counts."""
-    docs = t("documents").where(~F.col("text").rlike("(?m)^## "))
+    docs = t("documents")
     body = F.concat(F.lit("# T\n\n## A\nfirst\n## B\n"), "source", F.lit("\n\n## A\n"), "text")
     return docs.select("doc_id", F.explode(T.sections(body)).alias("heading", "body")).select("doc_id", "heading", F.sha2("body", 256).alias("digest"))
 
