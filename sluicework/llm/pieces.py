@@ -31,7 +31,7 @@ from sluicework.session import small_batches
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
 #: Bytes, about, of words and their ids that a worker remembers, and pairs of pieces; then it starts anew.
-REMEMBERED, PAIRS = 3 << 24, 1 << 18
+REMEMBERED, PAIRS = 1 << 25, 1 << 18
 #: Bytes of new words that are indexed together, and characters from which a word is indexed by itself and not remembered.
 TOGETHER, LONG = 1 << 16, 1 << 10
 #: Bytes of text that are encoded together.
@@ -279,6 +279,11 @@ class Pieces:
             del known[w]
         return out
 
+    def forget(self) -> None:
+        """Drops the words, so that a worker that waits for other tasks does not hold them; pairs, which cost most to find, stay."""
+        self.words = {}
+        self.held = 0
+
     def decode(self, ids: list[int]) -> str:
         """The text of a list of ids: pieces with spaces for marks, runs of bytes as UTF-8, without the added first space."""
         text = b"".join(map(self.raw.__getitem__, ids)).decode("utf-8", "replace")
@@ -318,6 +323,7 @@ def encode(df: DataFrame, text_col: str = "text", model_path: str = MODEL, keep:
                 ids = pieces.ids([x or "" for x in part.column(1).to_pylist()])
                 lists = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, ids)]), pa.int32()), pa.array(np.concatenate(ids)))
                 yield pa.RecordBatch.from_arrays([part.column(0), lists, pa.array([pieces.decode(x.tolist()) for x in ids], pa.string())], ["row", "ids", "decoded"])
+        pieces.forget()
 
     rows = df.select(F.struct(*[df[f"`{c}`"] for c in (df.columns if keep is None else keep)]).alias("row"), F.col(f"`{text_col}`").alias("text"))
     return rows.mapInArrow(handing_back(run), T.StructType([T.StructField("row", rows.schema["row"].dataType), T.StructField("ids", T.ArrayType(T.IntegerType())), T.StructField("decoded", T.StringType())]))
