@@ -64,7 +64,8 @@ def _answer(order: int):
 class Automaton:
     """The part of the model that one block's texts can reach, as flat arrays.
 
-    Nodes are the block's n-grams in order, the last stands for words not seen; as a state -1 is the root. ``arcs`` holds state * 2^21 + word of every arc from a state, in order.
+    Nodes are the block's n-grams in order, and one more for words not seen; as a state -1 is the root. ``arc[m]`` has for each place of
+    the block's texts the arc that reads the word there from the state of the m - 1 words before it, -1 where there is none.
     """
 
     def __init__(self, b: ngrams.Coded, order: int, total: int, distinct: int, discounts: list[float], later: dict[tuple, int]) -> None:
@@ -74,16 +75,11 @@ class Automaton:
         follow = np.concatenate([ngrams.unpack(r["follow"]).astype(np.int64) for r in said]) if said else np.zeros(len(length), np.int64)
         one = length == 1
         count[one] = b.totals[columns[0][one]]
-        self.word = np.full(len(b.ids), -1)  # the node of each word
-        self.word[columns[0][one]] = np.flatnonzero(one)
         parent, suffix = np.full(len(length), -1), np.full(len(length), -1)
         for m in range(2, order + 1):
             at = np.flatnonzero(index[m] >= 0)
             parent[index[m][at]] = index[m - 1][at - 1]
             suffix[index[m][at]] = index[m - 1][at]
-        last = np.zeros(len(length), np.int64)
-        for m in range(1, order + 1):
-            last[length == m] = columns[m - 1][length == m]
         self._add_later(b, columns, length, follow, later)
         p = np.zeros(len(length))
         p[one] = (count[one] + 1) / (total + distinct + 1)
@@ -99,10 +95,9 @@ class Automaton:
         self.fail = suffix
         state = (length < order) & (count > 0)
         self.next = np.append(np.where(state, np.arange(len(length)), np.where(length == 1, -1, suffix)), -1)
-        node = np.flatnonzero((length > 1) & (count > 0))
-        key = parent[node] << 21 | last[node]
-        by = np.argsort(key)
-        self.arcs, self.to = key[by], node[by]
+        self.size = np.append(length, 0).astype(np.int64)
+        live = np.append(count > 0, False)
+        self.arc = np.stack([np.where(live[index[m]], index[m], -1) for m in range(1, order + 1)]).astype(np.int32)
 
     @staticmethod
     def _add_later(b: ngrams.Coded, columns: list[np.ndarray], length: np.ndarray, follow: np.ndarray, later: dict[tuple, int]) -> None:
@@ -110,29 +105,20 @@ class Automaton:
             at = np.searchsorted(b.ids, np.array(prefix, np.uint64))
             if (at < len(b.ids)).all() and (b.ids[np.minimum(at, len(b.ids) - 1)] == np.array(prefix, np.uint64)).all():
                 lo, hi = 0, len(length)
-                for c, x in zip(columns, [*at.tolist(), *[0] * (len(columns) - len(at))], strict=True):
+                for c, x in zip(columns, np.array([*at, *[0] * (len(columns) - len(at))], columns[0].dtype), strict=True):
                     lo, hi = lo + np.searchsorted(c[lo:hi], x, "left"), lo + np.searchsorted(c[lo:hi], x, "right")
                 follow[lo:hi] += n
 
-    def read(self, state: np.ndarray, word: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(state after, log10 of the probability) for each state and word, along failure arcs as far as needed."""
+    def read(self, state: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(state after, log10 of the probability) for each state and the word at a place, along failure arcs as far as needed."""
         cost, after = np.zeros(len(state)), np.full(len(state), -1)
         todo, s = np.arange(len(state)), state
         while len(todo):
-            root = s < 0
-            if root.any():
-                node = self.word[word[todo[root]]]
-                cost[todo[root]] += self.log_p[node]
-                after[todo[root]] = self.next[node]
-                todo, s = todo[~root], s[~root]
-            hit = np.zeros(len(todo), bool)
-            if len(todo) and len(self.arcs):
-                key = s << 21 | word[todo]
-                place = np.minimum(np.searchsorted(self.arcs, key), len(self.arcs) - 1)
-                hit = self.arcs[place] == key
-                node = self.to[place[hit]]
-                cost[todo[hit]] += self.log_p[node]
-                after[todo[hit]] = self.next[node]
+            size = self.size[s]
+            node = self.arc[size, place[todo]]
+            hit = (node >= 0) | (size == 0)  # the root has an arc for every word
+            cost[todo[hit]] += self.log_p[node[hit]]
+            after[todo[hit]] = self.next[node[hit]]
             todo, s = todo[~hit], s[~hit]
             cost[todo] += self.log_back[s]
             s = self.fail[s]
@@ -146,7 +132,7 @@ class Automaton:
         state, score = np.full(len(by), -1), np.zeros(len(by))
         for t in range(int(sizes[0]) if len(sizes) else 0):
             k = np.searchsorted(-sizes, -t, "left")  # units longer than t
-            state[:k], cost = self.read(state[:k], b.tokens[starts[:k] + t])
+            state[:k], cost = self.read(state[:k], starts[:k] + t)
             score[:k] += np.where(t >= before[:k], cost, 0)
         out = np.empty(len(by))
         out[by] = score

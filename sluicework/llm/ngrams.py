@@ -86,6 +86,28 @@ def radix_order(columns: Iterable[np.ndarray]) -> np.ndarray:
     return np.arange(len(column)) if order is None else order
 
 
+def _joined(columns: list[np.ndarray], bits: int) -> list[np.ndarray]:
+    """Columns of numbers below 2^bits, as many to one as 64 bits hold; their order is the same."""
+    each, out = max(1, 64 // bits), []
+    for k in range(0, len(columns), each):
+        one = columns[k].astype(np.uint64)
+        for c in columns[k + 1 : k + each]:
+            one = one << np.uint64(bits) | c
+        out.append(one)
+    return out
+
+
+def _ordered(columns: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """(radix_order(), where in that order a row differs from the one before it)."""
+    order = radix_order(columns)
+    new = np.zeros(len(order), bool)
+    new[:1] = True
+    for c in columns:
+        s = c[order]
+        new[1:] |= s[1:] != s[:-1]
+    return order, new
+
+
 # ---- texts to blocks -----------------------------------------------------------------------------------------------
 
 
@@ -391,12 +413,7 @@ class Coded:
             weight.append(self.weight[at] if m > 1 else np.zeros(len(at), np.int64))
             places.append(at)
         columns, length, weight = [np.concatenate(c) for c in columns], np.concatenate(length), np.concatenate(weight)
-        order_ = radix_order(columns)
-        new = np.zeros(len(order_), bool)
-        new[:1] = True
-        for c in columns:
-            s = c[order_]
-            new[1:] |= s[1:] != s[:-1]
+        order_, new = _ordered(_joined(columns, len(self.ids).bit_length()))
         starts = np.flatnonzero(new)
         of = np.empty(len(order_), np.int64)
         of[order_] = np.cumsum(new) - 1
@@ -524,12 +541,7 @@ def merged(batches: Iterator[pa.RecordBatch]) -> Iterator[Merged]:
         parts = [_unframed(r["columns"]) for r in rows]
         columns = [np.concatenate([p[j].astype(np.uint64) for p in parts]) for j in range(len(parts[0]))]
         counts = np.concatenate([unpack(r["counts"]).astype(np.int64) for r in rows])
-        order = radix_order(columns)
-        new = np.zeros(len(order), bool)
-        new[:1] = True
-        for c in columns:
-            s = c[order]
-            new[1:] |= s[1:] != s[:-1]
+        order, new = _ordered(columns)
         starts = np.flatnonzero(new)
         of = np.empty(len(order), np.int64)
         of[order] = np.cumsum(new) - 1
