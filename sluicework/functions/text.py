@@ -141,3 +141,9 @@ def contained(path: Column) -> Column:
     start = F.struct(F.lit(0).alias("deep"), F.lit(True).alias("inside"))
     walked = F.aggregate(F.split(path, "/"), start, lambda s, p: F.struct((s["deep"] + step(p)).alias("deep"), (s["inside"] & (s["deep"] + step(p) >= 0)).alias("inside")))
     return walked["inside"] & ~path.startswith("/")
+
+
+def one_json(text: Column) -> Column:
+    """Whether a text is one JSON value and nothing else; null counts as none."""
+    wrapped = F.concat(F.lit("["), text, F.lit("]"))  # a parser may pass over what follows a value, but not inside of an array
+    return F.coalesce(F.try_parse_json(wrapped).isNotNull() & (F.json_array_length(wrapped) == 1), F.lit(False))

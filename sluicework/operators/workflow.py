@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+import re
 import time
 from collections.abc import Callable, Iterator
 
@@ -10,7 +12,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sluicework.functions.text import squeezed
+from sluicework.functions.text import one_json, squeezed
 
 # States that a variant may have.
 STATES = ["passthrough", "translated", "failed"]
@@ -117,10 +119,61 @@ def html(text: Column) -> Column:
     return F.when(F.coalesce(squeezed(text), F.lit("")) == "", "").otherwise(F.array_join(F.transform(blocks, block), "\n"))
 
 
+SPANS = "array<struct<key:string,start:int,stop:int>>"
+#: Every character of a JSON text is in one of these: a string, a mark, white space, a number or word.
+_TOKEN = re.compile(r'"(?:[^"\\]|\\.)*"|[{}\[\],:]|[ \t\r\n]+|[^\s{}\[\],:"]+', re.S)
+
+
+def _spans(line: str) -> list[dict] | None:
+    """Of a valid JSON object the places of its own values; None if it names one twice."""
+    out, depth, key, start, waits, end = [], 0, None, -1, False, 0
+    for m in _TOKEN.finditer(line):
+        token = m.group()
+        if token[0] in " \t\r\n":
+            continue
+        if depth == 1 and token in (",", "}"):
+            if key is not None:
+                out.append({"key": key, "start": start, "stop": end})
+            key = None
+        elif depth == 1 and token == ":":
+            waits = True
+        elif depth == 1 and key is None:
+            key = json.loads(token)
+        elif waits:
+            start, waits = m.start(), False
+        depth += (token in "{[") - (token in "}]")
+        end = m.end()
+    return out if len({s["key"] for s in out}) == len(out) else None
+
+
 def value_spans(line: Column) -> Column:
-    """The keys of a JSON object's top level, null if it is no object or repeats one: only what has them once may be patched in place."""
-    keys = F.json_object_keys(line)
-    return F.when(F.size(keys) == F.size(F.array_distinct(keys)), keys)
+    """(key, start, stop) of the values of a JSON object's top level, in characters from 0, in order; null if it is no object or repeats a key."""
+    spans = F.pandas_udf(lambda lines: lines.map(lambda x: None if x is None else _spans(x)), SPANS)
+    valid = one_json(line) & F.startswith(F.ltrim(F.translate(line, "\t\r\n", "   ")), F.lit("{"))
+    return spans(F.when(valid, line))
+
+
+def patched(df: DataFrame, line: str, changes: dict[str, Column], to: str) -> DataFrame:
+    """df with a column ``to``: its JSON objects with values (JSON texts) in the place of those of these keys; keys that one lacks follow its last; all other characters stay.
+
+    A null value leaves its key as it is. The result is null where value_spans() is.
+    """
+    given = F.filter(F.array(*[F.struct(F.lit(k).alias("key"), v.alias("value")) for k, v in changes.items()]), lambda c: c["value"].isNotNull())
+    rows = df.withColumns({"_spans": value_spans(F.col(line)), "_given": given})
+    found, given = F.col("_spans"), F.col("_given")
+    have = F.transform(found, lambda s: s["key"])
+    old = F.filter(F.transform(found, lambda s: F.struct(s["start"].alias("start"), s["stop"].alias("stop"), F.get(F.filter(given, lambda c: c["key"] == s["key"]), F.lit(0))["value"].alias("value"))), lambda e: e["value"].isNotNull())
+    last = F.length(F.regexp_replace(line, r"\}\s*\z", ""))
+    new = F.filter(given, lambda c: ~F.array_contains(have, c["key"]))
+    quoted = lambda k: F.regexp_extract(F.to_json(F.array(k)), r"(?s)^\[(.*)\]$", 1)
+    tail = F.concat(F.when((F.size(have) > 0) & (F.size(new) > 0), ", ").otherwise(""), F.array_join(F.transform(new, lambda c: F.concat(quoted(c["key"]), F.lit(": "), c["value"])), ", "))
+    rows = rows.withColumn("_edits", F.concat(old, F.array(F.struct(last.alias("start"), last.alias("stop"), tail.alias("value")))))
+    edits = F.col("_edits")
+    # What stands before each edit, and the edit.
+    start = lambda k: F.when(k == 0, 0).otherwise(F.get(edits, k - 1)["stop"])
+    part = lambda e, k: F.concat(F.substring(line, start(k) + 1, e["start"] - start(k)), e["value"])
+    whole = F.concat(F.array_join(F.transform(edits, part), ""), F.substring(line, last + 1, F.length(line) - last))
+    return rows.withColumn(to, F.when(found.isNotNull(), whole)).drop("_spans", "_given", "_edits")
 
 
 def probed(urls: DataFrame, url: str, fetch: Callable[[str], int]) -> DataFrame:
@@ -196,12 +249,12 @@ def verified_by_language(inputs: DataFrame, langs: list[str], verify: Callable[[
 def guard_folder(spark, path: str) -> None:
     """An error if a folder has files but is none that this library publishes to: its contents would be lost."""
     try:
-        names = [r.path for r in spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path").limit(1000).collect()]
+        files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path")
     except AnalysisException as e:
         if e.getCondition() != "PATH_NOT_FOUND":
             raise
         return
-    if names and not any("/published/" in n for n in names):
+    if files.where(F.col("path").contains("/published/")).isEmpty() and not files.isEmpty():
         raise ValueError(f"{path} has files of another origin")
 
 

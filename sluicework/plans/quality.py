@@ -123,12 +123,6 @@ def finding_rollup(t):
     return quality.rolled_up(_problems(t).select(F.explode(F.array_compact(rules)).alias("finding")))
 
 
-@query()
-def dup_groups_lexical(t):
-    pairs = similarity.cosine_pairs(_vectors(t), 0.40)
-    return quality.lexical_pairs(pairs, t("documents").select(F.col("doc_id").alias("id"), "text"))[0]
-
-
 @query()
 def hashed_features(t):
     return quality.encode_features(t("documents"), "doc_id", "text")

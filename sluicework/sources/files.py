@@ -3,9 +3,13 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from sluicework.functions.text import one_json
+from sluicework.session import if_few, written
+
 
 def json_lines(spark: SparkSession, path: str, schema: T.StructType) -> tuple[DataFrame, DataFrame]:
     """(rows, bad lines) of a JSON-lines file; blank lines are skipped."""
@@ -15,9 +19,44 @@ def json_lines(spark: SparkSession, path: str, schema: T.StructType) -> tuple[Da
     return good, parsed.where("r is null or r._bad is not null").select(F.col("value").alias("line"))
 
 
+def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
+    """(path, line, value): every line of text files with its number from 1, blank lines included.
+
+    Files are read in splits by as many tasks as Spark likes. Within a split lines keep their order; the lines of a file's
+    earlier splits are counted and added, so nothing is shuffled but one row for each split. Lines end with a newline; a
+    carriage return before it is no part of the line.
+    """
+    text = spark.read.option("lineSep", "\n").text(path)
+    at = F.monotonically_increasing_id()
+    rows = text.select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("start"), at.alias("at"), F.regexp_replace("value", r"\r\z", "").alias("value"))
+    splits = rows.groupBy("path", "start").agg(F.min("at").alias("first"), F.count("*").alias("n"))
+    ahead = F.coalesce(F.sum("n").over(W.partitionBy("path").orderBy("start").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    splits = written(splits.select("path", "start", (ahead - F.col("first") + 1).alias("shift")), "line-splits")
+    return rows.join(if_few(splits), ["path", "start"]).select("path", (F.col("at") + F.col("shift")).alias("line"), "value")
+
+
+def json_rows(spark: SparkSession, path: str, schema: T.StructType) -> tuple[DataFrame, DataFrame]:
+    """(path, line and the fields of each object; path, line, value, error of each line that is none) of JSON-lines files; blank lines are skipped.
+
+    A line must be valid JSON and an object whose values fit the schema; fields that it lacks are null, others are ignored.
+    """
+    both = T.StructType([*schema.fields, T.StructField("_bad", T.StringType())])
+    parsed = numbered_lines(spark, path).where(F.trim("value") != "").withColumn("r", F.from_json("value", both, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_bad"}))
+    error = (
+        F.when(~one_json(F.col("value")), "not JSON").when(~F.ltrim("value").startswith("{"), "not an object")
+        .when(F.col("r").isNull() | F.col("r._bad").isNotNull(), "does not fit the schema")
+    )
+    told = parsed.withColumn("error", error)
+    good = told.where("error is null").select("path", "line", *[F.col(f"r.`{f.name}`").alias(f.name) for f in schema.fields])
+    return good, told.where("error is not null").select("path", "line", "value", "error")
+
+
 def json_lines_strict(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
-    """Rows of a JSON-lines file; a bad line fails the read."""
-    return spark.read.schema(schema).json(path, mode="FAILFAST")
+    """(path, line, fields) of JSON-lines files; a line that json_rows() refuses fails the read, and the error names its file and number."""
+    good, bad = json_rows(spark, path, schema)
+    told = F.raise_error(F.concat(F.col("path"), F.lit(": line "), F.col("line").cast("string"), F.lit(" is "), F.col("error")))
+    fields = [F.lit(None).cast(f.dataType).alias(f.name) for f in schema.fields]
+    return good.unionByName(bad.select("path", F.coalesce(told.cast("long"), F.col("line")).alias("line"), *fields))
 
 
 def latest_by_key(df: DataFrame, key: str, seq: str) -> DataFrame:

@@ -1,55 +1,17 @@
-"""Writers: appended JSON lines, versions that are published whole, partitioned exports, validated edges and updates."""
+"""Writers: appended JSON lines, snapshots that are published whole (``commits``), partitioned exports, validated edges and updates."""
 
 from __future__ import annotations
 
-import uuid
-
-from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from sluicework.sources.commits import current, digest, publish
 
-def append_json(rows: DataFrame, path: str) -> None:
-    rows.write.mode("append").json(path)
-
-
-def digest(rows: DataFrame) -> str:
-    """A digest of a table's rows, whatever their order."""
-    h = F.xxhash64(*rows.columns).cast("decimal(38,0)")
-    n, total = rows.agg(F.count("*"), F.sum(h)).first()
-    return f"{n}:{total}:{rows.schema.simpleString()}"
-
+__all__ = ["append_json", "checked_edges", "current", "digest", "export", "publish", "save_index", "save_plan", "topic_links", "updated"]
 
-def _last(spark: SparkSession, path: str):
-    """The row that points to the version published last; None before the first."""
-    try:
-        return spark.read.parquet(f"{path}/published").orderBy(F.desc("turn")).first()
-    except AnalysisException as e:
-        if e.getCondition() != "PATH_NOT_FOUND":
-            raise
-        return None
 
-
-def current(spark: SparkSession, path: str) -> DataFrame | None:
-    """The version published last below a folder; None before the first."""
-    row = _last(spark, path)
-    return spark.read.parquet(row["place"]) if row else None
-
-
-def publish(rows: DataFrame, path: str, partial: bool = False) -> bool:
-    """Writes a new version beside the old ones, then points to it; False, and nothing is written, if the rows are the same.
-
-    A job that dies leaves the published version as it was. Partial results, of a limited run, are refused.
-    """
-    if partial:
-        raise ValueError("a limited run's rows are not the whole table")
-    spark, mark, last = rows.sparkSession, digest(rows), _last(rows.sparkSession, path)
-    if last and last["digest"] == mark:
-        return False
-    place = f"{path}/version-{uuid.uuid4().hex}"
-    rows.write.parquet(place)
-    spark.createDataFrame([((last["turn"] if last else 0) + 1, place, mark)], "turn long, place string, digest string").coalesce(1).write.mode("append").parquet(f"{path}/published")
-    return True
+def append_json(rows: DataFrame, path: str) -> None:
+    rows.write.mode("append").json(path)
 
 
 def save_index(vectors: DataFrame, path: str, name: str, model: str) -> DataFrame:

@@ -62,7 +62,7 @@ def test_reindexing_and_restoring(spark):
 
 def test_spans_and_html(spark):
     lines = [('{"a": 1, "b": 2}', ["a", "b"]), ('{"a": 1, "a": 2}', None), ("[1]", None), ("{", None)]
-    assert [r.k for r in spark.createDataFrame(lines, "l string, w array<string>").select(workflow.value_spans(F.col("l")).alias("k")).collect()] == [w for _, w in lines]
+    assert [r.k for r in spark.createDataFrame(lines, "l string, w array<string>").select(F.transform(workflow.value_spans(F.col("l")), lambda s: s["key"]).alias("k")).collect()] == [w for _, w in lines]
     text = "One <b>\nline\n\n- x\n- y & z\n\n1. a\n2、 b\n\n1. alone"
     want = "<p>One &lt;b&gt;\nline</p>\n<ul><li>x</li><li>y &amp; z</li></ul>\n<ol><li>a</li><li>b</li></ol>\n<p>1. alone</p>"
     got = spark.createDataFrame([(text,), ("  ",), (None,)], "t string").select(workflow.html(F.col("t")).alias("h")).collect()
