@@ -10,8 +10,10 @@ from pyspark.sql import functions as F
 
 #: Rows of a few numbers each that may be broadcast.
 FEW = 1 << 20
-#: Bytes of an Arrow batch that goes to Python, where the session doesn't say.
-BATCH = 4 << 20
+#: Bytes of an Arrow batch that goes to Python and rows that a Parquet reader decodes together, where the session doesn't say.
+BATCH, DECODED = 4 << 20, 512
+#: Bytes of a row group of a table that is written, which a task holds until it is full.
+ROW_GROUP = 32 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -35,18 +37,20 @@ def written(df: DataFrame, tag: str) -> DataFrame:
     This cuts the lineage so that a lost executor costs no more than rereading a file.
     """
     path = f"{shared_dir(df.sparkSession)}/sluicework/{tag}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.option("parquet.block.size", ROW_GROUP).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def small_batches(spark: SparkSession) -> None:
-    """Bounds the Arrow batches of this session by ``BATCH`` bytes, unless the session has a bound of its own.
+    """Bounds what this session's readers and Arrow batches hold of rows at once, unless the session has bounds of its own.
 
-    Spark bounds them by 10,000 rows and 64 MB, which is hundreds of MB for a worker and its JVM where rows are texts.
+    Spark bounds an Arrow batch by 10,000 rows and 64 MB, and a reader's by 4,096 rows: where rows are texts, that is hundreds of
+    MB for a worker and its JVM.
     """
-    key = "spark.sql.execution.arrow.maxBytesPerBatch"
-    if key not in spark.conf.getAll:
-        spark.conf.set(key, str(BATCH))
+    has = spark.conf.getAll
+    for key, value in (("spark.sql.execution.arrow.maxBytesPerBatch", BATCH), ("spark.sql.parquet.columnarReaderBatchSize", DECODED)):
+        if key not in has:
+            spark.conf.set(key, str(value))
 
 
 def if_few(df: DataFrame, most: int = FEW) -> DataFrame:
