@@ -280,8 +280,8 @@ class Pieces:
         return out
 
     def forget(self) -> None:
-        """Drops the words, so that a worker that waits for other tasks does not hold them; pairs, which cost most to find, stay."""
-        self.words = {}
+        """Drops words and pairs, so that a worker that waits for other tasks holds the vocabulary alone."""
+        self.words, self.pairs, self.loose, self.loose_names = {}, {}, {}, []
         self.held = 0
 
     def decode(self, ids: list[int]) -> str:

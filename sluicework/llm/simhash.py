@@ -172,7 +172,7 @@ def near_links(prints: DataFrame, most: int = BLOCK) -> DataFrame:
         blocks = hot.groupBy("anchor").agg((F.max("block") + 1).alias("blocks"))
         dealt = hot.join(blocks, "anchor").withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
         dealt = dealt.select(F.xxhash64("anchor", F.least("block", "other"), F.greatest("block", "other")).alias("anchor"), "fp")
-        again = dealt.repartition("anchor").sortWithinPartitions("anchor", "fp").mapInArrow(_compare(1 << 62), kinds)
+        again = dealt.repartition("anchor").sortWithinPartitions("anchor", "fp").mapInArrow(handing_back(_compare(1 << 62)), kinds)
         links = links.unionByName(written(again, "simhash-links").select("a", "b"))
     return links
 
