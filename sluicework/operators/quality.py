@@ -56,7 +56,7 @@ MONGOLIAN = "ав бүх бүхэл гэж натурал нотол олго о
 MACEDONIAN = "број броеви бројот го докажи докажете за кои најди најдете позитивни сите цели дека земе земи"
 ACCENTED, PLAIN = "áàâäãåăāąçćčďéèêëěęēíìîïīñńňóòôöõőřśšșşťțţúùûüůűūýÿźžż", "aaaaaaaaacccdeeeeeeeiiiiinnnoooooorsssstttuuuuuuuyyzzz"
 
-# Patterns that are not prose, in the order in which they are removed.
+# Environments of formulas, and patterns that are not prose, in the order in which they are removed.
 _ENVIRONMENTS = r"(?:equation\*?|align\*?|aligned|gather\*?|multline\*?|displaymath|math|array|cases|matrix|[pbvBV]matrix)"
 NOISE = [
     r"(?ms)^[ \t]*```.*?^[ \t]*```[ \t]*$", r"(?ms)^[ \t]*~~~.*?^[ \t]*~~~[ \t]*$", r"(?m)^(?: {4}|\t).*$", r"(?is)<img\b[^>]*>", r"!\[[^\]]*\]\([^\n)]*\)",
@@ -345,3 +345,34 @@ def encode_features(df: DataFrame, key: str, text: str, dim: int = 64) -> DataFr
 
     rows = df.select(key, text)
     return rows.mapInArrow(run, f"`{key}` {rows.schema[key].dataType.simpleString()}, vector array<float>, present boolean")
+
+
+# What twice-encoded text is told by at once, and a lead byte with a byte that goes on, both read as letters.
+MOJIBAKE = r"\x{fffd}|\x{c3}[\x{80}-\x{bf}\x{2010}-\x{203a}]|\x{c2}[\x{80}-\x{bf} ]|\x{e2}[\x{80}-\x{bf}\x{2010}-\x{203a}\x{20ac}]{1,2}|\x{f0}[\x{80}-\x{bf}]{1,3}|\x{ef}[\x{bc}-\x{be}]"
+MARKER = r"[\x{c2}-\x{ef}][\x{80}-\x{bf}]"
+#: Runs that are UTF-8 if read as bytes: nothing overlong, no surrogates.
+_ENCODED = r"(?:[\x{c2}-\x{df}][\x{80}-\x{bf}]|[\x{e0}-\x{ef}][\x{80}-\x{bf}]{2}|[\x{f0}-\x{f4}][\x{80}-\x{bf}]{3})+"
+
+
+def decoded_back(text: Column) -> Column:
+    """A text whose characters are bytes, as the text that these bytes encode; null where they encode none."""
+    raw = F.encode(text, "ISO-8859-1")
+    plain = ~text.rlike(r"[^\x{00}-\x{ff}]")  # a character beyond would become a question mark
+    return F.when(plain & F.is_valid_utf8(raw.cast("string")), raw.cast("string"))
+
+
+def mojibake(df: DataFrame, text: str, least: int = 3) -> DataFrame:
+    """df with markers, repaired and wrong: signs that a text was encoded twice.
+
+    ``markers`` counts pairs of characters that look like bytes of UTF-8. ``repaired`` counts runs of such characters that decoding
+    backwards turns into other text, which confirms them. ``wrong`` is said of a text with a signature or with ``least`` markers.
+    Code, formulas, placeholders, images and tags don't count. Null has none.
+    """
+    clean = F.coalesce(F.col(f"`{text}`"), F.lit(""))
+    for p in [CODE, MATH, IMAGE, r"`[^`\n]+`", r"\{\{[A-Z]{2,5}_\d{4}\}\}", r"<[^>]+>"]:
+        clean = F.regexp_replace(clean, p, " ")
+    rows = df.withColumn("_clean", clean)
+    runs = F.regexp_extract_all("_clean", F.lit(f"({_ENCODED})"), F.lit(1))
+    back = F.size(F.filter(runs, lambda r: decoded_back(r).isNotNull()))
+    n = F.regexp_count("_clean", F.lit(MARKER))
+    return rows.withColumns({"markers": n, "repaired": back, "wrong": F.col("_clean").rlike(MOJIBAKE) | (n >= least)}).drop("_clean")

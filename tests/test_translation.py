@@ -1,10 +1,14 @@
 """Gates on translations, batches, units, ingest helpers and answer checks on small fixtures, against plain expectations."""
 
+import random
+import re
+from difflib import SequenceMatcher
+
 import pytest
 from pyspark.sql import functions as F
 
 from sluicework.functions import text as T
-from sluicework.operators import answers, contracts, ingest, planning, quality, similarity, translation
+from sluicework.operators import answers, batch_gate, contracts, ingest, planning, quality, similarity, translation
 
 
 def test_english_gate(spark):
@@ -26,14 +30,49 @@ def test_english_gate(spark):
         ("The answer is 所求", 11, True), ("令 Peter Paul Mary 为三人", 13, True), ("sin 与 cos 的 max", 0, False), ("答案 ответ", 0, True), ("", 0, False),
     ],
 )
-def test_chinese_gate(text, letters, wrong):
-    assert translation.residual_letters(translation.chinese_prose(text)) == letters
-    assert translation.chinese_mismatch(text) == wrong
+def test_chinese_gate(spark, text, letters, wrong):
+    got = translation.chinese_gate(spark.createDataFrame([(1, text)], "k int, body string"), "body")
+    assert got.columns == ["k", "body", "latin_letters", "mismatch"] and [tuple(r) for r in got.collect()] == [(1, text, letters, wrong)]
 
 
-def test_chinese_gate_asks_the_document():
+def test_chinese_gate_asks_the_document(spark):
     short, long = "求 only residue here", "求所有满足条件的正整数并证明存在无穷多个" * 5
-    assert translation.chinese_mismatch("求解 residual x") and not translation.chinese_mismatch("求解 residual x", long) and translation.chinese_mismatch(short, None)
+    rows = [("求解 residual x", None), ("求解 residual x", long), (short, None), (None, None)]
+    got = translation.chinese_gate(spark.createDataFrame([(k, *r) for k, r in enumerate(rows)], "k int, body string, whole string"), "body", "whole")
+    assert [r.mismatch for r in got.orderBy("k").collect()] == [True, False, True, False]
+
+
+def _residue(prose):
+    """Letters that are left once whole name runs are taken out of the list of words."""
+    words = [(m[0], m.start(), m.end()) for m in re.finditer(r"[^\W\d_]+|[^\w\s]|[\d_]", prose)]
+    han = lambda c: "㐀" <= c <= "䶿" or "一" <= c <= "鿿"
+    latin = lambda w: w.isascii() and w.isalpha()
+    title = lambda w: latin(w) and w[0].isupper() and not w.isupper() and w.lower() not in translation.STARTERS
+    joins = lambda w: title(w) or (latin(w) and w.lower() in translation.CONNECTORS)
+    counted = lambda w: len(w) if latin(w) and len(w) > 1 and w.lower() not in translation.SYMBOLS else 0
+    total, k = 0, 0
+    while k < len(words):
+        if not joins(words[k][0]):
+            total += counted(words[k][0])
+            k += 1
+            continue
+        run, j = [], k
+        while j < len(words) and (joins(words[j][0]) or not words[j][0].isalpha()):
+            run += [j] if joins(words[j][0]) else []
+            j += 1
+        near = any(title(words[i][0]) and ((i and han(words[i - 1][0][-1])) or (i + 1 < len(words) and han(words[i + 1][0][0]))) for i in run)
+        if not near or sum(title(words[i][0]) for i in run) > 2:
+            total += sum(counted(words[i][0]) for i in run)
+        k = j
+    return total
+
+
+def test_residual_letters(spark):
+    rng = random.Random(6)
+    parts = ["Cauchy", "Schwarz", "and", "van", "Let", "the", "求", "所有", "x", "sin", "AB", "proof", "12", "+", "柯西Cauchy", "Wang", "of"]
+    texts = [" ".join(rng.choices(parts, k=rng.randint(1, 9))) for _ in range(400)]
+    got = [r.n for r in spark.createDataFrame(list(enumerate(texts)), "k int, p string").orderBy("k").select(translation.residual_letters(F.col("p")).alias("n")).collect()]
+    assert got == [_residue(t) for t in texts]
 
 
 def test_translatable(spark):
@@ -52,26 +91,86 @@ def test_anchors(spark):
 SOURCES = ["thereareinfinitelymanyprimesofthisform", "computetheareaofatrianglewithsidesgiven", "howmanywaystocolouraboardwithtwocolours", "findallpolynomialswithintegerroots"]
 
 
-def test_boilerplate():
+def _copies(spark, sources, targets, gate=translation.GATE):
+    rows = [("b", "S", str(k), a, b) for k, (a, b) in enumerate(zip(sources, targets, strict=True))]
+    return {int(r.key): (r.target_ratio, r.source_ratio) for r in batch_gate.boilerplate(spark.createDataFrame(rows, "batch string, section string, key string, a string, b string"), gate).collect()}
+
+
+def test_boilerplate(spark):
     same = "wecompletetheproofbyasimplecalculation"
-    assert set(translation.boilerplate(SOURCES, [same, same + "x", same, "adifferentanswerwithitsownwords"])) == {0, 1, 2}
-    assert translation.boilerplate([SOURCES[0]] * 3, [same] * 3) == {}  # one source, rightly translated alike
-    assert translation.boilerplate(SOURCES[:2], [same] * 2) == {}  # too few
-    assert translation.boilerplate(["ab", "cd", "ef"], ["x", "x", "x"]) == {}  # too short to tell
+    assert set(_copies(spark, SOURCES, [same, same + "x", same, "adifferentanswerwithitsownwords"])) == {0, 1, 2}
+    assert _copies(spark, [SOURCES[0]] * 3, [same] * 3) == {}  # one source, rightly translated alike
+    assert _copies(spark, SOURCES[:2], [same] * 2) == {}  # too few
+    assert _copies(spark, ["ab", "cd", "ef"], ["x", "x", "x"]) == {}  # too short to tell
     # Two templates of two near sources each: every item has a near peer, but the templates are far apart.
     kin = [SOURCES[0] + "a", SOURCES[0] + "b", SOURCES[1] + "a", SOURCES[1] + "b"]
-    assert set(translation.boilerplate(kin, [same] * 4)) == {0, 1, 2, 3}
-    assert translation.boilerplate(kin[:2] + [SOURCES[0] + "c"], [same] * 3) == {}
+    assert set(_copies(spark, kin, [same] * 4)) == {0, 1, 2, 3}
+    assert _copies(spark, kin[:2] + [SOURCES[0] + "c"], [same] * 3) == {}
+    assert set(_copies(spark, SOURCES, [None, "", "", ""])) == {0, 1, 2, 3}  # nothing is alike nothing
+    assert _copies(spark, [], []) == {}
+
+
+def test_boilerplate_of_many(spark):
+    same = "wecompletetheproofbyasimplecalculation"
+    gate = translation.Gate(limit=5)
+    sources = [f"{SOURCES[k % 4]}{'abcdefghij'[k % 10] * 12}" for k in range(40)]
+    assert set(_copies(spark, sources, [same] * 40, gate)) == set(range(40))
+    assert _copies(spark, [SOURCES[0] + "ab"[k % 2] for k in range(40)], [same] * 40, gate) == {}
+
+
+def test_boilerplate_against_pairs(spark):
+    """Batches and sections of near-copies, against a plain version over all pairs of each."""
+    rng, gate, rows = random.Random(12), translation.GATE, []
+    for batch in "pq":
+        for section in "ST":
+            bases = ["".join(rng.choices("abcdefghijklmnop", k=60)) for _ in range(3)]
+            for k in range(14):
+                target, source = list(rng.choice(bases)), list(rng.choice(SOURCES + bases[:1]))
+                for text in (target, source):
+                    for _ in range(rng.randint(0, 3)):
+                        text[rng.randrange(len(text))] = rng.choice("xyz")
+                rows.append((batch, section, f"{batch}{section}{k}", "".join(source), "".join(target)))
+    got = {r.key: (round(r.target_ratio, 6), round(r.source_ratio, 6)) for r in batch_gate.boilerplate(spark.createDataFrame(rows, "batch string, section string, key string, a string, b string").coalesce(1)).collect()}
+    ratio, want = lambda a, b: SequenceMatcher(None, a, b).ratio(), {}
+    for part in {r[:2] for r in rows}:
+        own = [r for r in rows if r[:2] == part]
+        teams = _joined(range(len(own)), lambda i, j: ratio(own[i][4], own[j][4]) >= gate.alike)  # noqa: B023
+        for team in teams:
+            if len(team) < gate.group or len({own[i][3] for i in team}) < 2:
+                continue
+            scores = {(i, j): (ratio(own[i][4], own[j][4]), ratio(own[i][3], own[j][3])) for i in team for j in team if i < j and own[i][3] != own[j][3]}
+            found = {}
+            for i in team:
+                peers = [s for p, s in scores.items() if i in p]
+                if peers:
+                    t, s = max((p for p in peers if p[0] >= max(peers)[0] - gate.tolerance), key=lambda p: (p[1], p[0]))
+                    found |= {i: (t, s)} if t - s >= gate.gap else {}
+            if len(found) < gate.group:
+                far = lambda p: p[0] - p[1] >= gate.gap
+                parts = _joined(team, lambda i, j: own[i][3] == own[j][3] or (scores[i, j][0] >= gate.alike and not far(scores[i, j])))  # noqa: B023
+                parts = [g for g in parts if len({own[i][3] for i in g}) >= 2]
+                apart = [s for p, s in scores.items() if s[0] >= gate.alike and far(s) and any(p[0] in g and p[1] in h for g in parts for h in parts if g is not h)]
+                found = dict.fromkeys(team, max(apart, key=lambda p: (p[0] - p[1], p[0]))) if apart and len(team) >= 4 else {}
+            want |= {own[i][2]: (round(t, 6), round(s, 6)) for i, (t, s) in found.items()}
+    assert got == want and want
+
+
+def _joined(items, linked):
+    groups = []
+    for i in items:
+        near = [g for g in groups if any(linked(j, i) for j in g)]
+        groups = [g for g in groups if g not in near] + [sorted([i, *(x for g in near for x in g)])]
+    return groups
 
 
 def test_batch_signals(spark):
     same = "We complete the proof by a simple calculation of terms."
     rows = [("b", str(k), "S", s, same) for k, s in enumerate(SOURCES[:3])] + [("b", "9", "S", "Find the sum of 12345 and of all terms below it, with proof of the claim", "ok"), ("c", "0", "S", SOURCES[0], same)]
-    found = translation.batch_signals(spark.createDataFrame(rows, "batch string, key string, section string, source string, target string"), "en")
+    found = batch_gate.batch_signals(spark.createDataFrame(rows, "batch string, key string, section string, source string, target string"), "en")
     got = {(r.batch, r.key, r.signal) for r in found.collect()}
     assert {(b, k) for b, k, s in got if s == "boilerplate"} == {("b", "0"), ("b", "1"), ("b", "2")}
     assert {("b", "9", "length"), ("b", "9", "anchors")} <= got and not {x for x in got if x[0] == "c"}
-    assert {(r.batch, r.key) for r in translation.blocked(found).collect()} == {("b", "0"), ("b", "1"), ("b", "2"), ("b", "9")}
+    assert {(r.batch, r.key) for r in batch_gate.blocked(found).collect()} == {("b", "0"), ("b", "1"), ("b", "2"), ("b", "9")}
     with pytest.raises(ValueError):
         translation.Gate(alike=1.5)
     with pytest.raises(ValueError):
