@@ -10,13 +10,17 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from sluicework.session import if_few, written
+from sluicework.session import shared_dir, written
 
-#: Blobs with findings, about 200 bytes each, that may be broadcast.
-FINDINGS = 1 << 18
+#: Blobs with findings, and spans of all of these together, up to which they may be broadcast.
+FINDINGS, SENT = 1 << 18, 1 << 20
+#: Characters of the pieces that a text is cut to before spans are taken out of it.
+SEGMENT = 1 << 12
 
 
 @dataclass(frozen=True)
@@ -49,21 +53,29 @@ RULES = (
 SPANS = "array<struct<start:bigint,end:bigint>>"
 
 
-def rule_spans(text: Column, rule: Rule) -> Column:
-    """The rule's spans in a text, in code points, end exclusive; starts are running sums of gaps and matches before them."""
+def rule_matches(text: Column, rule: Rule) -> Column:
+    """The rule's matches in a text, in order: the length of the gap before each, its own, and whether it is kept."""
     whole = F.regexp_extract_all(text, F.lit(rule.pattern), F.lit(0))
     sized = F.regexp_extract_all(text, F.lit(rule.pattern), F.lit(rule.group)) if rule.group else whole
-    gaps = F.split(text, rule.pattern, -1)
-    parts = F.zip_with(gaps, F.arrays_zip(whole.alias("w"), sized.alias("s")), lambda g, m: F.struct(F.length(g).cast("long").alias("gap"), F.coalesce(F.length(m["w"]), F.lit(0)).cast("long").alias("size"), (F.length(m["s"]) >= rule.least).alias("kept")))
-    start = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast(SPANS).alias("found"))
+    gaps = F.slice(F.split(text, rule.pattern, -1), F.lit(1), F.size(whole))
+    size = lambda c: F.length(c).cast("long")
+    parts = F.transform(F.arrays_zip(gaps.alias("g"), whole.alias("w"), sized.alias("s")), lambda m: F.struct(size(m["g"]).alias("gap"), size(m["w"]).alias("size"), (F.length(m["s"]) >= rule.least).alias("kept")))
+    return F.when(text.rlike(rule.pattern), parts)
 
-    def step(acc: Column, p: Column) -> Column:
-        a = acc["at"] + p["gap"]
-        span = F.struct(a.alias("start"), (a + p["size"]).alias("end"))
-        return F.struct((a + p["size"]).alias("at"), F.when(p["kept"], F.array_append(acc["found"], span)).otherwise(acc["found"]).alias("found"))
 
-    found = F.aggregate(parts, start, step, lambda acc: acc["found"])
-    return F.when(text.rlike(rule.pattern), found).otherwise(F.array().cast(SPANS))
+def found_spans(texts: DataFrame, rules: tuple[Rule, ...]) -> DataFrame:
+    """(blob, rule, spans) of texts (blob, text, pending), for pending rules that match; spans in code points, end exclusive.
+
+    A match starts where the gaps and matches before it end, which is a running sum over a text's matches: a window, so work
+    grows in proportion to matches however many a text has.
+    """
+    each = F.array(*[F.struct(F.lit(r.key).alias("rule"), F.when(F.array_contains("pending", r.key), rule_matches(F.col("text"), r)).alias("m")) for r in rules])
+    hits = texts.select("blob", F.explode(F.filter(each, lambda x: x["m"].isNotNull())).alias("x")).select("blob", F.col("x.rule").alias("rule"), F.col("x.m").alias("all"))
+    hits = hits.select("blob", "rule", F.posexplode("all").alias("place", "m"))  # apart, so that no match carries all others along
+    hits = hits.groupBy("blob", "rule", "place").agg(F.first("m").alias("m"))  # copies of a blob have the same matches
+    stop = F.sum(F.col("m.gap") + F.col("m.size")).over(W.partitionBy("blob", "rule").orderBy("place").rowsBetween(W.unboundedPreceding, 0))
+    spans = hits.withColumn("end", stop).where("m.kept").select("blob", "rule", F.struct((F.col("end") - F.col("m.size")).alias("start"), "end").alias("span"))
+    return spans.groupBy("blob", "rule").agg(F.array_sort(F.collect_set("span")).alias("spans"))
 
 
 def scan(docs: DataFrame, path_col: str = "doc_id", text_col: str = "text", rules: tuple[Rule, ...] = RULES, ledger: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
@@ -79,7 +91,7 @@ def scan(docs: DataFrame, path_col: str = "doc_id", text_col: str = "text", rule
     """
     paths, by_blob, entries = _looked_up(docs, path_col, text_col, rules, ledger)
     none = F.array().cast(by_blob.schema["spans"].dataType)
-    return paths.join(if_few(by_blob, FINDINGS), "blob", "left").select("path", "blob", F.coalesce("spans", none).alias("spans")), entries
+    return paths.join(_sent(by_blob), "blob", "left").select("path", "blob", F.coalesce("spans", none).alias("spans")), entries
 
 
 def redacted(docs: DataFrame, path_col: str = "doc_id", text_col: str = "text", rules: tuple[Rule, ...] = RULES, ledger: DataFrame | None = None) -> DataFrame:
@@ -90,11 +102,29 @@ def redacted(docs: DataFrame, path_col: str = "doc_id", text_col: str = "text",
     _, by_blob, _ = _looked_up(docs, path_col, text_col, rules, ledger)
     text = F.col(f"row.`{text_col}`")
     rows = docs.select(F.struct(*[docs[f"`{c}`"] for c in docs.columns]).alias("row"), F.sha2(F.coalesce(docs[f"`{text_col}`"], F.lit("")), 256).alias("blob"))
-    both = rows.join(if_few(by_blob, FINDINGS), "blob", "left")
-    new = F.when(F.col("spans").isNotNull(), redact(text, F.col("spans"))).otherwise(text)
+    both = rows.join(_sent(_runs(by_blob)), "blob", "left")
+    both = both.withColumn("segments", F.when(F.col("runs").isNotNull(), segments(text)))
+    new = F.when(F.col("runs").isNotNull(), redact(text, F.col("runs"), F.col("segments"))).otherwise(text)
     return both.select(*[(new if c == text_col else F.col(f"row.`{c}`")).alias(c) for c in docs.columns])
 
 
+def _sent(by_blob: DataFrame) -> DataFrame:
+    """A written table of blobs with arrays of spans, to be broadcast if there are few of both; otherwise as it is, to be shuffled."""
+    n, spans = by_blob.agg(F.count("*"), F.coalesce(F.sum(F.size(by_blob.columns[1])), F.lit(0))).first()
+    return F.broadcast(by_blob) if n <= FINDINGS and spans <= SENT else by_blob
+
+
+def _runs(by_blob: DataFrame) -> DataFrame:
+    """(blob, runs) of (blob, spans): overlapping spans as one, with the kind of the first."""
+    order = W.partitionBy("blob").orderBy("place")
+    each = by_blob.select("blob", F.posexplode("spans").alias("place", "s"))
+    before = F.max("s.end").over(order.rowsBetween(W.unboundedPreceding, -1))
+    begins = before.isNull() | (F.col("s.start") >= before)
+    marked = each.withColumn("begins", begins).withColumn("run", F.sum(F.col("begins").cast("int")).over(order.rowsBetween(W.unboundedPreceding, 0)))
+    runs = marked.groupBy("blob", "run").agg(F.min("s.start").alias("start"), F.max("s.end").alias("end"), F.min_by("s.kind", "place").alias("kind"))
+    return written(runs.groupBy("blob").agg(F.array_sort(F.collect_list(F.struct("start", "end", "kind"))).alias("runs")), "blob-runs")
+
+
 def _looked_up(docs: DataFrame, path_col: str, text_col: str, rules: tuple[Rule, ...], ledger: DataFrame | None) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(path, blob) of every row, (blob, spans) of the blobs with any, and the ledger's new rows."""
     text = F.coalesce(F.col(f"`{text_col}`"), F.lit(""))
@@ -112,10 +142,9 @@ def _looked_up(docs: DataFrame, path_col: str, text_col: str, rules: tuple[Rule,
     pending = written(pending, "blob-pending")
     # One copy of each blob: its path leads to its text; the blob is checked again since a path may hold several versions.
     texts = rows.join(pending.withColumnRenamed("path", "p"), F.col("path").eqNullSafe(F.col("p"))).where(F.sha2("text", 256) == F.col("blob"))
-    found = texts.select("blob", F.explode(F.array(*[F.struct(F.lit(r.key).alias("rule"), F.when(F.array_contains("pending", r.key), rule_spans(F.col("text"), r)).alias("spans")) for r in rules])).alias("x"))
-    found = written(found.select("blob", "x.rule", "x.spans").where("spans is not null and size(spans) > 0"), "blob-findings").distinct()
+    found = written(found_spans(texts.select("blob", "text", "pending"), rules), "blob-findings")
     entries = pending.select("blob", F.explode("pending").alias("rule")).join(found, ["blob", "rule"], "left").select("blob", "rule", F.coalesce("spans", F.array().cast(SPANS)).alias("spans"))
-    every = found if known is None else found.unionByName(known.select("blob", "rule", "spans"))
+    every = found if known is None else found.unionByName(known.select("blob", "rule", "spans").where(F.size("spans") > 0).dropDuplicates(["blob", "rule"]))
     order = F.create_map(*[F.lit(x) for k, r in enumerate(rules) for x in (r.key, k)])
     flat = every.select("blob", F.transform("spans", lambda s: F.struct(s["start"].alias("start"), order[F.col("rule")].alias("order"), s["end"].alias("end"), F.split_part(F.col("rule"), F.lit("@"), F.lit(1)).alias("kind"))).alias("spans"))
     by_blob = written(flat.groupBy("blob").agg(F.array_sort(F.flatten(F.collect_list("spans"))).alias("spans")), "blob-spans")
@@ -127,22 +156,48 @@ def told(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
 
 
-def redact(text: Column, spans: Column) -> Column:
-    """The text with each run of overlapping spans replaced by [kind of its first]; characters outside the spans stay."""
-    start = F.struct(F.lit(0).cast("long").alias("at"), F.lit("").alias("out"))
+def segments(text: Column) -> Column:
+    """The text in pieces of ``SEGMENT`` characters."""
+    return F.regexp_extract_all(text, F.lit(f"(?s)(.{{1,{SEGMENT}}})"), F.lit(1))
+
 
-    def step(acc: Column, s: Column) -> Column:
-        new = s["start"] >= acc["at"]
-        kept = F.substring(text, (acc["at"] + 1).cast("int"), (s["start"] - acc["at"]).cast("int"))
-        return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), F.when(new, F.concat(acc["out"], kept, F.lit("["), s["kind"], F.lit("]"))).otherwise(acc["out"]).alias("out"))
+def redact(text: Column, runs: Column, parts: Column) -> Column:
+    """The text with each run (start, end, kind; in order, none overlapping) replaced by [its kind]; other characters stay.
+
+    ``parts`` is a column that has the text's segments(): each piece is taken from those that it lies in, so no run reads the
+    text anew.
+    """
+
+    def piece(a: Column, b: Column) -> Column:
+        first, last = F.floor(a / SEGMENT), F.floor((b - 1) / SEGMENT)
+        own = F.array_join(F.slice(parts, (first + 1).cast("int"), (last - first + 1).cast("int")), "")
+        return F.when(b > a, F.substring(own, (a % SEGMENT + 1).cast("int"), (b - a).cast("int"))).otherwise("")
+
+    start = lambda k: F.when(k == 0, F.lit(0).cast("long")).otherwise(F.get(runs, k - 1)["end"])
+    done = F.transform(runs, lambda run, k: F.concat(piece(start(k), run["start"]), F.lit("["), run["kind"], F.lit("]")))
+    rest = piece(F.get(runs, F.size(runs) - 1)["end"], F.length(text).cast("long"))
+    return F.when(F.size(runs) > 0, F.concat(F.array_join(done, ""), rest)).otherwise(text)
 
-    done = F.aggregate(spans, start, step, lambda acc: F.concat(acc["out"], F.substring(text, (acc["at"] + 1).cast("int"), F.lit(2**31 - 1))))
-    return F.when(F.size(spans) > 0, done).otherwise(text)
+
+def kept_ledger(spark: SparkSession) -> tuple[str, DataFrame | None]:
+    """(where the query's ledger is kept in the shared folder, the ledger; None before the first run)."""
+    path = f"{shared_dir(spark)}/sluicework/secret-ledger"
+    try:
+        return path, spark.read.schema(f"blob string, rule string, spans {SPANS}").parquet(path)
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return path, None
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """op7: doc_id, n_assign, n_access, n_hex, base_sha256, spans for every document."""
-    findings, _ = scan(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    """op7: doc_id, n_assign, n_access, n_hex, base_sha256, spans for every document.
+
+    Scans what the ledger in the session's shared folder does not have and adds it there; the result is the same with any ledger.
+    """
+    path, ledger = kept_ledger(spark)
+    findings, entries = scan(spark.read.parquet(f"{sf_dir}/documents.parquet"), ledger=ledger)
+    entries.write.mode("append").parquet(path)
     base = [r.kind for r in RULES if r.base]
     of = lambda *kinds: F.filter("spans", lambda s: s["kind"].isin(*kinds))
     return findings.select(F.col("path").alias("doc_id"), *[F.size(of(k)).cast("long").alias(f"n_{k}") for k in base], F.sha2(told(of(*base)), 256).alias("base_sha256"), told(F.col("spans")).alias("spans"))
