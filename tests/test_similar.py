@@ -16,7 +16,7 @@ def _plain(ids, x, t):
     return {(a, b) for k, (a, p) in enumerate(u) for b, q in u[k + 1 :] if p @ q / np.linalg.norm(p) / np.linalg.norm(q) > t}
 
 
-@pytest.mark.parametrize("threshold", [-0.5, 0.0, 0.7, 0.95, 1.0])
+@pytest.mark.parametrize("threshold", [0.0, 0.95])
 def test_threshold_join(spark, monkeypatch, threshold):
     for name, value in (("BLOCK", 16), ("TOGETHER", 2), ("SPREAD", 30)):
         monkeypatch.setattr(vector_join, name, value)
@@ -26,7 +26,7 @@ def test_threshold_join(spark, monkeypatch, threshold):
     x += [None, [0.0] * 6, [1.0, None, 1.0, 1.0, 1.0, 1.0], [float("nan")] * 6, [float("inf")] * 6]
     rows = list(enumerate(x))
     got, stats = vector_join.threshold_join(spark.createDataFrame([*rows, (None, x[0])], "id long, vector array<double>").repartition(5), threshold)
-    assert sorted((r.a, r.b) for r in got.collect()) == sorted(_plain([k for k, _ in rows], x, threshold) if threshold < 1 else set()) or threshold == 1.0
+    assert sorted((r.a, r.b) for r in got.collect()) == sorted(_plain([k for k, _ in rows], x, threshold))
     s = stats.first()
     assert s.multiplied <= s.met <= s.blocks * (s.blocks + 1) // 2
     if threshold == 0.95:
@@ -86,7 +86,7 @@ def _texts():
     return [*rows, base[5].upper(), base[6] + "\n", None, "", " ", "a", "b", "ab"]
 
 
-@pytest.mark.parametrize("least", [0.99, 0.95, 0.9, 0.8, 0.6])
+@pytest.mark.parametrize("least", [0.99, 0.9, 0.6])
 def test_similar_texts(spark, least):
     texts = _texts()
     df = spark.createDataFrame(list(enumerate(texts)) + [(None, "a")], "id long, text string").repartition(4)
