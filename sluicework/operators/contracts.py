@@ -8,6 +8,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from sluicework.operators.similarity import numbered
+from sluicework.session import if_few, written
+
 # Fields of front matter, sections of a body, ways of verification, and the least difficulty.
 REQUIRED = ["id", "title", "category", "source_ref", "difficulty", "topics", "verification", "source_url"]
 ALLOWED = [*REQUIRED, "contest", "year", "difficulty_note", "dataset_id", "review_ref", "machine_check_ref"]
@@ -201,7 +204,11 @@ def placeholders_match(expected: Column, found: Column, image: str = "IMG") -> C
 
 
 def payloads(rows: DataFrame, target: str, key: str, fields: list[str], most: int) -> DataFrame:
-    """(target, batch, n, payload): rows of each target in the order of their key, ``most`` to a batch, as JSON. A batch is small by its bound."""
-    turn = F.row_number().over(W.partitionBy(target).orderBy(key)) - 1
-    dealt = rows.withColumn("batch", F.floor(turn / most).cast("long") + 1)
+    """(target, batch, n, payload): rows of each target in the order of their key, ``most`` to a batch, as JSON. A batch is small by its bound.
+
+    Places come from one range sort over targets and keys, so a target of very many rows is sorted by many tasks.
+    """
+    laid = written(numbered(rows.select(target, key, *fields), [target, key], "_n"), "payloads")
+    first = if_few(written(laid.groupBy(F.col(target).alias("_target")).agg(F.min("_n").alias("_first")), "payload-targets"))
+    dealt = laid.join(first, F.col(target).eqNullSafe(F.col("_target"))).withColumn("batch", F.floor((F.col("_n") - F.col("_first")) / most).cast("long") + 1)
     return dealt.groupBy(target, "batch").agg(F.count("*").alias("n"), F.to_json(F.array_sort(F.collect_list(F.struct(key, *fields)))).alias("payload"))
