@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as S
 
 from sluicework.functions.text import LEADING, key_form, name_variants, squeezed
+from sluicework.session import if_few
 
 # Problem types whose difficulty is capped; family keys shorter than eight letters that count.
 CAPS = {"MCQ": 2, "final answer only": 3}
@@ -135,7 +136,7 @@ def placement(df: DataFrame, key: str, category: str, topics: str, registry: Dat
     """
     each = df.select(key, F.col(category).alias("own"), F.posexplode_outer(topics).alias("at", "topic"))
     known = registry.select(F.col("category").alias("home"), F.col("node").alias("topic"))
-    met = each.join(F.broadcast(known), "topic", "left")  # a registry is a fixed, small dimension
+    met = each.join(if_few(known), "topic", "left")
     met = met.withColumn("category", F.coalesce("home", "own")).withColumn("topic", F.when(F.col("topic").isNull(), "unspecified").when(F.col("home").isNull(), "unclassified").otherwise(F.col("topic")))
     met = met.withColumn("turn", F.struct((~F.coalesce(F.col("home") == F.col("own"), F.lit(False))).alias("foreign"), "at", F.col("category").alias("c")))
     filed = met.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("turn", "category", "topic"))).alias("filed"))  # a row has few topics

@@ -9,7 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from sluicework.operators import learning
-from sluicework.session import written
+from sluicework.session import if_few, written
 
 # The share of a week for gaps, the least evidence for using them, minutes between hints.
 GAP_SHARE, LEAST_EVIDENCE, COOLDOWN = 0.35, 10, 15
@@ -25,7 +25,7 @@ def students(attempts: DataFrame, assessed: DataFrame) -> DataFrame:
 
 def own_evidence(attempts: DataFrame, problems: DataFrame, aliases: DataFrame) -> DataFrame:
     """(person, kept, skipped): attempts of each person under any of their names (person, student), and those that count for nothing: an unknown problem or result."""
-    own = attempts.join(F.broadcast(aliases), "student")  # the names of the persons asked for
+    own = attempts.join(if_few(aliases), "student")
     met = own.join(problems.select("id", F.lit(True).alias("known")), "id", "left")
     good = F.coalesce(F.col("known"), F.lit(False)) & learning.lookup(learning.WORTH, F.col("result")).isNotNull()
     return met.groupBy("person").agg(F.count_if(good).alias("kept"), F.count_if(~good).alias("skipped"))
