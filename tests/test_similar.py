@@ -50,6 +50,57 @@ def test_routes_and_masks(spark):
     assert sorted(map(tuple, got.collect())) == [(1, 2, 1.0, 0.0), (1, 3, None, 1.0)]
 
 
+def _sent(spark, monkeypatch, join, n):
+    """Rows that reach the tasks of a join's last step, for n blocks' worth of vectors."""
+    seen = []
+    frame = type(spark.range(1))
+    deal = frame.repartition
+    monkeypatch.setattr(frame, "repartition", lambda self, *a: (seen.append(self), deal(self, *a))[1])
+    join(n).count()
+    monkeypatch.undo()
+    return seen[-1].count()
+
+
+def test_blocks_are_sent_in_proportion(spark, monkeypatch):
+    """Four times the vectors, in no clusters: four times the blocks sent, not sixteen times; and the same closure of links as of pairs."""
+    from sluicework.operators import similarity
+    from sluicework.operators.components import connected_components
+
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(3200, 4))
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    df = lambda n: spark.createDataFrame(list(enumerate(x[:n].tolist())), "id long, vector array<double>").repartition(2)
+
+    def cosine(n):
+        monkeypatch.setattr(similarity, "BINS", 4)
+        return similarity.cosine_pairs(df(n), 0.999, block=16)
+
+    def pivot(n):
+        for name, value in (("BLOCK", 16), ("SPREAD", 1600), ("GROUPS", 4)):
+            monkeypatch.setattr(vector_join, name, value)
+        return vector_join.threshold_join(df(n), 0.2)[0]
+
+    for join in (cosine, pivot):
+        assert _sent(spark, monkeypatch, join, 3200) < 6 * _sent(spark, monkeypatch, join, 800)
+    few, many = similarity.cosine_pairs(df(800), 0.3, 16, links=True), similarity.cosine_pairs(df(800), 0.3, 16)
+    assert few.count() < many.count() / 2
+    assert set(connected_components(few, "a", "b").collect()) == set(connected_components(many, "a", "b").collect())
+
+
+def test_links_keep_closures_and_best_scores(spark, monkeypatch):
+    monkeypatch.setattr(vector_join, "BLOCK", 16)
+    rng = np.random.default_rng(5)
+    rows = [(k, rng.normal(size=3).tolist() if k % 7 else None, rng.normal(size=4).tolist() if k % 5 else None) for k in range(600)]
+    df = spark.createDataFrame(rows, "id long, t array<double>, s array<double>").repartition(3)
+    pairs, links = (vector_join.route_pairs(df, 0.985, {"t": "score_text", "s": "score_solution"}, links=c).toDF("a", "b", "score_text", "score_solution") for c in (False, True))
+    meta = spark.createDataFrame([], "id long, topics array<string>, formulas array<string>")
+    groups = [sorted(map(str, vector_join.evidence_groups(p, ["score_text", "score_solution"], meta).collect())) for p in (pairs, links)]
+    unit = lambda v: np.array(v) / np.linalg.norm(v)
+    near = lambda p, q: p is not None and q is not None and unit(p) @ unit(q) > 0.985
+    assert sorted((r.a, r.b) for r in pairs.collect()) == [(a[0], b[0]) for k, a in enumerate(rows) for b in rows[k + 1 :] if near(a[1], b[1]) or near(a[2], b[2])]
+    assert groups[0] == groups[1] and len(groups[0]) > 50
+
+
 def test_evidence_groups(spark):
     pairs = [(1, 2, 0.97, None), (2, 3, None, 0.99), (7, 8, 0.95, 0.94)] + [(100, k, 0.96, 0.93) for k in range(101, 103)]
     meta = [(1, ["x", "y", "x"], ["f=1", "g=2"]), (2, ["x", "z"], ["g=2"]), (3, ["x"], None), (7, ["p"], ["h"]), (8, ["q"], ["k"]), (100, None, ["h"])]
