@@ -63,6 +63,8 @@ NOISE = [
     r"(?m)^[ \t]*!\[[^\]]*\][ \t]*\[[^\]]*\][ \t]*$", r"(?m)^[ \t]*\[[^\]]+\]:[ \t]*\S+(?:[ \t]+.*)?$", rf"(?is)\\begin\{{{_ENVIRONMENTS}\}}.*?\\end\{{{_ENVIRONMENTS}\}}",
     r"(?s)\$\$.*?\$\$", r"(?s)\\\[.*?\\\]", r"\$[^$]*\$", r"(?s)\\\(.*?\\\)", r"`+[^`\n]*`+", r"\\includegraphics(?:\[[^\]]*\])?\{[^}]*\}", r"\\[A-Za-z]+\*?(?:\[[^\]]*\])?", r"<[^>]+>",
 ]
+#: What every text has one of that a pattern of NOISE changes.
+NOISE_MARKS = r"[`<\\$\t]|~~~|!\[|\]:| {4}"
 MATH = r"(?s)\$\$.*?\$\$|\\\[.*?\\\]|\$[^$\n]+\$|\\\(.*?\\\)"
 IMAGE = r"!\[[^\]]*\]\([^\n)]*\)"
 CODE = r"(?s)```.*?```"
@@ -72,15 +74,17 @@ WHOLE, ANSWER = "文档", "最终答案"
 
 
 def stripped_noise(text: Column) -> Column:
-    """Text without code, images, formulas, commands and tags."""
+    """Text without code, images, formulas, commands and tags. A text that has none of their marks is looked at once."""
+    clean = text
     for pattern in NOISE:
-        text = F.regexp_replace(text, pattern, " ")
-    return text
+        clean = F.regexp_replace(clean, pattern, " ")
+    return F.when(text.rlike(NOISE_MARKS), clean).otherwise(text)
 
 
 def folded(text: Column) -> Column:
     """Lower case without the accents of Latin letters."""
-    return F.replace(F.translate(F.lower(text), ACCENTED, PLAIN), F.lit("ß"), F.lit("ss"))
+    plain = F.replace(F.translate(F.lower(text), ACCENTED, PLAIN), F.lit("ß"), F.lit("ss"))
+    return F.when(F.octet_length(text) == F.length(text), F.lower(text)).otherwise(plain)
 
 
 def capped_hits(known: str) -> tuple[Column, Column]:
@@ -92,19 +96,31 @@ def capped_hits(known: str) -> tuple[Column, Column]:
 def language_scores(df: DataFrame, text: str, words: dict[str, str] = WORDS, phrases: dict[str, list[str]] = PHRASES, chars: dict[str, str] = CHARS) -> DataFrame:
     """df with _clean, _words and _scores: for each language struct(score, distinct, lang).
 
-    A word counts up to three times, a phrase or a marking character twice. All is computed within the row: no shuffle.
+    A word counts up to three times, a phrase or a marking character twice. All is computed within the row: no shuffle. A text's words
+    are gone through once, for those that any language knows; each language then counts among what is left of these, three of a word
+    at most, so the work of a language does not grow with the text.
     """
+    known = sorted({w for line in words.values() for w in line.split()})
+    df = df.withColumn("_clean", stripped_noise(F.coalesce(text, F.lit("")))).withColumn("_lower", F.lower("_clean")).withColumn("_folded", folded(F.col("_clean")))
+    df = df.withColumn("_words", F.regexp_extract_all("_folded", F.lit(r"(\p{L}+)"), F.lit(1)))
+    df = df.withColumn("_known", F.sort_array(F.filter("_words", lambda w: w.isin(*known))))
+    # In order, the fourth of a word has the same one three places before it.
+    df = df.withColumn("_known", F.filter("_known", lambda w, k: (k < 3) | (F.get("_known", k - 3) != w)))
+    df = df.withColumn("_marks", F.regexp_replace("_lower", f"[^{''.join(chars.values())}]+", "")) if chars else df
 
     def score(lang: str) -> Column:
-        hits, capped = capped_hits(words[lang])
-        extra = [2 * F.regexp_count("_folded", F.lit(re.escape(folded_plain(p)))) for p in phrases.get(lang, [])]
+        hits = F.filter("_known", lambda w: w.isin(*words[lang].split()))
+        extra = [2 * _times("_folded", folded_plain(p)) for p in phrases.get(lang, [])]
         if lang in chars:
-            extra.append(2 * F.regexp_count(F.lower("_clean"), F.lit(f"[{chars[lang]}]")))
-        return F.struct(sum(extra, capped).alias("score"), F.size(F.array_distinct(hits)).alias("distinct"), F.lit(lang).alias("lang"))
+            extra.append(2 * F.regexp_count("_marks", F.lit(f"[{chars[lang]}]")))
+        return F.struct(sum(extra, F.size(hits)).alias("score"), F.size(F.array_distinct(hits)).alias("distinct"), F.lit(lang).alias("lang"))
 
-    df = df.withColumn("_clean", stripped_noise(F.coalesce(text, F.lit("")))).withColumn("_folded", folded(F.col("_clean")))
-    df = df.withColumn("_words", F.regexp_extract_all("_folded", F.lit(r"(\p{L}+)"), F.lit(1)))
-    return df.withColumn("_scores", F.array(*[score(lang) for lang in words]))
+    return df.withColumn("_scores", F.array(*[score(lang) for lang in words])).drop("_known", "_marks", "_lower")
+
+
+def _times(column: str, phrase: str) -> Column:
+    """How often a phrase occurs, without overlaps, from the left."""
+    return F.floor((F.octet_length(column) - F.octet_length(F.replace(F.col(column), F.lit(phrase), F.lit("")))) / len(phrase.encode())).cast("int")
 
 
 def folded_plain(text: str) -> str:
