@@ -1,5 +1,7 @@
 """Boundary rows of text quality, session state, writers and graphs."""
 
+import re
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -23,6 +25,22 @@ def test_language(spark, text, said, want):
     assert (r["lang"], r["conf"]) == want
 
 
+def test_scores_of_long_texts(spark):
+    """Against a plain count; a language's part of the plan goes through no text's words again."""
+    texts = ["the " * 9 + "such that such thatthe der die der der der für alle fur alle ñ¿¡ äÖß ĳ zodat zodat le la", "", None, "les les el La LA la", "of " * 4000 + "und " * 2 + "tal que tal que"]
+    df = quality.language_scores(spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "k int, t string"), "t")
+    for r in df.select("k", "_scores", "_words").collect():
+        text = texts[r.k] or ""
+        fold = quality.folded_plain(text)
+        assert r._words == re.findall(r"[^\W\d_]+", fold)
+        for s in r._scores:
+            words = [w for w in quality.WORDS[s.lang].split() if w in r._words]
+            want = sum(min(3, r._words.count(w)) for w in words) + 2 * sum(fold.count(quality.folded_plain(p)) for p in quality.PHRASES[s.lang]) + 2 * sum(text.lower().count(c) for c in quality.CHARS.get(s.lang, ""))
+            assert (s.score, s.distinct) == (want, len(words)), (r.k, s)
+    plan = df.select("_scores")._jdf.queryExecution().optimizedPlan().toString()
+    assert "filter(_known#" in plan and "aggregate(array_distinct(filter(_words#" not in plan
+
+
 SOURCE = "# T\n## A\nlet $x$ be\n## 最终答案\n$7$\n"
 
 
