@@ -64,6 +64,24 @@ def test_protected_round_trip(spark):
     assert [r.back for r in rows] == [t or "" for t in texts] and all(r.bad is None for r in rows) and "$" not in rows[0].text
 
 
+def test_protected_spans_bounds_its_batches(spark):
+    from sluicework.plans import catalog, quality  # noqa: F401
+    from sluicework.session import BATCH
+
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    spark.conf.unset(key)
+    catalog.QUERIES["protected_spans"](spark, "/root/testdata/sf0.001")
+    assert spark.conf.get(key) == str(BATCH)
+
+
+@pytest.mark.parametrize("name", ["edge_symmetric", "prereq_cycles", "machine_checks"])
+def test_reads_a_given_table(spark, name):
+    from sluicework.plans import catalog, quality, translation  # noqa: F401
+
+    small, large = (catalog.QUERIES[name](spark, f"/root/testdata/{sf}").count() for sf in ("sf0.001", "sf0.01"))
+    assert 0 < 2 * small < large
+
+
 def test_chunks_and_features(spark):
     assert quality.split_chunks("") == [] and quality.split_chunks("a\n b") == ["a b"]
     text = "\n\n".join("word " * 40 for _ in range(6))
