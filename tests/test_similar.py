@@ -4,6 +4,7 @@ import random
 from difflib import SequenceMatcher
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from sluicework.operators import text_join, vector_join
@@ -160,3 +161,36 @@ def test_lexical_groups(spark):
     assert text_join.lexical_groups(spark.createDataFrame([], "id long, text string")).collect() == []
     with pytest.raises(ValueError):
         text_join.similar_texts(spark.createDataFrame(rows, "id long, text string"), 0.3)
+
+
+def _syllables(rng, n):
+    return "".join(rng.choices("th an er the in on re ha es or ti st en at nd ing ed tion ly wh".split(), k=n))
+
+
+@pytest.mark.parametrize("block", [7, 512])
+def test_blocks_of_like_lengths(spark, monkeypatch, block):
+    """Texts of one language share most grams: hardly any but near copies are compared, and none of these is lost."""
+    rng = random.Random(11)
+    texts = [_syllables(rng, rng.choice([30, 60, 160, 300])) for _ in range(90)]
+    for k in range(0, 90, 3):
+        c = list(texts[k])
+        for _ in range(rng.randint(1, max(1, len(c) // 14))):
+            at = rng.randrange(len(c))
+            c[at : at + rng.randint(0, 2)] = rng.choices("aeiouxyz", k=rng.randint(0, 2))
+        texts.append("".join(c))
+    texts = list(dict.fromkeys(texts))
+    want = {(a, b): r for a, x in enumerate(texts) for b, y in list(enumerate(texts))[a + 1 :] if 2 * min(len(x), len(y)) >= 0.9 * (len(x) + len(y)) and (r := SequenceMatcher(None, x, y).ratio()) >= 0.9}
+    asked = []
+    monkeypatch.setattr(text_join, "SequenceMatcher", lambda none, x, y: asked.append((x, y)) or SequenceMatcher(none, x, y))
+    monkeypatch.setattr(text_join, "TOGETHER", 0)
+    rows = pa.RecordBatch.from_pylist([{"cell": 1, "home": True, "own": True, "key": k, "text": t} for k, t in enumerate(texts)])
+    found = {(r["a"], r["b"]): r["score"] for b in text_join._blocks_scored(0.9)(iter([rows])) for r in b.to_pylist()}
+    assert found == want and len(want) > 10 and len(asked) < 60
+    monkeypatch.undo()
+    monkeypatch.setattr(text_join, "BLOCK", block)
+    df = spark.createDataFrame(list(enumerate(texts)), "id long, text string").repartition(3)
+    assert {(r.a, r.b): r.score for r in text_join.similar_texts(df, 0.9)[0].collect()} == want
+
+
+def test_common_characters():
+    assert [text_join.common_characters(x, y) for x, y in (("", "a"), ("abcde", "xaxcxe"), ("aab", "aba"), ("漢a", "a漢"))] == [0, 3, 2, 1]
