@@ -32,6 +32,8 @@ MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
 #: Bytes, about, of words and their ids that a worker remembers, and pairs of pieces; then it starts anew.
 REMEMBERED, PAIRS = 1 << 25, 1 << 18
+#: Slots in which pairs are looked up all at once; a slot holds one pair, the rest are found in a dictionary.
+SLOTS = 1 << 19
 #: Bytes of new words that are indexed together, and characters from which a word is indexed by itself and not remembered.
 TOGETHER, LONG = 1 << 16, 1 << 10
 #: Bytes of text that are encoded together.
@@ -77,6 +79,7 @@ class Pieces:
         self.loose: dict[str, int] = {}  # characters without a piece of their own, numbered after the vocabulary
         self.loose_names: list[str] = []
         self.pairs: dict[int, bool] = {}
+        self.slots = np.full(SLOTS, -1, np.int64)  # of a pair: twice its key, and one more if it stays apart
         self.words: dict[str, bytes] = {}  # ids as 32-bit integers
         self.held = 0
         usable = sorted((p.encode(), i) for p, (_, i) in self.rank.items() if self.merged(p) == [p])
@@ -116,14 +119,21 @@ class Pieces:
 
     def _agree(self, keys: np.ndarray) -> np.ndarray:
         """For each left * 2^32 + right, whether these two stay apart when their texts are merged together."""
-        each, back = np.unique(keys, return_inverse=True)
-        out = np.empty(len(each), bool)
-        for k, key in enumerate(each.tolist()):
-            said = self.pairs.get(key)
-            if said is None:
-                said = self.pairs[key] = self._apart(key >> 32, key & 0xFFFFFFFF)
-            out[k] = said
-        return out[back]
+        slot = ((keys.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(32)).astype(np.int64) % SLOTS
+        held = self.slots[slot]
+        out = (held & 1).astype(bool)
+        new = np.flatnonzero(held >> 1 != keys)
+        if len(new):
+            each, first, back = np.unique(keys[new], return_index=True, return_inverse=True)
+            known = np.empty(len(each), bool)
+            for k, key in enumerate(each.tolist()):
+                said = self.pairs.get(key)
+                if said is None:
+                    said = self.pairs[key] = self._apart(key >> 32, key & 0xFFFFFFFF)
+                known[k] = said
+            self.slots[slot[new[first]]] = each << 1 | known
+            out[new] = known[back]
+        return out
 
     def _apart(self, left: int, right: int) -> bool:
         a, b = self._name(left), self._name(right)
@@ -255,6 +265,7 @@ class Pieces:
             self.held = 0
         if len(self.pairs) > PAIRS:
             self.pairs.clear()
+            self.slots.fill(-1)
             self.loose.clear()
             self.loose_names = []
         lines = [self.library.normalize(t) for t in texts]
@@ -280,8 +291,8 @@ class Pieces:
         return out
 
     def forget(self) -> None:
-        """Drops words and pairs, so that a worker that waits for other tasks holds the vocabulary alone."""
-        self.words, self.pairs, self.loose, self.loose_names = {}, {}, {}, []
+        """Drops words, so that a worker that waits for other tasks holds the vocabulary and at most about ``PAIRS`` pairs, which the next task needs as well."""
+        self.words = {}
         self.held = 0
 
     def decode(self, ids: list[int]) -> str:

@@ -4,6 +4,7 @@ import hashlib
 import random
 import re
 from collections import Counter
+from pathlib import Path
 
 import duckdb
 import numpy as np
@@ -404,3 +405,17 @@ def test_pipeline_stages(spark, docs, tmp_path):
     assert now.count() > 0 and set(now.columns) == {*docs.columns, "n_tokens", "ids"}
     for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, docs.limit(0), str(tmp_path)).count() == 0
+
+
+def test_pieces_keep_pairs_between_tasks(monkeypatch):
+    """What a task learns of pairs is known to the next, and pairs that share a slot keep their own answers."""
+    monkeypatch.setattr(pieces, "SLOTS", 8)
+    own = pieces.Pieces(Path(pieces.MODEL).read_bytes())
+    texts = ["the sum of all terms below it, déjà vu", "漢字 and \U0001f600 in antidisestablishmentarianism", "Zq0xQ" * 40, "", "  a  b"]
+    want = own.library.encode(texts)
+    assert own.encode(texts) == want
+    own.forget()
+    known = len(own.pairs)
+    asked = []
+    monkeypatch.setattr(own, "_apart", lambda *a: asked.append(a))
+    assert known and own.encode(texts) == want and not asked
