@@ -194,3 +194,11 @@ def test_blocks_of_like_lengths(spark, monkeypatch, block):
 
 def test_common_characters():
     assert [text_join.common_characters(x, y) for x, y in (("", "a"), ("abcde", "xaxcxe"), ("aab", "aba"), ("漢a", "a漢"))] == [0, 3, 2, 1]
+
+
+def test_texts_are_dealt_to_many_tasks(spark, monkeypatch):
+    """The texts that are marked, and the pairs that are compared, are dealt to tasks whatever their bytes."""
+    dealt = {}
+    monkeypatch.setattr(text_join, "written", lambda df, tag, f=text_join.written: dealt.update({tag: df.rdd.getNumPartitions()}) or f(df, tag))
+    text_join.similar_texts(spark.createDataFrame([(k, "x" * 200 + "abc"[k]) for k in range(3)], "id long, text string"))
+    assert min(dealt["text-ones"], dealt["text-scores"]) >= text_join.LEAST_TASKS
