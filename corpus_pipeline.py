@@ -40,7 +40,7 @@ def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 def simhash_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document, that of the smallest id (null last), of each group whose sets of 5-word shingles are similar by 0.8 or more.
 
-    Texts without a word are one group. Of rows that repeat the smallest id any one stays.
+    Groups of SimHash fingerprints are compared first, then MinHash finds what these leave apart. Texts without a word are one group. Of rows that repeat the smallest id any one stays.
     """
     return simhash.one_of_each(docs, groups=shingles.near_duplicates)
 

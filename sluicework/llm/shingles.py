@@ -1,6 +1,8 @@
 """Near-duplicates by the similarity (Jaccard) of two texts' sets of word shingles.
 
-Texts with equal sets collapse to one first. Candidates are found by MinHash: of ``BANDS`` bands of ``ROWS`` least
+Texts with equal sets collapse to one first. Texts whose SimHash fingerprints lie in one group (``simhash.near_links``) are compared
+with that group's least one. What fingerprints leave apart, which at this similarity differ in more bits than can be
+searched, is found by MinHash: of ``BANDS`` bands of ``ROWS`` least
 values, one at least is equal. A pair just at a similarity of 0.8 meets with probability 1 - (1 - 0.8^5)^24 = 0.99993,
 more similar ones almost surely. Every link is confirmed by the exact similarity of the whole sets.
 
@@ -22,6 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from sluicework.operators.components import connected_components
+from sluicework.llm import simhash
 from sluicework.llm.batches import handing_back
 from sluicework.llm.simhash import numbered
 from sluicework.session import if_few, small_batches, written
@@ -56,7 +59,7 @@ def bands(found: np.ndarray) -> np.ndarray:
 
 
 def _sketches(width: int):
-    """A function for mapInArrow: the last column, the text, becomes its set's key, size, parities and bands."""
+    """A function for mapInArrow: the last column, the text, becomes its set's key, size, parities and bands, and its fingerprint."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -67,8 +70,9 @@ def _sketches(width: int):
                 sizes.append(len(found))
                 parities.append(np.packbits(np.bincount((found >> np.uint64(55)).astype(np.int64), minlength=512) & 1).tobytes())
                 banded.append(bands(found) if len(found) else np.empty(0, np.int64))
-            new = [pa.array(keys, pa.int64()), pa.array(sizes, pa.int64()), pa.array(parities, pa.binary()), pa.array(banded, pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *new], [*batch.schema.names[:-1], "key", "n", "parities", "bands"])
+            prints = [simhash.fingerprint(x.as_py()) for x in batch.columns[-1]]
+            new = [pa.array(keys, pa.int64()), pa.array(sizes, pa.int64()), pa.array(parities, pa.binary()), pa.array(banded, pa.list_(pa.int64())), pa.array(prints, pa.int64())]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *new], [*batch.schema.names[:-1], "key", "n", "parities", "bands", "fp"])
 
     return run
 
@@ -145,6 +149,15 @@ def _across(least: float):
     return run
 
 
+def _of_fingerprints(distinct: DataFrame) -> DataFrame:
+    """(a, b): each key (with its fingerprint fp) whose fingerprint's group has others, and the group's least key."""
+    prints = written(distinct.groupBy("fp").agg(F.min("key").alias("least")), "shingles-prints")
+    group = connected_components(simhash.near_links(prints.select("fp")), "a", "b").withColumnRenamed("node", "fp")
+    group = written(prints.join(group, "fp", "left").select("fp", "least", F.coalesce("component", "fp").alias("group")), "shingles-prints")
+    heads = group.groupBy("group").agg(F.min("least").alias("a"))
+    return distinct.select(F.col("key").alias("b"), "fp").join(group.select("fp", "group"), "fp").join(heads, "group").where("a != b").select("a", "b")
+
+
 def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", uid_col: str | None = None, width: int = WIDTH, similarity: float = SIMILARITY) -> DataFrame:
     """(uid, id, group, component) for every row.
 
@@ -156,14 +169,16 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     """
     small_batches(df.sparkSession)
     rows = numbered(df, id_col, text_col, uid_col)
-    marks = T.StructType([*(f for f in rows.schema.fields if f.name != "text"), T.StructField("key", T.LongType()), T.StructField("n", T.LongType()), T.StructField("parities", T.BinaryType()), T.StructField("bands", T.ArrayType(T.LongType()))])
+    marks = T.StructType([*(f for f in rows.schema.fields if f.name != "text"), T.StructField("key", T.LongType()), T.StructField("n", T.LongType()), T.StructField("parities", T.BinaryType()), T.StructField("bands", T.ArrayType(T.LongType())), T.StructField("fp", T.LongType())])
     marked = written(rows.select("uid", "id", "text").mapInArrow(handing_back(_sketches(width)), marks), "shingles-sketches")
-    distinct = written(marked.groupBy("key").agg(F.min("id").alias("least"), F.min_by(F.struct("uid", "n", "parities", "bands"), "uid").alias("s")).select("key", "least", "s.*"), "shingles-distinct")
+    distinct = written(marked.groupBy("key").agg(F.min("id").alias("least"), F.min_by(F.struct("uid", "n", "parities", "bands", "fp"), "uid").alias("s")).select("key", "least", "s.*"), "shingles-distinct")
     banded = distinct.select(F.explode("bands").alias("band"), "key")
     # What a band's group needs is two numbers, so groups of any size meet in partial sums; then each row finds its own.
     roots = written(banded.groupBy("band").agg(F.min("key").alias("root"), F.max("key").alias("top")).where("root != top").select("band", "root"), "shingles-roots")
     met = written(banded.join(if_few(roots), "band").select("band", "key", "root"), "shingles-met")
-    first = written(distinct.join(met.select("key").distinct(), "key", "left_semi").select("key", "uid"), "shingles-first")
+    alike = written(_of_fingerprints(distinct), "shingles-alike")
+    ends = alike.select(F.col("a").alias("key")).union(alike.select("b")).union(met.select("key")).distinct()
+    first = written(distinct.join(ends, "key", "left_semi").select("key", "uid"), "shingles-first")
     texts = written(rows.select("uid", "text").join(if_few(first), "uid").select("key", "text"), "shingles-texts")
 
     def confirmed(pairs: DataFrame) -> DataFrame:
@@ -171,8 +186,12 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
         both = b.join(if_few(pairs), "b").join(a, "a").select("a", "b", "of_a", "of_b")
         return written(both.mapInArrow(handing_back(_confirmed(width, similarity)), "a long, b long"), "shingles-links")
 
-    tried = written(met.where("key != root").select(F.col("root").alias("a"), F.col("key").alias("b")).distinct(), "shingles-pairs")
-    links = confirmed(tried)
+    links = confirmed(alike)
+    joined = connected_components(links, "a", "b")
+    one, two = (joined.toDF(k, f"part_{k}") for k in "ab")
+    tried = met.where("key != root").select(F.col("root").alias("a"), F.col("key").alias("b")).distinct()
+    tried = tried.join(one, "a", "left").join(two, "b", "left").where(F.coalesce("part_a", "a") != F.coalesce("part_b", "b")).select("a", "b")
+    links = links.unionByName(confirmed(written(tried, "shingles-pairs")))
     parts = written(met.select("band", "key").join(connected_components(links, "a", "b").withColumnRenamed("node", "key"), "key", "left").select("band", "key", F.coalesce("component", "key").alias("part")), "shingles-parts")
     ends = parts.groupBy("band").agg(F.min("part").alias("low"), F.max("part").alias("high"), F.count("*").alias("n")).where("low != high")
     ends = written(ends.select("band", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks")), "shingles-open")

@@ -419,3 +419,16 @@ def test_pieces_keep_pairs_between_tasks(monkeypatch):
     asked = []
     monkeypatch.setattr(own, "_apart", lambda *a: asked.append(a))
     assert known and own.encode(texts) == want and not asked
+
+
+def test_simhash_stage_links_by_fingerprints(spark, monkeypatch):
+    """Fingerprints find the near copies in the pipeline's stage that are then confirmed."""
+    base = [f"w{k}" for k in range(400)]
+    texts = [" ".join(base), " ".join([*base[:399], "x"]), " ".join(f"v{k}" for k in range(300)), "a b", None]
+    seen = []
+    monkeypatch.setattr(simhash, "near_links", lambda prints, f=simhash.near_links: seen.append(prints.count()) or f(prints))
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert sorted(r.doc_id for r in corpus_pipeline.simhash_stage(spark, df, "").collect()) == [0, 2, 3, 4] and len(seen) == 1
+    rows = [(k, simhash.fingerprint(t)) for k, t in enumerate(texts)]
+    alike = shingles._of_fingerprints(spark.createDataFrame(rows, "key long, fp long")).collect()
+    assert (0, 1) in {(r.a, r.b) for r in alike} and (0, 2) not in {(r.a, r.b) for r in alike}
