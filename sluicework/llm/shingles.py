@@ -1,7 +1,7 @@
 """Near-duplicates by the similarity (Jaccard) of two texts' sets of word shingles.
 
-Texts with equal sets collapse to one first. Texts whose SimHash fingerprints lie in one group (``simhash.near_links``) are compared
-with that group's least one. What fingerprints leave apart, which at this similarity differ in more bits than can be
+Texts with equal sets collapse to one first. Texts whose SimHash fingerprints are linked (``simhash.near_links``) are compared.
+What fingerprints leave apart, which at this similarity differ in more bits than can be
 searched, is found by MinHash: of ``BANDS`` bands of ``ROWS`` least
 values, one at least is equal. A pair just at a similarity of 0.8 meets with probability 1 - (1 - 0.8^5)^24 = 0.99993,
 more similar ones almost surely. Every link is confirmed by the exact similarity of the whole sets.
@@ -150,12 +150,11 @@ def _across(least: float):
 
 
 def _of_fingerprints(distinct: DataFrame) -> DataFrame:
-    """(a, b): each key (with its fingerprint fp) whose fingerprint's group has others, and the group's least key."""
-    prints = written(distinct.groupBy("fp").agg(F.min("key").alias("least")), "shingles-prints")
-    group = connected_components(simhash.near_links(prints.select("fp")), "a", "b").withColumnRenamed("node", "fp")
-    group = written(prints.join(group, "fp", "left").select("fp", "least", F.coalesce("component", "fp").alias("group")), "shingles-prints")
-    heads = group.groupBy("group").agg(F.min("least").alias("a"))
-    return distinct.select(F.col("key").alias("b"), "fp").join(group.select("fp", "group"), "fp").join(heads, "group").where("a != b").select("a", "b")
+    """(a, b), a < b: each key and the least one of its fingerprint fp, and the least keys of linked fingerprints. No more than links of numbers: their closure is not needed here."""
+    prints = written(distinct.select("fp", "key").groupBy("fp").agg(F.min("key").alias("least")), "shingles-prints")
+    one, two = (prints.toDF(k, f"of_{k}") for k in "ab")
+    linked = simhash.near_links(prints.select("fp")).distinct().join(one, "a").join(two, "b").select(F.least("of_a", "of_b").alias("a"), F.greatest("of_a", "of_b").alias("b"))
+    return distinct.select("key", "fp").join(prints, "fp").where("key != least").select(F.col("least").alias("a"), F.col("key").alias("b")).unionByName(linked)
 
 
 def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", uid_col: str | None = None, width: int = WIDTH, similarity: float = SIMILARITY) -> DataFrame:
@@ -177,21 +176,14 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     roots = written(banded.groupBy("band").agg(F.min("key").alias("root"), F.max("key").alias("top")).where("root != top").select("band", "root"), "shingles-roots")
     met = written(banded.join(if_few(roots), "band").select("band", "key", "root"), "shingles-met")
     alike = written(_of_fingerprints(distinct), "shingles-alike")
-    ends = alike.select(F.col("a").alias("key")).union(alike.select("b")).union(met.select("key")).distinct()
+    # Pairs of both kinds are confirmed together, so texts meet once and links are closed once before the bands are looked through.
+    pairs = written(alike.unionByName(met.where("key != root").select(F.col("root").alias("a"), F.col("key").alias("b"))).distinct(), "shingles-pairs")
+    ends = pairs.select(F.col("a").alias("key")).union(pairs.select("b")).distinct()  # each key of met is in such a pair
     first = written(distinct.join(ends, "key", "left_semi").select("key", "uid"), "shingles-first")
     texts = written(rows.select("uid", "text").join(if_few(first), "uid").select("key", "text"), "shingles-texts")
-
-    def confirmed(pairs: DataFrame) -> DataFrame:
-        a, b = (texts.select(F.col("key").alias(k), F.col("text").alias(f"of_{k}")) for k in "ab")
-        both = b.join(if_few(pairs), "b").join(a, "a").select("a", "b", "of_a", "of_b")
-        return written(both.mapInArrow(handing_back(_confirmed(width, similarity)), "a long, b long"), "shingles-links")
-
-    links = confirmed(alike)
-    joined = connected_components(links, "a", "b")
-    one, two = (joined.toDF(k, f"part_{k}") for k in "ab")
-    tried = met.where("key != root").select(F.col("root").alias("a"), F.col("key").alias("b")).distinct()
-    tried = tried.join(one, "a", "left").join(two, "b", "left").where(F.coalesce("part_a", "a") != F.coalesce("part_b", "b")).select("a", "b")
-    links = links.unionByName(confirmed(written(tried, "shingles-pairs")))
+    of_a, of_b = (texts.select(F.col("key").alias(k), F.col("text").alias(f"of_{k}")) for k in "ab")
+    both = of_b.join(if_few(pairs), "b").join(of_a, "a").select("a", "b", "of_a", "of_b")
+    links = written(both.mapInArrow(handing_back(_confirmed(width, similarity)), "a long, b long"), "shingles-links")
     parts = written(met.select("band", "key").join(connected_components(links, "a", "b").withColumnRenamed("node", "key"), "key", "left").select("band", "key", F.coalesce("component", "key").alias("part")), "shingles-parts")
     ends = parts.groupBy("band").agg(F.min("part").alias("low"), F.max("part").alias("high"), F.count("*").alias("n")).where("low != high")
     ends = written(ends.select("band", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks")), "shingles-open")

@@ -432,3 +432,14 @@ def test_simhash_stage_links_by_fingerprints(spark, monkeypatch):
     rows = [(k, simhash.fingerprint(t)) for k, t in enumerate(texts)]
     alike = shingles._of_fingerprints(spark.createDataFrame(rows, "key long, fp long")).collect()
     assert (0, 1) in {(r.a, r.b) for r in alike} and (0, 2) not in {(r.a, r.b) for r in alike}
+
+
+def test_simhash_stage_closes_links_twice(spark, monkeypatch):
+    """Pairs of fingerprints and of bands are confirmed and closed together; each closure is many rounds of small tasks, in which an executor's memory grows."""
+    base = [f"w{k}" for k in range(400)]
+    texts = [" ".join(base), " ".join([*base[:399], "x"]), " ".join([*base[:398], "y", "z"]), " ".join(f"v{k}" for k in range(300))]
+    closed = []
+    for module in (shingles, simhash):
+        monkeypatch.setattr(module, "connected_components", lambda *a, f=shingles.connected_components: closed.append(a) or f(*a))
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert sorted(r.doc_id for r in corpus_pipeline.simhash_stage(spark, df, "").collect()) == [0, 3] and len(closed) == 2
