@@ -88,6 +88,21 @@ def test_blocks_are_sent_in_proportion(spark, monkeypatch):
     assert set(connected_components(few, "a", "b").collect()) == set(connected_components(many, "a", "b").collect())
 
 
+def test_links_stay_in_proportion_to_vectors(spark, monkeypatch):
+    """Where bins are joined in themselves, two bins need one link: 600 vectors in 6 bins have few more links than vectors, with the closure of all pairs."""
+    from sluicework.operators import similarity
+    from sluicework.operators.components import connected_components
+
+    monkeypatch.setattr(similarity, "BINS", 6)
+    rng = np.random.default_rng(6)
+    x = rng.normal(size=(600, 3)) + np.where(np.arange(600) % 2 == 0, 4, -4)[:, None]
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    df = spark.createDataFrame(list(enumerate(x.tolist())), "id long, vector array<double>").repartition(2)
+    few, many = similarity.cosine_pairs(df, 0.95, 16, links=True), similarity.cosine_pairs(df, 0.95, 16)
+    assert few.count() < 900
+    assert set(connected_components(few, "a", "b").collect()) == set(connected_components(many, "a", "b").collect())
+
+
 def test_links_keep_closures_and_best_scores(spark, monkeypatch):
     monkeypatch.setattr(vector_join, "BLOCK", 16)
     rng = np.random.default_rng(5)
