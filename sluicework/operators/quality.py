@@ -65,6 +65,7 @@ NOISE = [
 ]
 #: What every text has one of that a pattern of NOISE changes.
 NOISE_MARKS = r"[`<\\$\t]|~~~|!\[|\]:| {4}"
+ASCII = r"[\x{0}-\x{7f}]+"
 MATH = r"(?s)\$\$.*?\$\$|\\\[.*?\\\]|\$[^$\n]+\$|\\\(.*?\\\)"
 IMAGE = r"!\[[^\]]*\]\([^\n)]*\)"
 CODE = r"(?s)```.*?```"
@@ -81,10 +82,14 @@ def stripped_noise(text: Column) -> Column:
     return F.when(text.rlike(NOISE_MARKS), clean).otherwise(text)
 
 
-def folded(text: Column) -> Column:
-    """Lower case without the accents of Latin letters."""
-    plain = F.replace(F.translate(F.lower(text), ACCENTED, PLAIN), F.lit("ß"), F.lit("ss"))
-    return F.when(F.octet_length(text) == F.length(text), F.lower(text)).otherwise(plain)
+def _ascii(text: Column) -> Column:
+    return F.octet_length(text) == F.length(text)
+
+
+def folded(text: Column, lower: Column | None = None) -> Column:
+    """Lower case without the accents of Latin letters; ``lower`` is the text in lower case, where that is at hand."""
+    lower = F.lower(text) if lower is None else lower
+    return F.when(_ascii(text), lower).otherwise(F.replace(F.translate(lower, ACCENTED, PLAIN), F.lit("ß"), F.lit("ss")))
 
 
 def capped_hits(known: str) -> tuple[Column, Column]:
@@ -101,12 +106,15 @@ def language_scores(df: DataFrame, text: str, words: dict[str, str] = WORDS, phr
     at most, so the work of a language does not grow with the text.
     """
     known = sorted({w for line in words.values() for w in line.split()})
-    df = df.withColumn("_clean", stripped_noise(F.coalesce(text, F.lit("")))).withColumn("_lower", F.lower("_clean")).withColumn("_folded", folded(F.col("_clean")))
+    df = df.withColumn("_clean", stripped_noise(F.coalesce(text, F.lit("")))).withColumn("_lower", F.lower("_clean")).withColumn("_folded", folded(F.col("_clean"), F.col("_lower")))
     df = df.withColumn("_words", F.regexp_extract_all("_folded", F.lit(r"(\p{L}+)"), F.lit(1)))
     df = df.withColumn("_known", F.sort_array(F.filter("_words", lambda w: w.isin(*known))))
     # In order, the fourth of a word has the same one three places before it.
     df = df.withColumn("_known", F.filter("_known", lambda w, k: (k < 3) | (F.get("_known", k - 3) != w)))
-    df = df.withColumn("_marks", F.regexp_replace("_lower", f"[^{''.join(chars.values())}]+", "")) if chars else df
+    if chars:
+        # A class of many characters costs a comparison with each, so ASCII goes first, by its range, unless it holds a mark.
+        kept = F.col("_lower") if any(c.isascii() for c in "".join(chars.values())) else F.regexp_replace("_lower", ASCII, "")
+        df = df.withColumn("_marks", F.regexp_replace(kept, f"[^{''.join(chars.values())}]+", ""))
 
     def score(lang: str) -> Column:
         hits = F.filter("_known", lambda w: w.isin(*words[lang].split()))
@@ -148,7 +156,9 @@ def detect_language(df: DataFrame, text: str, declared: str | None = None) -> Da
     declared = "_declared" if declared else None
     count = lambda p: F.regexp_count("_clean", F.lit(p))
     pair = lambda lang, conf: F.struct((lang if isinstance(lang, Column) else F.lit(lang)).alias("lang"), F.lit(conf).alias("conf"))
-    df = df.withColumn("_letters", F.length(F.regexp_replace("_clean", r"[^\p{L}]", "")))
+    # Whether there are 4 or 12 letters is all that is asked of their number, so no more than these are looked for.
+    some = lambda n: F.col("_clean").rlike(rf"\A(?:[^\p{{L}}]*+\p{{L}}){{{n}}}")
+    df = df.withColumn("_letters", F.when(some(12), 12).when(some(4), 4).otherwise(0))
     # Equal scores: the language named first leads, so the place in the list breaks ties.
     ranked = F.array_sort("_scores", lambda a, b: b["score"] - a["score"])
     df = df.withColumn("_ranked", ranked).withColumn("_best", F.get("_ranked", F.lit(0))).withColumn("_margin", F.col("_best.score") - F.get("_ranked", F.lit(1))["score"])
@@ -177,6 +187,8 @@ def detect_language(df: DataFrame, text: str, declared: str | None = None) -> Da
         .when((cyrillic >= 6) & (cyrillic >= 2 * han), slavic)
         .otherwise(latin)
     )
+    # Below the first of Greek there is none of these scripts: such a text is looked at once instead of once for each.
+    found = F.when(_ascii(F.col("_clean")) | ~F.col("_clean").rlike(r"[^\x{0}-\x{36f}]"), latin).otherwise(found)
     df = df.withColumn("_found", F.when(F.col("_letters") < 4, pair("und", "low")).otherwise(found))
     lang, conf = F.col("_found.lang"), F.col("_found.conf")
     if declared:

@@ -171,3 +171,20 @@ def test_formula_overlap(spark):
     want = {(a, a + 1): len(x & y) / min(len(x), len(y)) for a, x in sets.items() if (y := sets.get(a + 1)) and x}
     got = {(r.left, r.right): r.overlap for r in catalog.QUERIES["formula_overlap"](spark, "/root/testdata/sf0.001").collect()}
     assert got == want and any(0 < v for v in want.values())
+
+
+def test_marks_are_looked_for_in_what_is_not_ascii(spark):
+    """The class of all marking characters, slow for each character, meets no ASCII; scores stay, also where a mark is ASCII."""
+    df = spark.createDataFrame([("¿Dónde está el niño? ÑÑ",), ("straße und äpfel",), ("plain text",), (None,)], "text string")
+    scored = quality.language_scores(df, "text", words={"es": "el", "de": "und"}, phrases={})
+    assert [[s.score for s in r._scores] for r in scored.collect()] == [[9, 0], [0, 5], [0, 0], [0, 0]]
+    assert quality.ASCII in scored._jdf.queryExecution().optimizedPlan().toString()
+    own = quality.language_scores(df, "text", words={"es": "el", "de": "und"}, phrases={}, chars={"es": "?", "de": "ß"})
+    assert [[s.score for s in r._scores] for r in own.collect()] == [[3, 0], [0, 3], [0, 0], [0, 0]]
+
+
+def test_scripts_behind_latin_are_still_found(spark):
+    texts = ["a" * 50 + " β", "докажите что для всех натуральных чисел число", "να βρεθούν όλοι οι ακέραιοι", "abc", "— " * 3 + "let us prove that all integers", "12 34"]
+    df = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "id long, text string")
+    got = {r.id: (r.lang, r.conf) for r in quality.detect_language(df, "text").collect()}
+    assert [got[k][0] for k in range(6)] == ["und", "ru", "el", "und", "en", "und"]
