@@ -55,6 +55,7 @@ def _answer(order: int):
                 own = b.of[at : at + size]
                 at += size
                 out.append({"block": r["block"], "bucket": b.bucket, "totals": ngrams.pack(b.totals[own]), "follow": ngrams.pack(follow[own])})
+            del b, length, follow, own  # before the next bucket is read
             for a in range(0, len(out), 256):
                 yield pa.RecordBatch.from_pylist(out[a : a + 256], schema=ngrams._arrow(ANSWERS))
 
@@ -71,16 +72,16 @@ class Automaton:
     def __init__(self, b: ngrams.Coded, order: int, total: int, distinct: int, discounts: list[float], later: dict[tuple, int]) -> None:
         columns, length, _, index = b.keys(order, 1)
         said = sorted(b.answers, key=lambda r: r["bucket"])
-        count = np.concatenate([ngrams.unpack(r["totals"]).astype(np.int64) for r in said]) if said else np.zeros(len(length), np.int64)
-        follow = np.concatenate([ngrams.unpack(r["follow"]).astype(np.int64) for r in said]) if said else np.zeros(len(length), np.int64)
+        count, follow = (np.concatenate([ngrams.unpack(r[c]) for r in said], dtype=np.int64, casting="unsafe") if said else np.zeros(len(length), np.int64) for c in ("totals", "follow"))
         one = length == 1
         count[one] = b.totals[columns[0][one]]
-        parent, suffix = np.full(len(length), -1), np.full(len(length), -1)
+        parent, suffix = np.full(len(length), -1, np.int32), np.full(len(length), -1, np.int32)
         for m in range(2, order + 1):
             at = np.flatnonzero(index[m] >= 0)
             parent[index[m][at]] = index[m - 1][at - 1]
             suffix[index[m][at]] = index[m - 1][at]
         self._add_later(b, columns, length, follow, later)
+        del columns
         p = np.zeros(len(length))
         p[one] = (count[one] + 1) / (total + distinct + 1)
         back = np.ones(len(length))
@@ -88,16 +89,17 @@ class Automaton:
             d = discounts[m - 2]
             has = (length == m - 1) & (count > 0) & (follow > 0)
             back[has] = d * follow[has] / count[has]
-            own = (length == m) & (count > 0)
+            own = np.flatnonzero((length == m) & (count > 0))
             p[own] = (count[own] - d) / count[parent[own]] + back[parent[own]] * p[suffix[own]]
         with np.errstate(divide="ignore"):
             self.log_p, self.log_back = np.log10(np.append(p, 1 / (total + distinct + 1))), np.log10(back)
+        del p, back, parent, follow
         self.fail = suffix
         state = (length < order) & (count > 0)
-        self.next = np.append(np.where(state, np.arange(len(length)), np.where(length == 1, -1, suffix)), -1)
-        self.size = np.append(length, 0).astype(np.int64)
+        self.next = np.append(np.where(state, np.arange(len(length), dtype=np.int32), np.where(length == 1, np.int32(-1), suffix)), np.int32(-1))
+        self.size = np.append(length, np.uint8(0))
         live = np.append(count > 0, False)
-        self.arc = np.stack([np.where(live[index[m]], index[m], -1) for m in range(1, order + 1)]).astype(np.int32)
+        self.arc = np.stack([np.where(live[index[m]], index[m], np.int32(-1)) for m in range(1, order + 1)])
 
     @staticmethod
     def _add_later(b: ngrams.Coded, columns: list[np.ndarray], length: np.ndarray, follow: np.ndarray, later: dict[tuple, int]) -> None:
@@ -155,10 +157,12 @@ def _scores(buckets: int, order: int, total: int, distinct: int, discounts: list
             each, first, of = np.unique(b.docs, return_index=True, return_inverse=True)
             doc, sums = of[unit], lambda w: np.bincount(doc, w, len(each))  # noqa: B023
             base = np.log10((known + 1) / (total + distinct + 1))
-            yield pa.RecordBatch.from_arrays([
+            out = pa.RecordBatch.from_arrays([
                 pa.array((b.block >> 33 << 33) + each.astype(np.int64)), pa.array([b.doc_keys[k] for k in first.tolist()], pa.int64()), pa.array(b.held[first]),
                 pa.array(sums(None).astype(np.int64)), pa.array(sums(known > 0).astype(np.int64)), pa.array(sums(base)), pa.array(np.bincount(of, walked, len(each))),
             ], [f.split(" ")[0] for f in SCORES.split(", ")])
+            del b, walked, unit, place, own, known, base, doc, sums, of  # before the next block is read
+            yield out
 
     return run
 

@@ -145,7 +145,7 @@ def words_of(texts: pa.Array, split: Split) -> tuple[pa.Array, np.ndarray, np.nd
     size = np.add.reduceat(inside, starts, dtype=np.int64) if len(starts) else np.zeros(0, np.int64)
     offsets = np.concatenate(([0], np.cumsum(size)))
     words = pa.Array.from_buffers(pa.large_binary(), len(starts), [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(raw[inside]))])
-    return words, np.searchsorted(ends, starts, "right") - 1, np.cumsum(raw == 0x0A)[starts]
+    return words, np.searchsorted(ends, starts, "right") - 1, np.cumsum(raw == 0x0A, dtype=np.int32)[starts]
 
 
 @dataclass
@@ -163,7 +163,7 @@ class _Block:
         if not self.parts or self.parts[-1] is not words:
             self.base += len(self.parts[-1]) if self.parts else 0
             self.parts.append(words)
-        self.units += [np.where(unit >= 0, unit + self.base, unit), np.array([BREAK])]
+        self.units += [np.where(unit >= 0, unit + self.base, unit).astype(np.int32), np.array([BREAK], np.int32)]
         self.before.append(before)
         self.docs.append(doc)
         self.size += len(unit)
@@ -186,7 +186,7 @@ def _block_row(number: int, name: str | None, b: _Block) -> dict:
         own[s : s + k] = False
     used = np.bincount(tokens[tokens >= 0], minlength=len(words))
     order = np.argsort(-used, kind="stable")[: np.count_nonzero(used)]
-    rank = np.full(len(words) + 1, -1)
+    rank = np.full(len(words) + 1, -1, np.int32)
     rank[order] = np.arange(len(order))
     tokens = rank[tokens]
     counted = own & ~np.repeat(held, sizes + 1)
@@ -388,7 +388,7 @@ class Coded:
     totals: np.ndarray
     end: int  # the number of a text's end
     tokens: np.ndarray
-    weight: np.ndarray  # 1 where a token counts
+    weight: np.ndarray  # 1 where a token counts, in a byte each
     sizes: np.ndarray
     before: np.ndarray
     docs: np.ndarray
@@ -399,70 +399,87 @@ class Coded:
 
     def keys(self, order: int, shortest: int) -> tuple[list[np.ndarray], np.ndarray, np.ndarray, dict[int, np.ndarray]]:
         """(columns of distinct keys in order, lengths, counts, number of the key of each length that ends at each token, or -1)."""
-        n, r = len(self.tokens), self.tokens.astype(np.uint32)
-        columns, length, weight, places = [[] for _ in range(order)], [], [], []
-        whole = np.ones(n, bool)
+        n, r, bits = len(self.tokens), self.tokens.astype(np.uint32), np.uint64(len(self.ids).bit_length())
+        # Length by length: a key is the number of the key without its last word, then that word, so one column is put in order at a time.
+        ends, parent, last, counts = [], [], [], []
         for m in range(1, order + 1):
-            whole = whole & (np.concatenate([np.zeros(min(m - 1, n), np.uint32), r[: max(0, n - m + 1)]]) > 0)
-            if m < shortest:
-                continue
-            at = np.flatnonzero(whole)
-            for j in range(order):
-                columns[j].append(r[at - m + 1 + j] if j < m else np.zeros(len(at), np.uint32))
-            length.append(np.full(len(at), m, np.uint8))
-            weight.append(self.weight[at] if m > 1 else np.zeros(len(at), np.int64))
-            places.append(at)
-        columns, length, weight = [np.concatenate(c) for c in columns], np.concatenate(length), np.concatenate(weight)
-        order_, new = _ordered(_joined(columns, len(self.ids).bit_length()))
-        starts = np.flatnonzero(new)
-        of = np.empty(len(order_), np.int64)
-        of[order_] = np.cumsum(new) - 1
-        index, a = {}, 0
-        for m, at in zip(range(shortest, order + 1), places, strict=True):
-            index[m] = np.full(n, -1)
-            index[m][at] = of[a : a + len(at)]
-            a += len(at)
-        first = order_[starts]
-        counts = np.add.reduceat(weight[order_], starts) if len(starts) else weight[:0]
-        return [c[first] for c in columns], length[first], counts, index
+            at = np.flatnonzero(r) if m == 1 else np.flatnonzero((r[1:] > 0) & (ends[-1][:-1] >= 0)) + 1
+            key = r[at].astype(np.uint64)
+            if m > 1:
+                key |= ends[-1][at - 1].astype(np.uint64) << bits
+            by, new = _ordered([key])
+            starts, at = np.flatnonzero(new), at[by]
+            ends.append(np.full(n, -1, np.int32))
+            ends[-1][at] = np.cumsum(new, dtype=np.int32) - 1
+            key = key[by[starts]]
+            parent.append((key >> bits).astype(np.int32))
+            last.append((key & (np.uint64(1) << bits) - np.uint64(1)).astype(np.uint32))
+            counts.append(np.add.reduceat(self.weight[at], starts, dtype=np.int64) if m > 1 and len(starts) else np.zeros(len(starts), np.int64))
+            del at, key, by, new, starts
+        # A key stands after those that it begins with, and before all that begin with it.
+        up = []
+        for m in range(order):
+            up.append(np.arange(len(last[m]), dtype=np.int32))
+            if m >= shortest:
+                up[m] += up[m - 1][parent[m]] + 1
+        children = [np.concatenate(([0], np.cumsum(np.bincount(parent[m], minlength=len(last[m - 1]))))).astype(np.int32) for m in range(1, order)]
+        size = sum(len(c) for c in last[shortest - 1 :])
+        columns, length, weight, index = [np.zeros(size, np.uint32) for _ in range(order)], np.zeros(size, np.uint8), np.zeros(size, np.int64), {}
+        for m in range(shortest - 1, order):
+            to, k = up[m], np.arange(len(last[m]), dtype=np.int32)
+            for c in children[m:]:
+                k = c[k]
+                to = to + k
+            length[to], weight[to] = m + 1, counts[m]
+            k = slice(None)
+            for j in range(m, -1, -1):
+                columns[j][to] = last[j][k]
+                k = parent[j][k]
+            index[m + 1] = np.append(to, np.int32(-1))[ends[m]]
+            ends[m] = None
+        return columns, length, weight, index
 
 
 def coded(batches: Iterator[pa.RecordBatch], buckets: int) -> Iterator[Coded]:
-    """Blocks out of rows of met()."""
-    for (block,), rows in _runs(batches, ("block",)):
-        b = rows[-1]
-        if b["kind"] != 2:
-            continue
-        said = [r for r in rows if r["kind"] == 0]
-        words_ = unpack_words(b["words"], b["lengths"])
-        order = np.argsort(_bucket_of(words_, b["name"], buckets), kind="stable")
-        ids, totals = np.zeros(len(words_) + 1, np.uint64), np.zeros(len(words_) + 1, np.int64)
-        if said:
-            ids[order + 1] = np.concatenate([unpack(r["ids"]).astype(np.uint64) for r in said])
-            totals[order + 1] = np.concatenate([unpack(r["totals"]).astype(np.int64) for r in said])
-        ranked = np.argsort(ids, kind="stable")
-        ranked = np.concatenate(([0], ranked[ids[ranked] > 0]))
-        number = np.zeros(len(ids), np.int64)
-        number[ranked[1:]] = np.arange(1, len(ranked))
-        tokens = unpack(b["tokens"])
-        sizes, before, held = unpack(b["sizes"]).astype(np.int64), unpack(b["before"]).astype(np.int64), unpack(b["held"]).astype(bool)
-        place = np.arange(len(tokens)) - np.repeat(np.cumsum(sizes + 1) - sizes - 1, sizes + 1)
-        weight = ((place >= np.repeat(before, sizes + 1)) & ~np.repeat(held, sizes + 1)).astype(np.int64)
-        one = np.flatnonzero(np.asarray(pc.equal(words_, pa.scalar(END_WORD, pa.large_binary()))))
-        end = int(number[one[0] + 1]) if len(one) else 0
-        yield Coded(block, b["name"], ids[ranked], totals[ranked], end, number[tokens], weight, sizes, before, unpack(b["docs"]), held, b["keys"], totals[tokens], [r for r in rows if r["kind"] == 1])
+    """Blocks out of rows of met(). Of the rows no more is kept than the block needs."""
+    for _, rows in _runs(batches, ("block",)):
+        if rows[-1]["kind"] == 2:
+            yield _coded(rows, buckets)
+
+
+def _coded(rows: list[dict], buckets: int) -> Coded:
+    b, said, more = rows[-1], [r for r in rows if r["kind"] == 0], [r for r in rows if r["kind"] == 1]
+    rows.clear()
+    words_ = unpack_words(b["words"], b["lengths"])
+    order = np.argsort(_bucket_of(words_, b["name"], buckets), kind="stable")
+    ids, totals = np.zeros(len(words_) + 1, np.uint64), np.zeros(len(words_) + 1, np.int64)
+    if said:
+        ids[order + 1] = np.concatenate([unpack(r["ids"]).astype(np.uint64) for r in said])
+        totals[order + 1] = np.concatenate([unpack(r["totals"]).astype(np.int64) for r in said])
+    ranked = np.argsort(ids, kind="stable")
+    ranked = np.concatenate(([0], ranked[ids[ranked] > 0]))
+    number = np.zeros(len(ids), np.int32)
+    number[ranked[1:]] = np.arange(1, len(ranked))
+    tokens = unpack(b["tokens"])
+    sizes, before, held = unpack(b["sizes"]).astype(np.int64), unpack(b["before"]).astype(np.int64), unpack(b["held"]).astype(bool)
+    weight = np.repeat(~held, sizes + 1).astype(np.uint8)
+    for s, k in zip((np.cumsum(sizes + 1) - sizes - 1).tolist(), before.tolist(), strict=True):
+        weight[s : s + k] = 0
+    one = np.flatnonzero(np.asarray(pc.equal(words_, pa.scalar(END_WORD, pa.large_binary()))))
+    end = int(number[one[0] + 1]) if len(one) else 0
+    return Coded(b["block"], b["name"], ids[ranked], totals[ranked], end, number[tokens], weight, sizes, before, unpack(b["docs"]), held, b["keys"], totals[tokens], more)
 
 
 KEY_ASKS = "bucket int, block long, name string, keys array<long>, columns binary, counts binary"
 
 
-def _cut(columns: list[np.ndarray], splitters: np.ndarray) -> np.ndarray:
-    """Where each splitter (a row) stands among keys in order."""
+def _cut(columns: list[np.ndarray], ids: np.ndarray, splitters: np.ndarray) -> np.ndarray:
+    """Where each splitter (a row of ids) stands among keys in order, whose columns are numbers of ``ids``."""
     out = []
-    for s in splitters:
+    for low, high in zip(np.searchsorted(ids, splitters, "left"), np.searchsorted(ids, splitters, "right"), strict=True):
         a, b = 0, len(columns[0])
-        for c, x in zip(columns, s, strict=True):
-            a, b = a + np.searchsorted(c[a:b], x, "left"), a + np.searchsorted(c[a:b], x, "right")
+        for c, x, y in zip(columns, low.astype(columns[0].dtype), high.astype(columns[0].dtype), strict=True):
+            a, b = a + np.searchsorted(c[a:b], x, "left"), a + np.searchsorted(c[a:b], y, "left")
         out.append(a)
     return np.array([0, *out, len(columns[0])], np.int64)
 
@@ -487,13 +504,13 @@ def _ask_keys(buckets: int, order: int, shortest: int, splitters: np.ndarray | N
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in coded(batches, buckets):
             ranks, _, counts, _ = b.keys(order, shortest)
-            columns = [b.ids[c] for c in ranks]
             if splitters is None:
-                out = [{"bucket": 0, "keys": [int(c[k]) for c in columns]} for k in range(STRIDE // 2, len(counts), STRIDE)]
+                out = [{"bucket": 0, "keys": [int(b.ids[c[k]]) for c in ranks]} for k in range(STRIDE // 2, len(counts), STRIDE)]
                 out.append({"bucket": -1, "keys": [len(counts)]})
             else:
-                stops = _cut(columns, splitters)
-                out = [{"bucket": k, "block": b.block, "name": b.name, "columns": _framed([c[stops[k] : stops[k + 1]] for c in columns]), "counts": pack(counts[stops[k] : stops[k + 1]])} for k in np.flatnonzero(np.diff(stops)).tolist()]
+                stops = _cut(ranks, b.ids, splitters)
+                out = [{"bucket": k, "block": b.block, "name": b.name, "columns": _framed([b.ids[c[stops[k] : stops[k + 1]]] for c in ranks]), "counts": pack(counts[stops[k] : stops[k + 1]])} for k in np.flatnonzero(np.diff(stops)).tolist()]
+            del b, ranks, counts
             for a in range(0, len(out), 256):
                 yield pa.RecordBatch.from_pylist(out[a : a + 256], schema=_arrow(KEY_ASKS))
 
@@ -536,13 +553,20 @@ class Merged:
 
 
 def merged(batches: Iterator[pa.RecordBatch]) -> Iterator[Merged]:
-    """Buckets out of rows of asked()."""
+    """Buckets out of rows of asked(). The rows' packed keys are given up for the bucket's own."""
     for (bucket,), rows in _runs(batches, ("bucket",)):
-        parts = [_unframed(r["columns"]) for r in rows]
-        columns = [np.concatenate([p[j].astype(np.uint64) for p in parts]) for j in range(len(parts[0]))]
-        counts = np.concatenate([unpack(r["counts"]).astype(np.int64) for r in rows])
-        order, new = _ordered(columns)
-        starts = np.flatnonzero(new)
-        of = np.empty(len(order), np.int64)
-        of[order] = np.cumsum(new) - 1
-        yield Merged(bucket, rows, [len(p[0]) for p in parts], [c[order[starts]] for c in columns], np.add.reduceat(counts[order], starts), of, order[starts])
+        yield _merged(bucket, rows)
+
+
+def _merged(bucket: int, rows: list[dict]) -> Merged:
+    parts = [_unframed(r.pop("columns")) for r in rows]
+    sizes = [len(p[0]) for p in parts]
+    columns = [np.concatenate(c) for c in zip(*parts, strict=True)]
+    del parts
+    counts = np.concatenate([unpack(r.pop("counts")) for r in rows])
+    order, new = _ordered(columns)
+    starts = np.flatnonzero(new)
+    of = np.empty(len(order), np.int32)
+    of[order] = np.cumsum(new, dtype=np.int32) - 1
+    first = order[starts]
+    return Merged(bucket, rows, sizes, [c[first] for c in columns], np.add.reduceat(counts[order], starts, dtype=np.int64), of, first)

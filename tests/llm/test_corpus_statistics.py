@@ -3,6 +3,7 @@
 import math
 import random
 import re
+import tracemalloc
 import zlib
 from collections import Counter
 
@@ -157,6 +158,50 @@ def test_radix_order():
     assert (ngrams.unpack(ngrams.pack(np.array([0, 7, 1 << 33]))) == [0, 7, 1 << 33]).all()
 
 
+def _coded(n, rng):
+    """A block of n tokens in units of 50, of which the first two are read before the unit's own, and every seventh unit is held out."""
+    tokens = np.minimum(rng.zipf(1.4, n), 5000).astype(np.int32)
+    tokens[rng.random(n) < 0.02] = 0
+    tokens[50::51] = 0
+    _, tokens = np.unique(np.append(tokens, 0), return_inverse=True)
+    tokens, place = tokens[:n].astype(np.int32), np.arange(n)
+    weight = ((place % 51 >= 2) & (place // 51 % 7 > 0)).astype(np.uint8)
+    ids, units = np.append(0, np.arange(tokens.max()) * 3 + 5).astype(np.uint64), np.full(n // 51, 50)
+    return ngrams.Coded(1, None, ids, np.bincount(tokens), 0, tokens, weight, units, units * 0 + 2, np.arange(len(units)), np.arange(len(units)) % 7 == 0, list(range(len(units))), np.bincount(tokens)[tokens], [])
+
+
+@pytest.mark.parametrize(("order", "shortest"), [(1, 1), (2, 1), (3, 1), (3, 2), (4, 2), (4, 1)])
+def test_keys_of_a_block(order, shortest):
+    for n in (0, 1, 51 * 80):
+        b = _coded(n, np.random.default_rng(n)) if n else ngrams.Coded(1, None, np.zeros(1, np.uint64), np.zeros(1, np.int64), 0, np.zeros(0, np.int32), np.zeros(0, np.uint8), *[np.zeros(0, np.int64)] * 4, [], np.zeros(0, np.int64), [])
+        columns, length, counts, index = b.keys(order, shortest)
+        want, at = Counter(), {}
+        for m in range(shortest, order + 1):
+            for i in range(m - 1, n):
+                gram = b.tokens[i - m + 1 : i + 1].tolist()
+                if all(gram):
+                    at[m, i] = (*gram, *[0] * (order - m))
+                    want[at[m, i]] += int(b.weight[i]) if m > 1 else 0
+        keys = list(zip(*(c.tolist() for c in columns), strict=True))
+        assert keys == sorted(want) and counts.tolist() == [want[k] for k in keys] and length.tolist() == [sum(x > 0 for x in k) for k in keys]
+        assert {(m, i): keys[k] for m, own in index.items() for i, k in enumerate(own.tolist()) if k >= 0} == at
+        splitters = np.array([[int(b.ids[x]) for x in k] for k in keys[5::97]] + [[4] * order, [10**9] * order], np.uint64)
+        as_ids = [tuple(int(b.ids[x]) for x in k) for k in keys]
+        assert ngrams._cut(columns, b.ids, splitters).tolist() == [0, *[sum(k < tuple(s) for k in as_ids) for s in splitters.tolist()], len(keys)]
+
+
+def test_memory_of_a_block():
+    """Bytes a token that a block takes at most; where keys of all lengths were put in order at once these were 189 and 189."""
+    n = 51 * 6000
+    b = _coded(n, np.random.default_rng(1))
+    for work, most in ((lambda: b.keys(3, 1), 80), (lambda: language_model.Automaton(b, 3, n, 5000, [0.5, 0.5], {}), 100)):
+        tracemalloc.start()
+        work()
+        peak = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        assert peak < most * n, peak / n
+
+
 def _plain_whitened(rows, k=4):
     """{id: (deviation, whitened)}, eigenvalues, trace of the vectors of one length; by the covariance matrix of centred vectors."""
     x = {i: [math.floor(256 * c) for c in v] for i, v in rows}
