@@ -139,7 +139,7 @@ def plan_sizes(t):
 def student_layers(t):
     """The layer of mastery over the map for each student asked for: one empty row where there is no evidence."""
     asked = _session(t).createDataFrame([(1,), (2,), (-1,)], "student long")
-    found = learning.mastery(_evidence(t), "student", "node").select("student", "node", F.round("mastery", 4).alias("mastery"), "status")
+    found = learning.mastery(_evidence(t), "student", "node", order="seq").select("student", "node", learning.rounded(F.col("mastery")).alias("mastery"), "status")
     return asked.join(found, "student", "left")
 
 

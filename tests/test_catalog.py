@@ -59,7 +59,7 @@ def test_entry_imports_without_a_session():
     assert done.returncode == 0 and n >= m >= len(catalog.ORACLE)
 
 
-@pytest.mark.parametrize("name", ["mastery_status"])
+@pytest.mark.parametrize("name", ["mastery_status", "student_layers"])
 def test_sums_as_sql_does(spark, name):
     """To the last digit on sf0.1, on one thread: some rows there have means at a half of a ten-thousandth or at a status's bound."""
     con, data = duckdb.connect(config={"threads": 1}), DATA.replace("sf0.001", "sf0.1")
