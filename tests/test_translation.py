@@ -118,6 +118,13 @@ def test_boilerplate_of_many(spark):
     assert _copies(spark, [SOURCES[0] + "ab"[k % 2] for k in range(40)], [same] * 40, gate) == {}
 
 
+def test_boilerplate_of_a_large_team(spark):
+    """A team beyond a block: near sources are met wherever they stand, so no item stands out and two templates of two sources each are the witness."""
+    bases = [c * 20 + d * 18 for c, d in ("ap", "bq", "cr", "ds", "et", "fu")]
+    found = _copies(spark, [b + x for b in bases for x in "xy"] + [bases[2] + "x"], ["wecompletetheproofbyasimplecalculation"] * 13, translation.Gate(limit=5))
+    assert found.keys() == set(range(13)) and len(set(found.values())) == 1 and min(found.values())[0] == 1.0
+
+
 def test_boilerplate_against_pairs(spark):
     """Batches and sections of near-copies, against a plain version over all pairs of each."""
     rng, gate, rows = random.Random(12), translation.GATE, []
