@@ -217,3 +217,22 @@ def test_texts_are_dealt_to_many_tasks(spark, monkeypatch):
     monkeypatch.setattr(text_join, "written", lambda df, tag, f=text_join.written: dealt.update({tag: df.rdd.getNumPartitions()}) or f(df, tag))
     text_join.similar_texts(spark.createDataFrame([(k, "x" * 200 + "abc"[k]) for k in range(3)], "id long, text string"))
     assert min(dealt["text-ones"], dealt["text-scores"]) >= text_join.LEAST_TASKS
+
+
+def test_blocks_look_up_grams():
+    """Texts of few syllables, so of like counts: those that share too few grams near their places are not gone through, and no near one is lost."""
+    rng = random.Random(5)
+    syllables = [a + b for a in "bcdfglmnprst" for b in "aeiou"]
+    texts = ["".join(rng.choices(syllables, k=150)) for _ in range(60)]
+    for k in range(20):
+        t = list(texts[k])
+        for _ in range(rng.randint(0, 45)):
+            t[rng.randrange(len(t))] = rng.choice("aeiou")
+        texts.append("".join(t[rng.randint(0, 9) :]))
+    texts += ["ab" * 150, "ab" * 149 + "b"]  # grams that repeat
+    block = text_join._Block(0.9)
+    block.filled(list(range(len(texts))), texts)
+    got = {(k, j) for j, t in enumerate(texts[:80]) for k in block.near(t)}
+    assert got == {(k, j) for j, t in enumerate(texts[:80]) for k, x in enumerate(texts) if 2 * text_join.common_characters(x, t) >= 0.9 * (len(x) + len(t)) - 1e-6}
+    assert len(got) > 80 and block.q == 5 and not block.depth  # beginnings were not gone through for the whole block
+    assert (80, 81) in {(k, 81) for k in block.near(texts[81])}
